@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import decontaminate, html_extract, mixing, quality_rules, token_counts, toxicity, url_filter, warc
+from llm import decontaminate, html_extract, mixing, ngram_join, quality_rules, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_html_extraction": html_extract.op6_html_extraction,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
 }
