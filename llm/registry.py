@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from llm import decontaminate, html_extract, mixing, ngram_join, quality_rules, token_counts, toxicity, url_filter, warc
+from llm import decontaminate, html_extract, mixing, ngram_join, quality_rules, suffix_dedup, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mixing": mixing.op5_mixing,

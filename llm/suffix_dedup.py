@@ -114,14 +114,8 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(starts):
         return np.zeros(0, U64), none, none, none
     # leftmost position of the minimum: the next one at or after each window's start with its hash
-    first = np.ones(len(starts), bool)
-    first[1:] = (low[1:] != low[:-1]) | (starts[1:] != starts[:-1] + 1)
-    # inside a run of windows with one minimum the anchor may move right when equal grams repeat
-    head = np.flatnonzero(first)
-    run_end = np.append(head[1:], len(starts))
-    hit = np.flatnonzero(np.isin(g, low[head])) if len(head) < 64 else _positions(g, w)
+    hit = _positions(g, w)
     gh = g[hit]
-    run = np.repeat(np.arange(len(head)), run_end - head)
     nxt = np.searchsorted(hit, starts)
     a = hit[np.minimum(nxt, len(hit) - 1)]
     wrong = gh[np.minimum(nxt, len(hit) - 1)] != low
@@ -129,7 +123,6 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         nxt = np.where(wrong, nxt + 1, nxt)
         a = hit[np.minimum(nxt, len(hit) - 1)]
         wrong = gh[np.minimum(nxt, len(hit) - 1)] != low
-    del run
     new = np.ones(len(starts), bool)
     new[1:] = (a[1:] != a[:-1]) | (starts[1:] != starts[:-1] + 1)
     h = np.flatnonzero(new)
@@ -202,7 +195,6 @@ def shared_anchors(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
             if len(pick):
                 at = np.maximum(a[pick] - STEP * ((g[pick] // U64(SAMPLE)) % U64(5)).astype(np.int64), off[doc[pick]])
                 rows.append((key % n_frag, key, 3, np.stack([_lead(buf, at), mix(g[pick])], 1).tobytes(), b"", b""))
-            frag = ((gs >> U64(32)) * U64(n_frag)) >> U64(32)
             # minimizer hashes are small, so the order is spread again before it is cut
             spread = mix(gs ^ U64(0xA5A5A5A5))
             frag = ((spread >> U64(32)) * U64(n_frag)) >> U64(32)
@@ -342,7 +334,7 @@ def removed_windows(rows: DataFrame, at: DataFrame, splitters: np.ndarray) -> Da
     spark = rows.sparkSession
     parts = partitions(spark)
     n_bucket = len(splitters) + 1
-    joined = rows.dropDuplicates(["id", "h"]).join(at, ["id", "h"])
+    joined = rows.dropDuplicates(["id", "h"]).join(at.dropDuplicates(["id", "h"]), ["id", "h"])
 
     def pieces(ids, hs, d, off, q, mask) -> tuple[bytes, bytes, bytes]:
         used, n = np.unique(d, return_counts=True)
@@ -466,7 +458,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     if not len(splitters):
         splitters = np.zeros((0, 2), U64)
     gone = written(removed_windows(rows, at, splitters), "removed-windows")
-    t = F.coalesce(F.col(text), F.lit(""))
     full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
                        F.coalesce(docs[key].cast("long"), F.lit(int(NULL_ID))).alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("h"))
     full = full.join(gone, ["id", "h"], "left")
@@ -478,7 +469,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         full = full.join(equal, ["id", "h"], "left_anti").withColumn("_nth", F.lit(1)).unionByName(twin)
     else:
         full = full.withColumn("_nth", F.lit(1))
-    del t
     row_type = full.schema["_row"].dataType
     names = [f"c{i}" for i in range(len(docs.columns))]
     at_text = docs.columns.index(text)
@@ -521,3 +511,27 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup(docs).select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def dedup_text(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """docs with the remaining text; rows that lose all of a text go, others stay.
+
+    A character of which some bytes are removed goes whole.  n_chars, if it is a
+    column, counts the characters left."""
+
+    @F.pandas_udf("string")
+    def decode(kept):
+        return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+    out = dedup(docs, key, text).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    changed = F.when(F.col("n_removed") == 0, F.col("_row").getField(text)).otherwise(decode("kept"))
+    out = out.withColumn("_new", changed)
+    cols = []
+    for c, kind in docs.dtypes:
+        value = F.col("_row").getField(c)
+        if c == text:
+            value = F.col("_new")
+        elif c == n_chars:
+            value = F.when(F.col("n_removed") == 0, value).otherwise(F.length("_new").cast(kind))
+        cols.append(value.alias(c))
+    return out.select(*cols)
