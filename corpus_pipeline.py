@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import decontaminate, mixing, quality_rules
+from llm import decontaminate, mixing, ngram_join, quality_rules, suffix_dedup
 from llm.common import table, written
 
 
@@ -13,6 +13,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_filter(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked at 0.8 on five words, the smallest doc_id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that occur earlier go; so do documents of which nothing is left.
+
+    A character of which some bytes go goes whole; n_chars counts what is left."""
+    return suffix_dedup.dedup_text(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
@@ -25,6 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality),
+    ("ngram_join", near_duplicates),
+    ("suffix_dedup", repeated_passages),
     ("benchmark_decontamination", decontamination),
     ("mix_sources", mix_sources),
 ]
