@@ -21,7 +21,7 @@ slice.  No candidate is dropped.
 Defined cases: null and empty texts have no shingles and link with nothing; a
 text with fewer words than k has one shingle, the whole sequence; a null doc_id
 is counted but linked with nothing, its component is null; rows that share a
-doc_id are in the smallest component of any of them; an empty table gives no rows.
+doc_id are one document in links; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -171,7 +171,7 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, node, n, tokens): node is a 128-bit fingerprint of the set."""
+    """(doc_id, fp, n, tokens): fp is a 128-bit fingerprint of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, buf, off in slices(batches):
@@ -185,9 +185,9 @@ def node_sets(docs: DataFrame, k: int) -> DataFrame:
             fp = np.stack([f1, f2], 1).astype(">u8").tobytes()
             yield _batch([pa.array(ids[some]), pa.array([fp[16 * i: 16 * i + 16] for i in range(len(some))], pa.binary()),
                           pa.array(n[some]), pa.array([h[o[i]:o[i + 1]].tobytes() for i in some], pa.binary())],
-                         ["doc_id", "node", "n", "tokens"])
+                         ["doc_id", "fp", "n", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, node binary, n long, tokens binary")
+    return docs.mapInArrow(run, "doc_id long, fp binary, n long, tokens binary")
 
 
 def size_classes(top: int, num: int, den: int) -> np.ndarray:
@@ -229,8 +229,8 @@ def signatures(n: np.ndarray, h: np.ndarray, num: int, den: int) -> tuple[np.nda
     return np.concatenate(sigs), np.concatenate(sets)
 
 
-def candidate_edges(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Star edges (a, b): every node with the smallest node of each of its signatures."""
+def candidate_hubs(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, node, hub): the nodes of every shared signature and the smallest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,13 +241,31 @@ def candidate_edges(nodes: DataFrame, num: int, den: int) -> DataFrame:
                 sig, who = signatures(n, h, num, den)
                 yield _batch([pa.array(sig.view(np.int64)), part.column(0).take(pa.array(who))], ["sig", "node"])
 
-    sigs = nodes.select("node", "n", "tokens").mapInArrow(run, "sig long, node binary")
+    sigs = nodes.select("node", "n", "tokens").mapInArrow(run, "sig long, node long")
     sigs = written(sigs, "signatures")
-    hubs = sigs.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("sig", "a")
-    return sigs.join(hubs, "sig").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    hubs = sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("z")).filter("hub <> z").select("sig", "hub")
+    return written(sigs.join(hubs, "sig"), "candidates")
 
 
-def links_in_tile(node: list[bytes], n: np.ndarray, h: np.ndarray, num: int, den: int) -> list[tuple[bytes, bytes]]:
+def families_of(candidates: DataFrame) -> DataFrame:
+    """(id, component) of every node of (sig, node, hub): nodes with a signature in
+    common are in one family.
+
+    First each node is joined to the smallest of its hubs only; what is left to
+    connect are signatures whose nodes have different labels, which are few.
+    """
+    one = candidates.groupBy("node").agg(F.min("hub").alias("a"))
+    first = components(one.select("a", F.col("node").alias("b")))
+    label = F.coalesce("component", "node")
+    seen = written(candidates.select("sig", "node").join(first.withColumnRenamed("id", "node"), "node", "left")
+                   .select("sig", "node", label.alias("label")), "labelled")
+    mixed = seen.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig", "lo")
+    rest = components(seen.join(mixed, "sig").filter("lo <> label").select(F.col("lo").alias("a"), F.col("label").alias("b")).distinct())
+    return (seen.select("node", "label").distinct().join(rest.withColumnRenamed("id", "label"), "label", "left")
+            .groupBy(F.col("node").alias("id")).agg(F.min(F.coalesce("component", "label")).alias("component")))
+
+
+def links_in_tile(node: list[int], n: np.ndarray, h: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Spanning forest of the pairs that reach the threshold."""
     owner = np.repeat(np.arange(len(n)), n)
     _, tok, df = np.unique(h, return_inverse=True, return_counts=True)
@@ -304,9 +322,9 @@ def verified_edges(nodes: DataFrame, families: DataFrame, num: int, den: int) ->
         node = tab["node"].to_pylist()
         h = np.frombuffer(b"".join(tab["tokens"].to_pylist()), U64)
         found = links_in_tile(node, tab["n"].to_numpy(), h, num, den)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return rows.groupBy("family", "i", "j").applyInArrow(run, "a binary, b binary")
+    return rows.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,14 +334,13 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     able = written(stats.filter((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num) & F.col("doc_id").isNotNull())
                    .select("doc_id").distinct(), "able")
     sets = written(node_sets(semi_join_ids(rows, able, "doc_id"), k), "sets")
-    nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count_distinct("doc_id").alias("copies"))
-    nodes = written(nodes, "nodes")
-    families = components(candidate_edges(nodes, num, den))
+    # a set's number is its smallest doc_id, so a component's is its smallest document's
+    nodes = written(sets.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "nodes")
+    families = written(families_of(candidate_hubs(nodes, num, den)), "families")
     links = components(verified_edges(nodes, families, num, den))
-    member = sets.select("doc_id", "node").join(links.withColumnRenamed("id", "node"), "node", "left").select(
-        "doc_id", F.coalesce("component", "node").alias("c"))
-    smallest = member.groupBy("c").agg(F.min("doc_id").alias("m"))
-    found = member.join(smallest, "c").groupBy("doc_id").agg(F.min("m").alias("component_id"))
+    node_of = nodes.select("fp", "node").join(links.withColumnRenamed("id", "node"), "node", "left").select(
+        "fp", F.coalesce("component", "node").alias("component_id"))
+    found = (sets.select("doc_id", "fp").join(node_of, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
     return stats.join(found, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
