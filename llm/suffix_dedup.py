@@ -81,62 +81,61 @@ class Rolling:
         np.cumsum(byte_table(seed)[buf] * powers(BASE, n), out=self.p[1:])
         self.inv = powers(BASE_INV, n + 1)
 
-    def all(self, k: int) -> np.ndarray:
-        return mix((self.p[k:] - self.p[:-k]) * self.inv[: len(self.p) - k])
+    def order(self, k: int) -> np.ndarray:
+        """A 32-bit rank of every window of k bytes, a function of its bytes."""
+        x = self.p[k:] - self.p[:-k]
+        x *= self.inv[: len(x)]
+        x ^= x >> U64(29)
+        x *= U64(0xBF58476D1CE4E5B9)
+        return (x >> U64(32)).astype(np.uint32)
 
     def at(self, s: np.ndarray, k: int) -> np.ndarray:
         return mix((self.p[s + k] - self.p[s]) * self.inv[s])
 
 
-def window_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every w neighbours, by doubling."""
+def window_best(x: np.ndarray, w: int, best) -> np.ndarray:
+    """Minimum or maximum of every w neighbours, by doubling."""
     m, width = x, 1
     while width * 2 <= w:
-        m = np.minimum(m[:-width], m[width:])
+        m = best(m[:-width], m[width:])
         width *= 2
     r = w - width
-    return np.minimum(m[:-r], m[r:]) if r else m
+    return best(m[:-r], m[r:]) if r else m
 
 
 def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """(gram hash, anchor, first and last window start) of every anchor.
 
-    Ties between equal hashes fall to the leftmost gram of a window."""
+    The anchor of a window is the leftmost of its grams of smallest rank, so it
+    depends on the window's bytes only."""
     none = np.zeros(0, np.int64)
     if len(buf) < LENGTH:
         return np.zeros(0, U64), none, none, none
-    g = Rolling(buf, 3).all(GRAM)
+    roll = Rolling(buf, 3)
+    g = roll.order(GRAM)
     w = LENGTH - GRAM + 1
-    low = window_min(g, w)
-    starts = np.arange(len(low))
-    ok = starts + LENGTH <= np.repeat(off[1:], np.diff(off))[: len(low)]
-    starts, low = starts[ok], low[ok]
+    low = window_best(g, w, np.minimum)
+    # grams that are the smallest of some window: their rank is the largest minimum around them
+    pad = np.zeros(w - 1, np.uint32)
+    small = window_best(np.concatenate([pad, low, pad]), w, np.maximum) == g
+    hit = np.flatnonzero(small)
+    next_hit = np.cumsum(small, dtype=np.int32)[: len(low)] - small[: len(low)]
+    inside = np.ones(len(low), bool)
+    for end in off[1:]:
+        inside[max(int(end) - LENGTH + 1, 0): int(end)] = False
+    starts = np.flatnonzero(inside)
     if not len(starts):
         return np.zeros(0, U64), none, none, none
-    # leftmost position of the minimum: the next one at or after each window's start with its hash
-    hit = _positions(g, w)
-    gh = g[hit]
-    nxt = np.searchsorted(hit, starts)
-    a = hit[np.minimum(nxt, len(hit) - 1)]
-    wrong = gh[np.minimum(nxt, len(hit) - 1)] != low
-    while wrong.any():  # skip anchors of other windows that lie between
-        nxt = np.where(wrong, nxt + 1, nxt)
-        a = hit[np.minimum(nxt, len(hit) - 1)]
-        wrong = gh[np.minimum(nxt, len(hit) - 1)] != low
+    low, nxt = low[starts], next_hit[starts]
+    wrong = np.flatnonzero(g[hit[nxt]] != low)
+    while len(wrong):  # skip anchors of other windows that lie between
+        nxt[wrong] += 1
+        wrong = wrong[g[hit[nxt[wrong]]] != low[wrong]]
     new = np.ones(len(starts), bool)
-    new[1:] = (a[1:] != a[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new[1:] = (nxt[1:] != nxt[:-1]) | (starts[1:] != starts[:-1] + 1)
     h = np.flatnonzero(new)
-    e = np.append(h[1:], len(starts)) - 1
-    return low[h], a[h], starts[h], starts[e]
-
-
-def _positions(g: np.ndarray, w: int) -> np.ndarray:
-    """Positions that are the minimum of some window."""
-    low = window_min(g, w)
-    pad = np.full(w - 1, np.iinfo(np.uint64).max, U64)
-    # greatest of the minima of the windows that hold a position
-    best = ~window_min(~np.concatenate([~pad, low, ~pad]), w)
-    return np.flatnonzero(best[: len(g)] == g)
+    a = hit[nxt[h]]
+    return roll.at(a, GRAM), a, starts[h], starts[np.append(h[1:], len(starts)) - 1]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -195,13 +194,11 @@ def shared_anchors(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
             if len(pick):
                 at = np.maximum(a[pick] - STEP * ((g[pick] // U64(SAMPLE)) % U64(5)).astype(np.int64), off[doc[pick]])
                 rows.append((key % n_frag, key, 3, np.stack([_lead(buf, at), mix(g[pick])], 1).tobytes(), b"", b""))
-            # minimizer hashes are small, so the order is spread again before it is cut
-            spread = mix(gs ^ U64(0xA5A5A5A5))
-            frag = ((spread >> U64(32)) * U64(n_frag)) >> U64(32)
+            frag = ((gs >> U64(32)) * U64(n_frag)) >> U64(32)
             sent = np.flatnonzero(~same)
             sent = sent[np.argsort(frag[sent], kind="stable")]
             cut = np.searchsorted(frag[sent], np.arange(n_frag + 1, dtype=U64))
-            low, where = spread.astype(np.uint32), order.astype(np.int32)
+            low, where = gs.astype(np.uint32), order.astype(np.int32)
             for f in range(n_frag):
                 x = sent[cut[f]:cut[f + 1]]
                 if len(x):
@@ -336,9 +333,18 @@ def removed_windows(rows: DataFrame, at: DataFrame, splitters: np.ndarray) -> Da
     n_bucket = len(splitters) + 1
     joined = rows.dropDuplicates(["id", "h"]).join(at.dropDuplicates(["id", "h"]), ["id", "h"])
 
-    def pieces(ids, hs, d, off, q, mask) -> tuple[bytes, bytes, bytes]:
+    def pieces(ids, hs, d, off, q) -> tuple[bytes, bytes]:
         used, n = np.unique(d, return_counts=True)
-        return pack(ids[used], hs[used], n.astype(np.int64)), pack((q - off[d]).astype(np.int32)), mask.tobytes()
+        return pack(ids[used], hs[used], n.astype(np.int64)), pack((q - off[d]).astype(np.int32))
+
+    def marks(ids, hs, q, mask) -> Iterator[tuple]:
+        """One row per partition of documents: marked entries, sorted by document."""
+        home = mix(ids.view(U64) ^ hs.view(U64)) % U64(parts)
+        order = np.lexsort((q, hs, ids, home))
+        home, ids, hs, q, mask = home[order], ids[order], hs[order], q[order], mask[order]
+        cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
+        for a, b in zip(cut, np.append(cut[1:], len(q))):
+            yield int(home[a]), 0, 1, pack(ids[a:b], hs[a:b]), pack(q[a:b].astype(np.int32)), mask[a:b].tobytes()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -363,7 +369,7 @@ def removed_windows(rows: DataFrame, at: DataFrame, splitters: np.ndarray) -> Da
                 full = np.zeros(len(x), np.uint8)
                 for r in range(STEP):
                     full |= ((nl[x] >= STEP - 1 - r) & (nr[x] >= r)).astype(np.uint8) << r
-                rows.append((key % n_bucket, key, 1, *pieces(ids, hs, d[x], off, q[x], full)))
+                rows += [(key % n_bucket, home, 0, 1, a, b, c) for home, _, _, a, b, c in marks(ids[d[x]], hs[d[x]], q[x] - off[d[x]], full)]
             x = np.flatnonzero(~same)
             bucket = bucket_of(splitters, lead[x], core[x])
             x = x[np.argsort(bucket, kind="stable")]
@@ -371,18 +377,22 @@ def removed_windows(rows: DataFrame, at: DataFrame, splitters: np.ndarray) -> Da
             cut = np.searchsorted(bucket, np.arange(n_bucket + 1))
             for f in np.unique(bucket):
                 y = x[cut[f]:cut[f + 1]]
-                head, pos, _ = pieces(ids, hs, d[y], off, q[y], nl[y])
+                head, pos = pieces(ids, hs, d[y], off, q[y])
                 flank = np.stack([left[y], right[y]], 1).view(np.uint8).reshape(len(y), 2, 8)[:, :, :7]
-                rows.append((int(f), key, 0, head, pos, pack(core[y], flank, nl[y], nr[y])))
-            yield _parts(rows)
+                rows.append((int(f), 0, 0, 0, head, pos, pack(core[y], flank, nl[y], nr[y])))
+            yield routed(rows)
+
+    def routed(rows: list[tuple]) -> pa.RecordBatch:
+        """Rows (bucket, home, ...): the bucket leads, the home waits in batch."""
+        return _parts([(f, home, kind, a, b, c) for f, home, _, kind, a, b, c in rows])
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
             forward = []
-            for f, key, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
+            for f, home, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
                 if kind:
-                    forward.append((f, key, 1, a, b, c))
+                    forward.append((home, 0, 1, a, b, c))
                 else:
                     held.setdefault(f, []).append((a, b, c))
             if forward:
@@ -412,30 +422,32 @@ def removed_windows(rows: DataFrame, at: DataFrame, splitters: np.ndarray) -> Da
             mask = mark_repeats(core[x], left[x], right[x], nl[x], nr[x])
             x, mask = x[mask > 0], mask[mask > 0]
             if len(x):
-                ids, hs, q = ids[x], hs[x], q[x]
-                new = np.ones(len(x), bool)
-                new[1:] = (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1])
-                at = np.flatnonzero(new)
-                n = np.diff(np.append(at, len(x)))
-                yield _parts([(f, 0, 1, pack(ids[at], hs[at], n.astype(np.int64)), pack(q), mask.tobytes())])
-
-    schema = "id long, h long, q binary, mask binary"
+                yield _parts(list(marks(ids[x], hs[x], q[x], mask)))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, hs, q, mask = [], [], [], []
         for batch in batches:
             for a, b, c in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5))):
-                ids, hs, n = np.frombuffer(unpack(a), np.int64).reshape(3, -1)
-                q = np.frombuffer(unpack(b), np.int32)
-                e = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(hs), pa.array([q[j - k: j].tobytes() for j, k in zip(e, n)], pa.binary()),
-                     pa.array([c[j - k: j] for j, k in zip(e, n)], pa.binary())], names=["id", "h", "q", "mask"])
+                x, y = np.frombuffer(unpack(a), np.int64).reshape(2, -1)
+                ids.append(x)
+                hs.append(y)
+                q.append(np.frombuffer(unpack(b), np.int32))
+                mask.append(np.frombuffer(c, np.uint8))
+        if not ids:
+            return
+        ids, hs, q, mask = (np.concatenate(x) for x in (ids, hs, q, mask))
+        order = np.lexsort((hs, ids))
+        ids, hs, q, mask = ids[order], hs[order], q[order], mask[order]
+        cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1])]))
+        end = np.append(cut[1:], len(q))
+        for i in range(0, len(cut), 2000):
+            part = list(zip(cut[i:i + 2000], end[i:i + 2000]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[cut[i:i + 2000]]), pa.array(hs[cut[i:i + 2000]]), pa.array([q[a:b].tobytes() for a, b in part], pa.binary()),
+                 pa.array([mask[a:b].tobytes() for a, b in part], pa.binary())], names=["id", "h", "q", "mask"])
 
     found = joined.select("id", "h", "text", "at").mapInArrow(split, PARTS).repartition(parts, "fragment").mapInArrow(bucket, PARTS)
-    found = written(found, "removed")
-    out = found.mapInArrow(spread, schema).groupBy("id", "h").agg(F.collect_list(F.struct("q", "mask")).alias("m"))
-    # a document has at most one entry per bucket and slice
-    return out.select("id", "h", F.expr("aggregate(m, X'', (s, x) -> s || x.q)").alias("q"), F.expr("aggregate(m, X'', (s, x) -> s || x.mask)").alias("mask"))
+    return found.repartition(parts, "fragment").mapInArrow(gather, "id long, h long, q binary, mask binary")
 
 
 def covered(n: int, q: bytes | None, mask: bytes | None) -> np.ndarray:
