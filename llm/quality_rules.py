@@ -136,7 +136,11 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
 def quality_filter(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass, with all their own columns (also those named as a measure)."""
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text].alias("_judged"))
-    return judge(inner, "_judged", rules).filter("kept").select("_row.*")
+    judged = judge(inner, "_judged", rules)
+    # A plain filter would be pushed below the projections and repeat their
+    # expressions; one on a generator's output stays above them.
+    kept = judged.select(F.explode_outer(F.array_repeat("_row", F.col("kept").cast("int"))).alias("_row"))
+    return kept.filter("_row is not null").select("_row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
