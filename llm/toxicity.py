@@ -69,21 +69,20 @@ class NBLinear:
         rate = float(y.mean()) if len(y) else 0.0
         if not 0 < rate < 1:
             return cls(np.zeros(1 << BITS), 40.0 if rate == 1 else -40.0)
-        docs, ids = [], []
-        step = 100
-        for i in range(0, len(texts), step):
-            d, g = presences(*text_buffer(pa.array(texts[i:i + step], pa.string())))
-            docs.append(d + i)
-            ids.append(g)
-        doc, gram = np.concatenate(docs), np.concatenate(ids)
-        pos = np.bincount(gram[y[doc] == 1], minlength=1 << BITS)
-        neg = np.bincount(gram[y[doc] == 0], minlength=1 << BITS)
+        size, step = 1 << BITS, 50
+        pos, neg = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        parts = [(i, *text_buffer(pa.array(texts[i:i + step], pa.string()))) for i in range(0, len(texts), step)]
+        for i, buf, off in parts:  # counts first, so that only n-grams with evidence are kept
+            d, g = presences(buf, off)
+            toxic = y[d + i] == 1
+            pos += np.bincount(g[toxic], minlength=size).astype(np.int32)
+            neg += np.bincount(g[~toxic], minlength=size).astype(np.int32)
         # presence rates per class, smoothed; rare n-grams carry no evidence
         ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
         ratio[pos + neg < max(8, 0.004 * len(y))] = 0
         ratio[np.abs(ratio) < 1.0] = 0
-        keep = ratio[gram] != 0
-        doc, gram = doc[keep], gram[keep]
+        found = [(d + i, g) for i, (d, g) in ((i, presences(buf, off, ratio != 0)) for i, buf, off in parts)]
+        doc, gram = (np.concatenate(c) for c in zip(*found))
         x = ratio[gram]
         norm = np.sqrt(np.maximum(np.bincount(doc, x * x, len(y)), 1.0))
         w, b = np.zeros(1 << BITS), 0.0
