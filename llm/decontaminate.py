@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import table
+from llm.common import map_arrow, table
 from llm.kernels import U64, mix
 
 Q = 8
@@ -38,7 +38,7 @@ Q = 8
 EDIT_RATE = 0.08
 #: Characters of benchmark items that one pass over the documents compares with.
 BLOCK_CHARS = 4_000_000
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 BITS = 23
 
 MATCHES = "doc_id long, item_id long, start long, n_chars long, distance int"
@@ -235,7 +235,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                     [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.int32())],
                     names=["doc_id", "item_id", "start", "n_chars", "distance"])
 
-        out = out.unionByName(rows.mapInArrow(run, MATCHES))
+        out = out.unionByName(map_arrow(rows, run, MATCHES))
     return out
 
 
@@ -254,7 +254,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: s
 
         names = [f"c{i}" for i in range(len(docs.columns))]
         schema = docs.toDF(*names).schema
-        docs = docs.toDF(*names).withColumn("_text", F.col(names[docs.columns.index(text)])).mapInArrow(run, schema).toDF(*docs.columns)
+        with_text = docs.toDF(*names).withColumn("_text", F.col(names[docs.columns.index(text)]))
+        docs = map_arrow(with_text, run, schema).toDF(*docs.columns)
     return docs
 
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from llm.common import table
+from llm.common import map_arrow, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -240,8 +240,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(pages[key].alias("page_id"), pages[url].alias("url"), pages[html].alias("html")).mapInArrow(
-        run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(
+        pages.select(pages[key].alias("page_id"), pages[url].alias("url"), pages[html].alias("html")), run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import partitions, semi_join_ids, table, written
+from llm.common import map_arrow, partitions, semi_join_ids, table, written
 from llm.components import components
 from llm.kernels import U64, distinct_sets, lower_ascii, mix, shingles, text_buffer
 
 #: Bytes of text whose shingles are in memory at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Fragments per shuffle partition.
 FRAGMENTS = 4
 #: Nodes of a tile; a task sees two tiles at most.
@@ -166,8 +166,8 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
                 shared[: len(sums[key])] += sums[key]
             yield _batch([pa.array(ids, mask=ids == NULL_ID), pa.array(n.astype(np.int64)), pa.array(shared)], ["doc_id", "n", "shared"])
 
-    return (docs.mapInArrow(split, PARTS).repartition(parts, "fragment").mapInArrow(count, PARTS)
-            .repartition(parts, "batch").mapInArrow(total, "doc_id long, n long, shared long"))
+    counted = map_arrow(map_arrow(docs, split, PARTS).repartition(parts, "fragment"), count, PARTS)
+    return map_arrow(counted.repartition(parts, "batch"), total, "doc_id long, n long, shared long")
 
 
 def node_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -187,7 +187,7 @@ def node_sets(docs: DataFrame, k: int) -> DataFrame:
                           pa.array(n[some]), pa.array([h[o[i]:o[i + 1]].tobytes() for i in some], pa.binary())],
                          ["doc_id", "fp", "n", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, fp binary, n long, tokens binary")
+    return map_arrow(docs, run, "doc_id long, fp binary, n long, tokens binary")
 
 
 def size_classes(top: int, num: int, den: int) -> np.ndarray:
@@ -241,7 +241,7 @@ def candidate_hubs(nodes: DataFrame, num: int, den: int) -> DataFrame:
                 sig, who = signatures(n, h, num, den)
                 yield _batch([pa.array(sig.view(np.int64)), part.column(0).take(pa.array(who))], ["sig", "node"])
 
-    sigs = nodes.select("node", "n", "tokens").mapInArrow(run, "sig long, node long")
+    sigs = map_arrow(nodes.select("node", "n", "tokens"), run, "sig long, node long")
     sigs = written(sigs, "signatures")
     hubs = sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("z")).filter("hub <> z").select("sig", "hub")
     return written(sigs.join(hubs, "sig"), "candidates")

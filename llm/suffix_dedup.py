@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import partitions, table, written
+from llm.common import map_arrow, partitions, table, written
 from llm.kernels import BASE, BASE_INV, U64, byte_table, mix, powers, text_buffer
 
 LENGTH, GRAM, STEP = 100, 32, 8
@@ -254,14 +254,14 @@ def shared_anchors(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
             out = [pos[e - k: e][known[e - k: e]].tobytes() for e, k in zip(end[any_], n[any_])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[any_]), pa.array(hs[any_]), pa.array(out, pa.binary())], names=["id", "h", "at"])
 
-    replies = written(rows.mapInArrow(split, PARTS).repartition(parts, "fragment").mapInArrow(count, PARTS), "anchors")
+    replies = written(map_arrow(map_arrow(rows, split, PARTS).repartition(parts, "fragment"), count, PARTS), "anchors")
     sample = (replies.filter("kind = 3").select(F.explode(F.expr("transform(sequence(0, length(a) div 16 - 1), i -> substr(a, i * 16 + 1, 16))")).alias("p"))
               .orderBy(F.xxhash64("p")).limit(SPLITTERS).collect())
     pairs = np.array([np.frombuffer(r.p, U64) for r in sample], U64).reshape(-1, 2)
     n_bucket = n_frag
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     take = order[np.linspace(0, len(order) - 1, n_bucket + 1).astype(int)[1:-1]] if len(order) else order
-    at = replies.filter("kind <> 3").repartition(parts, "batch").mapInArrow(total, schema)
+    at = map_arrow(replies.filter("kind <> 3").repartition(parts, "batch"), total, schema)
     return written(at, "shared-anchors"), pairs[take]
 
 
@@ -446,8 +446,9 @@ def removed_windows(rows: DataFrame, at: DataFrame, splitters: np.ndarray) -> Da
                 [pa.array(ids[cut[i:i + 2000]]), pa.array(hs[cut[i:i + 2000]]), pa.array([q[a:b].tobytes() for a, b in part], pa.binary()),
                  pa.array([mask[a:b].tobytes() for a, b in part], pa.binary())], names=["id", "h", "q", "mask"])
 
-    found = joined.select("id", "h", "text", "at").mapInArrow(split, PARTS).repartition(parts, "fragment").mapInArrow(bucket, PARTS)
-    return found.repartition(parts, "fragment").mapInArrow(gather, "id long, h long, q binary, mask binary")
+    sent = map_arrow(joined.select("id", "h", "text", "at"), split, PARTS)
+    found = map_arrow(sent.repartition(parts, "fragment"), bucket, PARTS)
+    return map_arrow(found.repartition(parts, "fragment"), gather, "id long, h long, q binary, mask binary")
 
 
 def covered(n: int, q: bytes | None, mask: bytes | None) -> np.ndarray:
@@ -516,7 +517,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                     [*(part.column(j) for j in range(k)), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string()), pa.array(kept, pa.binary())],
                     names=out_schema.names)
 
-    out = flat.mapInArrow(run, out_schema)
+    out = map_arrow(flat, run, out_schema)
     return out.select(F.struct(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)]).alias("_row"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from llm.common import table
+from llm.common import map_arrow, table
 from llm.kernels import text_buffer
 
 MODEL = "piece_bpe_32k.model"
@@ -116,8 +116,8 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
                 [batch.column(0), pa.array(n_bytes), pa.array(counts), pa.array(counts > LIMIT)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).mapInArrow(
-        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(
+        docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import table
+from llm.common import map_arrow, table
 from llm.kernels import U64, lower_ascii, mix, text_buffer
 
 #: Most training texts of each label.
 TRAIN_PER_CLASS = 2_500
 GRAMS = (4, 5, 6)
 BITS = 20
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def gram_ids(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -150,7 +150,7 @@ def score_texts(docs: DataFrame, model: NBLinear, key: str = "doc_id", text: str
                 a = b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return map_arrow(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, score double")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

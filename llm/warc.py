@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import fresh_path, table, written
+from llm.common import fresh_path, map_arrow, table, written
 
 #: Payload bytes and records after which a task starts its next archive.
 ROLL_BYTES, ROLL_RECORDS = 64 << 20, 20_000
@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
             yield _table(heads, HEADS)
 
     rows = pages.select(pages[key].cast("long").alias("key"), pages[url].alias("url"), pages[html].alias("html"))
-    return written(rows.mapInArrow(run, HEADS), "warc-heads")
+    return written(map_arrow(rows, run, HEADS), "warc-heads")
 
 
 TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -198,7 +198,7 @@ def rewrite(heads: DataFrame, revisits: DataFrame) -> DataFrame:
                 writer.close()
                 yield _table([(writer.path, writer.n_records)], "path string, n_records long")
 
-    return written(todo.mapInArrow(run, "path string, n_records long"), "warc-manifest")
+    return written(map_arrow(todo, run, "path string, n_records long"), "warc-manifest")
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
@@ -224,7 +224,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                 if rows:
                     yield _table(rows, RECORDS)
 
-    return archives.select("path").mapInArrow(run, RECORDS)
+    return map_arrow(archives.select("path"), run, RECORDS)
 
 
 def resolved(records: DataFrame) -> DataFrame:
