@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,22 @@ BROADCAST_ROWS = 1_000_000
 BATCH_ROWS, BATCH_BYTES = "1000", "4m"
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this subpackage importable by Python workers, wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_llm_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    path = f"{tempfile.mkdtemp(prefix='llm-code-')}/llm.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.glob("*.py")):
+            z.write(f, f"llm/{f.name}")
+    sc.addPyFile(path)
+    sc._llm_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -77,6 +94,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """mapInArrow with batches of bounded size."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -14,8 +14,10 @@ from llm.common import written
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of edges (a, b); component is its smallest id."""
+    # written once: both directions must come from one evaluation of the edges
+    edges = written(edges.select("a", "b").filter("a <> b").distinct(), "links")
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.filter("a <> b").distinct(), "edges")
+    both = written(both.distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("c")), "labels")
     while True:
         near = (both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))

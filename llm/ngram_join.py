@@ -319,6 +319,7 @@ def verified_edges(nodes: DataFrame, families: DataFrame, num: int, den: int) ->
     rows = rows.select("family", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node", "n", "tokens")
 
     def run(tab: pa.Table) -> pa.Table:
+        tab = tab.sort_by("node")  # the same forest in each evaluation
         node = tab["node"].to_pylist()
         h = np.frombuffer(b"".join(tab["tokens"].to_pylist()), U64)
         found = links_in_tile(node, tab["n"].to_numpy(), h, num, den)
