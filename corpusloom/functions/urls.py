@@ -71,12 +71,24 @@ def in_scope(url: Column, seed_host: str, deny: list[str] = (), allow: list[str]
     return F.coalesce(ok, F.lit(False))
 
 
+def without_dots(url: Column) -> Column:
+    """The URL with ``.`` and ``..`` segments of its path applied."""
+    head = F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)([^?#]*)", 1)
+    way = F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)([^?#]*)", 2)
+    tail = F.regexp_extract(url, "^[^?#]*(.*)$", 1)
+    parts = F.split(F.substr(way, F.lit(2)), "/")
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(
+        x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    return F.when(way.rlike("/[.]{1,2}(/|$)"), F.concat(head, F.lit("/"), F.array_join(F.concat(kept, end), "/"), tail)).otherwise(url)
+
+
 def resolve(href: Column, base: Column) -> Column:
-    """Absolute URL of a link on a page (dot segments stay); null if it has no target."""
+    """Absolute URL of a link on a page; null if it has no target."""
     origin = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
     folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "(://[^/]+.*/)[^/]*$|(://[^/]+)$", "$1$2")
-    return (F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+    return without_dots(F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
             .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
             .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
             .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href))

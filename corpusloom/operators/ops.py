@@ -44,6 +44,49 @@ def ordered_fold(events: DataFrame, key: str, order: str, value: Column, start:
     return events.groupBy(key).agg(F.aggregate(rows, start, step).alias("state"))
 
 
+# Retry reasons and what they mean; the first three are shells.
+RETRY_LABELS = {
+    "js_app_shell_detected": "JS app shell detected (React/Next/Nuxt/Remix markers)",
+    "noscript_shell_detected": "Noscript shell detected",
+    "dom_shell_detected": "Empty DOM with high script count",
+    "low_confidence": "Low extraction confidence score",
+    "low_text_high_script_ratio": "Low text content with high script ratio",
+    "thin_static_content": "Thin static content detected",
+    "http_error_retry": "HTTP error triggered retry",
+    "timeout_retry": "Timeout triggered retry",
+}
+SHELL_REASONS = list(RETRY_LABELS)[:3]
+
+
+def classified(reason: Column, auto_retried: Column) -> Column:
+    """struct(retry_count, needed_retry, shell, label) of a fetch's retry reason."""
+    needed = F.coalesce(auto_retried, F.lit(False)) | (F.coalesce(reason, F.lit("")) != "")
+    label = F.try_element_at(F.create_map(*[F.lit(x) for kv in RETRY_LABELS.items() for x in kv]), F.coalesce(reason, F.lit("")))
+    return F.struct(needed.cast("int").alias("retry_count"), needed.alias("needed_retry"),
+                    F.coalesce(reason.isin(SHELL_REASONS), F.lit(False)).alias("shell"), label.alias("label"))
+
+
+def assign_workers(jobs: DataFrame, workers: DataFrame, most: int = 100_000) -> DataFrame:
+    """(job_id, worker_id, region) of jobs (job_id, namespace, preferred_region, ord)
+    over workers (worker_id, region, namespaces, active, capacity): in the job's
+    order a worker of the preferred region, then the least active, with room.
+
+    Each choice depends on all before it, so it is one ordered fold on the driver
+    over a cluster's tables; more than ``most`` jobs are refused, not cut."""
+    todo = jobs.orderBy("ord").limit(most + 1).collect()
+    if len(todo) > most:
+        raise ValueError(f"more than {most} jobs in one assignment")
+    pool = [r.asDict() for r in workers.orderBy("worker_id").collect()]
+    out = []
+    for j in todo:
+        able = [w for w in pool if j.namespace in w["namespaces"] and w["active"] < w["capacity"]]
+        w = min(able, key=lambda x: (j.preferred_region is not None and x["region"] != j.preferred_region, x["active"]), default=None)
+        if w:
+            w["active"] += 1
+        out.append((j.job_id, w and w["worker_id"], w and w["region"]))
+    return jobs.sparkSession.createDataFrame(out, "job_id string, worker_id string, region string")
+
+
 def queue_state(events: DataFrame, max_retries: int = 2) -> DataFrame:
     """(job_id, state, retries) from (job_id, event, ord): fail requeues until the
     retries are used up, then the job is dead."""

@@ -49,3 +49,17 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
     out = docs.select(F.col("url").alias("sitemap"), F.lower("xml").contains("<sitemapindex").alias("is_index"), F.posexplode(nodes).alias("pos", "node"))
     return out.select("sitemap", "is_index", "pos", all_of("node", "loc").alias("loc"), all_of("node", "lastmod").alias("lastmod"),
                       all_of("node", "changefreq").alias("changefreq"), all_of("node", "priority").try_cast("double").alias("priority")).filter("loc is not null")
+
+
+def discovered_sitemap(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """(origin, loc, lastmod, changefreq, priority, found_at) of each origin's first
+    candidate (origin, ordinal, url) that lists any URL; docs are the fetched (url,
+    xml).  An index gives the entries of the sitemaps it names, one level deep;
+    those that could not be fetched are left out."""
+    entries = sitemap_entries(docs)
+    own = entries.filter(~F.col("is_index")).drop("is_index", "pos")
+    named = entries.filter("is_index").select(F.col("sitemap").alias("index"), F.col("loc").alias("sitemap"))
+    below = own.join(named, "sitemap").select(F.col("index").alias("sitemap"), "loc", "lastmod", "changefreq", "priority")
+    listed = candidates.withColumnRenamed("url", "sitemap").join(own.unionByName(below), "sitemap")
+    first = listed.groupBy("origin").agg(F.min("ordinal").alias("ordinal"))
+    return listed.join(first, ["origin", "ordinal"]).select("origin", "loc", "lastmod", "changefreq", "priority", F.col("sitemap").alias("found_at"))
