@@ -12,9 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import html as H
+from corpusloom.functions import structured as S
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
-from corpusloom.operators import corpus, crawl, monitor, ops
+from corpusloom.operators import corpus, crawl, monitor, ops, registry, research
 from corpusloom.sources.tables import latest, read, revalidated, sitemap_entries, unexpired
 from corpusloom.streaming.windows import sessions, windowed_counts
 
@@ -486,6 +487,128 @@ def conditional_revalidation(s, d):
     return revalidated(cur, p).select("url", F.md5("html").alias("html_md5"))
 
 
+# ---- structured pages, reports, registry ------------------------------------------
+
+_H1 = ("trim(regexp_replace(" + sql_unescape("regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<article[^>]*>.*?<h1[^>]*>(.*?)</h1>', 1), ''), "
+       "regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), '(?s)<[^>]*>', '', 'g')") + ", '\\s+', ' ', 'g'))")
+
+
+@query(f"WITH k AS ({SQL['structured_kind'].replace('page_id,', 'page_id, html,')}) SELECT page_id, kind, CASE WHEN kind IN ('docusaurus', 'mkdocs') THEN 'other' WHEN kind = 'changelog' THEN 'article' ELSE kind END AS category, "
+       f"CASE WHEN kind = 'article' THEN nullif({_H1}, '') END AS headline FROM k")
+def page_structured(s, d):
+    x = read(s, d, "pages").select("page_id", S.structured(F.col("html"), F.col("url")).alias("s"))
+    return x.select("page_id", F.col("s.kind").alias("kind"), S.normalised(F.col("s"))["category"].alias("category"), F.col("s.headline").alias("headline"))
+
+
+@query(f"SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_replace(regexp_replace({PATH}, '[^/]*$', ''), '[^/]+/$', '') || 'up?p=../1' AS link FROM pages")
+def relative_links(s, d):
+    return read(s, d, "pages").select("page_id", U.resolve(F.lit("./../up?p=../1"), F.col("url")).alias("link"))
+
+
+def _report_docs(s, d) -> DataFrame:
+    """The documents of a report: the best sources, as many as a report covers."""
+    best = _evidence(s, d).orderBy(F.desc(F.round("evidence", 6)), "doc_id").limit(research.document_cap(1000, 12)).select("doc_id", "title", "evidence", "quality")
+    n = F.row_number().over(W.orderBy(F.desc(F.round("evidence", 6)), "doc_id"))
+    x = best.withColumn("ord", n).join(read(s, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    return x.select("ord", F.concat(F.lit("doc:"), "doc_id").alias("url"), F.col("source").alias("domain"), "title", "text", F.col("quality").alias("confidence"), "quality", "evidence",
+                    F.lit(None).cast("string").alias("author"), F.lit(False).alias("structured"), T.label(F.concat_ws(" ", "title", "text")).alias("label"))
+
+
+@query(_EVID + ", t AS (SELECT doc_id, row_number() OVER (ORDER BY round(least(1.0::DOUBLE, 0.5::DOUBLE * relevance + 0.35::DOUBLE * quality + diversity), 6) DESC, doc_id) AS ord FROM c QUALIFY ord <= 12), "
+       f"x AS (SELECT ord, doc_id, source, {_LABEL} AS label FROM (SELECT ord, doc_id, source, lower(substr(text, 1, 60) || ' ' || text) AS h FROM t JOIN documents USING (doc_id))) "
+       "SELECT 'cluster_' || row_number() OVER (ORDER BY min(ord)) || '_' || label AS cluster_id, array_to_string(list('doc:' || doc_id ORDER BY ord), ',') AS urls, count(DISTINCT source) AS n_domains FROM x GROUP BY label")
+def report_clusters(s, d):
+    return research.clusters(_report_docs(s, d)).select("cluster_id", F.array_join("urls", ",").alias("urls"), F.size("domains").cast("long").alias("n_domains"))
+
+
+@query()
+def research_report(s, d):
+    return research.report(_report_docs(s, d), TOPIC, 5)
+
+
+@query()
+def report_comparison(s, d):
+    return research.comparison(_report_docs(s, d)).select("label", F.to_json("values").alias("values"))
+
+
+@query(_EVID + ", e AS (SELECT *, round(least(1.0::DOUBLE, 0.5::DOUBLE * relevance + 0.35::DOUBLE * quality + diversity), 6) AS ev FROM c), "
+       "p AS (SELECT source, count(*) AS n, min(doc_id) AS f FROM c GROUP BY 1 ORDER BY n DESC, f LIMIT 3) "
+       f"SELECT 'coverage' AS label, 'Collected ' || count(*) || ' candidate sources and 12 extracted documents across ' || count(DISTINCT source) || ' domains for topic \"{TOPIC}\".' AS detail FROM e "
+       "UNION ALL SELECT 'top_domains', 'Most represented domains: ' || array_to_string(list(source ORDER BY n DESC, f), ', ') || '.' FROM p "
+       "UNION ALL SELECT 'high_signal_sources', count_if(ev >= 0.75) || ' sources currently pass the high-signal threshold.' FROM e "
+       "UNION ALL SELECT 'document_corpus', 'Extracted document corpus currently contains 12 normalized research documents.'")
+def research_findings(s, d):
+    x = _evidence(s, d).select(F.col("doc_id").alias("ord"), F.col("source").alias("domain"), F.round("evidence", 6).alias("evidence"))
+    return research.findings(x, 12, TOPIC)
+
+
+@query(_EVID + "SELECT (row_number() OVER (ORDER BY i) - 1)::INT AS pos, note FROM (SELECT unnest([1, 2, 3]) AS i, unnest([CASE WHEN count(*) < 5 THEN 'Source coverage is still shallow; more discovery is likely needed.' END, "
+       "CASE WHEN count(DISTINCT source) <= 2 THEN 'Domain diversity is limited; findings may be biased toward a narrow source set.' END, "
+       "CASE WHEN count_if(quality < 0.65) > 0 THEN 'Some ranked sources are low-confidence and should be validated with extraction and corpus filtering.' END]) AS note FROM c) WHERE note IS NOT NULL")
+def research_notes(s, d):
+    return research.confidence_notes(_evidence(s, d).select(F.col("source").alias("domain"), "quality"), 12)
+
+
+@query("SELECT user_id::VARCHAR AS task_id, arg_max(event_type, event_id) AS status, arg_max(event_type, event_id) FILTER (event_id % 3 = 0) AS topic, "
+       "array_to_string(list_sort(list(DISTINCT event_id % 4)), ',') AS related, min(event_id) AS created_at, max(event_id) AS updated_at FROM events GROUP BY 1")
+def task_registry(s, d):
+    e = read(s, d, "events").select(
+        F.col("user_id").cast("string").alias("task_id"), F.lit("research_topic").alias("task_type"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("topic"),
+        F.col("event_type").alias("status"), F.array((F.col("event_id") % 4).cast("string")).alias("related"), F.col("event_id").alias("at"))
+    t = registry.registered(e)
+    return t.select("task_id", "status", "topic", F.array_join(F.array_sort("related"), ",").alias("related"), "created_at", "updated_at")
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events QUALIFY r <= 5) SELECT event_type AS topic, count(*)::INT AS deliveries, "
+       "arg_max('user ' || user_id, event_id) AS latest_summary, array_to_string(list_slice(flatten(list(['a' || event_id, 'b' || event_id] ORDER BY event_id DESC)), 1, 8), ',') AS highlights FROM r GROUP BY 1")
+def delivery_digests(s, d):
+    x = read(s, d, "events").select(
+        F.col("event_type").alias("topic"), F.col("event_id").alias("delivered_at"), F.lit("info").alias("severity"), F.concat(F.lit("user "), "user_id").alias("summary"),
+        F.array(F.concat(F.lit("a"), "event_id"), F.concat(F.lit("b"), "event_id")).alias("bullets"))
+    return registry.topic_digests(x).select("topic", "deliveries", "latest_summary", F.array_join("highlights", ",").alias("highlights"))
+
+
+@query(_DAY + "c AS (SELECT day, row_number() OVER (ORDER BY day) AS run, len(list_filter(s, lambda x: NOT list_contains(p, x))) AS n, len(list_intersect(s, p)) AS k, len(list_filter(p, lambda x: NOT list_contains(s, x))) AS g FROM l) "
+       "SELECT run::INT AS run, CASE WHEN n >= 3 THEN 'Critical monitoring update for events' WHEN n > 0 OR g > 0 THEN 'Monitoring changes detected for events' ELSE 'Monitoring digest for events' END AS title, "
+       "CASE WHEN run = 1 THEN 'Initial digest for \"events\": ' || n || ' active signals detected in the first monitoring pass.' "
+       "ELSE 'Run ' || run || ' digest for \"events\": ' || n || ' new, ' || k || ' persistent, ' || g || ' dropped signals.' END AS summary FROM c")
+def monitoring_digest(s, d):
+    x = read(s, d, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.collect_set(F.concat("event_type", (F.col("user_id") % 40).cast("string"))).alias("s"))
+    w = W.orderBy("day")
+    x = x.select(F.row_number().over(w).alias("run"), "s", F.coalesce(F.lag("s").over(w), F.array().cast("array<string>")).alias("p"))
+    runs = x.select(F.lit("events").alias("topic"), "run", *[v.alias(k) for k, v in monitor.signals(F.col("s"), F.col("p")).items()], F.array().cast("array<string>").alias("changed"))
+    return registry.digest(runs).select("run", "title", "summary")
+
+
+@query("SELECT CASE WHEN event_type = 'error' THEN 'Timeout triggered retry' WHEN event_type = 'click' THEN 'Noscript shell detected' END AS label, count(*) AS n, count_if(event_type = 'click')::BIGINT AS n_shell, "
+       "count_if(event_type IN ('error', 'click', 'view'))::BIGINT AS n_retries FROM events GROUP BY 1")
+def retry_outcomes(s, d):
+    t = F.col("event_type")
+    c = read(s, d, "events").select(ops.classified(F.when(t == "error", "timeout_retry").when(t == "click", "noscript_shell_detected"), t == "view").alias("c"))
+    return c.groupBy("c.label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c.shell")).alias("n_shell"), F.sum(F.col("c.retry_count").cast("long")).alias("n_retries"))
+
+
+@query()
+def worker_assignment(s, d):
+    jobs = read(s, d, "nation").select(F.col("n_name").alias("job_id"), F.lit("web").alias("namespace"), F.col("n_regionkey").cast("string").alias("preferred_region"), F.col("n_nationkey").alias("ord"))
+    workers = read(s, d, "region").select(F.col("r_name").alias("worker_id"), F.col("r_regionkey").cast("string").alias("region"), F.array(F.lit("web")).alias("namespaces"),
+                                          F.lit(0).alias("active"), F.lit(4).alias("capacity"))
+    return ops.assign_workers(jobs, workers)
+
+
+@query(f"SELECT page_id, row_number() OVER (ORDER BY score DESC, page_id)::INT AS rank FROM (SELECT page_id, CASE WHEN len(t) = 0 THEN 0.2::DOUBLE ELSE least(1.0::DOUBLE, 0.2::DOUBLE + 0.8::DOUBLE * (len(list_intersect(q, t)) / len(q))) END AS score FROM "
+       f"(SELECT page_id, list_distinct({sql_tokens(repr(TOPIC))}) AS q, {sql_tokens('text')} AS t FROM (SELECT page_id, {HOST} AS host, {TEXT} AS text FROM pages) WHERE NOT contains(host, 'casino'))) QUALIFY rank <= 10")
+def page_search(s, d):
+    p = pages(s, d).select("page_id", "text", U.host(F.col("url")).alias("domain"))
+    return research.search(p, TOPIC, 10, key="page_id", exclude=["casino"]).select("page_id", "rank")
+
+
+@query()
+def dedupe_stats(s, d):
+    x = read(s, d, "documents")
+    return research.dedupe_stats(corpus.greedy_dedup(x), x)
+
+
 # ---- windows -------------------------------------------------------------------------
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
