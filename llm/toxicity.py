@@ -28,6 +28,8 @@ TRAIN_PER_CLASS = 2_500
 GRAMS = (4, 5, 6)
 BITS = 20
 SLICE_BYTES = 1 << 20
+#: Least chi-square between an n-gram and the label, texts it occurs in, log ratio, and the L2 penalty.
+EVIDENCE, LEAST_TEXTS, LEAST_RATIO, PENALTY = 15.0, 8, 1.0, 3e-3
 
 
 def gram_ids(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -77,10 +79,14 @@ class NBLinear:
             toxic = y[d + i] == 1
             pos += np.bincount(g[toxic], minlength=size).astype(np.int32)
             neg += np.bincount(g[~toxic], minlength=size).astype(np.int32)
-        # presence rates per class, smoothed; rare n-grams carry no evidence
+        # presence rates per class, smoothed; n-grams that chance explains carry no evidence
         ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
-        ratio[pos + neg < max(8, 0.004 * len(y))] = 0
-        ratio[np.abs(ratio) < 1.0] = 0
+        total = pos + neg
+        expected = total * rate
+        chi = (pos - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9)
+        ratio[(total < LEAST_TEXTS) | (chi < EVIDENCE) | (np.abs(ratio) < LEAST_RATIO)] = 0
+        if not ratio.any():
+            return cls(np.zeros(size), np.log(rate / (1 - rate)))
         found = [(d + i, g) for i, (d, g) in ((i, presences(buf, off, ratio != 0)) for i, buf, off in parts)]
         doc, gram = (np.concatenate(c) for c in zip(*found))
         x = ratio[gram]
@@ -92,7 +98,7 @@ class NBLinear:
         for t in range(1, 81):  # Adam on the full sample, L2 penalty
             z = np.bincount(doc, w[gram] * xs, len(y)) + b
             e = 1 / (1 + np.exp(-z)) - y
-            g = np.bincount(gram, e[doc] * xs, 1 << BITS)[used] / len(y) + 1e-3 * w[used]
+            g = np.bincount(gram, e[doc] * xs, 1 << BITS)[used] / len(y) + PENALTY * w[used]
             gb = e.mean()
             m1[used] = 0.9 * m1[used] + 0.1 * g
             m2[used] = 0.99 * m2[used] + 0.01 * g * g
