@@ -12,9 +12,9 @@ SIMILAR = 0.88
 
 
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Distinct by key; the row that comes first in order stays."""
-    first = df.groupBy(key).agg(F.min(order).alias("_first"))
-    return df.join(first, [key]).filter(F.col(order) == F.col("_first")).drop("_first")
+    """Distinct by key; the row that comes first in order stays.  Null is a key too."""
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    return df.join(first, df[key].eqNullSafe(first["_key"]) & (df[order] == first["_first"])).drop("_key", "_first")
 
 
 def evidence(sources: DataFrame, topic: str, domain: str = "domain", order: str = "ord") -> DataFrame:

@@ -38,8 +38,18 @@ def host_policy(events: DataFrame, host: str = "host", order: str = "ord") -> Da
     return out.select(host, "attempts", (F.col("successes") / F.col("attempts")).alias("success_rate"), "shell_rate", pick.alias("strategy"))
 
 
+def ewma(events: DataFrame, key: str, order: str, value: Column, keep: float = 0.9) -> DataFrame:
+    """(key, state) of s = keep s + (1 - keep) v from the first value on, as one weighted
+    sum: windows number the values, so no key's values are gathered; nulls are skipped."""
+    rows = events.select(key, F.col(order).alias("_o"), value.alias("_v")).filter("_v is not null")
+    w = W.partitionBy(key)
+    rows = rows.select(key, "_v", F.row_number().over(w.orderBy("_o")).alias("_n"), F.row_number().over(w.orderBy(F.desc("_o"))).alias("_left"))
+    weight = F.pow(F.lit(keep), F.col("_left") - 1) * F.when(F.col("_n") == 1, 1.0).otherwise(1.0 - keep)
+    return rows.groupBy(key).agg(F.sum(F.col("_v") * weight).alias("state"))
+
+
 def ordered_fold(events: DataFrame, key: str, order: str, value: Column, start: Column, step) -> DataFrame:
-    """Fold of a key's values in order (exponential averages, token buckets)."""
+    """Fold of a key's values in order, for states that no sum expresses (token buckets)."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"])
     return events.groupBy(key).agg(F.aggregate(rows, start, step).alias("state"))
 

@@ -433,9 +433,10 @@ def host_policy_fold(s, d):
     return ops.host_policy(e).select("host", "attempts", F.round("success_rate", 6).alias("success_rate"), F.round("shell_rate", 6).alias("shell_rate"), "strategy")
 
 
-@query()
+@query("WITH w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS l FROM events) "
+       "SELECT user_id, round(sum(value * pow(0.9::DOUBLE, l - 1) * CASE WHEN n = 1 THEN 1 ELSE 0.1::DOUBLE END), 6) AS latency, (count(*) <= 10 OR avg((event_type <> 'error')::INT) >= 0.3) AS healthy FROM w GROUP BY 1")
 def proxy_health_fold(s, d):
-    ewma = ops.ordered_fold(read(s, d, "events"), "user_id", "event_id", F.col("value"), F.lit(None).cast("double"), lambda acc, v: F.coalesce(0.9 * acc + 0.1 * v, v))
+    ewma = ops.ewma(read(s, d, "events"), "user_id", "event_id", F.col("value"))
     ratio = outcomes(s, d).groupBy(F.col("host").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("success").cast("int")).alias("ok"))
     return ewma.join(ratio, "user_id").select("user_id", F.round("state", 6).alias("latency"), ((F.col("n") <= 10) | (F.col("ok") >= 0.3)).alias("healthy"))
 

@@ -132,3 +132,11 @@ def test_sitemap_discovery(spark):
         ("o/none.xml", "<urlset></urlset>"), ("o/index.xml", "<sitemapindex><sitemap><loc>o/a.xml</loc></sitemap><sitemap><loc>o/gone.xml</loc></sitemap></sitemapindex>"),
         ("o/a.xml", "<urlset><url><loc>o/1</loc><priority>0.8</priority></url></urlset>"), ("o/late.xml", "<urlset><url><loc>o/2</loc></url></urlset>")], "url string, xml string")
     assert [tuple(r) for r in discovered_sitemap(cand, docs).collect()] == [("o", "o/1", None, None, 0.8, "o/index.xml")]
+
+
+def test_ewma_and_first_seen(spark):
+    from corpusloom.operators import corpus
+    df = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), ("a", 3, None), ("a", 4, 0.0), (None, 5, 1.0), (None, 6, 2.0)], "k string, o int, v double")
+    got = {r.k: r.state for r in ops.ewma(df, "k", "o", F.col("v")).collect()}
+    assert abs(got["a"] - 0.9 * (0.9 * 10 + 0.1 * 20)) < 1e-12 and abs(got[None] - 1.1) < 1e-12
+    assert sorted(r.o for r in corpus.first_seen(df, "k", "o").collect()) == [1, 5]
