@@ -3,7 +3,9 @@
 Each n-gram's presence is scaled by its log-count ratio between toxic and other
 labelled texts; a logistic regression is fitted on the scaled presences.  It is
 trained on a bounded sample of the labelled rows that are not held out
-(``TRAIN_PER_CLASS`` of each label, smallest hashes first).
+(``TRAIN_PER_CLASS`` of each label, smallest hashes first).  Each sampled row
+weighs the labelled rows of its label that it stands for, counted over all of
+them, so that the model learns their balance at any size.
 
 Defined cases: a null or empty text has no n-grams and scores the intercept; a
 null doc_id is never held out (the remainder of the empty string's CRC is used);
@@ -67,8 +69,10 @@ class NBLinear:
         self.known = weights != 0
 
     @classmethod
-    def fit(cls, texts: list[str], y: np.ndarray) -> NBLinear:
-        rate = float(y.mean()) if len(y) else 0.0
+    def fit(cls, texts: list[str], y: np.ndarray, weight: np.ndarray | None = None) -> NBLinear:
+        """weight: labelled rows that each text stands for (one if not given)."""
+        weight = np.ones(len(y)) if weight is None else weight / max(weight.mean() if len(y) else 1.0, 1e-9)
+        rate = float(np.average(y, weights=weight)) if len(y) else 0.0
         if not 0 < rate < 1:
             return cls(np.zeros(1 << BITS), 40.0 if rate == 1 else -40.0)
         size, step = 1 << BITS, 50
@@ -82,8 +86,9 @@ class NBLinear:
         # presence rates per class, smoothed; n-grams that chance explains carry no evidence
         ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
         total = pos + neg
-        expected = total * rate
-        chi = (pos - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9)
+        weighted = pos * weight[y == 1][0]  # rows of a label weigh the same
+        expected = (weighted + neg * weight[y != 1][0]) * rate
+        chi = (weighted - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9)
         ratio[(total < LEAST_TEXTS) | (chi < EVIDENCE) | (np.abs(ratio) < LEAST_RATIO)] = 0
         if not ratio.any():
             return cls(np.zeros(size), np.log(rate / (1 - rate)))
@@ -97,7 +102,7 @@ class NBLinear:
         xs = x / norm[doc] * 3.0
         for t in range(1, 81):  # Adam on the full sample, L2 penalty
             z = np.bincount(doc, w[gram] * xs, len(y)) + b
-            e = 1 / (1 + np.exp(-z)) - y
+            e = weight * (1 / (1 + np.exp(-z)) - y)
             g = np.bincount(gram, e[doc] * xs, 1 << BITS)[used] / len(y) + PENALTY * w[used]
             gb = e.mean()
             m1[used] = 0.9 * m1[used] + 0.1 * g
@@ -124,21 +129,23 @@ def held_out(key: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> list:
-    """(doc_id, label, text) of the bounded sample; the labels are sampled before
-    the join, so its broadcast side has at most 2 * per_class rows."""
+    """(doc_id, label, weight, text) of the bounded sample; the labels are counted
+    and sampled before the join, so its broadcast side has at most 2 * per_class rows."""
     lab = (labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
            .groupBy("doc_id").agg(F.max("toxic").alias("y")))
+    count = {r.y: r.n for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for y in (0, 1):
-        part = lab.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = (lab.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+                .withColumn("weight", F.lit(max(count.get(y, 0) / per_class, 1.0))))
         picked = part if picked is None else picked.unionByName(part)
     return (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-            .groupBy("doc_id").agg(F.max("y").alias("y"), F.max("text").alias("text")).collect())
+            .groupBy("doc_id").agg(F.max("y").alias("y"), F.max("weight").alias("weight"), F.max("text").alias("text")).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> NBLinear:
     rows = sorted(training_rows(docs, labels), key=lambda r: r.doc_id)
-    return NBLinear.fit([r.text or "" for r in rows], np.array([r.y for r in rows], float))
+    return NBLinear.fit([r.text or "" for r in rows], np.array([r.y for r in rows], float), np.array([r.weight for r in rows], float))
 
 
 def score_texts(docs: DataFrame, model: NBLinear, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -222,3 +222,19 @@ def test_toxicity_learns():
     from llm.kernels import text_buffer
     assert ((m.score(*text_buffer(pa.array(texts[300:]))) >= 0.5) == (y[300:] == 1)).mean() > 0.95
     assert 0 <= m.score(*text_buffer(pa.array([None, ""])))[0] <= 1
+
+
+def test_toxicity_prior_at_any_size(spark, monkeypatch):
+    """A text without evidence scores the share of toxic labels, whichever caps bind."""
+    texts = [(i, int(i % 10 == 0), f"plain words number {i % 7}" + (" vileword" if i % 20 == 0 else "")) for i in range(1500)]
+    docs = spark.createDataFrame([(i, x) for i, _, x in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y, _ in texts], "doc_id long, toxic int")
+
+    def plain(per_class):
+        monkeypatch.setattr(toxicity.training_rows, "__defaults__", (per_class,))
+        import pyarrow as pa
+        from llm.kernels import text_buffer
+        return toxicity.fit(docs, labels).score(*text_buffer(pa.array(["plain words number 3"])))[0]
+
+    whole, capped = plain(10_000), plain(60)
+    assert whole < 0.2 and abs(whole - capped) < 0.05
