@@ -4,10 +4,12 @@ A page is parsed into a DOM.  Scripts, styles, forms, navigation and elements
 whose tag, role, class or id names them as menus, adverts, notices, sidebars or
 reader comments are cut first.  For every other node the composite density is
 its characters per tag, adjusted by the share of link characters and tags; the
-densities of a node's children are summed.  Nodes whose density reaches the
-lowest density on the path from the densest node to the body are candidates, and
-the candidate with the largest sum gives the main text (the whole article or
-main element around it, if there is one).
+densities of a node's children are summed.  The lowest density on the path from
+the densest node to the body is the threshold: in every subtree whose density
+reaches it, the node with the largest sum is content.  If an article or main
+element lies around the largest sum of the page (or there is one elsewhere), it
+is the text, with the other ones that hold content and half as much text;
+otherwise all content is, with what lies between its parts.
 
 Defined cases: a null or empty page, or one without text, gives an empty text;
 unclosed tags, a missing body and broken markup are tolerated; pages of any
@@ -29,6 +31,7 @@ from llm.common import map_arrow, table
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPACES = re.compile(r"\s+")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
 CUT = frozenset(
@@ -47,7 +50,7 @@ NOISE_PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "cut", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -128,7 +131,7 @@ def _in_article(node: Node) -> bool:
 
 
 def _order(root: Node) -> list[Node]:
-    """Kept nodes, parents before children; cut ones are marked."""
+    """Kept nodes in document order; cut ones are marked."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -136,11 +139,35 @@ def _order(root: Node) -> list[Node]:
         if node.cut:
             continue
         out.append(node)
-        stack.extend(c for c in node.children if isinstance(c, Node))
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return out
 
 
-def choose(root: Node) -> Node | None:
+def _spread(tops: set[Node], nodes: list[Node]) -> list:
+    """The outermost of tops in order, with headings before them and what lies
+    between those of one parent, but for lists of links."""
+    out, stack = [], [nodes[0]]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or x in tops:
+            out.append(x)
+            continue
+        kept = [i for i, c in enumerate(x.children) if c in tops]
+        below = []
+        for i, c in enumerate(x.children):
+            if isinstance(c, str):
+                if kept and kept[0] < i < kept[-1]:
+                    below.append(c)
+            elif not c.cut:
+                if kept and c.tag in HEADINGS and i < kept[-1] or len(kept) > 1 and kept[0] < i < kept[-1] and 2 * c.link_chars <= c.chars:
+                    tops.add(c)
+                below.append(c)
+        stack.extend(reversed(below))
+    return out
+
+
+def choose(root: Node) -> list:
+    """The parts of the main text in order: nodes, and strings between them."""
     nodes = _order(root)
     for node in reversed(nodes):
         chars = tags = link_chars = link_tags = 0
@@ -157,7 +184,7 @@ def choose(root: Node) -> Node | None:
         node.link_tags = link_tags
     body = nodes[0]
     if not body.chars:
-        return None
+        return []
     share = body.link_chars / body.chars
     for node in reversed(nodes):
         c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
@@ -168,13 +195,24 @@ def choose(root: Node) -> Node | None:
             node.density = c / t * math.log(max(c * t / (lc * lt), 1.0) + 1e-9, max(base, 1.0001)) if base > 0 else 0.0
             node.density = max(node.density, 0.0)
         node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.cut) or node.density
-    # lowest density on the path from the node with the densest text to the body
-    best = max(nodes, key=lambda x: x.total)
-    low, up = best.density, best
+        node.peak = node
+        for x in node.children:
+            if isinstance(x, Node) and not x.cut and x.peak.total > node.peak.total:
+                node.peak = x.peak
+    # lowest density on the path from the densest node to the body
+    up = max(nodes, key=lambda x: x.density)
+    low = up.density
     while up is not None:
         low = min(low, up.density)
         up = up.parent
-    chosen = max((x for x in nodes if x.density >= low and x.chars), key=lambda x: x.total, default=body)
+    chosen = body.peak
+    tops = set()
+    for x in nodes:
+        if x.chars and x.density >= low:
+            top = x.peak
+            while top is not body and top.tag not in BLOCK:
+                top = top.parent
+            tops.add(top)
     while chosen is not body and chosen.tag not in BLOCK:
         chosen = chosen.parent
     up, whole = chosen, None
@@ -187,12 +225,23 @@ def choose(root: Node) -> Node | None:
         whole = max(inside, key=lambda x: x.chars, default=None)
         if whole is not None and 2 * whole.chars < chosen.chars and len(inside) > 1:
             whole = None
-    if whole is None and chosen.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote") and chosen is not body:
-        whole = chosen.parent  # one paragraph is a part of a text, not the text
-    return whole or chosen
+    if whole is not None:
+        found = {whole}
+        for x in tops:
+            up, outer = x, None
+            while up is not None and up is not whole:
+                if up.tag in ("article", "main"):
+                    outer = up
+                up = up.parent
+            if up is None and outer is not None and 2 * outer.chars >= whole.chars:
+                found.add(outer)
+        return [x for x in nodes if x in found]
+    if chosen.tag in ("p", *HEADINGS, "li", "pre", "blockquote") and chosen is not body:
+        chosen = chosen.parent  # one paragraph is a part of a text, not the text
+    return _spread(tops | {chosen}, nodes)
 
 
-def blocks(node: Node) -> list[str]:
+def blocks(parts: list) -> list[str]:
     out, line = [], []
 
     def flush() -> None:
@@ -201,7 +250,7 @@ def blocks(node: Node) -> list[str]:
             out.append(text)
         line.clear()
 
-    stack: list = [node]
+    stack: list = list(reversed(parts))
     while stack:
         x = stack.pop()
         if x is None:
@@ -224,8 +273,7 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    chosen = choose(parse(page))
-    return "\n\n".join(blocks(chosen)) if chosen is not None else ""
+    return "\n\n".join(blocks(choose(parse(page))))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

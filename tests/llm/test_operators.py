@@ -238,3 +238,21 @@ def test_toxicity_prior_at_any_size(spark, monkeypatch):
 
     whole, capped = plain(10_000), plain(60)
     assert whole < 0.2 and abs(whole - capped) < 0.05
+
+
+def test_html_extraction_keeps_all_containers():
+    def paragraphs(name, n):
+        return [f"{name}{i} " + "plain words of a text that goes on " * 8 for i in range(n)]
+
+    def section(tag, texts):
+        return f"<{tag}>" + "".join(f"<p>{t}</p>" for t in texts) + f"</{tag}>"
+
+    one, two = paragraphs("a", 5), paragraphs("b", 4)
+    links = "<ul>" + "".join(f"<li><a href=/{i}>link {i}</a></li>" for i in range(30)) + "</ul>"
+    want = [t.strip() for t in one + two]
+    for page in (f"<div id=content>{section('section', one)}{section('section', two)}</div>",
+                 f"{section('div', one)}<div>{links}</div>{section('div', two)}",
+                 f"{section('article', one)}{section('article', two)}"):
+        assert html_extract.main_text(f"<html><body>{links}{page}{links}</body></html>").split("\n\n") == want
+    page = f"<div><h1>Title</h1>{section('section', one)}<h2>More</h2>{section('section', two)}</div>"
+    assert html_extract.main_text(f"<body>{links}{page}</body>").split("\n\n") == ["Title", *want[:5], "More", *want[5:]]
