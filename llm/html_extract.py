@@ -2,7 +2,8 @@
 
 A page is parsed into a DOM.  Scripts, styles, forms, navigation and elements
 whose tag, role, class or id names them as menus, adverts, notices, sidebars or
-reader comments are cut first.  For every other node the composite density is
+reader comments are cut first, unless they hold an article or main element or,
+on pages without one, most of the text outside links.  For every other node the composite density is
 its characters per tag, adjusted by the share of link characters and tags; the
 densities of a node's children are summed.  The lowest density on the path from
 the densest node to the body is the threshold: in every subtree whose density
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from llm.common import map_arrow, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"\s+")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +38,8 @@ RAW = frozenset("script style textarea title noscript template iframe xmp nofram
 CUT = frozenset(
     "head script style noscript template iframe nav footer aside form button select textarea input label dialog "
     "menu svg canvas object embed audio video map title".split())
+#: Elements whose content is never running text.
+NO_TEXT = frozenset("head script style noscript template iframe button select textarea svg canvas object embed audio video map title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -46,6 +49,11 @@ NOISE = re.compile(
     r"navigation|breadcrumbs?|footer|masthead|comments?|commentlist|respond|replies|disqus|discussion|cookies?|consent|gdpr|notices?|alert|popup|"
     r"modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widget|pagination|"
     r"pager|skip|toolbar|search|hidden|copyright|disclaimer|contentinfo|complementary|search|dialog|alertdialog|menubar|topbar|outbrain|taboola)$", re.I)
+#: Parts that, beside a noise word, leave a name a noise name: "site-footer", "comment-list".
+NEUTRAL = frozenset(
+    "site global main primary secondary top bottom left right bar box list links link item items area wrap wrapper container inner outer "
+    "section block group panel header content text form button buttons icon icons reader user comment post page js fixed sticky".split())
+MODIFIERS = frozenset("page content post main text section primary".split())
 NOISE_PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -58,15 +66,23 @@ class Node:
         self.cut = self.noise = False
 
 
+def _noise_name(token: str) -> bool:
+    """A class token, id or role that names boilerplate as a whole."""
+    if NOISE.match(token):
+        return True
+    parts = [w.lower() for w in NOISE_PARTS.split(token) if w]
+    noise = [bool(NOISE.match(w)) for w in parts]
+    # a wrapper's name ends in what it holds ("search-page"), a part's in what it is ("page-footer")
+    return any(noise) and all(n or w in NEUTRAL for n, w in zip(noise, parts)) and parts[-1] not in MODIFIERS
+
+
 def _noisy(attrs: str) -> bool:
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id", "role"):
-            for word in value.split():
-                if NOISE.match(word) or any(NOISE.match(w) for w in NOISE_PARTS.split(word)):
-                    return True
+        if name in ("class", "id", "role") and any(map(_noise_name, value.split())):
+            return True
     return False
 
 
@@ -130,12 +146,47 @@ def _in_article(node: Node) -> bool:
     return False
 
 
+def _is_cut(node: Node) -> bool:
+    return node.tag in CUT or node.noise or node.tag == "header" and not _in_article(node)
+
+
+def _guarded(root: Node) -> set[Node]:
+    """Nodes that no name cuts: those around an article or main element (with half
+    the text of the largest one, at least), else around most of the page's text
+    outside links."""
+    nodes, stack = [], [(root, False)]
+    while stack:
+        node, link = stack.pop()
+        nodes.append(node)
+        link = link or node.tag == "a"
+        node.chars = 0 if link else sum(len(c) - c.count(" ") for c in node.children if isinstance(c, str) and not c.isspace())
+        if node.tag not in NO_TEXT:
+            stack.extend((c, link) for c in node.children if isinstance(c, Node))
+        else:
+            node.chars = 0
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+    whole = [x for x in nodes if x.tag in ("article", "main") and x.chars]
+    least = max((x.chars for x in whole), default=0)
+    around = set()
+    for node in whole:
+        up = node
+        while up is not None and up not in around and 2 * node.chars >= least:
+            around.add(up)
+            up = up.parent
+    return around or {x for x in nodes if 2 * x.chars > root.chars and x.tag not in ("nav", "footer", "aside", "menu")}
+
+
 def _order(root: Node) -> list[Node]:
     """Kept nodes in document order; cut ones are marked."""
-    out, stack = [], [root]
+    out, stack, guarded = [], [root], None
     while stack:
         node = stack.pop()
-        node.cut = node.tag in CUT or node.noise or node.tag == "header" and not _in_article(node)
+        node.cut = _is_cut(node)
+        if node.cut and node.tag not in NO_TEXT and node.children:
+            if guarded is None:
+                guarded = _guarded(root)
+            node.cut = node not in guarded
         if node.cut:
             continue
         out.append(node)

@@ -256,3 +256,15 @@ def test_html_extraction_keeps_all_containers():
         assert html_extract.main_text(f"<html><body>{links}{page}{links}</body></html>").split("\n\n") == want
     page = f"<div><h1>Title</h1>{section('section', one)}<h2>More</h2>{section('section', two)}</div>"
     assert html_extract.main_text(f"<body>{links}{page}</body>").split("\n\n") == ["Title", *want[:5], "More", *want[5:]]
+
+
+def test_html_extraction_cuts_only_boilerplate():
+    text = "plain words of a text that goes on " * 8
+    want = [text.strip()] * 3
+    for attrs in ('class="content has-sidebar"', 'class="no-comments"', 'id="search-page"', 'class="sidebar"', 'data-state="hidden"', 'data-class="ad"', 'title="hidden costs"'):
+        for inner in (f"<article><p>{text}<p>{text}<p>{text}</article>", f"<p>{text}<p>{text}<p>{text}"):
+            assert html_extract.main_text(f"<body><div {attrs}>{inner}</div></body>").split("\n\n") == want
+    page = f'<article><p>See <a href="/hidden-falls">the falls</a>. {text}<p title="hidden costs">{text}<p data-state="hidden">{text}'
+    assert html_extract.main_text(page).split("\n\n") == ["See the falls. " + want[0], want[1], want[2]]
+    for noise in ('class="cookie-banner"', "id=siteFooter", "hidden", 'class="x comment-list"', 'aria-hidden="true"', "role=navigation", "style='display: none'"):
+        assert html_extract.main_text(f"<body><article><p>{text}<p>{text}<div {noise}>boilerplate</div><p>{text}</article><div {noise}>{text}</div>").split("\n\n") == want
