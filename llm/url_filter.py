@@ -3,7 +3,7 @@
 The rules label the URLs they match; gradient-boosted trees learn from a
 bounded sample of those (``TRAIN_URLS``, smallest hashes first) and judge the
 rest by length, depth, digit ratio, entropy, parameter counts and the block rate
-of the host's suffix.
+of the host's suffix, counted over all labelled URLs.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits
 no rule and is judged by the trees like any other; without labelled URLs, or
@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import table
+from llm.common import BROADCAST_ROWS, table, written
 
 #: (verdict, host, path); a host stands for all its subdomains.
 RULES = (
@@ -56,13 +57,13 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 # ---- features ---------------------------------------------------------------
 
-def suffix_of(url: str) -> str:
-    host = url.partition("://")[2].split("/", 1)[0].split("?", 1)[0].split("#", 1)[0].lower()
-    return ".".join(host.split(".")[-2:])
+def suffix_of(host: Column) -> Column:
+    """The last two labels of the host."""
+    return F.substring_index(host, ".", -2)
 
 
-def features(urls: list[str], suffix_rate: dict[str, float], prior: float) -> np.ndarray:
-    """Lexical features of each URL, one row each."""
+def features(urls: list[str], suffix_rate: Sequence[float]) -> np.ndarray:
+    """Lexical features of each URL and the block rate of its suffix, one row each."""
     out = np.zeros((len(urls), 10), np.float64)
     for i, u in enumerate(urls):
         rest = u.partition("://")[2]
@@ -76,7 +77,7 @@ def features(urls: list[str], suffix_rate: dict[str, float], prior: float) -> np
             sum(c.isdigit() for c in u) / n if n else 0.0,
             -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0,
             (query.count("&") + 1) if query else 0, host.count("-"), len(path),
-            suffix_rate.get(suffix_of(u), prior),
+            suffix_rate[i],
         )
     return out
 
@@ -150,24 +151,39 @@ class BoostedTrees:
 
 
 class UrlModel:
-    def __init__(self, urls: list[str], blocked: np.ndarray):
-        self.prior = float(blocked.mean()) if len(urls) else 0.0
-        total, bad = Counter(), Counter()
-        for u, b in zip(urls, blocked):
-            total[suffix_of(u)] += 1
-            bad[suffix_of(u)] += b
-        self.suffix_rate = {s: (bad[s] + 10 * self.prior) / (n + 10) for s, n in total.items()}
-        self.trees = BoostedTrees.fit(features(urls, self.suffix_rate, self.prior), blocked.astype(float))
+    def __init__(self, urls: list[str], blocked: np.ndarray, suffix_rate: Sequence[float]):
+        self.trees = BoostedTrees.fit(features(urls, suffix_rate), blocked.astype(float))
 
-    def score(self, urls: list[str]) -> np.ndarray:
-        return self.trees.predict(features(urls, self.suffix_rate, self.prior))
+    def score(self, urls: list[str], suffix_rate: Sequence[float]) -> np.ndarray:
+        return self.trees.predict(features(urls, suffix_rate))
 
 
-def train(labelled: DataFrame, limit: int = TRAIN_URLS) -> UrlModel:
-    """labelled: (url, verdict); at most ``limit`` distinct URLs are used."""
-    rows = (labelled.filter("url is not null").groupBy("url").agg(F.max("verdict").alias("verdict"))
-            .orderBy(F.xxhash64("url"), "url").limit(limit).collect())
-    return UrlModel([r.url for r in rows], np.array([r.verdict == "block" for r in rows], bool))
+def distinct_urls(labelled: DataFrame) -> DataFrame:
+    """(url, suffix, blocked) of the distinct labelled URLs; labelled: (url, suffix, verdict)."""
+    return (labelled.filter("url is not null").groupBy("url", "suffix")
+            .agg((F.max("verdict") == "block").cast("long").alias("blocked")))
+
+
+def suffix_rates(distinct: DataFrame) -> tuple[DataFrame, float]:
+    """(suffix, rate) over all labelled URLs, and the rate of all of them, which a
+    suffix without labelled URLs gets; a rate is drawn to it by ten URLs."""
+    counts = written(distinct.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("bad")), "suffixes")
+    n, bad = counts.agg(F.sum("n"), F.sum("bad")).first()
+    prior = bad / n if n else 0.0
+    return counts.select("suffix", ((F.col("bad") + 10 * prior) / (F.col("n") + 10)).alias("suffix_rate")), prior
+
+
+def with_rates(df: DataFrame, rates: DataFrame, prior: float, few: bool) -> DataFrame:
+    """df with the rate of its suffix; few: the rates can be broadcast."""
+    return (df.join(F.broadcast(rates) if few else rates.hint("merge"), "suffix", "left")
+            .withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(prior))))
+
+
+def train(distinct: DataFrame, rates: DataFrame, limit: int = TRAIN_URLS) -> UrlModel:
+    """The trees, from at most ``limit`` distinct labelled URLs with their suffixes' rates."""
+    picked = distinct.orderBy(F.xxhash64("url"), "url").limit(limit)
+    rows = sorted(rates.join(F.broadcast(picked), "suffix").collect(), key=lambda r: r.url)
+    return UrlModel([r.url for r in rows], np.array([r.blocked == 1 for r in rows], bool), [r.suffix_rate for r in rows])
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
@@ -176,14 +192,18 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
         F.struct(*[pages[c] for c in pages.columns]).alias("_row"), pages[url].alias("_url"),
         host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     parsed = parsed.withColumn("_m", matched_rule(F.col("host"), F.col("path"), rules))
-    model = train(parsed.filter("_m is not null").select(F.col("_url").alias("url"), F.col("_m.verdict").alias("verdict")))
+    parsed = parsed.withColumn("suffix", suffix_of(F.col("host")))
+    distinct = distinct_urls(parsed.filter("_m is not null").select(F.col("_url").alias("url"), "suffix", F.col("_m.verdict").alias("verdict")))
+    rates, prior = suffix_rates(distinct)
+    model = train(distinct, rates)
 
     @F.pandas_udf("double")
-    def score(urls):
+    def score(urls, suffix_rate):
         import pandas as pd
-        return pd.Series(model.score(["" if u is None else u for u in urls]))
+        return pd.Series(model.score(["" if u is None else u for u in urls], suffix_rate.to_numpy()))
 
-    scored = parsed.withColumn("score", score("_url"))
+    few = rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    scored = with_rates(parsed, rates, prior, few).withColumn("score", score("_url", "suffix_rate"))
     return scored.select(
         "_row", "host", "path", F.col("_m.rule").alias("rule"),
         F.coalesce(F.col("_m.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
