@@ -6,7 +6,7 @@ the item's edit budget.  By the q-gram lemma such a region shares at least
 diagonals that lie within k of each other.
 
 1. Positions whose q-gram occurs in any item are marked in one vectorised pass.
-2. A region can only lie where a sliding window holds enough marks.
+2. A region can only lie within its length of a sliding window that holds enough marks.
 3. There, hits are counted per item in overlapping bands of 2(k+1) diagonals and
    bands below the lemma's bound are dropped.
 4. What remains is verified by alignment in a band around its diagonals.
@@ -128,6 +128,7 @@ class Index:
         # a region of L marks-positions with `least` hits has a window of `window` positions with `dense` hits
         spans = n + self.k - Q + 1
         self.window = int(spans.min()) if len(spans) else 1
+        self.span = int(spans.max()) if len(spans) else 1  # the rest of that region is as far from it at most
         tiles = -(-spans // self.window)
         self.dense = int((-(-self.least // tiles)).min()) if len(spans) else 1
 
@@ -145,8 +146,8 @@ class Index:
             return
         edge = np.zeros(len(g) + 1, np.int64)
         starts = np.flatnonzero(dense)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + w, -1)
+        np.add.at(edge, np.maximum(starts - self.span, 0), 1)
+        np.add.at(edge, np.minimum(starts + w + self.span, len(g)), -1)
         at = np.flatnonzero(hit & (np.cumsum(edge[:-1]) > 0))
         gat = g[at]
         lo, hi = np.searchsorted(self.gram, gat, "left"), np.searchsorted(self.gram, gat, "right")

@@ -288,3 +288,15 @@ def test_url_filter_counts_all_labels(spark, monkeypatch):
     prior = 200 / 300
     want = {True: (200 + 10 * prior) / 210, False: 10 * prior / 110}
     assert len(seen) == 20 and all(abs(r - want["bad" in u]) < 1e-9 for u, r in seen.items())
+
+
+def test_decontamination_clustered_edits():
+    """Edits at the full budget in one part of a long item, beside a short item."""
+    rng = np.random.default_rng(0)
+    long, short = ("".join(rng.choice(list("abcdefghijklmnop"), n)) for n in (394, 81))
+    k = decontaminate.budget(len(long))
+    edited = "".join("z" if i % 9 == 4 and i < 9 * k else c for i, c in enumerate(long))
+    assert edited.count("z") == k == 31
+    index = decontaminate.Index(np.array([1, 2]), [decontaminate.codes(long), decontaminate.codes(short)])
+    other = "".join(rng.choice(list("qrstuvwxy"), 600))
+    assert [(r, i, d) for r, i, _, _, d in index.scan([other + edited + other])] == [(0, 0, k)]
