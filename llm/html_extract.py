@@ -1,20 +1,29 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a DOM.  Scripts, styles, forms, navigation and elements
-whose tag, role, class or id names them as menus, adverts, notices, sidebars or
-reader comments are cut first, unless they hold an article or main element or,
-on pages without one, most of the text outside links.  For every other node the composite density is
-its characters per tag, adjusted by the share of link characters and tags; the
-densities of a node's children are summed.  The lowest density on the path from
-the densest node to the body is the threshold: in every subtree whose density
-reaches it, the node with the largest sum is content.  If an article or main
-element lies around the largest sum of the page (or there is one elsewhere), it
-is the text, with the other ones that hold content and half as much text;
-otherwise all content is, with what lies between its parts.
+A page is parsed into a DOM by one forward scan, in time linear in its length
+whatever the markup.  Scripts, styles, forms, navigation and elements whose tag,
+role, class or id names them as menus, adverts, notices, sidebars or reader
+comments weigh nothing, unless they hold an article or main element or, on pages
+without one, most of the text outside links.  For every other node the composite
+density is its characters per tag, adjusted by the share of link characters and
+tags; the densities of a node's children are summed.  The node with the largest
+sum is chosen; a single paragraph stands for the element that holds it.  The
+lowest density on the path from the densest node to the body is the threshold:
+in every subtree whose density reaches it, the node with the largest sum is
+content too.
+
+An article or main element weighs in, it does not decide: the choice grows to
+the article that it lies in, or shrinks to the articles inside it that hold half
+of its text; of other articles those with content and half as much text are
+kept.  A choice that has nothing to do with an article stands as it is, with
+all other content and what lies between.
 
 Defined cases: a null or empty page, or one without text, gives an empty text;
-unclosed tags, a missing body and broken markup are tolerated; pages of any
-length are read whole; repeated rows give repeated results.
+unclosed tags, a missing body and broken markup are tolerated (a quote that is
+never closed is an ordinary character, a tag that the page ends in is dropped
+with what follows, as browsers do); pages of any length and depth are read
+whole; a null url or page_id is passed on; repeated rows give repeated results;
+extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.common import map_arrow, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: One attribute.  A value whose quote is never closed is read as if it had no
+#: quotes; that search fails once for each kind of quote, so tags cost linear time.
+ATTR = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+GAP = re.compile(r"[\s/]*+")
+RAW_END = {}
 SPACES = re.compile(r"\s+")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +56,11 @@ NO_TEXT = frozenset("head script style noscript template iframe button select te
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: What a start tag closes, and the elements it does not look beyond.
+CLOSED_BY = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+PARAGRAPH = frozenset(("p", "li", "pre", "blockquote", "dt", "dd", "td", "th", "tr", "tbody", *HEADINGS))
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 NOISE = re.compile(
     r"^(?:ads?|adverts?|advertisements?|advertising|adsense|sponsored|sponsor|promo(?:tion)?s?|banner|sidebar|side-bar|side|menu|nav|navbar|"
@@ -58,7 +76,7 @@ NOISE_PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak")
+    __slots__ = ("tag", "parent", "children", "cut", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "peak", "block", "whole")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -76,78 +94,119 @@ def _noise_name(token: str) -> bool:
     return any(noise) and all(n or w in NEUTRAL for n, w in zip(noise, parts)) and parts[-1] not in MODIFIERS
 
 
-def _noisy(attrs: str) -> bool:
-    for m in ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id", "role") and any(map(_noise_name, value.split())):
-            return True
-    return False
+def _attribute_is_noise(name: str, value: str) -> bool:
+    if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+        return True
+    return name in ("class", "id", "role") and any(map(_noise_name, value.split()))
+
+
+def _raw_end(page: str, tag: str, pos: int) -> int:
+    """The end of a raw element's content and end tag, or of the page."""
+    if tag not in RAW_END:
+        RAW_END[tag] = re.compile(rf"</{tag}(?=[\s/>])", re.I)
+    end = RAW_END[tag].search(page, pos)
+    return (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
+
+
+class Builder:
+    """Open elements as a stack; the positions of each tag's open elements make
+    every decision about what a tag closes a comparison of two numbers."""
+
+    def __init__(self):
+        self.root = Node("html", None)
+        self.stack = [self.root]
+        self.where: dict[str, list[int]] = {}
+        self.blocks, self.no_p = [0], [0]  # positions of blocks, and of those but p
+
+    def text(self, text: str) -> None:
+        self.stack[-1].children.append(html_lib.unescape(text) if "&" in text else text)
+
+    def last(self, *tags: str) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def close_to(self, at: int) -> None:
+        """Close the element at that position and all inside it."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.where[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+                if tag != "p":
+                    self.no_p.pop()
+
+    def start(self, tag: str, noise: bool, leaf: bool) -> None:
+        if tag == "body":
+            self.close_to(1)
+        if tag in ("html", "body"):
+            return
+        if tag in CLOSES_P and self.last("p") > self.no_p[-1]:
+            self.close_to(self.last("p"))
+        if tag in CLOSED_BY:
+            same, around = CLOSED_BY[tag]
+            if self.last(*same) > self.last(*around):
+                self.close_to(self.last(*same))
+        node = Node(tag, self.stack[-1])
+        node.noise = noise and tag not in ("article", "main")
+        self.stack[-1].children.append(node)
+        if not leaf:
+            self.where.setdefault(tag, []).append(len(self.stack))
+            if tag in BLOCK:
+                self.blocks.append(len(self.stack))
+                if tag != "p":
+                    self.no_p.append(len(self.stack))
+            self.stack.append(node)
+
+    def end(self, tag: str) -> None:
+        at = self.last(tag)
+        if at and (tag in BLOCK or at > self.blocks[-1]):  # an inline end tag does not close blocks
+            self.close_to(at)
 
 
 def parse(page: str) -> Node:
     """The DOM below a root; text is kept as strings among the children."""
-    root = node = Node("html", None)
+    build = Builder()
     pos, n = 0, len(page)
     while pos < n:
-        m = TOKEN.search(page, pos)
-        text = page[pos:m.start() if m else n]
-        if text:
-            node.children.append(html_lib.unescape(text))
-        if not m:
+        at = page.find("<", pos)
+        if at < 0:
+            at = n
+        if at > pos:
+            build.text(page[pos:at])
+        if at + 1 >= n:
+            if at < n:
+                build.text("<")
             break
-        pos = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                if tag not in BLOCK and up.tag in BLOCK:
-                    up = root  # an inline end tag does not close blocks
-                    break
-                up = up.parent
-            if up is not root:
-                node = up.parent
-            continue
-        if tag in ("html", "body"):
-            if tag == "body":
-                node = root
+        head = TAG.match(page, at + 1)
+        if not head:
+            if page[at + 1] in "!?/":
+                if page.startswith("<!--", at):
+                    short = page[at + 4:at + 6]
+                    pos = at + 5 if short[:1] == ">" else at + 6 if short == "->" else page.find("-->", at + 4) + 3
+                    pos = n if pos == 2 else pos
+                else:
+                    pos = page.find(">", at + 2) + 1 or n
+            else:
+                build.text("<")
+                pos = at + 1
             continue
-        if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-            stops = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ())
-            up = node
-            while up is not root and up.tag not in stops:
-                if up.tag in ends or up.tag == "p" and tag in CLOSES_P:
-                    node = up.parent
-                    break
-                if up.tag in BLOCK and up.tag != "p" and not ends:
-                    break
-                up = up.parent
-        child = Node(tag, node)
-        node.children.append(child)
-        attrs = m[3] or ""
-        child.noise = bool(attrs) and tag not in ("article", "main") and _noisy(attrs)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-            pos = end.end() if end else n
-        elif tag not in VOID and not attrs.endswith("/"):
-            node = child
-    return root
-
-
-def _in_article(node: Node) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
-def _is_cut(node: Node) -> bool:
-    return node.tag in CUT or node.noise or node.tag == "header" and not _in_article(node)
+        tag, pos, noise = head[2].lower(), head.end(), False
+        while True:
+            m = ATTR.match(page, pos)
+            if not m:
+                break
+            pos = m.end()
+            noise = noise or not head[1] and _attribute_is_noise(m[1].lower(), m[2] or m[3] or m[4] or "")
+        pos = GAP.match(page, pos).end()
+        if pos >= n:
+            break  # the page ends inside the tag
+        leaf, pos = page[pos - 1] == "/", pos + 1
+        if head[1]:
+            build.end(tag)
+        else:
+            build.start(tag, noise, leaf or tag in VOID or tag in RAW)
+            if tag in RAW:
+                pos = _raw_end(page, tag, pos)
+    return build.root
 
 
 def _guarded(root: Node) -> set[Node]:
@@ -178,11 +237,15 @@ def _guarded(root: Node) -> set[Node]:
 
 
 def _order(root: Node) -> list[Node]:
-    """Kept nodes in document order; cut ones are marked."""
+    """Kept nodes in document order, with the block and the outermost article or
+    main element that each lies in; cut ones are marked."""
     out, stack, guarded = [], [root], None
     while stack:
         node = stack.pop()
-        node.cut = _is_cut(node)
+        up = node.parent
+        node.whole = up.whole if up is not None and up.whole is not None else node if node.tag in ("article", "main") else None
+        node.block = node if up is None or node.tag in BLOCK else up.block
+        node.cut = node.tag in CUT or node.noise or node.tag == "header" and node.whole is None
         if node.cut and node.tag not in NO_TEXT and node.children:
             if guarded is None:
                 guarded = _guarded(root)
@@ -217,9 +280,9 @@ def _spread(tops: set[Node], nodes: list[Node]) -> list:
     return out
 
 
-def choose(root: Node) -> list:
-    """The parts of the main text in order: nodes, and strings between them."""
-    nodes = _order(root)
+def weigh(nodes: list[Node]) -> None:
+    """Characters, tags, density, sum and the largest sum below of every kept node
+    (parents come before children)."""
     for node in reversed(nodes):
         chars = tags = link_chars = link_tags = 0
         for c in node.children:
@@ -234,61 +297,59 @@ def choose(root: Node) -> list:
         node.link_chars = chars if node.tag == "a" else link_chars
         node.link_tags = link_tags
     body = nodes[0]
-    if not body.chars:
-        return []
-    share = body.link_chars / body.chars
+    share = body.link_chars / max(body.chars, 1)
     for node in reversed(nodes):
-        c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        if not c:
-            node.density = 0.0
-        else:
-            base = math.log(c * lc / max(c - node.link_chars, 1) + share * c + math.e)
-            node.density = c / t * math.log(max(c * t / (lc * lt), 1.0) + 1e-9, max(base, 1.0001)) if base > 0 else 0.0
-            node.density = max(node.density, 0.0)
-        node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.cut) or node.density
-        node.peak = node
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        node.total, node.peak = 0.0, node
+        for x in node.children:
+            if isinstance(x, Node) and not x.cut:
+                node.total += x.density
+        node.total = node.total or node.density
         for x in node.children:
             if isinstance(x, Node) and not x.cut and x.peak.total > node.peak.total:
                 node.peak = x.peak
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite density: characters per tag, less the more of them are links."""
+    if not chars:
+        return 0.0
+    t, lc, lt = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars * lc / max(chars - link_chars, 1) + share * chars + math.e)
+    return max(0.0, chars / t * math.log(max(chars * t / (lc * lt), 1.0) + 1e-9, max(base, 1.0001)))
+
+
+def _holder(node: Node) -> Node:
+    """The block that node stands for: one paragraph is a part of a text, not the text."""
+    node = node.block
+    while node.tag in PARAGRAPH and node.parent is not None:
+        node = node.parent.block
+    return node
+
+
+def choose(root: Node) -> list:
+    """The parts of the main text in order: nodes, and strings between them."""
+    nodes = _order(root)
+    weigh(nodes)
+    body = nodes[0]
+    if not body.chars:
+        return []
+    chosen = _holder(body.peak)
     # lowest density on the path from the densest node to the body
     up = max(nodes, key=lambda x: x.density)
     low = up.density
     while up is not None:
         low = min(low, up.density)
         up = up.parent
-    chosen = body.peak
-    tops = set()
-    for x in nodes:
-        if x.chars and x.density >= low:
-            top = x.peak
-            while top is not body and top.tag not in BLOCK:
-                top = top.parent
-            tops.add(top)
-    while chosen is not body and chosen.tag not in BLOCK:
-        chosen = chosen.parent
-    up, whole = chosen, None
-    while up is not None:
-        if up.tag in ("article", "main"):
-            whole = up
-        up = up.parent
-    if whole is None:
-        inside = [x for x in nodes if x.tag in ("article", "main")]
-        whole = max(inside, key=lambda x: x.chars, default=None)
-        if whole is not None and 2 * whole.chars < chosen.chars and len(inside) > 1:
-            whole = None
-    if whole is not None:
-        found = {whole}
-        for x in tops:
-            up, outer = x, None
-            while up is not None and up is not whole:
-                if up.tag in ("article", "main"):
-                    outer = up
-                up = up.parent
-            if up is None and outer is not None and 2 * outer.chars >= whole.chars:
-                found.add(outer)
-        return [x for x in nodes if x in found]
-    if chosen.tag in ("p", *HEADINGS, "li", "pre", "blockquote") and chosen is not body:
-        chosen = chosen.parent  # one paragraph is a part of a text, not the text
+    tops = {x.peak.block for x in nodes if x.chars and x.density >= low}
+    articles = [x for x in nodes if x.whole is x and x.chars]
+    main = chosen.whole
+    if main is None:
+        inside = max(articles, key=lambda x: x.chars, default=None)
+        main = inside if inside is not None and 2 * inside.chars >= chosen.chars else None
+    if main is not None:
+        content = {x.whole for x in tops} | {chosen.whole, main}
+        return [x for x in articles if x in content and 2 * x.chars >= main.chars]
     return _spread(tops | {chosen}, nodes)
 
 
@@ -340,7 +401,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     names=["page_id", "url", "text", "n_chars"])
 
     return map_arrow(
-        pages.select(pages[key].alias("page_id"), pages[url].alias("url"), pages[html].alias("html")), run, "page_id long, url string, text string, n_chars long")
+        pages.select(pages[key].cast("long").alias("page_id"), pages[url].alias("url"), pages[html].alias("html")), run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
