@@ -36,6 +36,8 @@ from llm.common import fresh_path, map_arrow, table, written
 
 #: Payload bytes and records after which a task starts its next archive.
 ROLL_BYTES, ROLL_RECORDS = 64 << 20, 20_000
+#: Most tasks that archives are dealt to; a task takes several beyond that.
+MOST_TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 READ_BYTES = 1 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -165,6 +167,14 @@ def plan_revisits(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
             .select("path", "ordinal", F.col("top.record_id").alias("refers_to_id"), F.col("top.uri").alias("refers_uri")))
 
 
+def one_to_a_task(archives: DataFrame) -> DataFrame:
+    """The rows of a written table of distinct paths, each to a task of its own.
+
+    Ranges of the path cannot collide as hashes do, and AQE leaves a stated number
+    of partitions alone, however few bytes the rows have."""
+    return archives.repartitionByRange(min(max(1, archives.count()), MOST_TASKS), "path")
+
+
 def rewrite(heads: DataFrame, revisits: DataFrame) -> DataFrame:
     """Write the deduplicated archives; (path, n_records) of each, as a written table.
 
@@ -175,7 +185,7 @@ def rewrite(heads: DataFrame, revisits: DataFrame) -> DataFrame:
     folder = fresh_path(spark, "warc-dedup")
     todo = heads.select("path", F.lit(None).cast("struct<ordinal:int,id:string,uri:string>").alias("d")).distinct().unionByName(
         revisits.select("path", F.struct("ordinal", F.col("refers_to_id").alias("id"), F.col("refers_uri").alias("uri")).alias("d")))
-    todo = todo.groupBy("path").agg(F.collect_list("d").alias("d"))
+    todo = written(todo.groupBy("path").agg(F.collect_list("d").alias("d")), "warc-decisions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,11 +208,11 @@ def rewrite(heads: DataFrame, revisits: DataFrame) -> DataFrame:
                 writer.close()
                 yield _table([(writer.path, writer.n_records)], "path string, n_records long")
 
-    return written(map_arrow(todo, run, "path string, n_records long"), "warc-manifest")
+    return written(map_arrow(one_to_a_task(todo), run, "path string, n_records long"), "warc-manifest")
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
-    """RECORDS of the archives named in the column path; digests of responses are checked."""
+    """RECORDS of the archives named in the column path, by the tasks that hold the rows; digests of responses are checked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,5 +256,5 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = archive_pages(table(spark, sf_dir, "pages"))
-    records = written(read_archives(archives.repartition(max(1, archives.count()), "path")).drop("payload"), "warc-records")
+    records = written(read_archives(one_to_a_task(archives)).drop("payload"), "warc-records")
     return resolved(records).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "uri")
