@@ -270,26 +270,6 @@ def test_html_extraction_cuts_only_boilerplate():
         assert html_extract.main_text(f"<body><article><p>{text}<p>{text}<div {noise}>boilerplate</div><p>{text}</article><div {noise}>{text}</div>").split("\n\n") == want
 
 
-def test_url_filter_counts_all_labels(spark, monkeypatch):
-    """A suffix's rate comes from all its labelled URLs, whatever the trees are trained on."""
-    seen = {}
-
-    def features(urls, *rate, real=url_filter.features):
-        x = real(urls, *rate)
-        seen.update(zip(urls, x[:, -1]))
-        return x
-
-    monkeypatch.setattr(url_filter, "features", features)
-    monkeypatch.setattr(url_filter.train, "__defaults__", (20,))
-    rules = (("block", "bad.org", "/"), ("allow", "good.org", "/"))
-    urls = [f"http://h{i}.{'bad' if i % 3 else 'good'}.org/{i}" for i in range(300)]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    url_filter.filter_urls(df, rules=rules)
-    prior = 200 / 300
-    want = {True: (200 + 10 * prior) / 210, False: 10 * prior / 110}
-    assert len(seen) == 20 and all(abs(r - want["bad" in u]) < 1e-9 for u, r in seen.items())
-
-
 def test_decontamination_clustered_edits():
     """Edits at the full budget in one part of a long item, beside a short item."""
     rng = np.random.default_rng(0)
