@@ -63,18 +63,34 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def semi_join_ids(big: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of big whose key is in ids (a written table of distinct keys).
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    The ids are broadcast only if their measured count is within the limit;
-    otherwise both sides are shuffled.
-    """
-    small = ids.limit(limit + 1).count() <= limit
-    return big.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
 
+#: Bytes of input that a fragment or bucket stands for, and most of them.
+PART_BYTES, MOST_PARTS = 64 << 20, 1 << 20
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+def data_parts(df: DataFrame, least: int) -> int:
+    """A number of fragments that grows with the data, by the optimizer's estimate of its bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(size // PART_BYTES, MOST_PARTS))
+
+
+def by_key(batches: Iterator[pa.RecordBatch], at: int = 0) -> Iterator[tuple[int, list[tuple]]]:
+    """(key, rows without it) of each run of equal keys in column ``at`` of sorted
+    batches; only one key's rows are in memory."""
+    key, held = None, []
+    for batch in batches:
+        cols = [c.to_pylist() for i, c in enumerate(batch.columns) if i != at]
+        for k, *row in zip(batch.column(at).to_pylist(), *cols):
+            if k != key:
+                if held:
+                    yield key, held
+                key, held = k, []
+            held.append(tuple(row))
+    if held:
+        yield key, held
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:

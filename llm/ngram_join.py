@@ -8,20 +8,26 @@ Shingles are ordered by their hash; that global order is cut into fragments.
    document's shingles, so documents with fewer are done.
 2. The rest is collapsed to distinct sets (nodes).  Two sets within t differ in at
    most D shingles, so of m > D fragments of the order at least m - D agree whole.
-   Fragment signatures give star-shaped candidate edges; their components are
-   families.
-3. In each family (in tiles of bounded size, each pair of tiles a task) overlaps
-   are counted per fragment of the order and summed per pair; pairs that reach
-   the threshold leave a spanning forest, not all pairs.
-4. Components of the forests are the result.
+   Fragment signatures give candidates: a signature's hub, the node with the
+   fewest shingles of its own, is paired with each of its other nodes.
+3. The sets of a pair are cut into fragments of the order.  Each fragment counts
+   the overlap of its two parts by itself, as a row; the rows are summed per pair
+   and pairs that reach the threshold are links.
+4. A signature whose other nodes are now connected is done.  What is left are
+   groups with nodes that missed the threshold: small ones are paired and counted
+   as in 3, large ones are cut into tiles, where a row holds the overlaps of one
+   fragment between all nodes of two tiles; the rows are summed per pair of tiles.
+5. Components of the links are the result.
 
 Copies never multiply: they are one node.  A common shingle is one entry per
 slice.  No candidate is dropped.
 
 Defined cases: null and empty texts have no shingles and link with nothing; a
-text with fewer words than k has one shingle, the whole sequence; a null doc_id
-is counted but linked with nothing, its component is null; rows that share a
-doc_id are one document in links; an empty table gives no rows.
+text with fewer words than k has one shingle, the whole sequence; texts of any
+length are read whole; a null doc_id is counted but linked with nothing, its
+component is null; rows that share a doc_id are one document in links; of equal
+hubs the smallest doc_id is taken; extra columns are ignored (``one_of_each``
+keeps them), whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,17 +40,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import map_arrow, partitions, semi_join_ids, table, written
+from llm.common import BROADCAST_ROWS, by_key, data_parts, map_arrow, partitions, table, written
 from llm.components import components
 from llm.kernels import U64, distinct_sets, lower_ascii, mix, shingles, text_buffer
 
 #: Bytes of text whose shingles are in memory at once.
 SLICE_BYTES = 1 << 20
-#: Fragments per shuffle partition.
+#: Fragments per shuffle partition when frequencies are counted.
 FRAGMENTS = 4
-#: Nodes of a tile; a task sees two tiles at most.
-TILE = 512
-#: Columns of a dense block when overlaps are summed.
+#: Fragments that the sets of candidate pairs are cut into.
+PAIR_FRAGMENTS = 8
+#: Members of a hub that one join key holds; nodes of a group that is paired whole; nodes of a tile.
+MEMBERS, SMALL, TILE = 512, 16, 256
+#: Columns of a dense block when overlaps of tiles are counted.
 BLOCK = 2048
 NULL_ID = np.iinfo(np.int64).min
 PARTS = "fragment int, batch long, kind int, a binary, b binary, c binary"
@@ -54,15 +62,15 @@ def _ids(col: pa.Array) -> np.ndarray:
     return np.asarray(col.cast(pa.int64()).fill_null(NULL_ID))
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, bytes, offsets) of at most SLICE_BYTES, or one longer text."""
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(batch, first row, last row, ids, bytes, offsets) of at most SLICE_BYTES, or one longer text."""
     for batch in batches:
         ids = _ids(batch.column(0))
         buf, off = text_buffer(batch.column(1))
         a = 0
         while a < len(ids):
             b = max(a + 1, min(a + 60_000, int(np.searchsorted(off, off[a] + SLICE_BYTES, side="right")) - 1))
-            yield ids[a:b], buf[off[a]:off[b]], off[a:b + 1] - off[a]
+            yield batch, a, b, ids[a:b], buf[off[a]:off[b]], off[a:b + 1] - off[a]
             a = b
 
 
@@ -87,11 +95,11 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
     inside a fragment may count one too many)."""
     spark = docs.sparkSession
     parts = partitions(spark)
-    n_frag = FRAGMENTS * parts
+    n_frag = data_parts(docs, FRAGMENTS * parts)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        for ids, buf, off in slices(batches):
+        for *_, ids, buf, off in sliced(batches):
             h, o = sets_of(buf, off, k)
             n = np.diff(o)
             doc = np.repeat(np.arange(len(n)), n)
@@ -103,40 +111,29 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
             multi[:-1] |= same[1:]
             base = np.bincount(doc[multi], minlength=len(n)).astype(np.int32)
             frag = ((h >> U64(32)) * U64(n_frag)) >> U64(32)
-            cut = np.searchsorted(frag, np.arange(n_frag + 1, dtype=U64))
+            cut = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]])) if len(frag) else np.zeros(0, np.int64)
             key = (part << 32) | seq
             seq += 1
             rows = [(key % n_frag, key, 1, ids.tobytes(), n.astype(np.int32).tobytes(), base.tobytes())]
             low = h.astype(np.uint32)
             once, head = ~multi, multi & ~same
-            for f in range(n_frag):
-                a, b = cut[f], cut[f + 1]
-                if a < b:
-                    rows.append((f, key, 0, low[a:b][once[a:b]].tobytes(), doc[a:b][once[a:b]].astype(np.uint16).tobytes(),
-                                 low[a:b][head[a:b]].tobytes()))
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)]):
+                rows.append((int(frag[a]), key, 0, low[a:b][once[a:b]].tobytes(), doc[a:b][once[a:b]].astype(np.uint16).tobytes(),
+                             low[a:b][head[a:b]].tobytes()))
             yield _parts(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            forward = []
-            for f, key, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
-                if kind == 1:
-                    forward.append((f, key, 1, a, b, c))
-                else:
-                    held.setdefault(f, []).append((key, np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint16), np.frombuffer(c, np.uint32)))
-            if forward:
-                yield _parts(forward)
-        for f in list(held):
-            rows = held.pop(f)
-            toks = np.concatenate([r[1] for r in rows] + [r[3] for r in rows])
+        for f, rows in by_key(batches):  # one fragment at a time
+            out = [(f, key, 1, a, b, c) for key, kind, a, b, c in rows if kind == 1]
+            rows = [(key, np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint16), np.frombuffer(c, np.uint32)) for key, kind, a, b, c in rows if kind == 0]
+            toks = np.concatenate([r[1] for r in rows] + [r[3] for r in rows]) if rows else np.zeros(0, np.uint32)
             order = np.argsort(toks, kind="stable")
             same = np.zeros(len(toks), bool)
             same[1:] = toks[order][1:] == toks[order][:-1]
             same[:-1] |= same[1:]
             shared = np.zeros(len(toks), bool)
             shared[order] = same
-            at, out = 0, []
+            at = 0
             for key, tok, doc, _ in rows:
                 hit = doc[shared[at: at + len(tok)]]
                 at += len(tok)
@@ -146,35 +143,25 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
                 yield _parts(out)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_of, sums = {}, {}
-        for batch in batches:
-            for f, key, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
-                if kind == 1:
-                    docs_of[key] = (np.frombuffer(a, np.int64), np.frombuffer(b, np.int32), np.frombuffer(c, np.int32))
-                else:
-                    add = np.frombuffer(a, np.int32)
-                    have = sums.get(key)
-                    if have is None or len(have) < len(add):
-                        new = np.zeros(len(add), np.int32)
-                        if have is not None:
-                            new[: len(have)] = have
-                        sums[key] = have = new
-                    have[: len(add)] += add
-        for key, (ids, n, base) in docs_of.items():
-            shared = base.astype(np.int64)
-            if key in sums:
-                shared[: len(sums[key])] += sums[key]
+        for _, rows in by_key(batches, 1):  # one slice of documents at a time
+            a, b, c = next(r[2:] for r in rows if r[1] == 1)
+            ids, n, shared = np.frombuffer(a, np.int64), np.frombuffer(b, np.int32), np.frombuffer(c, np.int32).astype(np.int64)
+            for _, kind, x, *_ in rows:
+                if kind == 2:
+                    add = np.frombuffer(x, np.int32)
+                    shared[: len(add)] += add
             yield _batch([pa.array(ids, mask=ids == NULL_ID), pa.array(n.astype(np.int64)), pa.array(shared)], ["doc_id", "n", "shared"])
 
-    counted = map_arrow(map_arrow(docs, split, PARTS).repartition(parts, "fragment"), count, PARTS)
-    return map_arrow(counted.repartition(parts, "batch"), total, "doc_id long, n long, shared long")
+    counted = map_arrow(map_arrow(docs, split, PARTS).repartition(parts, "fragment").sortWithinPartitions("fragment"), count, PARTS)
+    return map_arrow(counted.repartition(parts, "batch").sortWithinPartitions("batch"), total, "doc_id long, n long, shared long")
 
 
 def node_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, fp, n, tokens): fp is a 128-bit fingerprint of the set."""
+    """(doc_id, fp, n, lone, tokens) of (doc_id, text, lone): fp is a 128-bit
+    fingerprint of the set, lone the shingles that no other document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, off in slices(batches):
+        for batch, lo, hi, ids, buf, off in sliced(batches):
             h, o = sets_of(buf, off, k)
             n = np.diff(o)
             some = np.flatnonzero(n)
@@ -184,10 +171,11 @@ def node_sets(docs: DataFrame, k: int) -> DataFrame:
             f2 = mix(np.add.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), o[some]) + U64(1))
             fp = np.stack([f1, f2], 1).astype(">u8").tobytes()
             yield _batch([pa.array(ids[some]), pa.array([fp[16 * i: 16 * i + 16] for i in range(len(some))], pa.binary()),
-                          pa.array(n[some]), pa.array([h[o[i]:o[i + 1]].tobytes() for i in some], pa.binary())],
-                         ["doc_id", "fp", "n", "tokens"])
+                          pa.array(n[some]), batch.column(2).slice(lo, hi - lo).take(pa.array(some)),
+                          pa.array([h[o[i]:o[i + 1]].tobytes() for i in some], pa.binary())],
+                         ["doc_id", "fp", "n", "lone", "tokens"])
 
-    return map_arrow(docs, run, "doc_id long, fp binary, n long, tokens binary")
+    return map_arrow(docs.select("doc_id", "text", "lone"), run, "doc_id long, fp binary, n long, lone long, tokens binary")
 
 
 def size_classes(top: int, num: int, den: int) -> np.ndarray:
@@ -229,103 +217,184 @@ def signatures(n: np.ndarray, h: np.ndarray, num: int, den: int) -> tuple[np.nda
     return np.concatenate(sigs), np.concatenate(sets)
 
 
-def candidate_hubs(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, node, hub): the nodes of every shared signature and the smallest of them."""
+def candidates_of(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, node, hub): the nodes of every shared signature and the one of them
+    with the fewest shingles of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 n = np.asarray(part.column(1))
-                h = np.frombuffer(b"".join(part.column(2).to_pylist()), U64)
+                h = np.frombuffer(b"".join(part.column(3).to_pylist()), U64)
                 sig, who = signatures(n, h, num, den)
-                yield _batch([pa.array(sig.view(np.int64)), part.column(0).take(pa.array(who))], ["sig", "node"])
-
-    sigs = map_arrow(nodes.select("node", "n", "tokens"), run, "sig long, node long")
-    sigs = written(sigs, "signatures")
-    hubs = sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("z")).filter("hub <> z").select("sig", "hub")
-    return written(sigs.join(hubs, "sig"), "candidates")
-
-
-def families_of(candidates: DataFrame) -> DataFrame:
-    """(id, component) of every node of (sig, node, hub): nodes with a signature in
-    common are in one family.
-
-    First each node is joined to the smallest of its hubs only; what is left to
-    connect are signatures whose nodes have different labels, which are few.
-    """
-    one = candidates.groupBy("node").agg(F.min("hub").alias("a"))
-    first = components(one.select("a", F.col("node").alias("b")))
-    label = F.coalesce("component", "node")
-    seen = written(candidates.select("sig", "node").join(first.withColumnRenamed("id", "node"), "node", "left")
-                   .select("sig", "node", label.alias("label")), "labelled")
-    mixed = seen.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig", "lo")
-    rest = components(seen.join(mixed, "sig").filter("lo <> label").select(F.col("lo").alias("a"), F.col("label").alias("b")).distinct())
-    return (seen.select("node", "label").distinct().join(rest.withColumnRenamed("id", "label"), "label", "left")
-            .groupBy(F.col("node").alias("id")).agg(F.min(F.coalesce("component", "label")).alias("component")))
-
-
-def links_in_tile(node: list[int], n: np.ndarray, h: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs that reach the threshold."""
-    owner = np.repeat(np.arange(len(n)), n)
-    _, tok, df = np.unique(h, return_inverse=True, return_counts=True)
+                yield _batch([pa.array(sig.view(np.int64)), part.column(0).take(pa.array(who)), part.column(2).take(pa.array(who))], ["sig", "node", "lone"])
+
+    sigs = written(map_arrow(nodes.select("node", "n", "lone", "tokens"), run, "sig long, node long, lone long"), "signatures")
+    hubs = (sigs.groupBy("sig").agg(F.min(F.struct("lone", "node")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+            .filter("lo <> hi").select("sig", F.col("hub.node").alias("hub")))
+    return written(sigs.select("sig", "node").join(hubs, "sig"), "candidates")
+
+
+def segments(rows: DataFrame, pieces: int = PAIR_FRAGMENTS) -> DataFrame:
+    """rows (with tokens last) once per fragment of the order, with the tokens in it
+    as part: array<long>; fragments without tokens give no row."""
+    names = rows.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                piece = batch.slice(a, 200)
+                raw = piece.column(piece.num_columns - 1).to_pylist()
+                h = np.frombuffer(b"".join(raw), U64)
+                owner = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+                key = owner * pieces + (((h >> U64(32)) * U64(pieces)) >> U64(32)).astype(np.int64)
+                cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                at = pa.array(key[cut] // pieces)
+                part = pa.ListArray.from_arrays(pa.array(np.append(cut, len(key)).astype(np.int32)), pa.array(h.view(np.int64)))
+                yield _batch([*(piece.column(i).take(at) for i in range(len(names))), pa.array((key[cut] % pieces).astype(np.int32)), part],
+                             [*names, "fragment", "part"])
+
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes[:-1])
+    return map_arrow(rows, run, f"{schema}, fragment int, part array<long>")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold.
+
+    Each fragment of the order counts the overlap of its parts of both sets as one
+    row; the rows are summed per pair.  A hot a is dealt to a key per MEMBERS pairs."""
+    sized = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
+    dealt = written(pairs.join(sized, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "dealt-pairs")
+    small = dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def near(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df.hint("merge")
+
+    left = nodes.join(near(dealt.select("a", "salt").distinct()), F.col("node") == F.col("a")).select("a", "salt", F.col("n").alias("na"), "tokens")
+    right = nodes.join(near(dealt), F.col("node") == F.col("b")).select("a", "salt", "b", F.col("n").alias("nb"), "tokens")
+    keys = ["a", "salt", "fragment"]
+    both = segments(right).hint("merge").join(segments(left).withColumnRenamed("part", "other"), keys)
+    counts = both.select("a", "b", "na", "nb", F.size(F.array_intersect("part", "other")).cast("long").alias("overlap"))
+    total = counts.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("overlap").alias("x"))
+    return total.filter(den * F.col("x") >= num * (F.col("na") + F.col("nb") - F.col("x"))).select("a", "b")
+
+
+def open_groups(candidates: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, node, label) of the signatures of which nodes beside the hub are not
+    yet connected: the hub was compared with all, they were not with each other."""
+    seen = candidates.filter("node <> hub").join(labels.withColumnRenamed("id", "node"), "node", "left")
+    seen = written(seen.select("sig", "node", F.coalesce("component", "node").alias("label")), "labelled")
+    mixed = seen.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
+    return written(seen.join(mixed, "sig"), "open")
+
+
+def tile_overlaps(left: np.ndarray, right: np.ndarray, tok: np.ndarray, n_left: int, n_right: int) -> np.ndarray:
+    """Shared tokens of each left with each right node: left and right name the nodes
+    of tok (-1: none).  Counted by dense blocks of tokens that occur twice."""
+    _, number, df = np.unique(tok, return_inverse=True, return_counts=True)
     common = df > 1
-    keep = common[tok]
-    able = np.bincount(owner[keep], minlength=len(n)) * den >= num * n
-    keep &= able[owner]
-    number = np.cumsum(common) - 1
-    tok, owner = number[tok[keep]], owner[keep]
-    rows = np.flatnonzero(able)
-    if len(rows) < 2:
-        return []
-    place = np.zeros(len(n), np.int64)
-    place[rows] = np.arange(len(rows))
-    overlap = np.zeros((len(rows), len(rows)), np.float32)
-    order = np.argsort(tok, kind="stable")
-    tok, owner = tok[order], place[owner[order]]
-    cuts = np.searchsorted(tok, np.arange(0, int(common.sum()) + BLOCK, BLOCK))
-    for f in range(len(cuts) - 1):  # one fragment of the order at a time
+    keep = common[number]
+    number = (np.cumsum(common) - 1)[number[keep]]
+    left, right = left[keep], right[keep]
+    order = np.argsort(number, kind="stable")
+    number, left, right = number[order], left[order], right[order]
+    out = np.zeros((n_left, n_right), np.float32)
+    cuts = np.searchsorted(number, np.arange(0, int(common.sum()) + BLOCK, BLOCK))
+    for f in range(len(cuts) - 1):
         a, b = cuts[f], cuts[f + 1]
         if a < b:
-            dense = np.zeros((len(rows), BLOCK), np.float32)
-            dense[owner[a:b], tok[a:b] - f * BLOCK] = 1
-            overlap += dense @ dense.T
-    size = n[rows]
-    inter = overlap.astype(np.int64)
-    link = den * inter >= num * (size[:, None] + size[None, :] - inter)
-    np.fill_diagonal(link, False)
-    todo, out = np.ones(len(rows), bool), []
-    for r in range(len(rows)):
-        if not todo[r]:
-            continue
-        todo[r] = False
-        front = [r]
-        while front:
-            x = front.pop()
-            new = np.flatnonzero(link[x] & todo)
-            todo[new] = False
-            out += [(node[rows[x]], node[rows[y]]) for y in new]
-            front.extend(new.tolist())
+            col, i, j = number[a:b] - f * BLOCK, left[a:b], right[a:b]
+            x, y = np.zeros((n_left, BLOCK), np.float32), np.zeros((n_right, BLOCK), np.float32)
+            x[i[i >= 0], col[i >= 0]] = 1
+            y[j[j >= 0], col[j >= 0]] = 1
+            out += x @ y.T
+    return out.astype(np.int32)
+
+
+def spanning(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between left and right nodes (which may be the same)."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, x in enumerate(left.tolist()):
+        for y in right[np.flatnonzero(link[i])].tolist():
+            a, b = find(x), find(y)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((x, y))
     return out
 
 
-def verified_edges(nodes: DataFrame, families: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) links that connect what the threshold connects."""
+def links_in_tiles(members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) links that connect what the threshold connects in groups of any size;
+    members: (node, family, size).
+
+    A row of the first step is one fragment's overlaps between the nodes of two
+    tiles, of the second the sum of such rows: no pair is a row."""
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    placed = members.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    placed = written(placed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "node", "family", "t", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j")), "tiles")
+    rows = nodes.join(placed, "node").select("node", "family", "t", "i", "j", "n", "tokens")
+
+    def count(tab: pa.Table) -> pa.Table:
+        tab = tab.combine_chunks()
+        node, t, n = (tab[c].to_numpy() for c in ("node", "t", "n"))
+        fam, i, j = tab["family"][0].as_py(), tab["i"][0].as_py(), tab["j"][0].as_py()
+        part = tab["part"].combine_chunks()
+        size = np.diff(part.offsets.to_numpy())
+        tok = part.flatten().to_numpy()
+        names = [np.sort(node[t == i]), np.sort(node[t == j])]
+        places = [np.where(t == k, np.minimum(np.searchsorted(x, node), max(len(x) - 1, 0)), -1) for k, x in zip((i, j), names)]
+        counts = tile_overlaps(np.repeat(places[0], size), np.repeat(places[1], size), tok, *map(len, names))
+        sizes = [n[t == k][np.argsort(node[t == k])] for k in (i, j)]
+        at = np.flatnonzero(counts)
+        return pa.table({"family": pa.array([fam], pa.int64()), "i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()),
+                         "left": [names[0].tobytes()], "right": [names[1].tobytes()], "nl": [sizes[0].astype(np.int64).tobytes()],
+                         "nr": [sizes[1].astype(np.int64).tobytes()], "at": [at.astype(np.int32).tobytes()], "x": [counts.ravel()[at].tobytes()]})
+
+    def total(tab: pa.Table) -> pa.Table:
+        got = [tuple(np.frombuffer(tab[c][r].as_py(), np.int32 if c in ("at", "x") else np.int64) for c in ("left", "right", "nl", "nr", "at", "x"))
+               for r in range(tab.num_rows)]
+        left, right = (np.unique(np.concatenate([g[k] for g in got])) for k in (0, 1))
+        x = np.zeros((len(left), len(right)), np.int64)
+        nl, nr = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+        for gl, gr, sl, sr, at, c in got:  # nodes without tokens in a fragment are not in its rows
+            pl, pr = np.searchsorted(left, gl), np.searchsorted(right, gr)
+            nl[pl], nr[pr] = sl, sr
+            if len(at):
+                x[pl[at // len(gr)], pr[at % len(gr)]] += c
+        link = (den * x >= num * (nl[:, None] + nr[None, :] - x)) & (left[:, None] != right[None, :])
+        found = spanning(link, left, right)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    counts = segments(rows).groupBy("family", "i", "j", "fragment").applyInArrow(
+        count, "family long, i int, j int, left binary, right binary, nl binary, nr binary, at binary, x binary")
+    return counts.groupBy("family", "i", "j").applyInArrow(total, "a long, b long")
+
+
+def missing_links(open_: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between nodes of (sig, node, label) groups that connect what the
+    threshold connects: small groups by pairs, large ones by tiles."""
+    first = F.min("node").alias("a")
+    edges = open_.join(open_.groupBy("sig").agg(first), "sig").select("a", F.col("node").alias("b"))
+    families = components(edges)
     sized = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = families.join(sized, "component").select(
-        F.col("id").alias("node"), F.col("component").alias("family"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    placed = placed.withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    rows = nodes.join(placed, "node").withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("family", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node", "n", "tokens")
-
-    def run(tab: pa.Table) -> pa.Table:
-        tab = tab.sort_by("node")  # the same forest in each evaluation
-        node = tab["node"].to_pylist()
-        h = np.frombuffer(b"".join(tab["tokens"].to_pylist()), U64)
-        found = links_in_tile(node, tab["n"].to_numpy(), h, num, den)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return rows.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+    placed = written(families.join(sized, "component").select(F.col("id").alias("node"), F.col("component").alias("family"), "size"), "families")
+    small = open_.join(placed.filter(F.col("size") <= SMALL).select("node"), "node")
+    x, y = small.select("sig", F.col("node").alias("a"), F.col("label").alias("la")), small.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
+    pairs = written(x.join(y, "sig").filter("a < b and la <> lb").select("a", "b").distinct(), "pairs")
+    links = verified(pairs, nodes, num, den)
+    large = placed.filter(F.col("size") > SMALL)
+    if large.limit(1).count():
+        links = links.unionByName(links_in_tiles(large, nodes, num, den))
+    return links
 
 
 def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -333,12 +402,20 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     stats = written(shared_counts(rows, k), "shared-counts")
     able = written(stats.filter((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num) & F.col("doc_id").isNotNull())
-                   .select("doc_id").distinct(), "able")
-    sets = written(node_sets(semi_join_ids(rows, able, "doc_id"), k), "sets")
+                   .groupBy("doc_id").agg(F.max(F.col("n") - F.col("shared")).alias("lone")), "able")
+    few = able.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sets = written(node_sets(rows.join(F.broadcast(able) if few else able.hint("merge"), "doc_id"), k), "sets")
     # a set's number is its smallest doc_id, so a component's is its smallest document's
-    nodes = written(sets.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "nodes")
-    families = written(families_of(candidate_hubs(nodes, num, den)), "families")
-    links = components(verified_edges(nodes, families, num, den))
+    nodes = written(sets.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.min("lone").alias("lone"),
+                                           F.first("tokens").alias("tokens")), "nodes")
+    candidates = candidates_of(nodes, num, den)
+    pairs = candidates.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(verified(pairs, nodes, num, den), "star-links")
+    links_of = components(links)
+    left = open_groups(candidates, links_of)
+    if left.limit(1).count():
+        links_of = components(links.unionByName(written(missing_links(left, nodes, num, den), "more-links")))
+    links = links_of
     node_of = nodes.select("fp", "node").join(links.withColumnRenamed("id", "node"), "node", "left").select(
         "fp", F.coalesce("component", "node").alias("component_id"))
     found = (sets.select("doc_id", "fp").join(node_of, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))

@@ -69,19 +69,41 @@ def test_ngram_join(spark, k, num):
     assert got == links(docs, k, num, 100)
 
 
-def test_ngram_join_in_tiles(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE", 7)
-    docs = [(i, " ".join(f"w{j}" for j in range(100) if j != i % 50)) for i in range(50)]
+@pytest.mark.parametrize("small", [0, 1000])
+def test_ngram_join_missed_thresholds(spark, monkeypatch, small):
+    """Groups around a hub in which most pairs miss the threshold, by tiles and by pairs; hot hubs in several keys."""
+    monkeypatch.setattr(ngram_join, "TILE", 9)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 5)
+    rng, docs = np.random.default_rng(5), []
+    for i in range(70):
+        words = [f"w{j}" for j in range(100)]
+        for j in rng.choice(100, 1 + i % 9, replace=False):
+            words[j] = f"x{rng.integers(25)}"
+        docs.append((i + 1, " ".join(words)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(df, 1, 98, 100).collect()}
-    assert got == links(docs, 1, 98, 100)
+    asked = []
+    real = ngram_join.missing_links
+    monkeypatch.setattr(ngram_join, "missing_links", lambda *a: asked.append(1) or real(*a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(df, 1, 90, 100).collect()}
+    want = links(docs, 1, 90, 100)
+    assert got == want and asked and len({c for _, c in want.values()}) > 3
 
 
 def test_ngram_join_odd(odd):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in ngram_join.linked_components(odd, 3, 90, 100).collect())
     assert got == [(-1, 2, -1), (1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (5, 1, 5), (6, 0, 6)]
     assert ngram_join.linked_components(odd.limit(0)).count() == 0
-    assert ngram_join.one_of_each(odd).count() == 6
+    left = ngram_join.one_of_each(odd.withColumnRenamed("source", "component_id"))
+    assert sorted((r.doc_id or -1) for r in left.collect()) == [-1, 1, 2, 3, 5, 6] and left.columns == ["doc_id", "text", "component_id"]
+
+
+def test_ngram_join_long(spark):
+    """A text of 200,000 words beside a near copy and a part."""
+    text = " ".join(f"w{i * 7919 % 999983}" for i in range(200_000))
+    df = spark.createDataFrame([(5, text), (3, text + " end"), (4, text[:900_000])], "doc_id int, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.linked_components(df, 3, 90, 100).collect()}
+    assert got == {5: 3, 3: 3, 4: 4}
 
 
 def removed(docs, size=100):
