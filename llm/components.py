@@ -13,9 +13,28 @@ from llm.common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every end of edges (a, b); component is its smallest id."""
-    # written once: both directions must come from one evaluation of the edges
-    edges = written(edges.select("a", "b").filter("a <> b").distinct(), "links")
+    """(id, component) for every end of edges (a, b); component is its smallest id.
+
+    First each node keeps one edge, to its smallest neighbour, and only that forest
+    goes through the rounds.  Of the other edges those are left that join two of its
+    trees, once per pair of trees."""
+    ends = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # written once: all that follows must come from one evaluation of the edges
+    ends = written(ends.filter("a <> b").distinct(), "links")
+    ids = ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct()
+    trees = ids.join(_rounds(ends.groupBy("b").agg(F.min("a").alias("a"))), "id", "left")
+    trees = written(trees.select("id", F.coalesce("component", "id").alias("component")), "trees")
+    named = trees.withColumnRenamed("component", "c")
+    over = ends.join(named.withColumnRenamed("id", "a"), "a").select("b", F.col("c").alias("x")).join(named.withColumnRenamed("id", "b"), "b")
+    over = written(over.filter("x <> c").select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct(), "links")
+    if not over.limit(1).count():
+        return trees
+    joined = _rounds(over).toDF("component", "whole")
+    return trees.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """components of distinct edges (a, b) by rounds over all of them."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = written(both.distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("c")), "labels")
