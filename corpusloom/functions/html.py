@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,10 +22,66 @@ BLOCK_WORDS = [
 ]
 
 
-def unescape(t: Column) -> Column:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+#: The named references of HTML 4 and ``apos`` with their text, from the standard
+#: library's table, as one string: a map literal would be hundreds of expressions.
+NAMED = "\x01" + "\x01".join(f"{k}\x02{chr(v)}" for k, v in [*name2codepoint.items(), ("apos", 39)]) + "\x01"
+
+
+def _reference(ref: Column) -> Column:
+    """The text of a reference without ``&`` and ``;``; null if there is none of that name."""
+    digits = F.when(ref.rlike("^#[0-9]{1,8}$"), F.hex(F.substr(ref, F.lit(2)).try_cast("long"))).when(ref.rlike("^#[xX][0-9a-fA-F]{1,8}$"), F.substr(ref, F.lit(3)))
+    known = digits.rlike("^0*(10|[0-9A-Fa-f])?[0-9A-Fa-f]{1,4}$") & ~digits.rlike("^0*[Dd][89A-Fa-f][0-9A-Fa-f]{2}$|^0*$")
+    char = F.when(known, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise("\ufffd")
+    named = F.get(F.regexp_extract_all(F.lit(NAMED), F.concat(F.lit("\x01"), ref, F.lit("\x02([^\x01]*)")), F.lit(1)), 0)
+    # The references that most pages have, looked up first.
+    common = (F.when(ref == "amp", "&").when(ref == "quot", '"').when(ref == "lt", "<").when(ref == "gt", ">").when(ref == "nbsp", "\u00a0").when(ref == "#39", "'"))
+    return F.coalesce(common, F.when(digits.isNotNull(), char).otherwise(named))
+
+
+def bind(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def unescape(text: Column) -> Column:
+    """text with its character references decoded, once each: the named ones of
+    HTML 4 and numeric ones, with their ``;``; an unknown one stays as it is."""
+    def piece(x: Column) -> Column:
+        ref = F.regexp_extract(x, "^(#?[A-Za-z0-9]+);", 1)
+        found = F.when(ref != "", _reference(ref))
+        return F.coalesce(F.concat(found, F.substr(x, F.length(ref) + 2)), F.concat(F.lit("&"), x))
+
+    def joined(parts: Column) -> Column:
+        return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
+
+    return bind(text, lambda t: F.when(F.contains(t, F.lit("&")), bind(F.split(t, "&"), joined)).otherwise(t))
+
+
+def attribute_of(tag: Column, name: str) -> Column:
+    """The value of an attribute of a start tag, quoted either way or not at all; null without it."""
+    start = f"(?is)^<[a-z][^\\s/>]*(?:\\s+(?:[^\\s=>\"']+(?:\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s\"'>]+))?))*?\\s+{name}\\s*=\\s*"
+    raw = F.regexp_extract(tag, start + "(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)", 1)
+    return bind(raw, lambda r: F.when(r != "", unescape(F.regexp_replace(r, "^[\"']|[\"']$", ""))))
+
+
+TAG = "(?is)<{}\\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+
+
+def tags(html: Column, name: str) -> Column:
+    """The start tags of one name, in page order."""
+    return F.regexp_extract_all(html, F.lit(TAG.format(name)), 0)
+
+
+def first_attribute(html: Column, tag: str, attribute: str, **wanted: str) -> Column:
+    """The attribute of the first such tag whose other attributes have the wanted values; null if it is empty."""
+    def fits(t: Column) -> Column:
+        ok = F.lit(True)
+        for k, v in wanted.items():
+            ok = ok & F.coalesce(attribute_of(t, k) == v, F.lit(False))
+        return ok
+
+    fit = F.filter(tags(html, tag), fits) if wanted else tags(html, tag)
+    return bind(attribute_of(F.get(fit, 0), attribute), lambda v: F.nullif(v, F.lit("")))
 
 
 def body_text(html: Column) -> Column:
@@ -34,32 +92,30 @@ def body_text(html: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    return F.nullif(F.trim(unescape(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
-
-
-def attribute(html: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+    return bind(F.trim(unescape(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))), lambda t: F.nullif(t, F.lit("")))
 
 
 def lang(html: Column) -> Column:
-    return attribute(html, '(?is)<html[^>]*\\slang="([^"]*)"')
+    return first_attribute(html, "html", "lang")
 
 
 def description(html: Column) -> Column:
-    return attribute(html, '(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"')
+    return first_attribute(html, "meta", "content", name="description")
 
 
 def canonical(html: Column, base: Column) -> Column:
-    href = attribute(html, '(?is)<link[^>]*rel="canonical"[^>]*href="([^"]*)"')
-    return F.when(href.isNotNull(), resolve(href, base))
+    href = first_attribute(html, "link", "href", rel="canonical")
+    return bind(F.trim(href), lambda h: F.when(h.isNotNull(), resolve(h, base)))
 
 
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit('(?is)<a\\s[^>]*href="([^"]*)"'), 1)
+    """The targets of links, decoded; empty ones are left out."""
+    found = F.transform(tags(html, "a"), lambda t: attribute_of(t, "href"))
+    return F.filter(found, lambda h: h.isNotNull() & (h != ""))
 
 
 def links(html: Column, base: Column) -> Column:
-    return F.transform(hrefs(html), lambda h: resolve(F.trim(unescape(h)), base))
+    return F.filter(F.transform(hrefs(html), lambda h: resolve(F.trim(h), base)), lambda u: u.isNotNull())
 
 
 def markdown(title_: Column, text: Column) -> Column:
@@ -104,37 +160,6 @@ def retry_reason(html: Column, text: Column, markdown_: Column, n_words: Column,
             .when((count_tags(html, "p|li|h1|h2|h3|article|section") <= 3) & (scripts >= 5) & (n_words < 30), "dom_shell_detected"))
 
 
-def structured_kind(url: Column, html: Column, conf_low: Column | None = None) -> Column:
-    """First kind whose detector fits, in a fixed order; null if none does."""
-    p, low = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))), F.lower(html)
-    h = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
-
-    def has(*words: str) -> Column:
-        return contains_any(low, list(words))
-
-    return (F.when(has("docusaurus"), "docusaurus").when(has("mkdocs", "material"), "mkdocs")
-            .when(contains_any(h, ["github", "gitlab"]) & (p.rlike("/(docs|wiki)") | has("markdown-body")), "github-docs")
-            .when(has("changelog") | p.rlike("changelog|release-notes|releases"), "changelog")
-            .when(low.rlike("<article[\\s>]|<time[\\s>]") | has('property="og:type" content="article"', '"@type":"article"') | F.contains(p, F.lit("/blog")), "article")
-            .when(p.rlike("/(docs|guide|reference|api)") | (low.rlike("<nav[\\s>]") & low.rlike("<main[\\s>]")) | has('role="navigation"'), "docs")
-            .when(has('itemprop="price"', "product:price", "add to cart", "buy now"), "product")
-            .when(p.rlike("forum|thread") | (F.regexp_count(low, F.lit('class="(post|comment)')) >= 2), "forum"))
-
-
-def price(text: Column) -> Column:
-    """struct(amount, currency) of the first price."""
-    sign = F.nullif(F.regexp_extract(text, "([$€£¥])\\s?(\\d+(?:[.,]\\d{1,2})?)", 1), F.lit(""))
-    amount = F.replace(F.regexp_extract(text, "([$€£¥])\\s?(\\d+(?:[.,]\\d{1,2})?)", 2), F.lit(","), F.lit("."))
-    code = F.when(sign == "$", "USD").when(sign == "€", "EUR").when(sign == "£", "GBP").when(sign == "¥", "JPY")
-    return F.when(sign.isNotNull(), F.struct(amount.try_cast("double").alias("amount"), code.alias("currency")))
-
-
-def json_ld(html: Column) -> Column:
-    """The page's JSON-LD objects as variants; invalid ones are left out."""
-    raw = F.regexp_extract_all(html, F.lit('(?is)<script[^>]*type="application/ld\\+json"[^>]*>(.*?)</script>'), 1)
-    return F.filter(F.transform(raw, lambda x: F.try_parse_json(x)), lambda v: v.isNotNull())
-
-
 def route(html: Column, policy: Column, previous_confidence: Column, render_mode: str = "auto", mode: str = "extract") -> Column:
     """struct(strategy, allow_fallback, reason) - rules in order, the first that fits."""
     def out(strategy: str, fallback: bool, reason: str) -> Column:
@@ -162,3 +187,19 @@ def challenge(body: Column, header_names: Column, status: Column) -> Column:
 
 def blocked(status: Column, body: Column, words: list[str] = BLOCK_WORDS) -> Column:
     return status.isin(403, 429, 503) | contains_any(F.lower(F.coalesce(body, F.lit(""))), words)
+
+
+def block_report(status: Column, body: Column, headers: Column) -> Column:
+    """struct(blocked, reason, retry_after_ms, backoff_ms) of a response; headers is a
+    map of lower-case names.  The back-off is a second above what the server asks
+    for, or null: then any wait from 30 s to two minutes will do."""
+    hit = blocked(status, body)
+    asked = F.regexp_extract(F.coalesce(F.try_element_at(headers, F.lit("retry-after")), F.lit("")), "^\\s*(-?\\d+)", 1).try_cast("long") * 1000
+    return F.struct(hit.alias("blocked"), F.when(hit, F.concat(F.lit("Detected blocking: HTTP "), status.cast("string"))).alias("reason"),
+                    F.when(hit, asked).alias("retry_after_ms"), (asked + 1000).alias("backoff_ms"))
+
+
+def with_fallback(browser_error: Column, allow_fallback: Column) -> Column:
+    """How a routed fetch ends: a browser that is not available falls back to a static
+    fetch if the decision allows it; any other error stands."""
+    return (F.when(browser_error.isNull(), "browser").when((browser_error == "BROWSER_UNAVAILABLE") & allow_fallback, "static_fallback").otherwise("failed"))

@@ -50,7 +50,102 @@ def shard(url: Column, n: int) -> Column:
 
 
 def cache_key(*cols: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", *cols), 256), 1, 24)
+    """Key of a request: 24 hex digits of the SHA-256 of its fields as JSON, nulls
+    and separators kept apart."""
+    fields = F.to_json(F.array(*[F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) for c in cols]))
+    return F.substring(F.sha2(fields, 256), 1, 24)
+
+
+def region(url: Column, regions: list[str]) -> Column:
+    """The region that a URL's hash picks."""
+    return F.element_at(F.array(*[F.lit(r) for r in regions]), (shard(url, len(regions)) + 1).cast("int"))
+
+
+def mine(url: Column, n: int, own: int) -> Column:
+    """Whether a worker of n processes the URL."""
+    return shard(url, n) == own
+
+
+def namespace(base: Column, cluster: Column) -> Column:
+    return F.concat_ws(":", cluster, base)
+
+
+def value_hash(value: Column) -> Column:
+    """Hash of a text or a structured value; only equality of hashes has a meaning."""
+    return F.sha2(value, 256)
+
+
+def origin(url: Column) -> Column:
+    return F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+
+
+# The forms of a domain: each use has its own rules.
+def plain_domain(d: Column) -> Column:
+    """Of a policy: trimmed, lower-case, without a leading dot."""
+    return F.regexp_replace(F.lower(F.trim(d)), "^\\.", "")
+
+
+def bare_host(url: Column) -> Column:
+    """Of a limiter or host memory: the host of a URL without ``www.``, else the text as it is, in lower case."""
+    return F.coalesce(host(url), F.lower(url))
+
+
+def domain_of(text: Column) -> Column:
+    """Of a crawled domain: without scheme and path."""
+    return F.regexp_replace(F.regexp_replace(text, "^https?://", ""), "/.*$", "")
+
+
+def traced_host(url: Column) -> Column:
+    """Of a trace: the host as it is, ``unknown`` for what is no URL."""
+    return F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("unknown"))
+
+
+def domain_allowed(host_: Column, allow: list[str] = (), deny: list[str] = ()) -> Column:
+    """Not below a denied domain, and below an allowed one if there are any."""
+    h = plain_domain(host_)
+
+    def under(domains: list[str]) -> Column:
+        out = F.lit(False)
+        for d in (x.strip().lower().removeprefix(".") for x in domains):
+            out = out | (h == d) | F.endswith(h, F.lit("." + d))
+        return out
+
+    return F.coalesce(~under(deny) & (under(allow) if allow else F.lit(True)), F.lit(False))
+
+
+# ---- cookies -----------------------------------------------------------------
+
+def cookie(header: Column, fallback_domain: Column, now: Column) -> Column:
+    """struct(name, value, domain, path, expires_at) of a Set-Cookie header; null
+    without a name.  The later of Expires and Max-Age in the header counts; now and
+    expires_at are timestamps."""
+    parts = F.transform(F.split(header, ";"), lambda x: F.trim(x))
+    pair, attrs = F.get(parts, 0), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    at = F.instr(pair, "=")
+
+    def last(name: str) -> Column:
+        hits = F.filter(attrs, lambda x: F.lower(F.substring_index(x, "=", 1)) == name)
+        return F.nullif(F.get(F.split(F.element_at(F.concat(F.array(F.lit("")), hits), -1), "="), 1), F.lit(""))
+
+    def expiry(x: Column) -> Column:
+        k, v = F.lower(F.substring_index(x, "=", 1)), F.get(F.split(x, "="), 1)
+        date = F.try_to_timestamp(F.regexp_replace(v, "^[A-Za-z]+,\\s*|\\s*GMT$", ""), F.lit("d MMM yyyy HH:mm:ss"))
+        seconds = F.regexp_extract(v, "^\\s*([+-]?\\d+)", 1).try_cast("long")
+        return F.when(k == "expires", date).when(k == "max-age", now + F.make_dt_interval(secs=seconds))
+
+    times = F.array_compact(F.transform(attrs, expiry))
+    fields = F.struct(F.substring_index(pair, "=", 1).alias("name"), F.substr(pair, at + 1).alias("value"),
+                      F.coalesce(plain_domain(last("domain")), fallback_domain).alias("domain"), last("path").alias("path"),
+                      F.when(F.size(times) > 0, F.element_at(F.when(F.size(times) > 0, times).otherwise(F.array(now)), -1)).alias("expires_at"))
+    return F.when(at > 0, fields)
+
+
+def cookie_fits(c: Column, host_: Column, path_: Column, now: Column) -> Column:
+    """Whether a cookie is sent to a host and path."""
+    h, d = plain_domain(host_), plain_domain(c["domain"])
+    way = F.coalesce(c["path"], F.lit("/"))
+    below = (path_ == way) | F.startswith(path_, F.concat(F.regexp_replace(way, "/$", ""), F.lit("/")))
+    return (c["expires_at"].isNull() | (c["expires_at"] > now)) & ((h == d) | F.endswith(h, F.concat(F.lit("."), d))) & ((way == "/") | below)
 
 
 def in_scope(url: Column, seed_host: str, deny: list[str] = (), allow: list[str] = ()) -> Column:

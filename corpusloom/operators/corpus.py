@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import is_thin, jaccard, overlap_score, source_quality, tokens
+from corpusloom.functions.text import is_thin, jaccard, normalized, overlap_score, source_quality, tokens
+from corpusloom.sources.tables import cut
 
 SIMILAR = 0.88
 
@@ -17,14 +18,38 @@ def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.join(first, df[key].eqNullSafe(first["_key"]) & (df[order] == first["_first"])).drop("_key", "_first")
 
 
+#: What the first, second and third source of a domain add to its evidence.
+DIVERSITY = (0.15, 0.1, 0.05)
+
+
 def evidence(sources: DataFrame, topic: str, domain: str = "domain", order: str = "ord") -> DataFrame:
-    """Scores by relevance, quality and diversity; sources has title and snippet."""
+    """Scores by relevance, quality and diversity; sources has title and snippet.
+
+    Only the first three sources of a domain differ by their place.  They are found
+    by a top-three per domain, which Spark limits in every task before the shuffle,
+    and joined back, so no task sees a whole domain."""
     t = F.concat_ws(" ", "title", "snippet")
-    seen = F.row_number().over(W.partitionBy(domain).orderBy(order)) - 1
-    return (sources.withColumns({
-        "relevance": overlap_score(F.array_distinct(tokens(F.lit(topic))), tokens(t)), "quality": source_quality(t),
-        "diversity": F.element_at(F.array(F.lit(0.15), F.lit(0.1), F.lit(0.05), F.lit(0.0)), F.least(seen, F.lit(3)) + 1)})
-        .withColumn("evidence", F.least(F.lit(1.0), 0.5 * F.col("relevance") + 0.35 * F.col("quality") + F.col("diversity"))))
+    place = F.row_number().over(W.partitionBy("_d").orderBy("_o"))
+    first = sources.select(F.col(domain).alias("_d"), F.col(order).alias("_o")).withColumn("_n", place).filter(F.col("_n") <= len(DIVERSITY))
+    rows = sources.join(first, sources[domain].eqNullSafe(first["_d"]) & (sources[order] == first["_o"]), "left").drop("_d", "_o")
+    boost = F.coalesce(F.get(F.array(*[F.lit(x) for x in DIVERSITY]), F.col("_n") - 1), F.lit(0.0))
+    return (rows.withColumns({
+        "relevance": overlap_score(F.array_distinct(tokens(F.lit(topic))), tokens(t)), "quality": source_quality(t), "diversity": boost})
+        .withColumn("evidence", F.least(F.lit(1.0), 0.5 * F.col("relevance") + 0.35 * F.col("quality") + F.col("diversity"))).drop("_n"))
+
+
+def evidence_for_topics(topics: DataFrame, sources: DataFrame) -> DataFrame:
+    """(topic_id, url, relevance) of every source for each topic (topic_id, topic): topics
+    are a small table that each task holds, and the sources are not shuffled."""
+    t = topics.select("topic_id", F.array_distinct(tokens(F.col("topic"))).alias("_words"))
+    rows = sources.withColumn("_text", tokens(F.concat_ws(" ", "title", "snippet")))
+    return rows.crossJoin(F.broadcast(t)).select("topic_id", "url", overlap_score(F.col("_words"), F.col("_text")).alias("relevance"))
+
+
+def by_evidence(documents: DataFrame, order: str = "ord", most: int | None = None) -> DataFrame:
+    """Documents by evidence, best first, none counting as 0; ties keep their order."""
+    out = documents.orderBy(F.desc(F.coalesce("evidence", F.lit(0.0))), order)
+    return out if most is None else out.limit(most)
 
 
 def token_sets(docs: DataFrame, key: str, domain: str, text: str, chars: int = 600) -> DataFrame:
@@ -32,13 +57,18 @@ def token_sets(docs: DataFrame, key: str, domain: str, text: str, chars: int = 6
 
 
 def similar_pairs(docs: DataFrame, key: str = "doc_id", domain: str = "source", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
-    """(a, b, similarity), a < b, of one domain at the threshold or above.
+    """(a, b, similarity), a < b, of the documents of one domain at the threshold or above."""
+    return similar_sets(token_sets(docs, key, domain, text), threshold)
+
+
+def similar_sets(sets: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(a, b, similarity), a < b, of (id, domain, s).
 
     Prefix filter: with each set ordered by global token frequency, rarest
     first, similar sets share one of their first n - ceil(t n) + 1 tokens; only
-    documents that do are compared.
+    sets that do are compared.
     """
-    sets = token_sets(docs, key, domain, text).filter(F.size("s") > 0)
+    sets = sets.filter(F.size("s") > 0)
     exploded = sets.select("id", "domain", F.size("s").alias("n"), F.explode("s").alias("t"))
     freq = exploded.groupBy("domain", "t").agg(F.count(F.lit(1)).alias("df"))
     ranked = exploded.join(freq, ["domain", "t"]).withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "t")))
@@ -52,30 +82,52 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", domain: str = "source",
             .filter(F.col("similarity") >= threshold).select("a", "b", "similarity"))
 
 
+def similar_links(docs: DataFrame, key: str = "doc_id", domain: str = "source", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
+    """(id, class_id, n_links) of every document: documents of a domain with one token
+    set are a class, named by its smallest id, and n_links counts the documents
+    similar to it.  Classes are compared, so copies never make pairs; a document
+    without tokens is its own class without links."""
+    sets = token_sets(docs, key, domain, text).withColumn("g", F.when(F.size("s") > 0, F.md5(F.array_join(F.array_sort("s"), " "))))
+    classes = sets.filter("g is not null").groupBy("domain", "g").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.first("s").alias("s"))
+    pairs = similar_sets(classes.select(F.col("class_id").alias("id"), "domain", "s"), threshold)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    size = classes.select(F.col("class_id").alias("b"), "n")
+    links = both.join(size, "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
+    per = classes.join(links, "class_id", "left").select("domain", "g", "class_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    same = sets["domain"].eqNullSafe(per["domain"]) & (sets["g"] == per["g"])
+    return sets.join(per, same, "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def signature(domain, title, text):
-    return F.concat_ws(":", domain, title, F.substring(text, 1, 300))
+    """What two documents must have in common to be copies: domain, and title and
+    beginning with case and white space apart."""
+    return F.concat_ws(":", domain, normalized(title), normalized(F.substring(text, 1, 300)))
 
 
-def greedy_dedup(docs: DataFrame, key: str = "doc_id", domain: str = "source", text: str = "text") -> DataFrame:
+def greedy_dedup(docs: DataFrame, key: str = "doc_id", domain: str = "source", text: str = "text", title: str | None = None) -> DataFrame:
     """(id, kept): in order of the key a document is dropped if it is thin, or has
     the signature of a kept one, or is similar to a kept one of its domain.
 
     That is the first independent set in key order of the neighbour graph, found
     in rounds: a document with no undecided earlier neighbour is decided.
-    Copies of one beginning are dropped at once: they share all neighbours.
+    A signature needs no pairs: what counts of its earlier documents is whether one is
+    kept and whether one is open.  Copies of one beginning are dropped at once.
     """
-    usable = docs.filter(~is_thin(F.col(text)))
-    heads = usable.withColumn("_head", F.substring(text, 1, 600))
-    first = heads.groupBy(domain, "_head").agg(F.min(key).alias(key), F.min(text).alias(text))
-    sig = first.select(F.col(key).alias("id"), F.md5(signature(F.col(domain), F.lit(""), F.col(text))).alias("g"))
-    same = sig.alias("x").join(sig.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id"))).select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    edges = similar_pairs(first, key, domain, text).select("a", "b").unionByName(same).distinct().checkpoint()
-    state = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
+    name = F.col(title) if title else F.lit("")
+    heads = docs.filter(~is_thin(F.col(text))).select(
+        F.col(key).alias("id"), F.col(domain).alias("domain"), F.substring(text, 1, 600).alias("head"), F.md5(signature(F.col(domain), name, F.col(text))).alias("g"))
+    first = cut(heads.groupBy("domain", "head", "g").agg(F.min("id").alias("id")))
+    edges = cut(similar_pairs(first, "id", "domain", "head").select("a", "b"))
+    again = first.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    touched = edges.select(F.col("a").alias("id")).union(edges.select("b")).union(first.join(again, "g").select("id")).distinct()
+    state = cut(first.join(touched, "id").select("id", "g", F.lit(None).cast("boolean").alias("kept")))
     while state.filter("kept is null").limit(1).count():
-        before = (edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("k")), "a").groupBy(F.col("b").alias("id"))
-                  .agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("near_kept"), F.bool_or(F.col("k").isNull()).alias("open")))
-        state = state.join(before, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("near_kept", F.lit(False)), F.lit(False))
-                                                        .when(~F.coalesce("open", F.lit(False)), F.lit(True)).alias("kept")).checkpoint()
-    lone = first.select(F.col(key).alias("id")).join(state, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
+        near = (edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("k")), "a").groupBy(F.col("b").alias("id"))
+                .agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("near"), F.bool_or(F.col("k").isNull()).alias("near_open")))
+        same = state.groupBy("g").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("has"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("may"))
+        drop = F.coalesce("near", F.lit(False)) | F.coalesce(F.col("has") < F.col("id"), F.lit(False))
+        waits = F.coalesce("near_open", F.lit(False)) | F.coalesce(F.col("may") < F.col("id"), F.lit(False))
+        verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(drop, F.lit(False)).when(~waits, F.lit(True))
+        state = cut(state.join(near, "id", "left").join(same, "g", "left").select("id", "g", verdict.alias("kept")))
+    lone = first.select("id").join(state, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
     return docs.select(F.col(key).alias("id")).join(lone, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))

@@ -1,11 +1,20 @@
-"""Robots rules, scope and bounded breadth-first maps."""
+"""Robots rules, scope, site maps and crawls over tables of fetched pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions import documents as D
+from corpusloom.functions import html as H
+from corpusloom.functions import text as T
+from corpusloom.functions import urls as U
+from corpusloom.sources.tables import cut
+
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     """(origin, pattern, allow) of (origin, body): the agent's rules, else those for ``*``."""
@@ -21,33 +30,244 @@ def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     own = rules.filter(F.col("agent") == agent.lower())
     return own.unionByName(rules.filter("agent = '*'").join(own.select("origin").distinct(), "origin", "left_anti").select(rules.columns)).drop("agent").distinct()
 
+def robots_by_origin(robots: DataFrame, agent: str = "*") -> DataFrame:
+    """(origin, state, rules) of fetched (origin, status, body): state is ``rules``,
+    ``none`` (404) or ``unavailable``; rules are the agent's as one short array."""
+    state = F.when(F.col("status").between(200, 299), "rules").when(F.col("status") == 404, "none").otherwise("unavailable")
+    known = robots.select("origin", "body", state.alias("state"))
+    rules = robots_rules(known.filter("state = 'rules'").select("origin", "body"), agent)
+    rules = rules.groupBy("origin").agg(F.collect_list(F.struct("pattern", "allow")).alias("rules"))
+    return known.drop("body").join(rules, "origin", "left")
+
+
+def rule_verdict(path: Column, rules: Column) -> Column:
+    """The longest matching prefix wins, a tie allows, none allows."""
+    hits = F.filter(rules, lambda r: F.startswith(path, r["pattern"]))
+    best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))
+    return F.coalesce(best["allow"], F.lit(True))
+
+
+def robots_decisions(urls: DataFrame, robots: DataFrame, mode: str = "balanced", agent: str = "*", few: bool = True) -> DataFrame:
+    """urls (origin, path, ...) with allowed and reason (off, allowed, disallowed,
+    unavailable).  An origin without a robots row counts as unavailable; strict
+    denies those, balanced allows them.  few: the rules can be broadcast, so the
+    URLs are not shuffled."""
+    if mode not in ("off", "balanced", "strict"):
+        raise ValueError(f"unknown robots mode {mode}")
+    if mode == "off":
+        return urls.withColumns({"allowed": F.lit(True), "reason": F.lit("off")})
+    known = robots_by_origin(robots, agent)
+    out = urls.join(F.broadcast(known) if few else known, "origin", "left")
+    state = F.coalesce("state", F.lit("unavailable"))
+    fits = rule_verdict(F.col("path"), F.col("rules"))
+    allowed = F.when(state == "unavailable", F.lit(mode == "balanced")).when(state == "none", True).otherwise(fits)
+    reason = F.when(state == "unavailable", "unavailable").otherwise(F.when(allowed, "allowed").otherwise("disallowed"))
+    return out.withColumns({"allowed": allowed, "reason": reason}).drop("state", "rules")
+
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, allowed): the longest matching prefix wins, a tie allows, none allows.
-    Rules are few per origin and meet the URLs by an equi join on it."""
-    hit = urls.join(rules, "origin", "left").withColumn("m", F.startswith("path", F.col("pattern")))
-    return hit.groupBy("url").agg(F.coalesce(F.max_by(F.when(F.col("m"), F.col("allow")), F.when(F.col("m"), F.struct(F.length("pattern"), "allow"))), F.lit(True)).alias("allowed"))
+    """urls with allowed, by the rules (origin, pattern, allow) of their origin, which
+    are few and meet them as one broadcast array each: no URL is shuffled."""
+    per = rules.groupBy("origin").agg(F.collect_list(F.struct("pattern", "allow")).alias("_rules"))
+    return urls.join(F.broadcast(per), "origin", "left").withColumn("allowed", rule_verdict(F.col("path"), F.col("_rules"))).drop("_rules")
+
+
+def robots_counters(decisions: DataFrame) -> DataFrame:
+    """(blocked, unavailable) over decisions."""
+    return decisions.agg(F.count_if(~F.col("allowed")).alias("blocked"), F.count_if(F.col("reason") == "unavailable").alias("unavailable"))
+
+
+# ---- sitemap filter and policies -----------------------------------------------
+
+def domain_policy(urls: DataFrame, url: str = "url", allow: list[str] = (), deny: list[str] = ()) -> DataFrame:
+    """urls with permitted: not below a denied domain, and below an allowed one if there are any."""
+    return urls.withColumn("permitted", U.domain_allowed(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), allow, deny))
+
+
+def filter_sitemap(entries: DataFrame, seed_host: str, include: list[str] = (), deny: list[str] = (), exclude: list[str] = (), order: str = "pos") -> DataFrame:
+    """(loc, first) of the entries in scope whose URL holds no excluded text, each once, first order of each."""
+    full = U.resolve(F.col("loc"), F.lit(f"https://{seed_host}/"))
+    ok = U.in_scope(full, seed_host.lower().removeprefix("www."), list(deny), list(include))
+    if exclude:
+        ok = ok & ~T.contains_any(full, list(exclude))
+    return entries.filter(ok).groupBy("loc").agg(F.min(order).alias("first"))
+
+
+# ---- maps and crawls -------------------------------------------------------------
+
+@dataclass
+class Walk:
+    """The result of a map or crawl.
+
+    urls: (url, depth, discovered_from, discovered_by, ord) in the order of ord;
+    summary: one row (visited, discovered, excluded, errors, robots_blocked,
+    robots_unavailable, stopped_reason)."""
+
+    urls: DataFrame
+    summary: DataFrame
+
+
+class RobotsDenied(ValueError):
+    """The seed is closed by robots rules."""
+
+
+def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(src, dst, pos) of the links of pages, in page order; those without target are left out."""
+    links = pages.select(F.col(url).alias("src"), F.posexplode(H.links(F.col(html), F.col(url))).alias("pos", "dst"))
+    return links.filter("dst is not null").select("src", "dst", "pos")
+
+
+def walk(pages: DataFrame, robots: DataFrame, seed: str, limit: int | None, max_depth: int = 3, include: list[str] = (), deny: list[str] = (),
+         exclude_paths: list[str] = (), mode: str = "balanced", sitemap: DataFrame | None = None, extracting: bool = False, edges: DataFrame | None = None) -> Walk:
+    """Map (or with ``extracting`` crawl) a site held as a table of fetched pages
+    (url, html, status) from a seed.
+
+    Every level of the breadth-first search is one join of the frontier with the
+    links of fetched pages, written before the next; links out of scope or closed
+    by robots rules are not followed but counted.  A URL is found by the first
+    link to it, in the order of discovery, and the limit is filled in that order
+    (None: no limit).  URLs without a page are visited and have no links; a crawl
+    counts them as errors and leaves out pages whose path holds an excluded text.
+    sitemap: entries (loc, pos); if any is in scope they are taken instead.
+    """
+    spark = pages.sparkSession
+    host = spark.range(1).select(F.try_parse_url(F.lit(seed), F.lit("HOST"))).first()[0].lower().removeprefix("www.")
+
+    def judged(df: DataFrame, column: str) -> DataFrame:
+        at = F.col(column)
+        return robots_decisions(df.withColumns({"origin": U.origin(at), "path": U.path(at)}), robots, mode).drop("origin")
+
+    first = judged(spark.createDataFrame([(seed,)], "url string"), "url").first()
+    if not first.allowed:
+        raise RobotsDenied(f"{seed}: {first.reason}")
+    fetched = pages.filter(F.coalesce("status", F.lit(0)).between(200, 399)).select(F.col("url")).distinct()
+    closed = T.contains_any(U.path(F.col("url")), list(exclude_paths)) if exclude_paths else F.lit(False)
+    schema = "url string, depth int, discovered_from string, discovered_by string, ord string, state string"
+
+    def with_state(df: DataFrame) -> DataFrame:
+        """What became of each URL of a level: skipped, ok or error."""
+        found = df.join(fetched.withColumn("_here", F.lit(True)), "url", "left")
+        state = F.when(closed if extracting else F.lit(False), "skipped").when(F.col("_here"), "ok").otherwise("error")
+        return found.withColumn("state", state).select("url", "depth", "discovered_from", "discovered_by", "ord", "state")
+
+    def upto(df: DataFrame, left: int | None) -> DataFrame:
+        """The rows of a level up to the one that fills the limit."""
+        if left is None:
+            return df
+        counting = df.filter("state = 'ok'") if extracting else df
+        last = counting.orderBy("ord").limit(left).agg(F.max("ord").alias("last"), F.count(F.lit(1)).alias("n")).first()
+        return df if last.n < left else df.filter(F.col("ord") <= last.last)
+
+    def taken(df: DataFrame) -> int:
+        return (df.filter("state = 'ok'") if extracting else df).count()
+
+    counters = [spark.createDataFrame([(0, int(not first.allowed), int(first.reason == "unavailable"))], "excluded long, blocked long, unavailable long")]
+
+    def counted(links: DataFrame) -> None:
+        """Count what a level's links are not followed for; a crawl does not count those out of scope."""
+        shut = F.col("scope") & ~F.col("allowed")
+        excluded = shut if extracting else shut | ~F.col("scope")
+        counters.append(links.agg(F.count_if(excluded).alias("excluded"), F.count_if(shut).alias("blocked"),
+                                  F.count_if(F.col("scope") & (F.col("reason") == "unavailable")).alias("unavailable")))
+
+    listed = None
+    if sitemap is not None:
+        listed = filter_sitemap(sitemap, host, include, deny, exclude_paths)
+        listed = listed if listed.limit(1).count() else None
+    if listed is not None:
+        top = listed.orderBy("first").limit(limit) if limit is not None else listed
+        rows = cut(judged(top.select(F.col("loc").alias("url"), F.lpad(F.col("first").cast("string"), 12, "0").alias("ord")), "url"))
+        counted(rows.withColumn("scope", F.lit(True)))
+        n_seen = rows.count()
+        seen = with_state(rows.filter("allowed").select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("discovered_from"), F.lit("sitemap").alias("discovered_by"), "ord"))
+        seen = cut(seen)
+    else:
+        edges = link_edges(pages) if edges is None else edges
+        edges = cut(edges.join(fetched.withColumnRenamed("url", "src"), "src", "left_semi"))  # parsed once, read at every level
+        seen = cut(with_state(spark.createDataFrame([(seed, 0, None, "bfs", "")], schema.rsplit(",", 1)[0])))
+        front, n_taken = seen, 0 if limit is None else taken(seen)
+        for depth in range(1, max_depth + 1):
+            if limit is not None and n_taken >= limit:
+                break
+            out = edges.join(front.filter("state = 'ok'").select(F.col("url").alias("src"), F.col("ord").alias("_ord")), "src")
+            out = out.join(seen.select(F.col("url").alias("dst")), "dst", "left_anti")
+            out = cut(judged(out.withColumnRenamed("dst", "url").withColumn("scope", U.in_scope(F.col("url"), host, list(deny), list(include))), "url"))
+            counted(out)
+            at = F.concat("_ord", F.lit("/"), F.lpad(F.col("pos").cast("string"), 8, "0"))
+            nxt = out.filter("scope and allowed").groupBy("url").agg(F.min(F.struct(at.alias("ord"), "src")).alias("by"))
+            nxt = with_state(nxt.select("url", F.lit(depth).alias("depth"), F.col("by.src").alias("discovered_from"), F.lit("bfs").alias("discovered_by"), F.col("by.ord").alias("ord")))
+            nxt = cut(nxt)
+            front = upto(nxt, None if limit is None else limit - n_taken)
+            seen = seen.unionByName(front)
+            n_taken += 0 if limit is None else taken(front)
+            if not front.limit(1).count():
+                break
+        n_seen = None
+    total = reduce(DataFrame.unionByName, counters).agg(F.sum("excluded").alias("excluded"), F.sum("blocked").alias("robots_blocked"), F.sum("unavailable").alias("robots_unavailable"))
+    facts = seen.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "ok").alias("ok"), F.count_if(F.col("state") == "skipped").alias("skipped"),
+                     F.count_if(F.col("state") == "error").alias("errors"))
+    found = F.col("ok") if extracting else F.col("n")
+    stopped = F.when(found >= limit, "limit_reached").otherwise("scope_exhausted") if limit is not None else F.lit("scope_exhausted")
+    summary = facts.join(F.broadcast(total)).select(
+        (F.lit(n_seen) if n_seen is not None else F.col("n")).cast("long").alias("visited"), found.alias("discovered"),
+        (F.col("excluded") + F.when(F.lit(extracting), F.col("skipped")).otherwise(0)).alias("excluded"),
+        F.when(F.lit(extracting), F.col("errors")).otherwise(0).cast("long").alias("errors"), "robots_blocked", "robots_unavailable", stopped.alias("stopped_reason"))
+    urls = seen.withColumn("ord", F.concat(F.lpad(F.col("depth").cast("string"), 4, "0"), F.lit(":"), "ord"))
+    return Walk(urls.filter("state = 'ok'") if extracting else urls, summary)
+
+
+def map_site(pages: DataFrame, robots: DataFrame, seed: str, limit: int | None, **options) -> Walk:
+    """URLs that can be reached from the seed, or those of its sitemap."""
+    return walk(pages, robots, seed, limit, **options)
+
+
+def crawl_site(pages: DataFrame, robots: DataFrame, seed: str, limit: int | None, **options) -> tuple[DataFrame, DataFrame]:
+    """(documents, summary): a map of the site with every page extracted."""
+    found = walk(pages, robots, seed, limit, extracting=True, **options)
+    documents = found.urls.drop("state").join(D.extract_documents(pages), "url")
+    return documents, found.summary
+
+
+def crawl_domain(pages: DataFrame, robots: DataFrame, domain: str, max_pages: int | None, depth: int = 3, **options) -> dict[str, DataFrame]:
+    """A map of a domain: mapped (url, depth, category, ord), by_category (category,
+    urls in order), recommended (the first 20 that are docs, pricing, blog or product)."""
+    host = domain.split("://", 1)[-1].split("/", 1)[0]
+    found = walk(pages, robots, f"https://{host}", max_pages, max_depth=depth, **options)
+    mapped = found.urls.select("url", "depth", U.category(F.col("url")).alias("category"), "ord")
+    return {"mapped": mapped, "by_category": by_category(mapped), "recommended": recommended(mapped)}
+
+
+def by_category(mapped: DataFrame, order: str = "ord") -> DataFrame:
+    """(category, urls, n): the URLs of each category in order, as a report lists them."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "url")))
+    return mapped.groupBy("category").agg(F.transform(items, lambda x: x["url"]).alias("urls"), F.count(F.lit(1)).alias("n"))
+
+
+def recommended(mapped: DataFrame, order: str = "ord", most: int = 20) -> DataFrame:
+    """The first URLs, in map order, of the four categories worth extracting."""
+    return mapped.filter(F.col("category").isin([c for c, _ in U.CATEGORIES])).orderBy(order).limit(most)
 
 
-def bfs(edges: DataFrame, seed: str, max_depth: int = 3, limit: int = 1_000_000) -> DataFrame:
+def bfs(edges: DataFrame, seed: str, max_depth: int, limit: int | None) -> DataFrame:
     """(url, depth, discovered_from) reached from seed over edges (src, dst).
 
     One level a round, each a join of frontier and edges without what was seen;
-    of several parents the smallest counts, and the limit is filled in URL order.
+    of several parents the smallest counts, and the limit (None: none) is filled
+    in URL order.
     """
     spark = edges.sparkSession
-    edges = edges.select("src", "dst").filter("src <> dst").distinct()
+    edges = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     seen = spark.createDataFrame([(seed, 0, None)], "url string, depth int, discovered_from string")
-    front, left = seen, limit - 1
+    front, left = seen, None if limit is None else limit - 1
     for depth in range(1, max_depth + 1):
-        if left <= 0:
+        if left is not None and left <= 0:
             break
         nxt = (edges.join(front.select(F.col("url").alias("src")), "src").groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("discovered_from"))
-               .join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"), "discovered_from")
-               .orderBy("url").limit(left).checkpoint())
+               .join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"), "discovered_from"))
+        nxt = cut(nxt if left is None else nxt.orderBy("url").limit(left))
         n = nxt.count()
         if not n:
             break
-        left -= n
+        left = None if left is None else left - n
         seen, front = seen.unionByName(nxt), nxt
     return seen

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 
 def outcome_counts(events: DataFrame, key: str) -> DataFrame:
+    """Counts of each host; a failed fetch that fell back to a browser counts if the
+    column browser_fallback is there."""
+    fallback = F.count_if(F.col("browser_fallback")) if "browser_fallback" in events.columns else F.lit(0).cast("long")
     return events.groupBy(key).agg(
+        fallback.alias("n_fallbacks"),
         F.count_if(F.col("success")).alias("n_success"), F.count_if(F.col("blocked")).alias("n_blocked"),
         F.count_if(F.col("retry_reason").isNotNull()).alias("n_retries"), F.avg("latency_ms").alias("avg_latency_ms"))
 
@@ -48,6 +52,63 @@ def ewma(events: DataFrame, key: str, order: str, value: Column, keep: float = 0
     return rows.groupBy(key).agg(F.sum(F.col("_v") * weight).alias("state"))
 
 
+def proxy_health(events: DataFrame, key: str = "proxy", order: str = "ord", least: float = 0.3) -> DataFrame:
+    """(proxy, latency, successes, failures, health, healthy, recovered) of outcomes
+    (success, latency_ms).
+
+    The latency starts at 0 and moves only on a success; the health is the share of
+    successes once there are more than ten outcomes, 1 before; recovered counts the
+    outcomes that turned an unhealthy proxy healthy."""
+    w = W.partitionBy(key).orderBy(order)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = events.select(key, F.col(order), "success", "latency_ms", F.row_number().over(w).alias("_n"), F.count_if(F.col("success")).over(upto).alias("_ok"))
+    rows = rows.withColumn("_good", (F.col("_n") <= 10) | (F.col("_ok") / F.col("_n") >= least))
+    back = w.rowsBetween(1, W.unboundedFollowing)
+    rows = rows.withColumns({"_left": F.count_if(F.col("success")).over(back), "_was": F.coalesce(F.lag("_good").over(w), F.lit(True))})
+    n = F.count(F.lit(1))
+    ok = F.count_if(F.col("success"))
+    return rows.groupBy(key).agg(
+        F.coalesce(F.sum(F.when(F.col("success"), F.col("latency_ms") * 0.1 * F.pow(F.lit(0.9), "_left"))), F.lit(0.0)).alias("latency"),
+        ok.alias("successes"), (n - ok).alias("failures"), F.when(n > 10, ok / n).otherwise(1.0).alias("health"),
+        ((n <= 10) | (ok / n >= least)).alias("healthy"), F.count_if(F.col("_good") & ~F.col("_was")).alias("recovered"))
+
+
+def proxy_stats(proxies: DataFrame) -> DataFrame:
+    """(total, healthy, unhealthy)."""
+    return proxies.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("healthy")).alias("healthy"), F.count_if(~F.col("healthy")).alias("unhealthy"))
+
+
+def pick_proxies(requests: DataFrame, proxies: DataFrame, strategy: str = "round-robin", order: str = "ord", seed: int = 0) -> DataFrame:
+    """requests (ord: 0, 1, ...) with the proxy that a strategy picks among the healthy
+    ones (proxy, ord, successes, healthy): in turn, by a hash of the request (random),
+    or always the least used.  Proxies are a small table, held as one array; no
+    request has a proxy if none is healthy."""
+    pool = proxies.filter("healthy").agg(F.array_sort(F.collect_list(F.struct(F.col("successes") if strategy == "least-used" else F.lit(0).alias("successes"), "ord", "proxy"))).alias("_pool"))
+    n = F.size("_pool")
+    at = {"round-robin": F.pmod(F.col(order), n), "random": F.pmod(F.xxhash64(order, F.lit(seed)), n), "least-used": F.lit(0)}[strategy].cast("int")
+    return requests.crossJoin(F.broadcast(pool)).withColumn("proxy", F.when(n > 0, F.get("_pool", at)["proxy"])).drop("_pool")
+
+
+def limited_starts(requests: DataFrame, key: str = "host", ts_ms: str = "ms", took_ms: str = "took", order: str = "ord", slots: int = 3, gap_ms: int = 1000) -> DataFrame:
+    """(host, ord, start_ms) of requests in order of arrival: at most ``slots`` at a time
+    and ``gap_ms`` between two starts of a host.  A start waits for the request, for the
+    gap, and, if all slots are taken, for the first to be free; a host's requests must
+    fit a task."""
+    item = F.struct(F.col(ts_ms).cast("long").alias("at"), F.col(order).alias("ord"), F.col(took_ms).cast("long").alias("took"))
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(None).cast("long").alias("last"), none.alias("ends"), F.array().cast("array<struct<ord:bigint,start_ms:bigint>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        full = F.size(acc["ends"]) >= slots
+        at = F.greatest(x["at"], acc["last"] + gap_ms, F.when(full, F.array_min(acc["ends"])))
+        kept = F.when(full, F.slice(F.array_sort(acc["ends"]), 2, slots)).otherwise(acc["ends"])
+        return F.struct(at.alias("last"), F.concat(kept, F.array(at + x["took"])).alias("ends"),
+                        F.concat(acc["out"], F.array(F.struct(x["ord"].cast("long").alias("ord"), at.alias("start_ms")))).alias("out"))
+
+    folded = requests.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step).alias("s"))
+    return folded.select(key, F.inline("s.out"))
+
+
 def ordered_fold(events: DataFrame, key: str, order: str, value: Column, start: Column, step) -> DataFrame:
     """Fold of a key's values in order, for states that no sum expresses (token buckets)."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))), lambda x: x["v"])
@@ -77,9 +138,10 @@ def classified(reason: Column, auto_retried: Column) -> Column:
 
 
 def assign_workers(jobs: DataFrame, workers: DataFrame, most: int = 100_000) -> DataFrame:
-    """(job_id, worker_id, region) of jobs (job_id, namespace, preferred_region, ord)
-    over workers (worker_id, region, namespaces, active, capacity): in the job's
-    order a worker of the preferred region, then the least active, with room.
+    """(job_id, worker_id, region) of jobs (job_id, namespace, preferred_region, ord[,
+    completes]) over workers (worker_id, region, namespaces, active, capacity): in the
+    job's order a worker of the preferred region, then the least active, with room.
+    A row whose completes names an earlier job ends that one and is not assigned.
 
     Each choice depends on all before it, so it is one ordered fold on the driver
     over a cluster's tables; more than ``most`` jobs are refused, not cut."""
@@ -88,11 +150,18 @@ def assign_workers(jobs: DataFrame, workers: DataFrame, most: int = 100_000) ->
         raise ValueError(f"more than {most} jobs in one assignment")
     pool = [r.asDict() for r in workers.orderBy("worker_id").collect()]
     out = []
+    at: dict = {}
     for j in todo:
+        done = j.completes if "completes" in jobs.columns else None
+        if done is not None:
+            if at.get(done):
+                at[done]["active"] = max(0, at.pop(done)["active"] - 1)
+            continue
         able = [w for w in pool if j.namespace in w["namespaces"] and w["active"] < w["capacity"]]
         w = min(able, key=lambda x: (j.preferred_region is not None and x["region"] != j.preferred_region, x["active"]), default=None)
         if w:
             w["active"] += 1
+            at[j.job_id] = w
         out.append((j.job_id, w and w["worker_id"], w and w["region"]))
     return jobs.sparkSession.createDataFrame(out, "job_id string, worker_id string, region string")
 
@@ -106,18 +175,57 @@ def queue_state(events: DataFrame, max_retries: int = 2) -> DataFrame:
     return per.select("job_id", state.alias("state"), F.least("fails", F.lit(max_retries + 1)).alias("retries"))
 
 
-def token_bucket(events: DataFrame, key: str, ts_ms: str, rps: float = 2.0, burst: float = 5.0) -> DataFrame:
-    """(key, admitted, rejected) of a bucket that refills at rps up to burst."""
-    start = F.struct(F.lit(burst).alias("t"), F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("ok"), F.lit(0).cast("long").alias("no"))
+def token_bucket(events: DataFrame, key: str, ts_ms: str, rps: float = 2.0, burst: float = 5.0, kind: str | None = None, cooldown_ms: int = 30_000) -> DataFrame:
+    """(key, admitted, rejected, cooling) of a bucket that refills at rps up to burst.
 
-    def step(acc: Column, v: Column) -> Column:
-        have = F.least(F.lit(burst), acc["t"] + F.coalesce(v - acc["at"], F.lit(0)) / 1000.0 * rps)
-        ok = have >= 1.0
-        return F.struct(F.when(ok, have - 1.0).otherwise(have).alias("t"), v.alias("at"), (acc["ok"] + F.when(ok, 1).otherwise(0)).cast("long").alias("ok"),
-                        (acc["no"] + F.when(ok, 0).otherwise(1)).cast("long").alias("no"))
+    kind: a column in which ``backoff`` empties the bucket and begins a cooldown, in
+    which requests are refused (counted as cooling), not queued."""
+    start = F.struct(F.lit(burst).alias("t"), F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("until"), F.lit(0).cast("long").alias("ok"),
+                     F.lit(0).cast("long").alias("no"), F.lit(0).cast("long").alias("cool"))
 
-    folded = ordered_fold(events, key, ts_ms, F.col(ts_ms), start, step)
-    return folded.select(key, F.col("state.ok").alias("admitted"), F.col("state.no").alias("rejected"))
+    def step(acc: Column, v: Column) -> Column:
+        back, cool = v["b"], ~v["b"] & (v["at"] < acc["until"])
+        have = F.least(F.lit(burst), acc["t"] + F.coalesce(v["at"] - acc["at"], F.lit(0)) / 1000.0 * rps)
+        ok = ~back & ~cool & (have >= 1.0)
+        left = F.when(back, F.lit(0.0)).when(cool, acc["t"]).when(ok, have - 1.0).otherwise(have)
+        one = F.lit(1).cast("long")
+        return F.struct(left.alias("t"), F.when(cool, acc["at"]).otherwise(v["at"]).alias("at"), F.when(back, v["at"] + cooldown_ms).otherwise(acc["until"]).alias("until"),
+                        F.when(ok, acc["ok"] + one).otherwise(acc["ok"]).alias("ok"), F.when(back | cool | ok, acc["no"]).otherwise(acc["no"] + one).alias("no"),
+                        F.when(cool, acc["cool"] + one).otherwise(acc["cool"]).alias("cool"))
+
+    what = F.struct(F.col(ts_ms).alias("at"), (F.coalesce(F.col(kind) == "backoff", F.lit(False)) if kind else F.lit(False)).alias("b"))
+    folded = ordered_fold(events, key, ts_ms, what, start, step)
+    return folded.select(key, F.col("state.ok").alias("admitted"), F.col("state.no").alias("rejected"), F.col("state.cool").alias("cooling"))
+
+
+def live_workers(heartbeats: DataFrame, now: Column, interval_ms: int = 30_000) -> DataFrame:
+    """(worker_id, last_seen, alive): a worker is gone two intervals after its last heartbeat (worker_id, at)."""
+    seen = heartbeats.groupBy("worker_id").agg(F.max("at").alias("last_seen"))
+    return seen.withColumn("alive", F.col("last_seen") + F.make_dt_interval(secs=F.lit(2 * interval_ms / 1000)) > now)
+
+
+def reclaimed_jobs(processing: DataFrame, now: Column, gone: DataFrame | None = None, age_ms: int = 300_000) -> DataFrame:
+    """job_ids of processing (job_id, worker_id, started_at) to queue again: too old, or
+    of a worker that has shut down (worker_id)."""
+    old = processing.filter(F.col("started_at") + F.make_dt_interval(secs=F.lit(age_ms / 1000)) < now).select("job_id")
+    return old if gone is None else old.union(processing.join(gone.select("worker_id"), "worker_id", "left_semi").select("job_id")).distinct()
+
+
+def cluster_metrics(workers: DataFrame) -> DataFrame:
+    """(kind, name, workers, active_jobs): counts per namespace (of each that a worker
+    serves) and region, and the total."""
+    by_ns = workers.select(F.explode("namespaces").alias("name"), "active").groupBy("name").agg(F.count(F.lit(1)).alias("workers"), F.sum("active").alias("active_jobs"))
+    by_rg = workers.groupBy(F.col("region").alias("name")).agg(F.count(F.lit(1)).alias("workers"), F.sum("active").alias("active_jobs"))
+    total = workers.agg(F.count(F.lit(1)).alias("workers"), F.coalesce(F.sum("active"), F.lit(0)).alias("active_jobs")).withColumn("name", F.lit(None).cast("string"))
+    parts = [x.select(F.lit(k).alias("kind"), "name", "workers", "active_jobs") for k, x in (("namespace", by_ns), ("region", by_rg), ("total", total))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def counters(events: DataFrame, name: str = "event_type", at: str = "ord") -> DataFrame:
+    """(name, n) of the events since the last ``reset``: counters derived from the log."""
+    reset = events.filter(F.col(name) == "reset").agg(F.max(at).alias("_reset"))
+    since = events.crossJoin(F.broadcast(reset)).filter((F.col(name) != "reset") & (F.col("_reset").isNull() | (F.col(at) > F.col("_reset"))))
+    return since.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
 
 
 def schedule_ms(text: Column) -> Column:

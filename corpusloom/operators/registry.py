@@ -31,6 +31,28 @@ def merged(events: DataFrame, key: str, at: str, columns: list[str]) -> DataFram
     return events.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in columns], F.max(at).alias(at))
 
 
+def hydrated(index: DataFrame, entities: DataFrame, key: str = "task_id") -> DataFrame:
+    """The entities that an index (task_id, pos) lists, in its order; ids without one are left out."""
+    return index.join(entities, key).orderBy("pos")
+
+
+def frontiers(events: DataFrame) -> DataFrame:
+    """Saved discovery frontiers (task_id, topic, queries, candidate_urls, seed_count,
+    expanded_count, at): what was saved last, latest first."""
+    cols = [c for c in events.columns if c not in ("task_id", "at")]
+    last = events.groupBy("task_id").agg(F.max_by(F.struct(*cols), "at").alias("r"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
+    return last.select("task_id", "r.*", "created_at", "updated_at").orderBy(F.desc("updated_at"), "task_id")
+
+
+def monitor_events(saved: DataFrame) -> DataFrame:
+    """Registry events of saved monitor tasks (task_id, topic, status, research_ids, at):
+    the task itself, and each research task that it relates to, with a link back."""
+    own = saved.select("task_id", F.lit("monitor_topic").alias("task_type"), "topic", "status", F.col("research_ids").alias("related"), "at")
+    back = saved.select(F.explode("research_ids").alias("r"), "topic", "task_id", "at").select(
+        F.col("r").alias("task_id"), F.lit("research_topic").alias("task_type"), "topic", F.lit("completed").alias("status"), F.array("task_id").alias("related"), "at")
+    return own.unionByName(back)
+
+
 def kept_deliveries(deliveries: DataFrame, keep: int = 100) -> DataFrame:
     """The last ``keep`` deliveries, latest first."""
     return deliveries.orderBy(F.desc("delivered_at"), "task_id").limit(keep)

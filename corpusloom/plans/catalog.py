@@ -120,19 +120,38 @@ def page_confidence(s, d):
     return scored_pages(s, d).select("page_id", "n_words", "n_links", F.round("confidence", 6).alias("confidence"), H.status_quality(F.lit(200)).cast("double").alias("quality"))
 
 
-@query(f"WITH {PAGES}, c AS ({_CONF}) SELECT page_id, {sql_any('lower(html)', H.APP_MARKERS)} AS app_markers, "
-       f"CASE WHEN {sql_any('lower(html)', H.APP_MARKERS)} AND length(text) < 200 THEN 'js_app_shell_detected' WHEN {_SCORE} < 0.45 THEN 'low_confidence' "
-       "WHEN length(text) < 120 AND n_scripts >= 3 THEN 'low_text_high_script_ratio' WHEN regexp_matches(html, '(?is)<noscript[\\s>].*?</noscript>') AND n_words < 40 THEN 'noscript_shell_detected' END AS reason FROM c")
+#: Pages that each rule of the ladder must catch, in its order; the last is any page.
+_FIX = [
+    ("js_app_shell_detected", "<title>t</title><body><div id='root'></div>"),
+    ("low_confidence", "<body>" + "word " * 20),
+    ("low_text_high_script_ratio", "<title>t</title><body><main>few words</main><script></script><script></script><script></script>"),
+    ("noscript_shell_detected", "<title>t</title><body><main>" + "longwords " * 15 + "</main><noscript>x</noscript>"),
+    ("thin_static_content", "<title>t</title><body><p>" + "longwords " * 14 + "</p><script></script><script></script>"),
+    ("dom_shell_detected", "<title>t</title><body><main>" + "longerwords " * 16 + "</main>" + "<script></script>" * 5),
+]
+
+
+@query(f"WITH {PAGES}, c AS ({_CONF}) SELECT page_id, {sql_any('lower(html)', H.APP_MARKERS)} AS app_markers, CASE WHEN {_SCORE} < 0.45 THEN 'low_confidence' END AS reason FROM c WHERE page_id % 7 = 6 "
+       "UNION ALL SELECT page_id, page_id % 7 = 0, CASE page_id % 7 " + " ".join(f"WHEN {i} THEN '{r}'" for i, (r, _) in enumerate(_FIX)) + " END FROM pages WHERE page_id % 7 < 6")
 def browser_retry_decision(s, d):
-    p, h = scored_pages(s, d), F.col("html")
+    own = F.get(F.array(*[F.lit(h) for _, h in _FIX]), (F.col("page_id") % 7).cast("int"))
+    p, h = read(s, d, "pages").withColumn("html", F.coalesce(own, "html")), F.col("html")
+    p = p.withColumns({"text": H.body_text(h), "title": H.title(h)})
+    p = p.withColumns({"n_words": H.word_count(F.col("text")), "n_links": F.size(H.hrefs(h)).cast("long")})
+    p = p.withColumn("confidence", H.confidence(h, F.col("title"), F.col("n_words"), F.col("n_links")))
     md = H.markdown(F.col("title"), F.col("text"))
     return p.select("page_id", H.app_markers(h).alias("app_markers"), H.retry_reason(h, F.col("text"), md, F.col("n_words"), F.col("confidence")).alias("reason"))
 
 
-@query("SELECT page_id, CASE WHEN contains(lower(html), 'docusaurus') THEN 'docusaurus' WHEN contains(lower(html), 'mkdocs') OR contains(lower(html), 'material') THEN 'mkdocs' "
-       "WHEN contains(lower(html), 'changelog') THEN 'changelog' WHEN regexp_matches(lower(html), '<article[\\s>]|<time[\\s>]') THEN 'article' ELSE 'docs' END AS kind FROM pages")
+#: The mark of each kind, put before a page of other markup, and the kind it makes.
+_KINDS = [("<p>Docusaurus</p>", "docusaurus"), ("<p>mkdocs</p>", "mkdocs"), ("<p>Changelog</p>", "changelog"), ("<time>1</time>", "article"),
+          ("<nav>a</nav><main>b</main>", "docs"), ("<b itemprop='price'>$ 5</b>", "product"), ("<p class='comment'>a</p><p class='comment'>b</p>", "forum"), ("<p>x</p>", None)]
+
+
+@query("SELECT page_id, CASE page_id % 9 " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(_KINDS) if k) + " WHEN 8 THEN 'article' END AS kind FROM pages")
 def structured_kind(s, d):
-    return read(s, d, "pages").select("page_id", H.structured_kind(F.col("url"), F.col("html")).alias("kind"))
+    mark = F.get(F.array(*[F.lit(f"<html><body>{m}</body></html>") for m, _ in _KINDS]), (F.col("page_id") % 9).cast("int"))
+    return read(s, d, "pages").select("page_id", S.structured(F.coalesce(mark, "html"), F.lit("https://x.example.com/a"))["kind"].alias("kind"))
 
 
 @query(f"WITH h AS (SELECT user_id % 50 AS b, count_if(event_type <> 'error') AS ok, count_if(event_type = 'error') AS bad FROM events GROUP BY 1), "
@@ -165,17 +184,27 @@ def _sql_category(p: str) -> str:
     return "CASE " + " ".join(f"WHEN {sql_any(p, w)} THEN '{n}'" for n, w in U.CATEGORIES) + " ELSE 'general' END"
 
 
-@query(f"SELECT category, count(*) AS n, min(page_id) AS first_page FROM (SELECT page_id, {_sql_category('lower(' + PATH + ')')} AS category FROM pages) GROUP BY 1")
-def url_category_counts(s, d):
-    return read(s, d, "pages").groupBy(U.category(F.col("url")).alias("category")).agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first_page"))
+#: Paths that pages are given in turn, so that every category occurs.
+_PATHS = ["/docs/a", "/Plan-b", "/news/c", "/feature", "/about", "/x"]
+_AT = "'https://h.example.com' || ['" + "', '".join(_PATHS) + "'][page_id % 6 + 1] || page_id"
+
+
+def _mapped(s, d) -> DataFrame:
+    at = F.concat(F.lit("https://h.example.com"), F.get(F.array(*[F.lit(p) for p in _PATHS]), (F.col("page_id") % 6).cast("int")), "page_id")
+    return read(s, d, "pages").select(F.col("page_id").alias("ord"), at.alias("url")).withColumn("category", U.category(F.col("url")))
+
+
+@query(f"SELECT ['docs', 'pricing', 'blog', 'product', 'general', 'general'][page_id % 6 + 1] AS category, count(*) AS n, md5(array_to_string(list({_AT} ORDER BY page_id), ' ')) AS urls FROM pages GROUP BY 1")
+def url_category_lists(s, d):
+    return crawl.by_category(_mapped(s, d)).select("category", "n", F.md5(F.array_join("urls", " ")).alias("urls"))
 
 
-@query(f"SELECT page_id FROM (SELECT page_id, {_sql_category('lower(' + PATH + ')')} AS c, {sql_any('lower(' + PATH + ')', U.EXPANSION)} AS e FROM pages) WHERE c <> 'general' OR e ORDER BY page_id LIMIT 20")
+@query(f"SELECT {_AT} AS url FROM pages WHERE page_id % 6 < 4 ORDER BY page_id LIMIT 20")
 def recommended_targets(s, d):
-    return read(s, d, "pages").filter((U.category(F.col("url")) != "general") | U.worth_expanding(F.col("url"))).orderBy("page_id").limit(20).select("page_id")
+    return crawl.recommended(_mapped(s, d)).select("url")
 
 
-@query("SELECT page_id, (('0x' || substr(md5(url), 1, 8))::BIGINT % 16)::BIGINT AS shard, substr(sha256('page' || '|' || url), 1, 24) AS cache_key FROM pages")
+@query("""SELECT page_id, (('0x' || substr(md5(url), 1, 8))::BIGINT % 16)::BIGINT AS shard, substr(sha256(to_json(['{"v":"page"}', '{"v":' || to_json(url) || '}'])::VARCHAR), 1, 24) AS cache_key FROM pages""")
 def url_shards(s, d):
     return read(s, d, "pages").select("page_id", U.shard(F.col("url"), 16).alias("shard"), U.cache_key(F.lit("page"), F.col("url")).alias("cache_key"))
 
@@ -198,9 +227,9 @@ ROBOTS = "# all\nUser-agent: *\nDisallow: /de/\nAllow: /de/1\nDisallow:\nUser-ag
 @query(f"WITH r AS (SELECT * FROM (VALUES ('/en/2', false), ('/en/25', true)) t(pattern, allow)), p AS (SELECT page_id, {PATH} AS path FROM pages) "
        "SELECT page_id, coalesce((SELECT arg_max(allow, length(pattern) * 2 + allow::INT) FROM r WHERE starts_with(path, pattern)), true) AS allowed FROM p")
 def robots_eval(s, d):
-    p = read(s, d, "pages").select(F.col("page_id").alias("url"), F.lit("o").alias("origin"), U.path(F.col("url")).alias("path"))
+    p = read(s, d, "pages").select("page_id", F.lit("o").alias("origin"), U.path(F.col("url")).alias("path"))
     rules = crawl.robots_rules(s.createDataFrame([("o", ROBOTS)], "origin string, body string"), "loom")
-    return crawl.robots_allowed(p, rules).select(F.col("url").alias("page_id"), "allowed")
+    return crawl.robots_allowed(p, rules).select("page_id", "allowed")
 
 
 @query("SELECT page_id, url AS loc, CASE WHEN page_id % 2 = 0 THEN 'weekly' END AS changefreq, 0.5::DOUBLE AS priority FROM pages")
@@ -211,11 +240,16 @@ def sitemap_parse(s, d):
     return sitemap_entries(p.select(F.col("page_id").alias("url"), xml.alias("xml"))).select(F.col("sitemap").alias("page_id"), "loc", "changefreq", "priority")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 997 AS b FROM orders WHERE o_custkey < 997), "
-       "r(node, depth) AS (SELECT 1, 0 UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = node WHERE depth < 3) SELECT node::VARCHAR AS url, min(depth)::INT AS depth FROM r GROUP BY 1")
+@query("WITH RECURSIVE e AS (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem "
+       "UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer), "
+       "r(node, depth) AS (SELECT 'c1', 0 UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = node WHERE depth < 4) SELECT node AS url, min(depth)::INT AS depth FROM r GROUP BY 1")
 def bfs_map(s, d):
-    e = read(s, d, "orders").filter("o_custkey < 997").select(F.col("o_custkey").cast("string").alias("src"), (F.col("o_orderkey") % 997).cast("string").alias("dst"))
-    return crawl.bfs(e, "1", 3).select("url", "depth")
+    def edge(t: str, a: str, b: str, x: str, y: str) -> DataFrame:
+        return read(s, d, t).select(F.concat(F.lit(x), a).alias("src"), F.concat(F.lit(y), b).alias("dst"))
+
+    e = (edge("orders", "o_custkey", "o_orderkey", "c", "o").unionByName(edge("lineitem", "l_orderkey", "l_suppkey", "o", "s"))
+         .unionByName(edge("supplier", "s_suppkey", "s_nationkey", "s", "n")).unionByName(edge("customer", "c_nationkey", "c_custkey", "n", "c")))
+    return crawl.bfs(e, "c1", 4, None).select("url", "depth")
 
 
 # ---- documents --------------------------------------------------------------------
@@ -259,20 +293,35 @@ def thin_filter_stats(s, d):
                                        F.count_distinct("source").alias("n_domains"))
 
 
-@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY source, substr(text, 1, 300)")
+_SIG = "source || ':' || lower(trim(regexp_replace(substr(text, 1, 300), '\\s+', ' ', 'g')))"
+
+
+@query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {_SIG}")
 def exact_signature_dedup(s, d):
     x = read(s, d, "documents").withColumn("sig", F.sha2(corpus.signature(F.col("source"), F.lit(""), F.col("text")), 256))
     return corpus.first_seen(x, "sig", "doc_id").select("doc_id")
 
 
-@query(f"WITH t AS (SELECT doc_id, source, list_distinct({sql_tokens('substr(text, 1, 600)')}) AS s FROM documents) "
-       "SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id AND len(a.s) > 0 AND len(b.s) > 0 "
-       "WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.88")
-def near_dup_pairs(s, d):
-    return corpus.similar_pairs(read(s, d, "documents")).select("a", "b")
+_SETS = f"t AS (SELECT doc_id, source, list_distinct({sql_tokens('substr(text, 1, 600)')}) AS s FROM documents)"
+_NEAR = "len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.88"
 
 
-@query()
+@query(f"WITH {_SETS} SELECT a.doc_id AS id, coalesce(min(b.doc_id) FILTER (len(a.s) > 0 AND list_sort(a.s) = list_sort(b.s)), a.doc_id) AS class_id, "
+       f"count(*) FILTER (len(a.s) > 0 AND len(b.s) > 0 AND a.doc_id <> b.doc_id AND {_NEAR})::BIGINT AS n_links FROM t a JOIN t b ON a.source = b.source GROUP BY a.doc_id")
+def near_dup_links(s, d):
+    return corpus.similar_links(read(s, d, "documents"))
+
+
+# the greedy choice one document at a time: kept grows by those without a kept neighbour
+_GREEDY = (f"t AS (SELECT doc_id, source, text, list_distinct({sql_tokens('substr(text, 1, 600)')}) AS s, {_SIG} AS g, "
+           f"(length(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) < 10 OR len({sql_tokens('text')}) < 3) AS thin FROM documents), "
+           f"b AS (SELECT b.doc_id, list(a.doc_id) AS nb FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id AND NOT a.thin AND NOT b.thin AND (a.g = b.g OR len(a.s) > 0 AND len(b.s) > 0 AND {_NEAR}) GROUP BY 1), "
+           "o AS (SELECT t.doc_id, coalesce(nb, []::BIGINT[]) AS nb, row_number() OVER (ORDER BY t.doc_id) AS i FROM t LEFT JOIN b USING (doc_id) WHERE NOT thin), "
+           "r(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.i, CASE WHEN len(list_intersect(r.kept, o.nb)) > 0 THEN r.kept ELSE list_append(r.kept, o.doc_id) END FROM r JOIN o ON o.i = r.i + 1), "
+           "k AS (SELECT unnest(arg_max(kept, i)) AS doc_id FROM r)")
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT t.doc_id AS id, k.doc_id IS NOT NULL AS kept FROM t LEFT JOIN k USING (doc_id)")
 def greedy_near_dedup(s, d):
     return corpus.greedy_dedup(read(s, d, "documents"))
 
@@ -398,9 +447,9 @@ def topic_digest(s, d):
 
 # ---- operations ------------------------------------------------------------------------
 
-@query(f"WITH {OUTCOME} SELECT host, count_if(success)::BIGINT AS n_success, count_if(blocked)::BIGINT AS n_blocked, count_if(retry_reason IS NOT NULL)::BIGINT AS n_retries, round(avg(latency_ms), 6) AS avg_latency_ms FROM o GROUP BY 1")
+@query(f"WITH {OUTCOME} SELECT host, count_if(success)::BIGINT AS n_success, count_if(blocked)::BIGINT AS n_blocked, count_if(event_type = 'click')::BIGINT AS n_fallbacks, count_if(retry_reason IS NOT NULL)::BIGINT AS n_retries, round(avg(latency_ms), 6) AS avg_latency_ms FROM o GROUP BY 1")
 def domain_metrics(s, d):
-    m = ops.outcome_counts(outcomes(s, d), "host")
+    m = ops.outcome_counts(outcomes(s, d).withColumn("browser_fallback", F.col("event_type") == "click"), "host")
     return m.withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
 
 
@@ -433,12 +482,26 @@ def host_policy_fold(s, d):
     return ops.host_policy(e).select("host", "attempts", F.round("success_rate", 6).alias("success_rate"), F.round("shell_rate", 6).alias("shell_rate"), "strategy")
 
 
-@query("WITH w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS l FROM events) "
-       "SELECT user_id, round(sum(value * pow(0.9::DOUBLE, l - 1) * CASE WHEN n = 1 THEN 1 ELSE 0.1::DOUBLE END), 6) AS latency, (count(*) <= 10 OR avg((event_type <> 'error')::INT) >= 0.3) AS healthy FROM w GROUP BY 1")
+@query("WITH w AS (SELECT user_id, event_id, value, event_type <> 'error' AS ok, row_number() OVER a AS n, count_if(event_type <> 'error') OVER a AS good, coalesce(sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS l "
+       "FROM events WINDOW a AS (PARTITION BY user_id ORDER BY event_id)), h AS (SELECT *, n <= 10 OR good / n >= 0.8 AS fit FROM w), q AS (SELECT *, coalesce(lag(fit) OVER (PARTITION BY user_id ORDER BY event_id), true) AS was FROM h) "
+       "SELECT user_id, round(sum(CASE WHEN ok THEN value * 0.1::DOUBLE * pow(0.9::DOUBLE, l) ELSE 0 END), 6) AS latency, round(CASE WHEN count(*) > 10 THEN count_if(ok) / count(*) ELSE 1 END, 6) AS health, arg_max(fit, event_id) AS healthy, count_if(fit AND NOT was)::BIGINT AS recovered FROM q GROUP BY 1")
 def proxy_health_fold(s, d):
-    ewma = ops.ewma(read(s, d, "events"), "user_id", "event_id", F.col("value"))
-    ratio = outcomes(s, d).groupBy(F.col("host").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("success").cast("int")).alias("ok"))
-    return ewma.join(ratio, "user_id").select("user_id", F.round("state", 6).alias("latency"), ((F.col("n") <= 10) | (F.col("ok") >= 0.3)).alias("healthy"))
+    h = ops.proxy_health(outcomes(s, d), "host", "ord", least=0.8)
+    return h.select(F.col("host").alias("user_id"), F.round("latency", 6).alias("latency"), F.round("health", 6).alias("health"), "healthy", "recovered")
+
+
+@query("WITH h AS (SELECT user_id, count(*) <= 10 OR avg((event_type <> 'error')::INT) >= 0.8 AS ok FROM events GROUP BY 1) SELECT count(*) AS total, count_if(ok)::BIGINT AS healthy, count_if(NOT ok)::BIGINT AS unhealthy FROM h")
+def proxy_stats(s, d):
+    return ops.proxy_stats(ops.proxy_health(outcomes(s, d), "host", "ord", least=0.8))
+
+
+@query("WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier WHERE s_acctbal > 0) SELECT event_id, s_suppkey AS in_turn, (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 ORDER BY s_nationkey, s_suppkey LIMIT 1) AS least_used "
+       "FROM events JOIN p ON i = event_id % n")
+def proxy_pick(s, d):
+    p = read(s, d, "supplier").select(F.col("s_suppkey").alias("proxy"), F.col("s_suppkey").alias("ord"), F.col("s_nationkey").alias("successes"), (F.col("s_acctbal") > 0).alias("healthy"))
+    e = read(s, d, "events").select("event_id")
+    turn = ops.pick_proxies(e, p, "round-robin", "event_id").withColumnRenamed("proxy", "in_turn")
+    return ops.pick_proxies(turn, p, "least-used", "event_id").withColumnRenamed("proxy", "least_used")
 
 
 _JOB = "CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' WHEN 'click' THEN 'dequeue' ELSE 'enqueue' END"
@@ -462,17 +525,30 @@ def rate_limit_gaps(s, d):
     return e.groupBy("user_id").agg(F.count_if(F.col("ts") - F.col("p") < F.expr("interval 1 second")).alias("n_close"))
 
 
-@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+_RUSH = "SELECT user_id % 40 AS k, event_id AS i, event_id * 10 AS ms, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS n FROM events"
+
+
+@query(f"WITH RECURSIVE e AS ({_RUSH}), r(k, n, ms, t, ok) AS (SELECT k, n, ms, 4.0::DOUBLE, 1 FROM e WHERE n = 1 UNION ALL "
+       "SELECT k, n, ms, CASE WHEN h >= 1 THEN h - 1 ELSE h END, (h >= 1)::INT FROM (SELECT e.k, e.n, e.ms, least(5.0::DOUBLE, r.t + (e.ms - r.ms) / 1000.0::DOUBLE * 2.0::DOUBLE) AS h FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)) "
+       "SELECT k, sum(ok)::BIGINT AS admitted, count(*) - sum(ok)::BIGINT AS rejected FROM r GROUP BY 1")
 def token_bucket_admission(s, d):
-    e = read(s, d, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    return ops.token_bucket(e, "user_id", "ms").select("user_id", (F.col("admitted") + F.col("rejected")).alias("n"))
+    e = read(s, d, "events").select((F.col("user_id") % 40).alias("k"), (F.col("event_id") * 10).alias("ms"))
+    return ops.token_bucket(e, "k", "ms").select("k", "admitted", "rejected")
+
 
+@query(f"WITH RECURSIVE e AS ({_RUSH}), r(k, n, i, st, ends) AS (SELECT k, n, i, ms, [ms + 2500] FROM e WHERE n = 1 UNION ALL SELECT k, n, i, st, list_append(CASE WHEN len(ends) >= 3 THEN list_sort(ends)[2:] ELSE ends END, st + 2500) "
+       "FROM (SELECT e.k, e.n, e.i, greatest(e.ms, r.st + 1000, CASE WHEN len(r.ends) >= 3 THEN list_min(r.ends) ELSE 0 END) AS st, r.ends FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)) SELECT k, i AS ord, st AS start_ms FROM r")
+def limiter_starts(s, d):
+    e = read(s, d, "events").select((F.col("user_id") % 40).alias("k"), F.col("event_id").alias("ord"), (F.col("event_id") * 10).alias("ms"), F.lit(2500).alias("took"))
+    return ops.limited_starts(e, "k")
 
-@query("SELECT n_name AS namespace, r_name AS region, count(*) AS workers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((n_name), (r_name), ())")
-def namespace_region_metrics(s, d):
+
+@query("WITH w AS (SELECT r_name AS region, [n_name, 'all'] AS ns, s_suppkey % 5 AS a FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) "
+       "SELECT 'namespace' AS kind, n AS name, count(*) AS workers, sum(a)::BIGINT AS active_jobs FROM (SELECT unnest(ns) AS n, a FROM w) GROUP BY n UNION ALL SELECT 'region', region, count(*), sum(a)::BIGINT FROM w GROUP BY region "
+       "UNION ALL SELECT 'total', NULL, count(*), sum(a)::BIGINT FROM w")
+def cluster_metrics(s, d):
     x = read(s, d, "supplier").join(read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    ns, rg = F.col("n_name"), F.col("r_name")
-    return x.groupingSets([[ns], [rg], []], ns, rg).agg(F.count(F.lit(1)).alias("workers")).select(ns.alias("namespace"), rg.alias("region"), "workers")
+    return ops.cluster_metrics(x.select(F.col("r_name").alias("region"), F.array("n_name", F.lit("all")).alias("namespaces"), (F.col("s_suppkey") % 5).alias("active")))
 
 
 @query("SELECT user_id AS key, arg_max(value, event_id) AS value FROM events WHERE ts + INTERVAL 10 DAY >= TIMESTAMP '2024-01-30' GROUP BY 1")
@@ -494,7 +570,7 @@ _H1 = ("trim(regexp_replace(" + sql_unescape("regexp_replace(coalesce(nullif(reg
        "regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), '(?s)<[^>]*>', '', 'g')") + ", '\\s+', ' ', 'g'))")
 
 
-@query(f"WITH k AS ({SQL['structured_kind'].replace('page_id,', 'page_id, html,')}) SELECT page_id, kind, CASE WHEN kind IN ('docusaurus', 'mkdocs') THEN 'other' WHEN kind = 'changelog' THEN 'article' ELSE kind END AS category, "
+@query("WITH k AS (SELECT page_id, html, 'article' AS kind FROM pages) SELECT page_id, kind, CASE WHEN kind IN ('docusaurus', 'mkdocs') THEN 'other' WHEN kind = 'changelog' THEN 'article' ELSE kind END AS category, "
        f"CASE WHEN kind = 'article' THEN nullif({_H1}, '') END AS headline FROM k")
 def page_structured(s, d):
     x = read(s, d, "pages").select("page_id", S.structured(F.col("html"), F.col("url")).alias("s"))
@@ -589,7 +665,10 @@ def retry_outcomes(s, d):
     return c.groupBy("c.label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c.shell")).alias("n_shell"), F.sum(F.col("c.retry_count").cast("long")).alias("n_retries"))
 
 
-@query()
+@query("WITH RECURSIVE n AS (SELECT n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation), g AS (SELECT list(r_name ORDER BY r_name) AS names, list(r_regionkey ORDER BY r_name) AS keys FROM region), "
+       "r(i, job, w, a) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0::BIGINT, [0, 0, 0, 0, 0] UNION ALL SELECT i, n_name, w, list_transform(a, lambda x, k: CASE WHEN k = w THEN x + 1 ELSE x END) FROM ("
+       "SELECT n.i, n_name, r.a, coalesce(list_sort(list_transform(list_filter(range(1, 6), lambda k: r.a[k] < 4), lambda k: {'p': (keys[k] <> n_regionkey)::INT, 'a': r.a[k], 'k': k}))[1].k, 0) AS w FROM r JOIN n ON n.i = r.i + 1, g)) "
+       "SELECT job AS job_id, CASE WHEN w > 0 THEN names[w] END AS worker_id, CASE WHEN w > 0 THEN keys[w]::VARCHAR END AS region FROM r, g WHERE i > 0")
 def worker_assignment(s, d):
     jobs = read(s, d, "nation").select(F.col("n_name").alias("job_id"), F.lit("web").alias("namespace"), F.col("n_regionkey").cast("string").alias("preferred_region"), F.col("n_nationkey").alias("ord"))
     workers = read(s, d, "region").select(F.col("r_name").alias("worker_id"), F.col("r_regionkey").cast("string").alias("region"), F.array(F.lit("web")).alias("namespaces"),
@@ -604,7 +683,7 @@ def page_search(s, d):
     return research.search(p, TOPIC, 10, key="page_id", exclude=["casino"]).select("page_id", "rank")
 
 
-@query()
+@query(f"WITH RECURSIVE {_GREEDY} SELECT count(*) AS n, count_if(thin)::BIGINT AS n_thin, count(k.doc_id) AS n_kept, (count(*) - count(k.doc_id)) / count(*) AS duplicate_ratio FROM t LEFT JOIN k USING (doc_id)")
 def dedupe_stats(s, d):
     x = read(s, d, "documents")
     return research.dedupe_stats(corpus.greedy_dedup(x), x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,49 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder that the cluster
+    names in spark.checkpoint.dir; a temporary one is set only where that is unset
+    and there is one machine."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="loom-"))
+    return df.checkpoint()
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON log; a line that is no JSON gives a row of nulls, which is left out."""
+    rows = spark.read.schema(schema).json(path)
+    return rows.filter(F.greatest(*[F.col(c).isNotNull() for c in rows.columns]))
+
+
+# ---- key-value cache: an event log, so that writers never wait ---------------------
+
+def kv_state(log: DataFrame) -> DataFrame:
+    """Current entries (key, value, created_at, expires_at) of a log (op set, delete or
+    clear; key, value, ttl_s, at): what was set last and not deleted or cleared since.
+    A ttl of 0 or null never expires; equal times go to the set."""
+    cleared = log.agg(F.max(F.when(F.col("op") == "clear", F.col("at"))).alias("_clear"))
+    rank = F.struct("at", (F.col("op") == "set").alias("s"))
+    last = log.filter("op <> 'clear'").groupBy(kv_key(F.col("key")).alias("key")).agg(F.max_by(F.struct("op", "value", "ttl_s", "at"), rank).alias("r"))
+    live = last.crossJoin(F.broadcast(cleared)).filter("r.op = 'set' and (_clear is null or r.at > _clear)")
+    until = F.when(F.coalesce("r.ttl_s", F.lit(0)) > 0, F.col("r.at") + F.make_dt_interval(secs=F.col("r.ttl_s")))
+    return live.select("key", F.col("r.value").alias("value"), F.col("r.at").alias("created_at"), until.alias("expires_at"))
+
+
+def kv_key(key: Column) -> Column:
+    return F.regexp_replace(key, "[^A-Za-z0-9_]", "_")
+
+
+def kv_stats(lookups: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
+    """(hits, misses) of looked-up keys against the entries that still hold."""
+    found = lookups.select(kv_key(F.col("key")).alias("key")).join(unexpired(entries, now).select("key", F.lit(True).alias("_hit")), "key", "left")
+    return found.agg(F.count_if(F.col("_hit")).alias("hits"), F.count_if(F.col("_hit").isNull()).alias("misses"))
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Append rows as JSON lines."""
     df.write.mode("append").json(path)

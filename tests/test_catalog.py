@@ -8,13 +8,13 @@ import pandas as pd
 import pytest
 
 from corpusloom.operators import corpus, ops
-from corpusloom.plans import catalog
+from corpusloom.plans import catalog, sites  # noqa: F401 - sites adds its queries
 
 DIR = "/root/testdata/sf0.001"
 
 
 def cell(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return "NULL"
     if isinstance(v, float) and v == int(v):
         return str(int(v))
@@ -51,7 +51,10 @@ def test_greedy_dedup_is_not_transitive(spark):
 
 def test_token_bucket(spark):
     df = spark.createDataFrame([("a", t) for t in (0, 0, 0, 0, 0, 0, 500)], "k string, ms long")
-    assert [tuple(r) for r in ops.token_bucket(df, "k", "ms").collect()] == [("a", 6, 1)]
+    assert [tuple(r) for r in ops.token_bucket(df, "k", "ms").collect()] == [("a", 6, 1, 0)]
+    rows = [("a", 0, "request"), ("a", 100, "backoff"), ("a", 20_000, "request"), ("a", 31_000, "request")]
+    df = spark.createDataFrame(rows, "k string, ms long, kind string")
+    assert [tuple(r) for r in ops.token_bucket(df, "k", "ms", kind="kind").collect()] == [("a", 2, 0, 1)]
 
 
 def test_stream_windows_equal_batch(spark, tmp_path):
