@@ -57,16 +57,19 @@ def _ratio(a: Column, b: Column) -> Column:
 def _repeat_words() -> Column:
     """Words covered by 3-word windows that occur at least twice.
 
-    Windows are sorted with their positions; equal neighbours are repeats.
-    Covered words are counted from the sorted positions: each window covers
-    min(3, distance to the next repeated window) words of its own.
+    Hashes of windows are sorted with their positions; neighbours of one hash and
+    the same words are repeats.  Covered words are counted from the sorted
+    positions: each window covers min(3, distance to the next repeated window)
+    words of its own.
     """
-    repeats = F.filter(
-        "_sorted",
-        lambda x, i: x["w"].eqNullSafe(F.get("_sorted", i - 1)["w"]) | x["w"].eqNullSafe(F.get("_sorted", i + 1)["w"]),
-    )
-    at = F.sort_array(F.transform(repeats, lambda x: x["i"]))
-    return at
+    def same(x: Column, y: Column) -> Column:
+        ok = x["w"] == y["w"]
+        for j in range(3):
+            ok = ok & (F.get("_words", x["i"] + j) == F.get("_words", y["i"] + j))
+        return F.coalesce(ok, F.lit(False))
+
+    repeats = F.filter("_sorted", lambda x, i: same(x, F.get("_sorted", i - 1)) | same(x, F.get("_sorted", i + 1)))
+    return F.sort_array(F.transform(repeats, lambda x: x["i"]))
 
 
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
@@ -81,19 +84,15 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
+        "n_symbols": F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_stop": F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
-        "n_upper": F.size(F.filter("_words", lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w))).cast("long"),
-        "_windows": F.when(
-            F.size("_words") >= 3,
-            F.transform(
-                F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(1))),
-                lambda w, i: F.concat_ws(" ", w, F.get("_words", i + 1), F.get("_words", i + 2)),
-            ),
-        ),
+        "n_stop": F.size(F.filter("_words", lambda w: (F.length(w) <= max(map(len, STOP_WORDS))) & F.lower(w).isin(STOP_WORDS))).cast("long"),
+        "n_upper": F.size(F.filter("_words", lambda w: (F.upper(w) == w) & (F.length(w) > 1) & (F.lower(w) != w))).cast("long"),
+        "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
     })
+    df = df.withColumn("_windows", F.when(F.size("_hashes") >= 3, F.transform(
+        F.slice("_hashes", 1, F.greatest(F.size("_hashes") - 2, F.lit(1))), lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2)))))
     # Most texts repeat no window: only the others are sorted.
     df = df.withColumn("_sorted", F.when(
         F.size(F.array_distinct("_windows")) < F.size("_windows"),
@@ -111,7 +110,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         "stop_ratio": _ratio(F.col("n_stop"), F.col("n_words")),
         "upper_ratio": _ratio(F.col("n_upper"), F.col("n_words")),
         "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_lines")),
-    }).drop("_text", "_words", "_lines", "_windows", "_sorted", "_at")
+    }).drop("_text", "_words", "_lines", "_hashes", "_windows", "_sorted", "_at")
 
 
 def base_failed() -> Column:
