@@ -15,9 +15,17 @@ Texts are compared as code points with A-Z lowered and each run of ASCII white
 space as one space; whole texts are read.  The benchmark is taken in blocks of
 at most ``BLOCK_CHARS`` characters, each a bounded broadcast.
 
+Hits are expanded to the items that hold their q-gram in chunks of bounded size,
+in order of position, and bands that no later position can reach are settled; all
+candidates of a slice are aligned together, so a template shared by thousands of
+items costs array operations, not a loop over them.
+
 Defined cases: null and empty texts and items match nothing; items shorter than
-q characters after normalisation match nothing; repeated documents and items
-are judged one by one; empty tables give no matches.
+q characters after normalisation match nothing; an item with a null id counts
+like any other and its matches have a null item_id; repeated documents and items
+are judged one by one; of regions at equal distance the first is reported; texts
+of any length are read whole; extra columns are ignored (``clean`` keeps them),
+whatever their names; empty tables give no matches.
 """
 
 from __future__ import annotations
@@ -40,6 +48,8 @@ EDIT_RATE = 0.08
 BLOCK_CHARS = 4_000_000
 SLICE_CHARS = 1 << 19
 BITS = 23
+#: Entries that hits are expanded to at once, and candidates that are aligned together.
+EXPAND, ALIGN = 2_000_000, 20_000
 
 MATCHES = "doc_id long, item_id long, start long, n_chars long, distance int"
 
@@ -80,37 +90,55 @@ def qgrams(c: np.ndarray, q: int = Q) -> np.ndarray:
         width *= 2
 
 
+def align(items: list[np.ndarray], text: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, end in the region) of the best match of each whole item inside its
+    region text[start:end] whose path stays on ``width`` diagonals from low on (region
+    position minus item position); the distance is k + 1 if none is within k.
+
+    All items move one character a step; those that cannot match any more leave."""
+    n, size = np.array([len(x) for x in items]), end - start
+    chars = np.zeros((len(items), int(n.max(initial=0))), np.uint32)
+    for r, x in enumerate(items):
+        chars[r, :len(x)] = x
+    big, step = k + 1, np.arange(width)
+    best, at = np.full(len(items), big), np.zeros(len(items), np.int64)
+    live = np.arange(len(items))
+    j = step + low[:, None]
+    row = np.where((j >= 0) & (j <= size[:, None]), 0, big).astype(np.int32)  # the match may start anywhere
+    for i in range(chars.shape[1]):
+        j = step + low[live][:, None] + i  # region position consumed on each diagonal
+        inside = (j >= 0) & (j < size[live][:, None])
+        same = inside & (text[np.minimum(start[live][:, None] + np.maximum(j, 0), len(text) - 1)] == chars[live, i][:, None])
+        sub = np.where(inside, row + ~same, big)
+        cur = np.minimum(sub[:, :-1], row[:, 1:] + 1)  # or an item character without partner
+        cur = np.concatenate([cur, np.minimum(sub[:, -1:], big)], 1)
+        cur = np.minimum.accumulate(cur - step, 1) + step  # region characters without partner
+        cur[(j + 1 < 0) | (j + 1 > size[live][:, None])] = big
+        row = np.minimum(cur, big).astype(np.int32)
+        least = row.min(1)
+        done = n[live] == i + 1
+        if done.any():
+            where = row[done].argmin(1)
+            best[live[done]], at[live[done]] = least[done], where + low[live[done]] + n[live[done]]
+        stay = ~done & (least <= k)
+        if not stay.all():
+            live, row = live[stay], row[stay]
+            if not len(live):
+                break
+    return best, at
+
+
 def band_distance(item: np.ndarray, region: np.ndarray, low: int, high: int, k: int) -> tuple[int, int]:
-    """(distance, end) of the best match of the whole item inside region whose
-    path stays on diagonals low..high (region position minus item position);
-    distance is k + 1 if none is within k."""
-    width = high - low + 1
-    step = np.arange(width)
-    big = k + 1
-    row = np.where((step + low >= 0) & (step + low <= len(region)), 0, big)  # the match may start anywhere
-    for i in range(1, len(item) + 1):
-        j = step + low + i - 1  # region position consumed on each diagonal
-        inside = (j >= 0) & (j < len(region))
-        same = np.zeros(width, bool)
-        same[inside] = region[j[inside]] == item[i - 1]
-        sub = row + ~same
-        sub[~inside] = big
-        drop = np.append(row[1:], big) + 1  # item character without partner
-        cur = np.minimum(sub, drop)
-        cur = np.minimum.accumulate(cur - step) + step  # region characters without partner
-        cur[(j + 1 < 0) | (j + 1 > len(region))] = big
-        row = np.minimum(cur, big)
-        if row.min() > k:
-            return big, 0
-    best = int(row.argmin())
-    return int(row[best]), best + low + len(item)
+    """align of one item inside a whole region on diagonals low..high."""
+    dist, end = align([item], region, np.array([0]), np.array([len(region)]), np.array([low]), high - low + 1, k)
+    return int(dist[0]), int(end[0])
 
 
 @dataclass
 class Index:
     """The q-grams of a block of items."""
 
-    ids: np.ndarray
+    ids: list
     items: list[np.ndarray]
 
     def __post_init__(self):
@@ -132,8 +160,8 @@ class Index:
         tiles = -(-spans // self.window)
         self.dense = int((-(-self.least // tiles)).min()) if len(spans) else 1
 
-    def candidates(self, c: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, lowest, highest diagonal) of bands that meet the lemma's bound.
+    def candidates(self, c: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Arrays of (item, lowest, highest diagonal) of bands that meet the lemma's bound.
         bounds: the ends of the documents laid side by side in c."""
         g = qgrams(c)
         if not len(g) or not len(self.gram):
@@ -155,33 +183,57 @@ class Index:
         at, lo, count = at[count > 0], lo[count > 0], count[count > 0]
         if not len(at):
             return
-        entry = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        item, diagonal = self.owner[entry], np.repeat(at, count) - self.pos[entry]
-        step = self.k[item] + 1
-        band = np.floor_divide(diagonal, step)
-        key = np.concatenate([item * (1 << 40) + band + (1 << 30), item * (1 << 40) + band - 1 + (1 << 30)])
-        key, n = np.unique(key, return_counts=True)
-        who = key >> 40
-        ok = n >= self.least[who]
-        for i, b in zip(who[ok].tolist(), ((key[ok] & ((1 << 40) - 1)) - (1 << 30)).tolist()):
-            s = int(self.k[i]) + 1
-            yield i, b * s, (b + 2) * s - 1
+        reach = int(max(map(len, self.items)))
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends = np.cumsum(count)
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + EXPAND, "right")))
+            many = count[a:b]
+            entry = np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            item, diagonal = self.owner[entry], np.repeat(at[a:b], many) - self.pos[entry]
+            band = np.floor_divide(diagonal, self.k[item] + 1)
+            new, n = np.unique(np.concatenate([item * (1 << 40) + band + (1 << 30), item * (1 << 40) + band - 1 + (1 << 30)]), return_counts=True)
+            keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate([counts, n])).astype(np.int64)
+            a = b
+            who, first = keys >> 40, (keys & ((1 << 40) - 1)) - (1 << 30)
+            s = self.k[who] + 1
+            # a band is settled once every later hit lies on higher diagonals
+            over = np.ones(len(keys), bool) if a == len(at) else (first + 2) * s - 1 < at[a] - reach
+            ok = over & (counts >= self.least[who])
+            if ok.any():
+                yield who[ok], first[ok] * s[ok], (first[ok] + 2) * s[ok] - 1
+            keys, counts = keys[~over], counts[~over]
 
     def matches(self, c: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(document, item) -> (distance, start, end) of the best verified region."""
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i, low, high in self.candidates(c, bounds):
-            item, k = self.items[i], int(self.k[i])
-            # the band may straddle two documents: judge it in each that it touches
-            d0 = int(np.searchsorted(bounds, max(low - k, 0), "right")) - 1
-            d1 = int(np.searchsorted(bounds, max(high + len(item) + k, 1), "left")) - 1
-            for d in range(max(d0, 0), min(d1, len(bounds) - 2) + 1):
-                a, b = max(int(bounds[d]), low - k), min(int(bounds[d + 1]), high + len(item) + k)
-                if b - a < len(item) - k or found.get((d, i), (k + 1,))[0] == 0:
-                    continue
-                dist, end = band_distance(item, c[a:b], low - k - a, high + k - a, k)
-                if dist <= k and dist < found.get((d, i), (k + 1,))[0]:
-                    found[d, i] = (dist, max(int(bounds[d]), a + end - len(item)), a + end)
+        lengths = np.array([len(x) for x in self.items], np.int64)
+        for item, low, high in self.candidates(c, bounds):
+            k, n = self.k[item], lengths[item]
+            # a band may straddle two documents: it is judged in each that it touches
+            d0 = np.maximum(np.searchsorted(bounds, np.maximum(low - k, 0), "right") - 1, 0)
+            d1 = np.minimum(np.searchsorted(bounds, np.maximum(high + n + k, 1), "left") - 1, len(bounds) - 2)
+            many = np.maximum(d1 - d0 + 1, 0)
+            x = np.repeat(np.arange(len(item)), many)
+            doc = np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many) + d0[x]
+            a, b = np.maximum(bounds[doc], (low - k)[x]), np.minimum(bounds[doc + 1], (high + n + k)[x])
+            fits = b - a >= (n - k)[x]
+            x, doc, a, b = x[fits], doc[fits], a[fits], b[fits]
+            order = np.lexsort((n[x], k[x]))  # items of one budget, of like length
+            for part in np.split(order, np.flatnonzero(np.diff(k[x][order])) + 1):
+                for p in range(0, len(part), ALIGN):
+                    y = part[p:p + ALIGN]
+                    budget_ = int(k[x[y[0]]]) if len(y) else 0
+                    if not len(y):
+                        continue
+                    dist, end = align([self.items[i] for i in item[x[y]]], c, a[y], b[y], (low - k)[x[y]] - a[y], 2 * (budget_ + 1) + 2 * budget_, budget_)
+                    for r in np.flatnonzero(dist <= budget_):
+                        d, i, e = int(doc[y[r]]), int(item[x[y[r]]]), int(a[y[r]] + end[r])
+                        new = (int(dist[r]), max(int(bounds[d]), e - int(lengths[i])), e)
+                        if (d, i) not in found or new < found[d, i]:
+                            found[d, i] = new
         return found
 
     def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -211,10 +263,10 @@ def blocks(benchmark: DataFrame, key: str, text: str, block_chars: int = BLOCK_C
     for b in range(n):
         rows = (benchmark.filter(F.pmod(F.xxhash64(key, text), F.lit(n)) == b).select(key, text)
                 .orderBy(key, text).collect())
-        items = [(r[0], normalise(codes(r[1].strip()))[0]) for r in rows if r[0] is not None and r[1]]
+        items = [(r[0], normalise(codes(r[1].strip()))[0]) for r in rows if r[1]]
         items = [(i, c) for i, c in items if len(c) >= Q]
         if items:
-            yield Index(np.array([i for i, _ in items], np.int64), [c for _, c in items])
+            yield Index([i for i, _ in items], [c for _, c in items])
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
@@ -230,7 +282,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
             index = Index(*shared.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                found = [(ids[r], int(index.ids[i]), s, n, d) for r, i, s, n, d in index.scan(batch.column(1).to_pylist())]
+                found = [(ids[r], index.ids[i], s, n, d) for r, i, s, n, d in index.scan(batch.column(1).to_pylist())]
                 cols = list(zip(*found)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.int32())],
