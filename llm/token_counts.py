@@ -9,8 +9,9 @@ crosses such a position, so both sides are encoded as in the whole text.  If an
 overlap holds no such boundary it is doubled, up to the whole rest of the text.
 A vocabulary without that property encodes every text whole.
 
-Defined cases: a null text counts as empty (0 tokens); repeated rows count
-alike; an empty table gives no rows.
+Defined cases: a null text counts as empty (0 tokens); a null doc_id is passed
+on; repeated rows count alike; extra columns are ignored, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -117,7 +118,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return map_arrow(
-        docs.select(docs[key].alias("doc_id"), docs[text].alias("text")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,15 @@
 Each n-gram's presence is scaled by its log-count ratio between toxic and other
 labelled texts; a logistic regression is fitted on the scaled presences.  It is
 trained on a bounded sample of the labelled rows that are not held out
-(``TRAIN_PER_CLASS`` of each label, smallest hashes first).  Each sampled row
+(``TRAIN_PER_CLASS`` of each label at most, those below a hash that is computed
+from the label's count).  Each sampled row
 weighs the labelled rows of its label that it stands for, counted over all of
 them, so that the model learns their balance at any size.
 
 Defined cases: a null or empty text has no n-grams and scores the intercept; a
-null doc_id is never held out (the remainder of the empty string's CRC is used);
-repeated rows score alike; without labels of both kinds every score is the rate
+null doc_id is held out (the CRC of the empty string is 0) and never trains;
+labels of one doc_id that differ count as the larger; repeated rows score alike;
+extra columns are ignored, whatever their names; an empty table gives no rows; without labels of both kinds every score is the rate
 of label 1 (0 without labels); texts of any length are read whole.
 """
 
@@ -136,8 +138,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER
     count = {r.y: r.n for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for y in (0, 1):
-        part = (lab.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-                .withColumn("weight", F.lit(max(count.get(y, 0) / per_class, 1.0))))
+        n = count.get(y, 0)
+        share = min(1.0, 0.95 * per_class / max(n, 1))  # a threshold on the hash: nothing is sorted
+        part = lab.filter(F.col("y") == y)
+        if n > per_class:
+            part = part.filter(F.xxhash64("doc_id") < F.lit(int(-2**63 + share * (2**64 - 1)))).limit(per_class)
+        part = part.withColumn("weight", F.lit(max(n / per_class, 1.0)))
         picked = part if picked is None else picked.unionByName(part)
     return (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
             .groupBy("doc_id").agg(F.max("y").alias("y"), F.max("weight").alias("weight"), F.max("text").alias("text")).collect())
@@ -163,7 +169,7 @@ def score_texts(docs: DataFrame, model: NBLinear, key: str = "doc_id", text: str
                 a = b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
-    return map_arrow(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, score double")
+    return map_arrow(docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")), run, "doc_id long, score double")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
