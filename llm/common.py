@@ -40,9 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; a temporary
-    folder is set only where that is unset (single-machine tests)."""
+    folder is set only where that is unset and there is one machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="llm-work-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -60,7 +62,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._llm_path = path
+    return out
+
+
+def discard(table_: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    spark = table_.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_._llm_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

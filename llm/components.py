@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import written
+from llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def _rounds(edges: DataFrame) -> DataFrame:
     """components of distinct edges (a, b) by rounds over all of them."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = written(both.distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("c")), "labels")
+    table = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("c")), "labels")
+    labels = table
     while True:
         near = (both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("c").alias("m"))
                 .withColumnRenamed("a", "id"))
@@ -45,6 +46,8 @@ def _rounds(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("id").alias("c"), F.col("c").alias("above"))
         nxt = written(hooked.join(up, "c", "left").select("id", "old", F.least("c", F.coalesce("above", "c")).alias("c")), "labels")
         changed = nxt.filter("old <> c").limit(1).count()
-        labels = nxt.select("id", "c")
+        discard(table)  # the round before
+        table, labels = nxt, nxt.select("id", "c")
         if not changed:
+            discard(both)
             return labels.withColumnRenamed("c", "component")
