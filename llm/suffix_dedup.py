@@ -11,24 +11,26 @@ anchors at equal offsets and no match is missed.
 
 1. Anchors whose gram occurs once in the corpus are dropped (each fragment of
    the hash order counts its grams; one entry per gram and slice).
-2. The windows of an anchor go in steps of eight.  Their common 93 bytes are the
-   suffix's key: its leading eight bytes, then a fingerprint of all of it.
-   Splitters sampled in step 1 range-partition the suffixes by that key; a hot
-   leading token is cut further by the fingerprint, and equal suffixes always
-   share a bucket, so no comparison crosses a boundary.
-3. Buckets sort locally by key after key (suffix, then the seven bytes on each
-   side, then document and position); in each run of equal windows the first
-   stays and the others are marked.
-4. Marks go back to the documents.
-
-Suffixes repeated within one slice of documents are settled there (only the
-first is sent), so copies cost one entry per slice.  Fingerprints have 64 bits
-and are compared only below equal leading bytes of a bucket.
+2. An entry is the suffix at an anchor, as far as its windows reach, with the
+   bytes before it that they reach: real bytes, no hashes.  Splitters sampled in
+   step 1 range-partition the entries by their leading bytes; where a leading
+   token is hot, splitters differ further on, in the suffix or before it.
+3. Buckets sort their suffixes by multikey quicksort.  Windows at one offset from
+   the anchor are equal if their suffixes share a long enough prefix with all
+   between them and the bytes before are equal; all but the first are marked.
+4. Compare across boundaries: a window whose part of the suffix is also the
+   beginning of the bucket's first or last splitter may have equals in other
+   buckets.  Those that are the first of their bucket are compared by their bytes.
+5. Marks go back to the documents.
+
+Entries repeated within one slice of documents are settled there (only the first
+is sent), so copies cost one entry per slice.
 
 Defined cases: a null text is empty; a null doc_id comes before all others; rows
 that share a doc_id are documents of their own, in the order of their text's
 hash; equal rows count as copies in an order of their own, all but one removed;
-texts shorter than LENGTH lose nothing; an empty table gives no rows.
+texts shorter than LENGTH lose nothing; texts of any length are read whole; extra
+columns are kept in ``_row``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,15 +44,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import map_arrow, partitions, table, written
+from llm.common import by_key, data_parts, map_arrow, partitions, table, written
 from llm.kernels import BASE, BASE_INV, U64, byte_table, mix, powers, text_buffer
 
-LENGTH, GRAM, STEP = 100, 32, 8
+LENGTH, GRAM = 100, 32
+#: Bytes of an entry's suffix and of what is before it, filled up to whole words.
+RIGHT, LEFT = 104, 72
 #: Bytes of text whose windows are in memory at once.
 SLICE_BYTES = 1 << 20
 FRAGMENTS = 2
-#: One anchor in SAMPLE gives a splitter candidate; at most SPLITTERS are used.
-SAMPLE, SPLITTERS = 1024, 100_000
+#: One anchor in SAMPLE, or as few as give half of SPLITTERS, is a candidate for a splitter.
+SAMPLE, SPLITTERS = 1024, 20_000
 NULL_ID = np.iinfo(np.int64).min
 PARTS = "fragment int, batch long, kind int, a binary, b binary, c binary"
 
@@ -149,24 +153,107 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             a = b
 
 
-def _lead(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The leading eight bytes at each position as a big-endian number."""
-    out = np.zeros(len(at), U64)
-    for j in range(8):
-        out = (out << U64(8)) | buf[at + j].astype(U64)
+def entry_bytes(buf: np.ndarray, at: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """RIGHT bytes from each position on, then LEFT bytes before it, nearest first;
+    zero beyond n_right and n_left."""
+    out = np.zeros((len(at), RIGHT + LEFT), np.uint8)
+    j = np.arange(RIGHT, dtype=np.int32)
+    out[:, :RIGHT] = np.where(j < n_right[:, None], buf[np.minimum(at[:, None] + j, max(len(buf) - 1, 0))], 0) if len(at) else 0
+    j = np.arange(LEFT, dtype=np.int32)
+    out[:, RIGHT:] = np.where(j < n_left[:, None], buf[np.maximum(at[:, None] - 1 - j, 0)], 0) if len(at) else 0
     return out
 
 
+def words_of(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of big-endian words."""
+    return np.ascontiguousarray(rows).view(">u8").astype(U64)
+
+
+def multikey_quicksort(words: np.ndarray) -> np.ndarray:
+    """The order of rows of words, first word first.
+
+    A segment of rows that agree so far is split in three by the word at its depth:
+    the rows below the pivot's word, those equal to it, which go on with the next
+    word, and those above.  All segments are split at once."""
+    order = np.arange(len(words))
+    lo, hi, depth = np.zeros(1, np.int64), np.full(1, len(words), np.int64), np.zeros(1, np.int64)
+    while True:
+        todo = (hi - lo > 1) & (depth < words.shape[1])
+        lo, hi, depth = lo[todo], hi[todo], depth[todo]
+        if not len(lo):
+            return order
+        size = hi - lo
+        seg = np.repeat(np.arange(len(lo)), size)
+        pos = np.arange(len(seg)) - np.repeat(np.cumsum(size) - size, size) + lo[seg]
+        rows = order[pos]
+        key, pivot = words[rows, depth[seg]], words[order[(lo + hi) // 2], depth][seg]
+        side = 3 * seg + (key > pivot) + (key >= pivot)
+        order[pos] = rows[np.argsort(side, kind="stable")]
+        n = np.bincount(side, minlength=3 * len(lo)).reshape(-1, 3)
+        one, two = lo + n[:, 0], lo + n[:, 0] + n[:, 1]
+        lo, hi, depth = np.concatenate([lo, one, two]), np.concatenate([one, two, hi]), np.concatenate([depth, depth + 1, depth])
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of rows of bytes."""
+    differ = a != b
+    return np.where(differ.any(1), differ.argmax(1), a.shape[1])
+
+
+def classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each row in sorted order, common prefix of each sorted row with the one before)."""
+    order = multikey_quicksort(words_of(rows))
+    rank = np.empty(len(rows), np.int64)
+    rank[order] = np.arange(len(rows))
+    prefix = np.zeros(len(rows), np.int64)
+    prefix[1:] = common_prefix(rows[order[1:]], rows[order[:-1]])
+    return rank, prefix
+
+
+def repeats(rows: np.ndarray, low: np.ndarray, high: np.ndarray, bounds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries in document order, with windows that begin low..high bytes before
+    the anchor: the least and largest offset of a window that occurs in an earlier
+    entry (LENGTH and -1: none), and (entry, offset) of windows without an earlier
+    one that may have equals beyond the bounds, the keys at the bucket's ends."""
+    n = len(rows)
+    first, last = np.full(n, LENGTH), np.full(n, -1)
+    reach = np.zeros(n, np.int64)
+    for key in bounds:
+        reach = np.maximum(reach, common_prefix(rows[:, :RIGHT], np.broadcast_to(key[:RIGHT], (n, RIGHT))))
+    right, right_prefix = classes(rows[:, :RIGHT])
+    left, left_prefix = classes(rows[:, RIGHT:])
+    open_at, open_i = [], []
+    for i in range(int(low.min(initial=LENGTH)), int(high.max(initial=-1)) + 1):
+        who = np.flatnonzero((low <= i) & (i <= high))
+        a = np.cumsum(right_prefix < LENGTH - i)[right[who]]
+        b = np.cumsum(left_prefix < i)[left[who]]
+        key = a * (n + 1) + b
+        order = np.argsort(key, kind="stable")
+        again = np.zeros(len(who), bool)
+        again[order[1:]] = key[order[1:]] == key[order[:-1]]
+        x = who[again]
+        first[x], last[x] = np.minimum(first[x], i), i
+        y = who[~again]
+        y = y[reach[y] >= LENGTH - i]
+        open_at.append(y)
+        open_i.append(np.full(len(y), i))
+    none = np.zeros(0, np.int64)
+    return first, last, np.concatenate([none, *open_at]), np.concatenate([none, *open_i])
+
+
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(int(NULL_ID))).alias("id"), F.xxhash64(t).alias("h"), t.alias("text"))
 
 
 def shared_anchors(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(id, h, at): the positions of each document's repeated anchors; and the splitters."""
+    """(id, h, at): the positions of each document's repeated anchors; and the
+    splitters, rows of entry bytes in order."""
     spark = rows.sparkSession
     parts = partitions(spark)
-    n_frag = FRAGMENTS * parts
+    n_frag = data_parts(rows, FRAGMENTS * parts)
+    # about one anchor in 35 bytes of text; the estimate of bytes may be of compressed files
+    rate = U64(max(SAMPLE, n_frag * (64 << 20) // 10 // (SPLITTERS // 2)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -190,42 +277,32 @@ def shared_anchors(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
             rows = [(key % n_frag, key, 1,
                      pack(ids[used], hs[used], np.bincount(doc, minlength=len(off) - 1)[used].astype(np.int64)),
                      pack((a - off[doc]).astype(np.int32)), known.tobytes())]
-            pick = np.flatnonzero(g % U64(SAMPLE) == 0)
+            pick = np.flatnonzero(mix(g + ids[doc].view(U64) * U64(31) + a.astype(U64)) % rate == 0)
             if len(pick):
-                at = np.maximum(a[pick] - STEP * ((g[pick] // U64(SAMPLE)) % U64(5)).astype(np.int64), off[doc[pick]])
-                rows.append((key % n_frag, key, 3, np.stack([_lead(buf, at), mix(g[pick])], 1).tobytes(), b"", b""))
+                x = a[pick]
+                rows.append((key % n_frag, key, 3, entry_bytes(buf, x, x - s[pick], e[pick] + LENGTH - x).tobytes(), b"", b""))
             frag = ((gs >> U64(32)) * U64(n_frag)) >> U64(32)
             sent = np.flatnonzero(~same)
             sent = sent[np.argsort(frag[sent], kind="stable")]
-            cut = np.searchsorted(frag[sent], np.arange(n_frag + 1, dtype=U64))
+            cut = np.flatnonzero(np.concatenate([[True], frag[sent][1:] != frag[sent][:-1]]))
             low, where = gs.astype(np.uint32), order.astype(np.int32)
-            for f in range(n_frag):
-                x = sent[cut[f]:cut[f + 1]]
-                if len(x):
-                    rows.append((f, key, 0, low[x].tobytes(), where[x].tobytes(), b""))
+            for i, j in zip(cut, np.append(cut[1:], len(sent))):
+                x = sent[i:j]
+                rows.append((int(frag[x[0]]), key, 0, low[x].tobytes(), where[x].tobytes(), b""))
             yield _parts(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            forward = []
-            for f, key, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
-                if kind:
-                    forward.append((f, key, kind, a, b, c))
-                else:
-                    held.setdefault(f, []).append((key, np.frombuffer(a, np.uint32), np.frombuffer(b, np.int32)))
-            if forward:
-                yield _parts(forward)
-        for f in list(held):
-            rows = held.pop(f)
-            toks = np.concatenate([r[1] for r in rows])
+        for f, rows in by_key(batches):  # one fragment at a time
+            out = [(f, key, kind, a, b, c) for key, kind, a, b, c in rows if kind]
+            rows = [(key, np.frombuffer(a, np.uint32), np.frombuffer(b, np.int32)) for key, kind, a, b, _ in rows if not kind]
+            toks = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.uint32)
             order = np.argsort(toks, kind="stable")
             same = np.zeros(len(toks), bool)
             same[1:] = toks[order][1:] == toks[order][:-1]
             same[:-1] |= same[1:]
             shared = np.zeros(len(toks), bool)
             shared[order] = same
-            at, out = 0, []
+            at = 0
             for key, tok, where in rows:
                 hit = where[shared[at: at + len(tok)]]
                 at += len(tok)
@@ -237,230 +314,180 @@ def shared_anchors(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
     schema = "id long, h long, at binary"
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, hits = {}, {}
-        for batch in batches:
-            for f, key, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
-                if kind == 1:
-                    docs[key] = (a, b, c)
-                elif kind == 2:
-                    hits.setdefault(key, []).append(a)
-        for key, (a, b, c) in docs.items():
+        for _, rows in by_key(batches, 1):  # one slice of documents at a time
+            a, b, c = next(r[2:] for r in rows if r[1] == 1)
             ids, hs, n = np.frombuffer(unpack(a), np.int64).reshape(3, -1)
             pos, known = np.frombuffer(unpack(b), np.int32), np.frombuffer(c, np.uint8).astype(bool)
-            for x in hits.get(key, ()):
-                known[np.frombuffer(x, np.int32)] = True
+            for _, kind, x, *_ in rows:
+                if kind == 2:
+                    known[np.frombuffer(x, np.int32)] = True
             end = np.cumsum(n)
             any_ = np.add.reduceat(known, end - n) > 0 if len(n) else np.zeros(0, bool)
             out = [pos[e - k: e][known[e - k: e]].tobytes() for e, k in zip(end[any_], n[any_])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[any_]), pa.array(hs[any_]), pa.array(out, pa.binary())], names=["id", "h", "at"])
 
-    replies = written(map_arrow(map_arrow(rows, split, PARTS).repartition(parts, "fragment"), count, PARTS), "anchors")
-    sample = (replies.filter("kind = 3").select(F.explode(F.expr("transform(sequence(0, length(a) div 16 - 1), i -> substr(a, i * 16 + 1, 16))")).alias("p"))
-              .orderBy(F.xxhash64("p")).limit(SPLITTERS).collect())
-    pairs = np.array([np.frombuffer(r.p, U64) for r in sample], U64).reshape(-1, 2)
-    n_bucket = n_frag
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    take = order[np.linspace(0, len(order) - 1, n_bucket + 1).astype(int)[1:-1]] if len(order) else order
-    at = map_arrow(replies.filter("kind <> 3").repartition(parts, "batch"), total, schema)
-    return written(at, "shared-anchors"), pairs[take]
-
-
-def bucket_of(splitters: np.ndarray, lead: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Bucket of each (leading token, fingerprint) key."""
-    lo = np.searchsorted(splitters[:, 0], lead, "left")
-    hi = np.searchsorted(splitters[:, 0], lead, "right")
-    tied = np.flatnonzero(hi > lo)  # a hot token spans several splitters: the fingerprint decides
-    out = lo.copy()
-    for i in tied:
-        out[i] = lo[i] + np.searchsorted(splitters[lo[i]:hi[i], 1], fp[i], "right")
-    return out
-
+    def sorted_by(df: DataFrame, column: str) -> DataFrame:
+        return df.repartition(parts, column).sortWithinPartitions(column)
 
-def mark_repeats(core: np.ndarray, left: np.ndarray, right: np.ndarray, nl: np.ndarray, nr: np.ndarray) -> np.ndarray:
-    """Bit r of each entry is set if its r-th window occurs in an earlier entry.
-    Entries come in document order; left and right pack the bytes next to the core."""
-    mask = np.zeros(len(core), np.uint8)
-    for r in range(STEP):
-        want_l, want_r = STEP - 1 - r, r
-        ok = np.flatnonzero((nl >= want_l) & (nr >= want_r))
-        if len(ok) < 2:
-            continue
-        lm, rm = U64((1 << (8 * want_l)) - 1), U64((1 << (8 * want_r)) - 1)
-        key = mix(mix(core[ok] + (left[ok] & lm)) + mix((right[ok] & rm) + U64(r + 1)))
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        mask[ok[order[1:][same]]] |= np.uint8(1 << r)
-    return mask
+    replies = written(map_arrow(sorted_by(map_arrow(rows, split, PARTS), "fragment"), count, PARTS), "anchors")
+    sample = b"".join(bytes(r.a) for r in replies.filter("kind = 3").select("a").limit(SPLITTERS).collect())
+    full = np.sort(np.frombuffer(sample, f"S{RIGHT + LEFT}"))
+    take = np.unique(full[np.linspace(0, len(full) - 1, n_frag + 1).astype(int)[1:-1]]) if len(full) else full
+    at = map_arrow(sorted_by(replies.filter("kind <> 3"), "batch"), total, schema)
+    return written(at, "shared-anchors"), take
 
 
 def suffix_entries(buf: np.ndarray, off: np.ndarray, wanted: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(first window, core hash, left, right, nl, nr, lead) of every step of the wanted anchors."""
+    """(position, document, least and largest offset of its windows) of the wanted anchors."""
     g, a, s, e = anchors(buf, off)
     doc = np.searchsorted(off, a, side="right") - 1
-    keep = np.zeros(len(a), bool)
-    if len(a):
-        want = np.concatenate([off[i] + w.astype(np.int64) for i, w in enumerate(wanted)]) if wanted else np.zeros(0, np.int64)
-        keep = np.isin(a, want)
-    a, s, e, doc = a[keep], s[keep], e[keep], doc[keep]
-    c0, c1 = (a - e) // STEP, (a - s) // STEP
-    n = c1 - c0 + 1
-    i = np.repeat(np.arange(len(a)), n)
-    c = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + c0[i]
-    q = a[i] - STEP * c - (STEP - 1)  # windows start at q .. q + 7
-    d = doc[i]
-    ok = (q + STEP - 1 >= off[d]) & (q + LENGTH <= off[d + 1])
-    q, d = q[ok], d[ok]
-    order = np.argsort(q, kind="stable")
-    q, d = q[order], d[order]
-    one = np.ones(len(q), bool)
-    one[1:] = q[1:] != q[:-1]
-    q, d = q[one], d[one]
-    core = Rolling(buf, 5).at(q + STEP - 1, LENGTH - STEP + 1) if len(q) else np.zeros(0, U64)
-    nl, nr = np.minimum(STEP - 1, q + STEP - 1 - off[d]), np.minimum(STEP - 1, off[d + 1] - q - LENGTH)
-    left, right = np.zeros(len(q), U64), np.zeros(len(q), U64)
-    for j in range(STEP - 1):  # nearest byte first
-        x = q + STEP - 2 - j
-        left |= np.where(j < nl, buf[np.maximum(x, 0)], 0).astype(U64) << U64(8 * j)
-        y = q + LENGTH + j
-        right |= np.where(j < nr, buf[np.minimum(y, len(buf) - 1)], 0).astype(U64) << U64(8 * j)
-    return q, d, core, left, right, nl.astype(np.uint8), nr.astype(np.uint8), _lead(buf, q + STEP - 1)
+    want = np.concatenate([off[i] + w.astype(np.int64) for i, w in enumerate(wanted)]) if wanted else np.zeros(0, np.int64)
+    keep = np.isin(a, want) if len(a) else np.zeros(0, bool)
+    return a[keep], doc[keep], (a - e)[keep], (a - s)[keep]
 
 
 def removed_windows(rows: DataFrame, at: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """(id, h, q, mask): starts of the removed windows of each document, eight to a mask."""
+    """(id, h, q, n): start and length of the removed stretches of each document."""
     spark = rows.sparkSession
     parts = partitions(spark)
     n_bucket = len(splitters) + 1
+    ends = np.frombuffer(splitters.tobytes(), np.uint8).reshape(-1, RIGHT + LEFT)
     joined = rows.dropDuplicates(["id", "h"]).join(at.dropDuplicates(["id", "h"]), ["id", "h"])
 
-    def pieces(ids, hs, d, off, q) -> tuple[bytes, bytes]:
-        used, n = np.unique(d, return_counts=True)
-        return pack(ids[used], hs[used], n.astype(np.int64)), pack((q - off[d]).astype(np.int32))
-
-    def marks(ids, hs, q, mask) -> Iterator[tuple]:
-        """One row per partition of documents: marked entries, sorted by document."""
+    def marks(ids, hs, q, n) -> Iterator[tuple]:
+        """One row per partition of documents: removed stretches, sorted by document."""
         home = mix(ids.view(U64) ^ hs.view(U64)) % U64(parts)
         order = np.lexsort((q, hs, ids, home))
-        home, ids, hs, q, mask = home[order], ids[order], hs[order], q[order], mask[order]
-        cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
+        home, ids, hs, q, n = home[order], ids[order], hs[order], q[order], n[order]
+        cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(q) else np.zeros(0, np.int64)
         for a, b in zip(cut, np.append(cut[1:], len(q))):
-            yield int(home[a]), 0, 1, pack(ids[a:b], hs[a:b]), pack(q[a:b].astype(np.int32)), mask[a:b].tobytes()
+            yield 0, int(home[a]), 1, pack(ids[a:b], hs[a:b]), pack(q[a:b].astype(np.int32)), n[a:b].astype(np.uint8).tobytes()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        """Entries to their buckets (kind 0); a row's fragment is where it goes next."""
         for batch, lo, hi, *_ in _slices(batches):
             piece = batch.slice(lo, hi - lo)
             piece = piece.take(pa.array(np.lexsort((np.asarray(piece.column(1)), np.asarray(piece.column(0))))))
             buf, off = text_buffer(piece.column(2))
             ids, hs = np.asarray(piece.column(0)), np.asarray(piece.column(1))
-            q, d, core, left, right, nl, nr, lead = suffix_entries(buf, off, [np.frombuffer(x, np.int32) for x in piece.column(3).to_pylist()])
-            if not len(q):
+            a, d, low, high = suffix_entries(buf, off, [np.frombuffer(x, np.int32) for x in piece.column(3).to_pylist()])
+            if not len(a):
                 continue
-            key = (part << 32) | seq
-            seq += 1
-            # whole entries repeated within the slice are settled here
-            fp = mix(mix(core + left) + mix(right + U64(77)) + nl.astype(U64) * U64(31) + nr)
+            key = entry_bytes(buf, a, high, LENGTH - low)
+            # entries repeated within the slice are settled here
+            fp = mix(words_of(key) * powers(BASE, key.shape[1] // 8)).sum(1, dtype=U64) + low.astype(U64) * U64(131) + high.astype(U64)
             order = np.argsort(fp, kind="stable")
-            same = np.zeros(len(q), bool)
-            same[order[1:]] = fp[order][1:] == fp[order][:-1]
+            x, y = order[1:], order[:-1]
+            same = np.zeros(len(a), bool)
+            same[x] = (fp[x] == fp[y]) & (low[x] == low[y]) & (high[x] == high[y]) & (key[x] == key[y]).all(1)
             rows = []
             if same.any():
                 x = np.flatnonzero(same)
-                full = np.zeros(len(x), np.uint8)
-                for r in range(STEP):
-                    full |= ((nl[x] >= STEP - 1 - r) & (nr[x] >= r)).astype(np.uint8) << r
-                rows += [(key % n_bucket, home, 0, 1, a, b, c) for home, _, _, a, b, c in marks(ids[d[x]], hs[d[x]], q[x] - off[d[x]], full)]
+                where = a[x] - high[x] - off[d[x]]
+                rows += [(home % n_bucket, home, kind, u, v, w) for _, home, kind, u, v, w in marks(ids[d[x]], hs[d[x]], where, high[x] - low[x] + LENGTH)]
             x = np.flatnonzero(~same)
-            bucket = bucket_of(splitters, lead[x], core[x])
+            bucket = np.searchsorted(splitters, np.ascontiguousarray(key[x]).view(splitters.dtype).ravel(), "right")
             x = x[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
-            cut = np.searchsorted(bucket, np.arange(n_bucket + 1))
-            for f in np.unique(bucket):
-                y = x[cut[f]:cut[f + 1]]
-                head, pos = pieces(ids, hs, d[y], off, q[y])
-                flank = np.stack([left[y], right[y]], 1).view(np.uint8).reshape(len(y), 2, 8)[:, :, :7]
-                rows.append((int(f), 0, 0, 0, head, pos, pack(core[y], flank, nl[y], nr[y])))
-            yield routed(rows)
-
-    def routed(rows: list[tuple]) -> pa.RecordBatch:
-        """Rows (bucket, home, ...): the bucket leads, the home waits in batch."""
-        return _parts([(f, home, kind, a, b, c) for f, home, _, kind, a, b, c in rows])
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            for i, j in zip(cut, np.append(cut[1:], len(x))):
+                y = x[i:j]
+                used, n = np.unique(d[y], return_counts=True)
+                n_left, n_right = high[y], LENGTH - low[y]
+                size = n_left + n_right
+                byte = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a[y] - n_left, size)
+                y_at = (a[y] - off[d[y]]).astype(np.int32)
+                rows.append((int(bucket[i]), 0, 0, pack(ids[used], hs[used], n.astype(np.int64)), pack(y_at),
+                             pack(low[y].astype(np.uint8), high[y].astype(np.uint8), buf[byte])))
+            yield _parts(rows)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            forward = []
-            for f, home, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns)):
+        """Marks (kind 1) and windows to compare across boundaries (kind 2)."""
+        for f, rows in by_key(batches):
+            out = [(home % n_bucket, home, 1, a, b, c) for home, kind, a, b, c in rows if kind]
+            cols = [[] for _ in range(6)]
+            for _, kind, a, b, c in rows:
                 if kind:
-                    forward.append((home, 0, 1, a, b, c))
-                else:
-                    held.setdefault(f, []).append((a, b, c))
-            if forward:
-                yield _parts(forward)
-        for f in list(held):
-            cols = [[] for _ in range(8)]
-            for a, b, c in held.pop(f):
+                    continue
                 ids, hs, n = np.frombuffer(unpack(a), np.int64).reshape(3, -1)
-                m = int(n.sum())
-                c = unpack(c)
-                flank = np.zeros((m, 2, 8), np.uint8)
-                flank[:, :, :7] = np.frombuffer(c, np.uint8, m * 14, 8 * m).reshape(m, 2, 7)
-                flank = flank.reshape(m, 16).view(U64)
-                tail = np.frombuffer(c, np.uint8, 2 * m, 22 * m)
-                for col, x in zip(cols, (np.repeat(ids, n), np.repeat(hs, n), np.frombuffer(unpack(b), np.int32), np.frombuffer(c, U64, m),
-                                         flank[:, 0], flank[:, 1], tail[:m], tail[m:])):
+                m, c = int(n.sum()), np.frombuffer(unpack(c), np.uint8)
+                low, high = c[:m].astype(np.int64), c[m:2 * m].astype(np.int64)
+                size = high + LENGTH - low
+                key = entry_bytes(c[2 * m:], np.cumsum(size) - size + high, high, LENGTH - low)
+                for col, x in zip(cols, (np.repeat(ids, n), np.repeat(hs, n), np.frombuffer(unpack(b), np.int32).astype(np.int64), low, high, key)):
                     col.append(x)
-            ids, hs, q, core, left, right, nl, nr = (np.concatenate(x) for x in cols)
-            # suffixes that occur once are done
-            order = np.argsort(core, kind="stable")
-            same = core[order][1:] == core[order][:-1]
-            twice = np.zeros(len(core), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            x = np.flatnonzero(twice)
-            x = x[np.lexsort((q[x], hs[x], ids[x]))]
-            mask = mark_repeats(core[x], left[x], right[x], nl[x], nr[x])
-            x, mask = x[mask > 0], mask[mask > 0]
-            if len(x):
-                yield _parts(list(marks(ids[x], hs[x], q[x], mask)))
+            if cols[0]:
+                ids, hs, q, low, high, key = (np.concatenate(x) for x in cols)
+                x = np.lexsort((q, hs, ids))
+                ids, hs, q, low, high, key = (c[x] for c in (ids, hs, q, low, high, key))
+                first, last, at, i = repeats(key, low, high, [*ends[max(f - 1, 0):f], *ends[f:f + 1]])
+                x = np.flatnonzero(last >= 0)
+                out += [(home % n_bucket, home, k, u, v, w) for _, home, k, u, v, w in marks(ids[x], hs[x], q[x] - last[x], last[x] - first[x] + LENGTH)]
+                for lo in range(0, len(at), 100_000):
+                    out += list(across(ids, hs, q, key, at[lo:lo + 100_000], i[lo:lo + 100_000]))
+            if out:
+                yield _parts(out)
+
+    def across(ids, hs, q, key, at, i) -> Iterator[tuple]:
+        """The bytes of open windows, dealt by their hash."""
+        j = np.arange(LENGTH)
+        side = np.where(j < i[:, None], RIGHT + i[:, None] - 1 - j, j - i[:, None])  # left bytes are stored backwards
+        text = key[at[:, None], side]
+        goal = mix((text.astype(U64) * powers(BASE, LENGTH)).sum(1, dtype=U64)) % U64(n_bucket)
+        order = np.argsort(goal, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], goal[order][1:] != goal[order][:-1]]))
+        for a, b in zip(cut, np.append(cut[1:], len(order))):
+            x = order[a:b]
+            yield int(goal[x[0]]), 0, 2, pack(ids[at[x]], hs[at[x]]), pack((q[at[x]] - i[x]).astype(np.int32)), pack(text[x])
+
+    def boundary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal windows of different buckets: all but the first are marked."""
+        for _, rows in by_key(batches):
+            out = [(home, 0, 1, a, b, c) for home, kind, a, b, c in rows if kind == 1]
+            got = [(np.frombuffer(unpack(a), np.int64).reshape(2, -1), np.frombuffer(unpack(b), np.int32), np.frombuffer(unpack(c), f"V{LENGTH}"))
+                   for _, kind, a, b, c in rows if kind == 2]
+            if got:
+                ids, hs = np.concatenate([g[0] for g in got], 1)
+                q, text = np.concatenate([g[1] for g in got]).astype(np.int64), np.concatenate([g[2] for g in got])
+                filled = np.zeros((len(q), RIGHT), np.uint8)
+                filled[:, :LENGTH] = text.view(np.uint8).reshape(-1, LENGTH)
+                rank, prefix = classes(filled)
+                group = np.cumsum(prefix < LENGTH)[rank]
+                order = np.lexsort((q, hs, ids, group))
+                x = order[1:][group[order][1:] == group[order][:-1]]
+                out += [(home, 0, 1, a, b, c) for _, home, _, a, b, c in marks(ids[x], hs[x], q[x], np.full(len(x), LENGTH))]
+            if out:
+                yield _parts(out)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hs, q, mask = [], [], [], []
-        for batch in batches:
-            for a, b, c in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5))):
-                x, y = np.frombuffer(unpack(a), np.int64).reshape(2, -1)
-                ids.append(x)
-                hs.append(y)
-                q.append(np.frombuffer(unpack(b), np.int32))
-                mask.append(np.frombuffer(c, np.uint8))
-        if not ids:
-            return
-        ids, hs, q, mask = (np.concatenate(x) for x in (ids, hs, q, mask))
-        order = np.lexsort((hs, ids))
-        ids, hs, q, mask = ids[order], hs[order], q[order], mask[order]
-        cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1])]))
-        end = np.append(cut[1:], len(q))
-        for i in range(0, len(cut), 2000):
-            part = list(zip(cut[i:i + 2000], end[i:i + 2000]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[cut[i:i + 2000]]), pa.array(hs[cut[i:i + 2000]]), pa.array([q[a:b].tobytes() for a, b in part], pa.binary()),
-                 pa.array([mask[a:b].tobytes() for a, b in part], pa.binary())], names=["id", "h", "q", "mask"])
+        for _, rows in by_key(batches):
+            ids, hs = np.concatenate([np.frombuffer(unpack(r[2]), np.int64).reshape(2, -1) for r in rows], 1)
+            q, n = np.concatenate([np.frombuffer(unpack(r[3]), np.int32) for r in rows]), np.concatenate([np.frombuffer(r[4], np.uint8) for r in rows])
+            order = np.lexsort((hs, ids))
+            ids, hs, q, n = ids[order], hs[order], q[order], n[order]
+            cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1])]))
+            end = np.append(cut[1:], len(q))
+            for i in range(0, len(cut), 2000):
+                part = list(zip(cut[i:i + 2000], end[i:i + 2000]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[cut[i:i + 2000]]), pa.array(hs[cut[i:i + 2000]]), pa.array([q[a:b].tobytes() for a, b in part], pa.binary()),
+                     pa.array([n[a:b].tobytes() for a, b in part], pa.binary())], names=["id", "h", "q", "n"])
+
+    def step(df: DataFrame, run, schema: str = PARTS) -> DataFrame:
+        return map_arrow(df.repartition(parts, "fragment").sortWithinPartitions("fragment"), run, schema)
 
     sent = map_arrow(joined.select("id", "h", "text", "at"), split, PARTS)
-    found = map_arrow(sent.repartition(parts, "fragment"), bucket, PARTS)
-    return map_arrow(found.repartition(parts, "fragment"), gather, "id long, h long, q binary, mask binary")
+    return step(step(step(sent, bucket), boundary), gather, "id long, h long, q binary, n binary")
 
 
-def covered(n: int, q: bytes | None, mask: bytes | None) -> np.ndarray:
+def covered(n: int, q: bytes | None, size: bytes | None) -> np.ndarray:
     """Removed bytes of a document of n bytes."""
     if not q:
         return np.zeros(n, bool)
-    q, mask = np.frombuffer(q, np.int32).astype(np.int64), np.frombuffer(mask, np.uint8)
+    q, size = np.frombuffer(q, np.int32).astype(np.int64), np.frombuffer(size, np.uint8).astype(np.int64)
     edge = np.zeros(n + 1, np.int64)
-    for r in range(STEP):
-        s = q[(mask >> r) & 1 == 1] + r
-        np.add.at(edge, s, 1)
-        np.add.at(edge, s + LENGTH, -1)
+    np.add.at(edge, q, 1)
+    np.add.at(edge, q + size, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -468,8 +495,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """(_row, n_bytes, n_removed, n_spans, kept_sha256, kept): kept are the remaining bytes."""
     rows = keyed(docs, key, text)
     at, splitters = shared_anchors(rows)
-    if not len(splitters):
-        splitters = np.zeros((0, 2), U64)
     gone = written(removed_windows(rows, at, splitters), "removed-windows")
     full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
                        F.coalesce(docs[key].cast("long"), F.lit(int(NULL_ID))).alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("h"))
@@ -485,7 +510,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     row_type = full.schema["_row"].dataType
     names = [f"c{i}" for i in range(len(docs.columns))]
     at_text = docs.columns.index(text)
-    flat = full.select(*[F.col("_row").getField(c).alias(n) for c, n in zip(docs.columns, names)], "q", "mask", "_nth")
+    flat = full.select(*[F.col("_row").getField(c).alias(n) for c, n in zip(docs.columns, names)], "q", "n", "_nth")
     from pyspark.sql import types as T
     out_schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, row_type.fields)] + [
         T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
