@@ -240,7 +240,7 @@ def sitemap_parse(s, d):
     return sitemap_entries(p.select(F.col("page_id").alias("url"), xml.alias("xml"))).select(F.col("sitemap").alias("page_id"), "loc", "changefreq", "priority")
 
 
-@query("WITH RECURSIVE e AS (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem "
+@query("WITH RECURSIVE e AS MATERIALIZED (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem "
        "UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer), "
        "r(node, depth) AS (SELECT 'c1', 0 UNION SELECT e.b, depth + 1 FROM r JOIN e ON e.a = node WHERE depth < 4) SELECT node AS url, min(depth)::INT AS depth FROM r GROUP BY 1")
 def bfs_map(s, d):
@@ -313,10 +313,10 @@ def near_dup_links(s, d):
 
 
 # the greedy choice one document at a time: kept grows by those without a kept neighbour
-_GREEDY = (f"t AS (SELECT doc_id, source, text, list_distinct({sql_tokens('substr(text, 1, 600)')}) AS s, {_SIG} AS g, "
+_GREEDY = (f"t AS MATERIALIZED (SELECT doc_id, source, text, list_distinct({sql_tokens('substr(text, 1, 600)')}) AS s, {_SIG} AS g, "
            f"(length(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) < 10 OR len({sql_tokens('text')}) < 3) AS thin FROM documents), "
-           f"b AS (SELECT b.doc_id, list(a.doc_id) AS nb FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id AND NOT a.thin AND NOT b.thin AND (a.g = b.g OR len(a.s) > 0 AND len(b.s) > 0 AND {_NEAR}) GROUP BY 1), "
-           "o AS (SELECT t.doc_id, coalesce(nb, []::BIGINT[]) AS nb, row_number() OVER (ORDER BY t.doc_id) AS i FROM t LEFT JOIN b USING (doc_id) WHERE NOT thin), "
+           f"b AS MATERIALIZED (SELECT b.doc_id, list(a.doc_id) AS nb FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id AND NOT a.thin AND NOT b.thin AND (a.g = b.g OR len(a.s) > 0 AND len(b.s) > 0 AND {_NEAR}) GROUP BY 1), "
+           "o AS MATERIALIZED (SELECT t.doc_id, coalesce(nb, []::BIGINT[]) AS nb, row_number() OVER (ORDER BY t.doc_id) AS i FROM t LEFT JOIN b USING (doc_id) WHERE NOT thin), "
            "r(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.i, CASE WHEN len(list_intersect(r.kept, o.nb)) > 0 THEN r.kept ELSE list_append(r.kept, o.doc_id) END FROM r JOIN o ON o.i = r.i + 1), "
            "k AS (SELECT unnest(arg_max(kept, i)) AS doc_id FROM r)")
 
@@ -528,7 +528,7 @@ def rate_limit_gaps(s, d):
 _RUSH = "SELECT user_id % 40 AS k, event_id AS i, event_id * 10 AS ms, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS n FROM events"
 
 
-@query(f"WITH RECURSIVE e AS ({_RUSH}), r(k, n, ms, t, ok) AS (SELECT k, n, ms, 4.0::DOUBLE, 1 FROM e WHERE n = 1 UNION ALL "
+@query(f"WITH RECURSIVE e AS MATERIALIZED ({_RUSH}), r(k, n, ms, t, ok) AS (SELECT k, n, ms, 4.0::DOUBLE, 1 FROM e WHERE n = 1 UNION ALL "
        "SELECT k, n, ms, CASE WHEN h >= 1 THEN h - 1 ELSE h END, (h >= 1)::INT FROM (SELECT e.k, e.n, e.ms, least(5.0::DOUBLE, r.t + (e.ms - r.ms) / 1000.0::DOUBLE * 2.0::DOUBLE) AS h FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)) "
        "SELECT k, sum(ok)::BIGINT AS admitted, count(*) - sum(ok)::BIGINT AS rejected FROM r GROUP BY 1")
 def token_bucket_admission(s, d):
@@ -536,7 +536,7 @@ def token_bucket_admission(s, d):
     return ops.token_bucket(e, "k", "ms").select("k", "admitted", "rejected")
 
 
-@query(f"WITH RECURSIVE e AS ({_RUSH}), r(k, n, i, st, ends) AS (SELECT k, n, i, ms, [ms + 2500] FROM e WHERE n = 1 UNION ALL SELECT k, n, i, st, list_append(CASE WHEN len(ends) >= 3 THEN list_sort(ends)[2:] ELSE ends END, st + 2500) "
+@query(f"WITH RECURSIVE e AS MATERIALIZED ({_RUSH}), r(k, n, i, st, ends) AS (SELECT k, n, i, ms, [ms + 2500] FROM e WHERE n = 1 UNION ALL SELECT k, n, i, st, list_append(CASE WHEN len(ends) >= 3 THEN list_sort(ends)[2:] ELSE ends END, st + 2500) "
        "FROM (SELECT e.k, e.n, e.i, greatest(e.ms, r.st + 1000, CASE WHEN len(r.ends) >= 3 THEN list_min(r.ends) ELSE 0 END) AS st, r.ends FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)) SELECT k, i AS ord, st AS start_ms FROM r")
 def limiter_starts(s, d):
     e = read(s, d, "events").select((F.col("user_id") % 40).alias("k"), F.col("event_id").alias("ord"), (F.col("event_id") * 10).alias("ms"), F.lit(2500).alias("took"))
@@ -665,7 +665,7 @@ def retry_outcomes(s, d):
     return c.groupBy("c.label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c.shell")).alias("n_shell"), F.sum(F.col("c.retry_count").cast("long")).alias("n_retries"))
 
 
-@query("WITH RECURSIVE n AS (SELECT n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation), g AS (SELECT list(r_name ORDER BY r_name) AS names, list(r_regionkey ORDER BY r_name) AS keys FROM region), "
+@query("WITH RECURSIVE n AS MATERIALIZED (SELECT n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation), g AS (SELECT list(r_name ORDER BY r_name) AS names, list(r_regionkey ORDER BY r_name) AS keys FROM region), "
        "r(i, job, w, a) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0::BIGINT, [0, 0, 0, 0, 0] UNION ALL SELECT i, n_name, w, list_transform(a, lambda x, k: CASE WHEN k = w THEN x + 1 ELSE x END) FROM ("
        "SELECT n.i, n_name, r.a, coalesce(list_sort(list_transform(list_filter(range(1, 6), lambda k: r.a[k] < 4), lambda k: {'p': (keys[k] <> n_regionkey)::INT, 'a': r.a[k], 'k': k}))[1].k, 0) AS w FROM r JOIN n ON n.i = r.i + 1, g)) "
        "SELECT job AS job_id, CASE WHEN w > 0 THEN names[w] END AS worker_id, CASE WHEN w > 0 THEN keys[w]::VARCHAR END AS region FROM r, g WHERE i > 0")
