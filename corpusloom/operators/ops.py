@@ -154,8 +154,9 @@ def assign_workers(jobs: DataFrame, workers: DataFrame, most: int = 100_000) ->
     for j in todo:
         done = j.completes if "completes" in jobs.columns else None
         if done is not None:
-            if at.get(done):
-                at[done]["active"] = max(0, at.pop(done)["active"] - 1)
+            if done in at:
+                w = at.pop(done)
+                w["active"] = max(0, w["active"] - 1)
             continue
         able = [w for w in pool if j.namespace in w["namespaces"] and w["active"] < w["capacity"]]
         w = min(able, key=lambda x: (j.preferred_region is not None and x["region"] != j.preferred_region, x["active"]), default=None)
