@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import decontaminate, html_extract, infilling, mixing, ngram_join, quality_rules, suffix_dedup, token_counts, toxicity, url_filter, warc
+from llm import decontaminate, html_extract, infilling, mixing, ngram_join, pieces, quality_rules, suffix_dedup, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
     "op12_fill_in_middle": infilling.op12_fill_in_middle,
 }
 
 SQL = {
     "op5_mixing": mixing.sql(),
     "op9_quality_rules": quality_rules.sql(),
+    "op11_sentencepiece": pieces.op11_sentencepiece,
     "op12_fill_in_middle": infilling.sql(),
 }
