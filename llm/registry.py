@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import decontaminate, html_extract, infilling, mixing, ngram_join, pieces, quality_rules, suffix_dedup, token_counts, toxicity, url_filter, warc
+from llm import collocations, decontaminate, html_extract, infilling, mixing, ngram_join, pieces, quality_rules, suffix_dedup, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_sentencepiece": pieces.op11_sentencepiece,
     "op12_fill_in_middle": infilling.op12_fill_in_middle,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op9_quality_rules": quality_rules.sql(),
     "op11_sentencepiece": pieces.op11_sentencepiece,
     "op12_fill_in_middle": infilling.sql(),
+    "op13_collocations": collocations.sql(),
 }
