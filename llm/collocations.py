@@ -40,6 +40,8 @@ from llm.kernels import U64, lower_ascii, mix, span_hash, text_buffer
 LEAST, DEPTH, SUBSUMED, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Bytes of texts and words of a shard; bits of the bitmaps of words and of pairs.
 SHARD_BYTES, SHARD_WORDS = 8 << 20, 1 << 21
+#: Words and phrases whose bytes are looked at together.
+CHUNK = 1 << 16
 WORD_BITS, PAIR_BITS = 24, 26
 BUCKET = 32768  # bits of one of Spark's bitmaps
 
@@ -75,6 +77,16 @@ class Bitmap:
         return (data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
+def _hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of words, a chunk of bytes at a time."""
+    out = np.zeros(len(s), U64)
+    for a in range(0, len(s), CHUNK):
+        b = min(len(s), a + CHUNK)
+        base = s[a]
+        out[a:b] = span_hash(buf[base:e[b - 1]], s[a:b] - base, e[a:b] - base)
+    return out
+
+
 def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text of every word, and whether the next one is in the same piece."""
     brk = _BREAK[buf]
@@ -96,11 +108,13 @@ def _named(buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tupl
     _, first, name = np.unique(h, return_index=True, return_inverse=True)
     length = e - s
     same = length[first][name] == length
-    if same.all():
-        ends = np.cumsum(length)
-        at = np.arange(ends[-1]) + np.repeat(s - (ends - length), length)
-        same = buf[at] == buf[at + np.repeat(s[first][name] - s, length)]
-    if not same.all():  # one hash for different words
+    alike = same.all()
+    for a in range(0, len(s) if alike else 0, CHUNK):
+        n, start = length[a:a + CHUNK], s[a:a + CHUNK]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(start - (ends - n), n)
+        alike = alike and np.array_equal(buf[at], buf[at + np.repeat(s[first][name[a:a + CHUNK]] - start, n)])
+    if not alike:  # one hash for different words
         names: dict[tuple, int] = {}
         name = np.array([names.setdefault((int(k), buf[a:b].tobytes()), len(names)) for k, a, b in zip(h, s, e)])
         first = np.unique(name, return_index=True)[1]
@@ -160,7 +174,8 @@ def _shards(docs: DataFrame, low: int, depth: int, words: Bitmap | None = None,
         base = int(s[0])
         part = buf[base:e[-1]]
         s, e = s - base, e - base
-        h = _join(langs[1][code], span_hash(part, s, e))
+        bare = _hashes(part, s, e)
+        h = _join(langs[1][code], bare)
         first, name = _named(part, s, e, h)
         good = joined.copy()  # the next word goes on with it
         if frequent is not None:
@@ -169,7 +184,7 @@ def _shards(docs: DataFrame, low: int, depth: int, words: Bitmap | None = None,
             good[-1] = False
         if paired is not None:
             at = np.flatnonzero(good[:-1])
-            good[at] &= pairs.holds(paired, _join(h[at], span_hash(part, s[at + 1], e[at + 1])))
+            good[at] &= pairs.holds(paired, _join(h[at], bare[at + 1]))
         ok = [np.arange(len(s)) < fresh]
         for k in range(2, depth + 1):
             more = np.zeros(len(s), bool)
@@ -177,10 +192,11 @@ def _shards(docs: DataFrame, low: int, depth: int, words: Bitmap | None = None,
             more[:n] = ok[-1][:n] & good[k - 2:k - 2 + n]
             ok.append(more)
         for k, place, count, least in states(name, ok, low):
-            if len(place):
+            for a in range(0, len(place), CHUNK):
+                at, c = place[a:a + CHUNK], count[a:a + CHUNK]
                 yield pa.RecordBatch.from_arrays(
-                    [langs[0].take(pa.array(code[place])), _spelled(part, s, e, place, np.full(len(place), k)).cast(pa.string()), pa.array(least, pa.int32()),
-                     pa.array(np.full(len(place), k), pa.int32()), pa.array(count, pa.int64())], names=["lang", "phrase", "least", "words", "n"])
+                    [langs[0].take(pa.array(code[at])), _spelled(part, s, e, at, np.full(len(at), k)).cast(pa.string()), pa.array(least[a:a + CHUNK], pa.int32()),
+                     pa.array(np.full(len(at), k), pa.int32()), pa.array(c, pa.int64())], names=["lang", "phrase", "least", "words", "n"])
 
     def shard(texts: list, langs: list, opened: tuple) -> Iterator[pa.RecordBatch]:
         buf, off = text_buffer(pa.chunked_array(texts).cast(pa.large_string()))
@@ -237,7 +253,7 @@ def _bitmap(counts: DataFrame, words: int, bits: int) -> Bitmap:
             (lang, lang_off), (buf, off) = text_buffer(batch.column(0)), text_buffer(batch.column(1))
             h = span_hash(lang, lang_off[:-1], lang_off[1:]) if len(lang) else mix(lang_off[:-1].astype(U64))
             first, last, _, _ = _words(buf, off)
-            each = span_hash(buf, first, last).reshape(-1, words) if len(buf) else np.zeros((0, words), U64)
+            each = _hashes(buf, first, last).reshape(-1, words) if len(buf) else np.zeros((0, words), U64)
             for i in range(words):
                 h = _join(h, each[:, i])
             yield pa.RecordBatch.from_arrays([pa.array(Bitmap.slots(h, bits) + 1)], names=["slot"])
