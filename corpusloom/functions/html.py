@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,20 +23,33 @@ BLOCK_WORDS = [
 ]
 
 
-#: The named references of HTML 4 and ``apos`` with their text, from the standard
-#: library's table, as one string: a map literal would be hundreds of expressions.
-NAMED = "\x01" + "\x01".join(f"{k}\x02{chr(v)}" for k, v in [*name2codepoint.items(), ("apos", 39)]) + "\x01"
+#: The named references of HTML with a semicolon, from the standard library's table.
+NAMED = json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})
+#: Those that also stand without one, longest first.
+BARE = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+#: What the code points 128 to 159 stand for in numeric references.
+CONTROLS = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160))
 
 
-def _reference(ref: Column) -> Column:
-    """The text of a reference without ``&`` and ``;``; null if there is none of that name."""
-    digits = F.when(ref.rlike("^#[0-9]{1,8}$"), F.hex(F.substr(ref, F.lit(2)).try_cast("long"))).when(ref.rlike("^#[xX][0-9a-fA-F]{1,8}$"), F.substr(ref, F.lit(3)))
-    known = digits.rlike("^0*(10|[0-9A-Fa-f])?[0-9A-Fa-f]{1,4}$") & ~digits.rlike("^0*[Dd][89A-Fa-f][0-9A-Fa-f]{2}$|^0*$")
-    char = F.when(known, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise("\ufffd")
-    named = F.get(F.regexp_extract_all(F.lit(NAMED), F.concat(F.lit("\x01"), ref, F.lit("\x02([^\x01]*)")), F.lit(1)), 0)
+def _character(digits: Column) -> Column:
+    """The character of hexadecimal digits."""
+    code = F.conv(digits, 16, 10).cast("long")
+    valid = (F.length(F.ltrim(digits, F.lit("0"))) <= 6) & (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    other = F.decode(F.unhex(F.lpad(F.ltrim(digits, F.lit("0")), 8, "0")), "UTF-32")
+    return F.when(~valid, "\ufffd").when(code.between(128, 159), F.substr(F.lit(CONTROLS), (code - 127).cast("int"), F.lit(1))).otherwise(other)
+
+
+def _number(ref: Column) -> Column:
+    """The text of a numeric reference ``#65`` or ``#x41`` with or without ``;``."""
+    digits = F.regexp_extract(ref, "([0-9a-fA-F]+);?$", 1)
+    return F.when(ref == "#39;", "'").otherwise(_character(F.when(F.substr(ref, F.lit(2), F.lit(1)).isin("x", "X"), digits).otherwise(F.coalesce(F.hex(digits.try_cast("long")), F.lit("FFFFFFFF")))))
+
+
+def _name(ref: Column) -> Column:
+    """The text of a named reference; null if there is none of that name."""
     # The references that most pages have, looked up first.
-    common = (F.when(ref == "amp", "&").when(ref == "quot", '"').when(ref == "lt", "<").when(ref == "gt", ">").when(ref == "nbsp", "\u00a0").when(ref == "#39", "'"))
-    return F.coalesce(common, F.when(digits.isNotNull(), char).otherwise(named))
+    common = F.when(ref == "amp", "&").when(ref == "quot", '"').when(ref == "lt", "<").when(ref == "gt", ">").when(ref == "nbsp", "\u00a0")
+    return common.otherwise(F.try_element_at(F.from_json(F.lit(NAMED), "map<string,string>"), ref))
 
 
 def bind(value: Column, f) -> Column:
@@ -43,13 +57,20 @@ def bind(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
-def unescape(text: Column) -> Column:
-    """text with its character references decoded, once each: the named ones of
-    HTML 4 and numeric ones, with their ``;``; an unknown one stays as it is."""
+def unescape(text: Column, attribute: bool = False) -> Column:
+    """text with its character references decoded, once each; an unknown one stays as
+    it is.  Numeric ones and some old names need no ``;`` - in an attribute such a name
+    stays if a letter, a digit or ``=`` follows."""
+    bare = f"^({BARE})(?![A-Za-z0-9=])" if attribute else f"^({BARE})"
+
     def piece(x: Column) -> Column:
-        ref = F.regexp_extract(x, "^(#?[A-Za-z0-9]+);", 1)
-        found = F.when(ref != "", _reference(ref))
-        return F.coalesce(F.concat(found, F.substr(x, F.length(ref) + 2)), F.concat(F.lit("&"), x))
+        def rest(n) -> Column:
+            return F.substr(x, n)
+
+        number = bind(F.regexp_extract(x, "^#(?:[0-9]++|[xX][0-9a-fA-F]++);?", 0), lambda r: F.when(r != "", F.concat(_number(r), rest(F.length(r) + 1))))
+        closed = bind(F.regexp_extract(x, "^([A-Za-z0-9]++);", 1), lambda r: F.when(r != "", F.concat(_name(r), rest(F.length(r) + 2))))
+        opened = bind(F.regexp_extract(x, bare, 1), lambda r: F.when(r != "", F.concat(_name(r), rest(F.length(r) + 1))))
+        return F.when(F.startswith(x, F.lit("#")), F.coalesce(number, F.concat(F.lit("&"), x))).otherwise(F.coalesce(closed, opened, F.concat(F.lit("&"), x)))
 
     def joined(parts: Column) -> Column:
         return F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
@@ -57,65 +78,135 @@ def unescape(text: Column) -> Column:
     return bind(text, lambda t: F.when(F.contains(t, F.lit("&")), bind(F.split(t, "&"), joined)).otherwise(t))
 
 
-def attribute_of(tag: Column, name: str) -> Column:
-    """The value of an attribute of a start tag, quoted either way or not at all; null without it."""
-    start = f"(?is)^<[a-z][^\\s/>]*(?:\\s+(?:[^\\s=>\"']+(?:\\s*=\\s*(?:\"[^\"]*\"|'[^']*'|[^\\s\"'>]+))?))*?\\s+{name}\\s*=\\s*"
-    raw = F.regexp_extract(tag, start + "(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)", 1)
-    return bind(raw, lambda r: F.when(r != "", unescape(F.regexp_replace(r, "^[\"']|[\"']$", ""))))
+# ---- the scanner ------------------------------------------------------------------
+# Markup is read once from the left.  What begins like a tag, a comment or a script is
+# taken whole, up to the end of the page if it is never closed, and every repetition
+# is possessive: no character is looked at again, and no repetition recurses.  So the
+# time is linear in the page however broken it is, and nothing inside a comment, a
+# script or a quoted value counts as markup.
+
+_VALUE = "\"[^\"]*+\"|'[^']*+'|[^\\s>\"'][^\\s>]*+"
+#: What a tag holds up to its end; a quote counts only where a value begins.
+_INSIDE = "(?:[^>=]++|=\\s*+(?:\"[^\"]*+(?:\"|\\z)|'[^']*+(?:'|\\z)|[^\\s>\"'][^\\s>]*+)?+)*+"
+_END = "(?:>|\\z)"
+_COMMENT = "<!--(?:>|->|.*?(?:--!?>|\\z))"
+_NAMED = "(?=[\\s/>])"
+
+
+def _raw(name: str) -> str:
+    return f"<{name}{_NAMED}{_INSIDE}{_END}.*?(?:</{name}{_NAMED}{_INSIDE}{_END}|\\z)"
 
 
-TAG = "(?is)<{}\\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+_HIDDEN = f"{_COMMENT}|{_raw('script')}|{_raw('style')}"
+_OTHER = f"</?[a-z]{_INSIDE}{_END}|<[!?/][^>]*+{_END}"
+
+
+def marks(html: Column, names: str) -> Column:
+    """The start tags of some names (``a|link``) in page order, from one pass; a title
+    is followed by its text."""
+    wanted = f"(<(?:{names}){_NAMED}{_INSIDE}>)"
+    if "title" in names.split("|"):
+        rest = "|".join(n for n in names.split("|") if n != "title") or "(?!)"
+        wanted = f"(<(?:{rest}){_NAMED}{_INSIDE}>|<title{_NAMED}{_INSIDE}>[^<]*+(?:<(?!/title[\\s/>])[^<]*+)*+)"
+    found = F.regexp_extract_all(html, F.lit(f"(?is){_HIDDEN}|{wanted}|{_OTHER}"), 1)
+    return F.array_remove(found, "")
 
 
 def tags(html: Column, name: str) -> Column:
     """The start tags of one name, in page order."""
-    return F.regexp_extract_all(html, F.lit(TAG.format(name)), 0)
+    return marks(html, name)
+
+
+def attribute_of(tag: Column, name: str) -> Column:
+    """The value of an attribute of a start tag, quoted either way or not at all; null
+    without it; of several of one name the first counts."""
+    other = f"(?!{name}[\\s/>=])[^\\s/>][^\\s/>=]*+(?:\\s*+=\\s*+(?:{_VALUE})?+)?+"
+    raw = F.regexp_extract(tag, f"(?is)^<[^\\s/>]++(?:[\\s/]++|{other})*+{name}\\s*+=\\s*+({_VALUE})", 1)
+    return bind(raw, lambda r: F.when(r != "", unescape(F.when(F.substr(r, F.lit(1), F.lit(1)).isin('"', "'"), F.substr(r, F.lit(2), F.length(r) - 2)).otherwise(r), attribute=True)))
 
 
-def first_attribute(html: Column, tag: str, attribute: str, **wanted: str) -> Column:
-    """The attribute of the first such tag whose other attributes have the wanted values; null if it is empty."""
+def of_name(tags_: Column, name: str) -> Column:
+    """Those of the start tags that have one name."""
+    return F.filter(tags_, lambda t: F.lower(F.substr(t, F.lit(2), F.lit(len(name)))).eqNullSafe(name) & F.substr(t, F.lit(len(name) + 2), F.lit(1)).rlike("[\\s/>]"))
+
+
+def first_attribute(tags_: Column, attribute: str, **wanted: str) -> Column:
+    """The attribute of the first tag whose other attributes have the wanted values; null if it is empty."""
     def fits(t: Column) -> Column:
         ok = F.lit(True)
         for k, v in wanted.items():
             ok = ok & F.coalesce(attribute_of(t, k) == v, F.lit(False))
         return ok
 
-    fit = F.filter(tags(html, tag), fits) if wanted else tags(html, tag)
+    fit = F.filter(tags_, fits) if wanted else tags_
     return bind(attribute_of(F.get(fit, 0), attribute), lambda v: F.nullif(v, F.lit("")))
 
 
 def body_text(html: Column) -> Column:
-    t = F.regexp_extract(html, "(?is)<body[^>]*>(.*?)(</body>|$)", 1)
-    t = F.regexp_replace(t, "(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->", "")
-    t = F.regexp_replace(t, "(?s)<[^>]*>", "")
+    """The text of the body, white space collapsed; without a body tag, what follows the head."""
+    def after(pattern: str) -> Column:
+        return F.regexp_extract(html, f"(?is)^(?:[^<]++|{_HIDDEN}|(?!{pattern}[\\s/>])(?:{_OTHER}|<))*+{pattern}{_NAMED}{_INSIDE}>(.*+)", 1)
+
+    title_ = f"<title{_NAMED}{_INSIDE}{_END}[^<]*+(?:<(?!/title[\\s/>])[^<]*+)*+"
+    body = F.when(F.lower(html).contains("<body"), after("<body")).when(F.lower(html).contains("</head"), after("</head")).otherwise(F.regexp_replace(html, f"(?is){title_}", ""))
+    t = F.regexp_replace(body, f"(?is){_HIDDEN}|</body{_NAMED}.*+|{_OTHER}", "")
     return F.trim(F.regexp_replace(unescape(t), "\\s+", " "))
 
 
+#: The tags that page fields come from.
+FIELDS = "html|title|meta|link|a"
+
+
+def title_of(tags_: Column) -> Column:
+    text = F.regexp_replace(F.get(of_name(tags_, "title"), 0), f"(?is)^<title{_INSIDE}>", "")
+    return bind(F.trim(unescape(text)), lambda t: F.nullif(t, F.lit("")))
+
+
+def lang_of(tags_: Column) -> Column:
+    return first_attribute(of_name(tags_, "html"), "lang")
+
+
+def description_of(tags_: Column) -> Column:
+    return first_attribute(of_name(tags_, "meta"), "content", name="description")
+
+
+def canonical_of(tags_: Column, base: Column) -> Column:
+    href = first_attribute(of_name(tags_, "link"), "href", rel="canonical")
+    return bind(F.trim(href), lambda h: F.when(h.isNotNull(), resolve(h, base)))
+
+
+def hrefs_of(tags_: Column) -> Column:
+    """The targets of links, decoded; empty ones are left out."""
+    found = F.transform(of_name(tags_, "a"), lambda t: attribute_of(t, "href"))
+    return F.filter(found, lambda h: h.isNotNull() & (h != ""))
+
+
+def links_of(tags_: Column, base: Column) -> Column:
+    return F.filter(F.transform(hrefs_of(tags_), lambda h: resolve(F.trim(h), base)), lambda u: u.isNotNull())
+
+
 def title(html: Column) -> Column:
-    return bind(F.trim(unescape(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))), lambda t: F.nullif(t, F.lit("")))
+    return title_of(marks(html, "title"))
 
 
 def lang(html: Column) -> Column:
-    return first_attribute(html, "html", "lang")
+    return lang_of(marks(html, "html"))
 
 
 def description(html: Column) -> Column:
-    return first_attribute(html, "meta", "content", name="description")
+    return description_of(marks(html, "meta"))
 
 
 def canonical(html: Column, base: Column) -> Column:
-    href = first_attribute(html, "link", "href", rel="canonical")
-    return bind(F.trim(href), lambda h: F.when(h.isNotNull(), resolve(h, base)))
+    return canonical_of(marks(html, "link"), base)
 
 
 def hrefs(html: Column) -> Column:
-    """The targets of links, decoded; empty ones are left out."""
-    found = F.transform(tags(html, "a"), lambda t: attribute_of(t, "href"))
-    return F.filter(found, lambda h: h.isNotNull() & (h != ""))
+    return hrefs_of(marks(html, "a"))
 
 
 def links(html: Column, base: Column) -> Column:
-    return F.filter(F.transform(hrefs(html), lambda h: resolve(F.trim(h), base)), lambda u: u.isNotNull())
+    return links_of(marks(html, "a"), base)
 
 
 def markdown(title_: Column, text: Column) -> Column:
@@ -149,11 +240,17 @@ def app_markers(html: Column) -> Column:
     return contains_any(F.lower(html), APP_MARKERS)
 
 
+def _after_noscript(html: Column) -> Column:
+    """What follows the first noscript tag, in lower case; empty without one."""
+    at = F.regexp_instr(html, F.lit("(?i)<noscript[\\s>]"))
+    return F.when(at > 0, F.lower(F.substr(html, at))).otherwise("")
+
+
 def retry_reason(html: Column, text: Column, markdown_: Column, n_words: Column, conf: Column) -> Column:
     """Why a page should be fetched with a browser; null if it should not."""
     scripts, n = count_tags(html, "script"), F.length(F.trim(text))
     main = F.lower(html).rlike("<(main|article|section)[\\s>]")
-    shell = html.rlike("(?is)<noscript[\\s>].*?</noscript>")
+    shell = F.contains(_after_noscript(html), F.lit("</noscript>"))
     return (F.when(app_markers(html) & (n < 200), "js_app_shell_detected").when(conf < 0.45, "low_confidence")
             .when((n < 120) & (scripts >= 3), "low_text_high_script_ratio").when(shell & (n_words < 40), "noscript_shell_detected")
             .when(~main & (F.length(F.trim(markdown_)) < 160) & (scripts >= 2), "thin_static_content")
@@ -168,7 +265,7 @@ def route(html: Column, policy: Column, previous_confidence: Column, render_mode
     if render_mode in ("browser", "static"):
         return out(render_mode, False, "explicit")
     low = F.lower(html)
-    noscript = html.rlike("(?is)<noscript[\\s>].*?(enable javascript|requires javascript|javascript to run)")
+    noscript = contains_any(_after_noscript(html), ["enable javascript", "requires javascript", "javascript to run"])
     hint = (contains_any(low, ROUTE_MARKERS) | noscript
             | ((count_tags(html, "script") >= 5) & (count_tags(html, "p|li|article|section|main|h1|h2|h3") <= 2)))
     host_rule = F.lit(mode != "search")

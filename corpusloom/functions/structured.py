@@ -13,7 +13,9 @@ from __future__ import annotations
 import json
 import re
 import sys
-from html.parser import HTMLParser
+from collections import Counter
+from html import unescape
+from html.entities import html5
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -27,47 +29,90 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-class Dom(HTMLParser):
+#: One token of markup, taken whole up to the end of the page if it is never closed; all
+#: repetitions are possessive, so a page is read in linear time however broken it is.
+TOKEN = re.compile(
+    r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S | re.I)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>"'][^\s>]*+)?+)?+""", re.S)
+#: Elements whose content is text up to their end tag, and those of them whose references count.
+RAW, DECODED = frozenset("script style title textarea".split()), frozenset("title textarea".split())
+
+
+def decoded(text: str) -> str:
+    """text with its character references decoded; numbers of any length."""
+    return unescape(re.sub("&#0*+([0-9]{8})[0-9]*+", r"&#\1", text)) if "&" in text else text
+
+
+def decoded_value(value: str) -> str:
+    """The same for an attribute, where a name without ``;`` stays before ``=``, a letter or a digit."""
+    def one(m: re.Match) -> str:
+        return decoded(m[0]) if m[0].endswith(";") or m[0].startswith("&#") or m[1] in html5 and value[m.end():m.end() + 1] != "=" else m[0]
+
+    return re.sub("&(#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z0-9]++;?)", one, value) if "&" in value else value
+
+
+class Dom:
     """Elements in page order; the text of each is a range of the page's text."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.raw, self.nodes, self.pieces, self.opened = html, [], [], []
-        self.feed(html)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        at = {k: v or "" for k, v in attrs}
-        node = {"tag": tag, "at": at, "classes": set(at.get("class", "").split()), "up": self.opened[-1] if self.opened else None,
+        self.raw, self.nodes, self.pieces, self.opened, self.open_tags = html, [], [], [], Counter()
+        at = 0
+        while at < len(html):
+            m = TOKEN.search(html, at)
+            if m is None or m.start() > at:
+                self.pieces.append(decoded(html[at:m.start() if m else len(html)]))
+            if m is None:
+                break
+            at = m.end()
+            if m[2] is None or not m[4]:
+                continue  # a comment, or a tag that the page's end cuts off
+            tag = m[2].lower()
+            if m[1]:
+                self.end(tag)
+                continue
+            self.start(tag, m[3])
+            if tag in RAW:
+                close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
+                content = html[at:close.start() if close else len(html)]
+                self.pieces.append(decoded(content) if tag in DECODED else content)
+                at += len(content)
+
+    def start(self, tag: str, inside: str) -> None:
+        attributes: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(inside):
+            value = m[2] or ""
+            attributes.setdefault(m[1].lower(), decoded_value(value.strip(value[0]) if value[:1] in ("'", '"') else value))
+        node = {"tag": tag, "at": attributes, "classes": set(attributes.get("class", "").split()), "up": self.opened[-1] if self.opened else None,
                 "from": len(self.pieces), "to": None}
         self.nodes.append(node)
-        if tag in VOID:
+        if tag in VOID or inside.endswith("/") and tag not in RAW:
             node["to"] = len(self.pieces)
         else:
             self.opened.append(node)
+            self.open_tags[tag] += 1
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.opened.pop()["to"] = len(self.pieces)
-
-    def handle_endtag(self, tag):
-        if any(n["tag"] == tag for n in self.opened):
-            while True:
-                node = self.opened.pop()
-                node["to"] = len(self.pieces)
-                if node["tag"] == tag:
-                    return
-
-    def handle_data(self, data):
-        self.pieces.append(data)
+    def end(self, tag: str) -> None:
+        while self.open_tags[tag]:
+            node = self.opened.pop()
+            self.open_tags[node["tag"]] -= 1
+            node["to"] = len(self.pieces)
+            if node["tag"] == tag:
+                return
 
     def text(self, node) -> str:
         return " ".join("".join(self.pieces[node["from"]:node["to"]]).split())
 
     def all(self, selector: str) -> list:
-        chains = parse_selector(selector)
-        return [n for n in self.nodes if any(_fits(n, c) for c in chains)]
+        found: dict[int, None] = {}
+        for chain in parse_selector(selector):
+            last = len(chain) - 1
+            for i, node in enumerate(self.nodes):  # parents come first
+                have = node["up"]["have"] if node["up"] else 0
+                if have == last and _is(node, chain[last]):
+                    found[i] = None
+                # how many of the ancestors asked for stand above what this one holds
+                node["have"] = have + (have < last and _is(node, chain[have]))
+        return [self.nodes[i] for i in sorted(found)]
 
     def first(self, selector: str, attribute: str | None = None) -> str | None:
         found = self.all(selector)
@@ -104,24 +149,13 @@ def _is(node, part) -> bool:
     return True
 
 
-def _fits(node, chain) -> bool:
-    if not _is(node, chain[-1]):
-        return False
-    left, up = chain[:-1], node["up"]
-    while left and up is not None:
-        if _is(up, left[-1]):
-            left = left[:-1]
-        up = up["up"]
-    return not left
-
-
 # ---- JSON-LD -------------------------------------------------------------------
 
 def ld_object(dom: Dom, kind: str) -> dict:
     for node in dom.all('script[type="application/ld+json"]'):
         try:
             found = json.loads("".join(dom.pieces[node["from"]:node["to"]]))
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         for x in found if isinstance(found, list) else [found]:
             types = x.get("@type") if isinstance(x, dict) else None

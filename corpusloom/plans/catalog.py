@@ -66,8 +66,8 @@ OUTCOME = ("o AS (SELECT event_id AS ord, user_id AS host, event_type <> 'error'
 
 
 def pages(s: SparkSession, d: str) -> DataFrame:
-    p = read(s, d, "pages").select("page_id", "url", "html")
-    return p.withColumns({"text": H.body_text(F.col("html")), "title": H.title(F.col("html"))})
+    p = read(s, d, "pages").select("page_id", "url", "html", H.marks(F.col("html"), H.FIELDS).alias("tags"))
+    return p.withColumns({"text": H.body_text(F.col("html")), "title": H.title_of(F.col("tags"))})
 
 
 def outcomes(s: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,7 @@ def page_text_markdown(s, d):
 def page_metadata(s, d):
     p = pages(s, d)
     h = F.col("html")
-    return p.select("page_id", "title", H.lang(h).alias("lang"), H.description(h).alias("description"), U.host(F.col("url")).alias("host"))
+    return p.select("page_id", "title", H.lang_of(F.col("tags")).alias("lang"), H.description_of(F.col("tags")).alias("description"), U.host(F.col("url")).alias("host"))
 
 
 @query("SELECT page_id, CAST(i AS BIGINT) AS pos, CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h ELSE h END AS link "
@@ -111,7 +111,7 @@ _SCORE = ("greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.35::DOUBLE + CASE WHEN tit
 
 def scored_pages(s, d) -> DataFrame:
     p, h = pages(s, d), F.col("html")
-    p = p.withColumns({"n_words": H.word_count(F.col("text")), "n_links": F.size(H.hrefs(h)).cast("long")})
+    p = p.withColumns({"n_words": H.word_count(F.col("text")), "n_links": F.size(H.hrefs_of(F.col("tags"))).cast("long")})
     return p.withColumn("confidence", H.confidence(h, F.col("title"), F.col("n_words"), F.col("n_links")))
 
 
