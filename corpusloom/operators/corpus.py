@@ -61,27 +61,42 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", domain: str = "source",
     return similar_sets(token_sets(docs, key, domain, text), threshold)
 
 
-def similar_sets(sets: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """(a, b, similarity), a < b, of (id, domain, s).
-
-    Prefix filter: with each set ordered by global token frequency, rarest
-    first, similar sets share one of their first n - ceil(t n) + 1 tokens; only
-    sets that do are compared.
-    """
+def prefixes(sets: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(id, domain, t, n): the first n - ceil(threshold n) + 1 tokens of each set, rarest
+    first by the frequency in the domain; similar sets share one of them.  Tokens of one
+    document alone are left out."""
     sets = sets.filter(F.size("s") > 0)
     exploded = sets.select("id", "domain", F.size("s").alias("n"), F.explode("s").alias("t"))
     freq = exploded.groupBy("domain", "t").agg(F.count(F.lit(1)).alias("df"))
     ranked = exploded.join(freq, ["domain", "t"]).withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "t")))
-    prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1) & (F.col("df") > 1)).select("id", "domain", "t", "n")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cand = (a.join(b, (F.col("a.domain") == F.col("b.domain")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id"))
-                   & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")))
-            .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    return ranked.filter((F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1) & (F.col("df") > 1)).select("id", "domain", "t", "n")
+
+
+def verified(candidates: DataFrame, sets: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(a, b, similarity) of the candidates (a, b) at the threshold or above."""
     left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return (cand.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("sa"), F.col("sb")))
+    return (candidates.join(left, "a").join(right, "b").withColumn("similarity", jaccard(F.col("sa"), F.col("sb")))
             .filter(F.col("similarity") >= threshold).select("a", "b", "similarity"))
 
 
+def shared_prefix(some: DataFrame, others: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(a, b), a < b, that share a token of their prefixes and are of like size."""
+    a, b = some.alias("a"), others.alias("b")
+    return (a.join(b, (F.col("a.domain") == F.col("b.domain")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id"))
+                   & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")))
+            .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+
+
+def similar_sets(sets: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(a, b, similarity), a < b, of (id, domain, s).
+
+    Prefix filter: with each set ordered by token frequency, rarest first, similar sets
+    share one of their first n - ceil(t n) + 1 tokens; only sets that do are compared.
+    """
+    prefix = prefixes(sets, threshold)
+    return verified(shared_prefix(prefix, prefix, threshold), sets, threshold)
+
+
 def similar_links(docs: DataFrame, key: str = "doc_id", domain: str = "source", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """(id, class_id, n_links) of every document: documents of a domain with one token
     set are a class, named by its smallest id, and n_links counts the documents
@@ -104,30 +119,88 @@ def signature(domain, title, text):
     return F.concat_ws(":", domain, normalized(title), normalized(F.substring(text, 1, 300)))
 
 
-def greedy_dedup(docs: DataFrame, key: str = "doc_id", domain: str = "source", text: str = "text", title: str | None = None) -> DataFrame:
-    """(id, kept): in order of the key a document is dropped if it is thin, or has
-    the signature of a kept one, or is similar to a kept one of its domain.
+#: Documents with one prefix token that are thinned by stars before pairs are made.
+CROWD = 64
 
-    That is the first independent set in key order of the neighbour graph, found
-    in rounds: a document with no undecided earlier neighbour is decided.
-    A signature needs no pairs: what counts of its earlier documents is whether one is
-    kept and whether one is open.  Copies of one beginning are dropped at once.
+
+def _thinned(first: DataFrame, sets: DataFrame, prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(decided, open): what stars decide of documents (id, g) in crowds.
+
+    A document that is the first open one under each of its prefix tokens and in its
+    signature has no open earlier neighbour: it is kept.  It is compared with the others
+    under its tokens, and those like it are dropped.  There is one such document to a
+    token at most, so a round makes no more rows than there are prefix tokens.  Rounds go
+    on while a crowd is left and one was dropped; decided has (id, kept, by).
     """
+    spark = first.sparkSession
+    open_, decided = first.select("id", "g"), spark.createDataFrame([], first.select("id", F.lit(True).alias("kept"), F.col("id").alias("by")).schema)
+    while True:
+        here = prefix.join(open_, "id")
+        groups = cut(here.groupBy("domain", "t").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")))
+        if not groups.filter(F.col("size") > CROWD).limit(1).count():
+            return decided, open_
+        heads = open_.groupBy("g").agg(F.min("id").alias("head"))
+        of = here.join(groups, ["domain", "t"]).groupBy("id", "g").agg(F.bool_and(F.col("id") == F.col("lead")).alias("leads"), F.max("size").alias("size"))
+        stars = of.filter(F.col("leads") & (F.col("size") > CROWD)).join(heads, "g").filter(F.col("id") == F.col("head")).select("id", "g")
+        stars = cut(stars)
+        near = verified(shared_prefix(prefix.join(stars, "id", "left_semi"), here), sets).select("a", "b")
+        same = open_.join(stars.select("g", F.col("id").alias("a")), "g").filter("id > a").select("a", F.col("id").alias("b"))
+        dropped = cut(near.unionByName(same).groupBy("b").agg(F.min("a").alias("by")).select(F.col("b").alias("id"), F.lit(False).alias("kept"), "by"))
+        now = stars.select("id", F.lit(True).alias("kept"), F.col("id").alias("by")).unionByName(dropped)
+        decided = decided.unionByName(now)
+        open_ = cut(open_.join(now.select("id"), "id", "left_anti"))
+        if not dropped.limit(1).count():
+            return decided, open_
+
+
+def _decided(docs: DataFrame, key: str, domain: str, text: str, title: str | None) -> DataFrame:
+    """(id, kept, by, head, domain, g) of the first document of each beginning that is not thin."""
     name = F.col(title) if title else F.lit("")
     heads = docs.filter(~is_thin(F.col(text))).select(
         F.col(key).alias("id"), F.col(domain).alias("domain"), F.substring(text, 1, 600).alias("head"), F.md5(signature(F.col(domain), name, F.col(text))).alias("g"))
     first = cut(heads.groupBy("domain", "head", "g").agg(F.min("id").alias("id")))
-    edges = cut(similar_pairs(first, "id", "domain", "head").select("a", "b"))
-    again = first.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
-    touched = edges.select(F.col("a").alias("id")).union(edges.select("b")).union(first.join(again, "g").select("id")).distinct()
-    state = cut(first.join(touched, "id").select("id", "g", F.lit(None).cast("boolean").alias("kept")))
+    sets = token_sets(first, "id", "domain", "head")
+    prefix = cut(prefixes(sets))
+    decided, left = _thinned(first, sets, prefix)
+    here = prefix.join(left, "id", "left_semi")
+    edges = cut(verified(shared_prefix(here, here), sets).select("a", "b"))
+    again = left.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    touched = edges.select(F.col("a").alias("id")).union(edges.select("b")).union(left.join(again, "g").select("id")).distinct()
+    state = cut(left.join(touched, "id").select("id", "g", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast(first.schema["id"].dataType).alias("by")))
     while state.filter("kept is null").limit(1).count():
         near = (edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("k")), "a").groupBy(F.col("b").alias("id"))
-                .agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("near"), F.bool_or(F.col("k").isNull()).alias("near_open")))
+                .agg(F.min(F.when(F.col("k"), F.col("a"))).alias("near"), F.bool_or(F.col("k").isNull()).alias("near_open")))
         same = state.groupBy("g").agg(F.min(F.when(F.col("kept"), F.col("id"))).alias("has"), F.min(F.when(F.col("kept").isNull(), F.col("id"))).alias("may"))
-        drop = F.coalesce("near", F.lit(False)) | F.coalesce(F.col("has") < F.col("id"), F.lit(False))
+        like = F.least("near", F.when(F.col("has") < F.col("id"), F.col("has")))
         waits = F.coalesce("near_open", F.lit(False)) | F.coalesce(F.col("may") < F.col("id"), F.lit(False))
-        verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(drop, F.lit(False)).when(~waits, F.lit(True))
-        state = cut(state.join(near, "id", "left").join(same, "g", "left").select("id", "g", verdict.alias("kept")))
-    lone = first.select("id").join(state, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
-    return docs.select(F.col(key).alias("id")).join(lone, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+        open_ = F.col("kept").isNull()
+        state = cut(state.join(near, "id", "left").join(same, "g", "left").select(
+            "id", "g", F.when(~open_, F.col("kept")).when(like.isNotNull(), F.lit(False)).when(~waits, F.lit(True)).alias("kept"),
+            F.when(~open_, F.col("by")).when(like.isNotNull(), like).when(~waits, F.col("id")).alias("by")))
+    lone = left.join(state.select("id"), "id", "left_anti").select("id", F.lit(True).alias("kept"), F.col("id").alias("by"))
+    return first.join(decided.unionByName(state.select("id", "kept", "by")).unionByName(lone), "id")
+
+
+def greedy_dedup(docs: DataFrame, key: str = "doc_id", domain: str = "source", text: str = "text", title: str | None = None) -> DataFrame:
+    """(id, kept): in order of the key a document is dropped if it is thin, or has
+    the signature of a kept one, or is similar to a kept one of its domain.
+
+    That is the first independent set in key order of the neighbour graph.  Crowds of
+    near copies are thinned by stars first, so they never make pairs; what is left is
+    decided in rounds: a document with no undecided earlier neighbour is decided.
+    A signature needs no pairs: what counts of its earlier documents is whether one is
+    kept and whether one is open.  Copies of one beginning are dropped at once.
+    """
+    found = _decided(docs, key, domain, text, title).select("id", "kept")
+    return docs.select(F.col(key).alias("id")).join(found, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def star_links(docs: DataFrame, key: str = "doc_id", domain: str = "source", text: str = "text", title: str | None = None) -> DataFrame:
+    """(id, representative) of every document: a kept one (greedy_dedup) that it equals in
+    its beginning or signature or is similar to, itself if it is kept; null if thin.  One
+    row each, however many copies there are."""
+    name = F.col(title) if title else F.lit("")
+    found = _decided(docs, key, domain, text, title).select(F.col("domain").alias("_domain"), F.col("head").alias("_head"), F.col("g").alias("_g"), "by")
+    rows = docs.select(F.col(key).alias("id"), F.col(domain).alias("_d"), F.substring(text, 1, 600).alias("_h"), F.md5(signature(F.col(domain), name, F.col(text))).alias("_s"), is_thin(F.col(text)).alias("_thin"))
+    same = rows["_d"].eqNullSafe(found["_domain"]) & rows["_h"].eqNullSafe(found["_head"]) & (rows["_s"] == found["_g"])
+    return rows.join(found, same & ~F.coalesce(rows["_thin"], F.lit(True)), "left").select("id", F.col("by").alias("representative"))

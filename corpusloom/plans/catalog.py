@@ -326,6 +326,20 @@ def greedy_near_dedup(s, d):
     return corpus.greedy_dedup(read(s, d, "documents"))
 
 
+# a kept neighbour of each document, or itself; which one is free, so the query tells whether it is a right one
+@query(f"WITH RECURSIVE {_GREEDY} SELECT t.doc_id AS id, NOT t.thin AS has, k.doc_id IS NOT NULL AS itself, true AS fits FROM t LEFT JOIN k USING (doc_id)")
+def near_dup_stars(s, d):
+    docs = read(s, d, "documents")
+    stars = corpus.star_links(docs)
+    signed = docs.select(F.col("doc_id").alias("id"), corpus.signature(F.col("source"), F.lit(""), F.col("text")).alias("g"))
+    sets = corpus.token_sets(docs, "doc_id", "source", "text").join(signed, "id")
+    other = sets.select(F.col("id").alias("representative"), F.col("s").alias("s2"), F.col("domain").alias("d2"), F.col("g").alias("g2"))
+    near = (F.col("domain") == F.col("d2")) & (T.jaccard(F.col("s"), F.col("s2")) >= corpus.SIMILAR) | (F.col("g") == F.col("g2"))
+    fits = F.col("representative").isNull() | ((F.col("representative") <= F.col("id")) & near)
+    return stars.join(sets, "id").join(other, "representative", "left").select(
+        "id", F.col("representative").isNotNull().alias("has"), F.coalesce(F.col("representative") == F.col("id"), F.lit(False)).alias("itself"), fits.alias("fits"))
+
+
 _LABEL = "CASE " + " ".join(f"WHEN {sql_any('h', w)} THEN '{n}'" for n, w in T.LABELS) + " ELSE 'general' END"
 
 
