@@ -39,11 +39,11 @@ def evidence(sources: DataFrame, topic: str, domain: str = "domain", order: str
 
 
 def evidence_for_topics(topics: DataFrame, sources: DataFrame) -> DataFrame:
-    """(topic_id, url, relevance) of every source for each topic (topic_id, topic): topics
-    are a small table that each task holds, and the sources are not shuffled."""
+    """(topic_id, url, relevance) of every source for each topic (topic_id, topic).  Spark
+    chooses the join by the measured size of the topics: a few are held by each task."""
     t = topics.select("topic_id", F.array_distinct(tokens(F.col("topic"))).alias("_words"))
     rows = sources.withColumn("_text", tokens(F.concat_ws(" ", "title", "snippet")))
-    return rows.crossJoin(F.broadcast(t)).select("topic_id", "url", overlap_score(F.col("_words"), F.col("_text")).alias("relevance"))
+    return rows.crossJoin(t).select("topic_id", "url", overlap_score(F.col("_words"), F.col("_text")).alias("relevance"))
 
 
 def by_evidence(documents: DataFrame, order: str = "ord", most: int | None = None) -> DataFrame:

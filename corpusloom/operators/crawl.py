@@ -17,7 +17,8 @@ from corpusloom.sources.tables import cut
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """(origin, pattern, allow) of (origin, body): the agent's rules, else those for ``*``."""
+    """(origin, pattern, allow) of (origin, body): the rules for agents whose name holds
+    the agent's, without regard to case, else those for ``*``."""
     lines = robots.select("origin", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line"))
     lines = lines.select("origin", "pos", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line")).filter("line like '%:%'")
     lines = lines.select("origin", "pos", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("field"),
@@ -27,49 +28,76 @@ def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     rules = lines.filter("field in ('allow', 'disallow') and value <> '' and agent is not null")
     rules = rules.select("origin", "agent", F.when(F.startswith("value", F.lit("/")), F.col("value")).otherwise(F.concat(F.lit("/"), F.col("value"))).alias("pattern"),
                          (F.col("field") == "allow").alias("allow"))
-    own = rules.filter(F.col("agent") == agent.lower())
+    own = rules.filter(F.col("agent") == "*" if agent == "*" else F.contains("agent", F.lit(agent.lower())))
     return own.unionByName(rules.filter("agent = '*'").join(own.select("origin").distinct(), "origin", "left_anti").select(rules.columns)).drop("agent").distinct()
 
-def robots_by_origin(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """(origin, state, rules) of fetched (origin, status, body): state is ``rules``,
-    ``none`` (404) or ``unavailable``; rules are the agent's as one short array."""
+
+@dataclass
+class Robots:
+    """What robots files say: origins (origin, state, sizes) - state is ``rules``, ``none``
+    (404) or ``unavailable``, sizes are the lengths of its patterns - and rules (origin,
+    pattern, allow), each pattern once."""
+
+    origins: DataFrame
+    rules: DataFrame
+
+    def kept(self) -> Robots:
+        """The same, read from checkpoints: for many uses."""
+        return Robots(cut(self.origins), cut(self.rules))
+
+
+def robots_tables(robots: DataFrame, agent: str = "*") -> Robots:
+    """The tables of fetched (origin, status, body), one row per origin."""
     state = F.when(F.col("status").between(200, 299), "rules").when(F.col("status") == 404, "none").otherwise("unavailable")
     known = robots.select("origin", "body", state.alias("state"))
-    rules = robots_rules(known.filter("state = 'rules'").select("origin", "body"), agent)
-    rules = rules.groupBy("origin").agg(F.collect_list(F.struct("pattern", "allow")).alias("rules"))
-    return known.drop("body").join(rules, "origin", "left")
+    rules = single_rules(robots_rules(known.filter("state = 'rules'").select("origin", "body"), agent))
+    return Robots(known.drop("body").join(pattern_sizes(rules), "origin", "left"), rules)
+
+
+def single_rules(rules: DataFrame) -> DataFrame:
+    """Each pattern of an origin once; if it is both allowed and not, it is allowed."""
+    return rules.groupBy("origin", "pattern").agg(F.bool_or("allow").alias("allow"))
+
+
+def pattern_sizes(rules: DataFrame) -> DataFrame:
+    return rules.groupBy("origin").agg(F.collect_set(F.length("pattern")).alias("sizes"))
+
 
+def longest_rule(urls: DataFrame, sizes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(origin, path, fits) of the distinct paths that some rule is a prefix of; fits is
+    whether the longest one allows.
 
-def rule_verdict(path: Column, rules: Column) -> Column:
-    """The longest matching prefix wins, a tie allows, none allows."""
-    hits = F.filter(rules, lambda r: F.startswith(path, r["pattern"]))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))
-    return F.coalesce(best["allow"], F.lit(True))
+    A path is cut at the lengths that its origin's patterns have, and the prefixes meet
+    the rules by equality of (origin, prefix): a hash join, however many origins and
+    rules there are, and a hot origin's rows differ in their prefixes."""
+    paths = urls.select("origin", "path").distinct().join(sizes.select("origin", "sizes"), "origin")
+    cuts = paths.select("origin", "path", F.explode("sizes").alias("n")).filter(F.col("n") <= F.length("path")).withColumn("pattern", F.substr("path", F.lit(1), F.col("n")))
+    return cuts.join(rules, ["origin", "pattern"]).groupBy("origin", "path").agg(F.max_by("allow", "n").alias("fits"))
 
 
-def robots_decisions(urls: DataFrame, robots: DataFrame, mode: str = "balanced", agent: str = "*", few: bool = True) -> DataFrame:
+def robots_decisions(urls: DataFrame, robots: DataFrame | Robots, mode: str = "balanced", agent: str = "*") -> DataFrame:
     """urls (origin, path, ...) with allowed and reason (off, allowed, disallowed,
     unavailable).  An origin without a robots row counts as unavailable; strict
-    denies those, balanced allows them.  few: the rules can be broadcast, so the
-    URLs are not shuffled."""
+    denies those, balanced allows them.  The longest matching prefix wins, a tie allows,
+    none allows."""
     if mode not in ("off", "balanced", "strict"):
         raise ValueError(f"unknown robots mode {mode}")
     if mode == "off":
         return urls.withColumns({"allowed": F.lit(True), "reason": F.lit("off")})
-    known = robots_by_origin(robots, agent)
-    out = urls.join(F.broadcast(known) if few else known, "origin", "left")
-    state = F.coalesce("state", F.lit("unavailable"))
-    fits = rule_verdict(F.col("path"), F.col("rules"))
-    allowed = F.when(state == "unavailable", F.lit(mode == "balanced")).when(state == "none", True).otherwise(fits)
+    known = robots if isinstance(robots, Robots) else robots_tables(robots, agent)
+    fits = longest_rule(urls, known.origins.filter("sizes is not null"), known.rules).withColumnRenamed("fits", "_fits")
+    out = urls.join(known.origins.select("origin", F.col("state").alias("_state")), "origin", "left").join(fits, ["origin", "path"], "left")
+    state = F.coalesce("_state", F.lit("unavailable"))
+    allowed = F.when(state == "unavailable", F.lit(mode == "balanced")).otherwise((state == "none") | F.coalesce("_fits", F.lit(True)))
     reason = F.when(state == "unavailable", "unavailable").otherwise(F.when(allowed, "allowed").otherwise("disallowed"))
-    return out.withColumns({"allowed": allowed, "reason": reason}).drop("state", "rules")
+    return out.withColumns({"allowed": allowed, "reason": reason}).drop("_state", "_fits").select(*urls.columns, "allowed", "reason")
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls with allowed, by the rules (origin, pattern, allow) of their origin, which
-    are few and meet them as one broadcast array each: no URL is shuffled."""
-    per = rules.groupBy("origin").agg(F.collect_list(F.struct("pattern", "allow")).alias("_rules"))
-    return urls.join(F.broadcast(per), "origin", "left").withColumn("allowed", rule_verdict(F.col("path"), F.col("_rules"))).drop("_rules")
+    """urls with allowed, by the rules (origin, pattern, allow) of their origin."""
+    rules = single_rules(rules)
+    fits = longest_rule(urls, pattern_sizes(rules), rules)
+    return urls.join(fits, ["origin", "path"], "left").select(*urls.columns, F.coalesce("fits", F.lit(True)).alias("allowed"))
 
 
 def robots_counters(decisions: DataFrame) -> DataFrame:
@@ -132,10 +160,11 @@ def walk(pages: DataFrame, robots: DataFrame, seed: str, limit: int | None, max_
     """
     spark = pages.sparkSession
     host = spark.range(1).select(F.try_parse_url(F.lit(seed), F.lit("HOST"))).first()[0].lower().removeprefix("www.")
+    known = robots_tables(robots).kept()
 
     def judged(df: DataFrame, column: str) -> DataFrame:
         at = F.col(column)
-        return robots_decisions(df.withColumns({"origin": U.origin(at), "path": U.path(at)}), robots, mode).drop("origin")
+        return robots_decisions(df.withColumns({"origin": U.origin(at), "path": U.path(at)}), known, mode).drop("origin")
 
     first = judged(spark.createDataFrame([(seed,)], "url string"), "url").first()
     if not first.allowed:

@@ -74,7 +74,7 @@ def topic_runs(checks: DataFrame, tasks: DataFrame) -> DataFrame:
     # The finding of a run.
     finding = F.when(n > 0, F.format_string('%d monitored pages changed for topic "%s".', n, "topic")).otherwise(
         F.format_string('No changed pages detected yet for topic "%s".', "topic"))
-    return (per.join(F.broadcast(tasks.select("task_id", "topic")), "task_id").withColumns({**signals(F.col("signals"), F.col("_before")),
+    return (per.join(tasks.select("task_id", "topic"), "task_id").withColumns({**signals(F.col("signals"), F.col("_before")),
             "refresh": (F.col("run") == 1) | (n > 0), "finding": finding}).drop("_before"))
 
 

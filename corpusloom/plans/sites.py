@@ -117,8 +117,9 @@ def robots_modes(s, d):
 
 @query("SELECT page_id % 3 = 2 AS missing, count_if(page_id % 3 = 0 AND contains(url, '/fr/'))::BIGINT + count_if(page_id % 3 = 2)::BIGINT AS blocked, count_if(page_id % 3 = 2)::BIGINT AS unavailable FROM pages GROUP BY 1")
 def robots_counters(s, d):
-    p = robots_modes(s, d).filter("mode = 'strict'").withColumn("missing", F.col("page_id") % 3 == 2)
-    return p.groupBy("missing").agg(F.count_if(~F.col("allowed")).alias("blocked"), F.count_if(F.col("reason") == "unavailable").alias("unavailable"))
+    p = robots_modes(s, d).filter("mode = 'strict'")
+    parts = [crawl.robots_counters(p.filter((F.col("page_id") % 3 == 2) == F.lit(x))).withColumn("missing", F.lit(x)) for x in (True, False)]
+    return parts[0].unionByName(parts[1])
 
 
 _H = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))"
