@@ -13,6 +13,7 @@ from corpusloom.functions import documents as D
 from corpusloom.functions import html as H
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
+from corpusloom.operators.scans import Ordered
 from corpusloom.sources.tables import cut
 
 
@@ -259,7 +260,7 @@ def crawl_site(pages: DataFrame, robots: DataFrame, seed: str, limit: int | None
 
 def crawl_domain(pages: DataFrame, robots: DataFrame, domain: str, max_pages: int | None, depth: int = 3, **options) -> dict[str, DataFrame]:
     """A map of a domain: mapped (url, depth, category, ord), by_category (category,
-    urls in order), recommended (the first 20 that are docs, pricing, blog or product)."""
+    place, url, n), recommended (the first 20 that are docs, pricing, blog or product)."""
     host = domain.split("://", 1)[-1].split("/", 1)[0]
     found = walk(pages, robots, f"https://{host}", max_pages, max_depth=depth, **options)
     mapped = found.urls.select("url", "depth", U.category(F.col("url")).alias("category"), "ord")
@@ -267,9 +268,16 @@ def crawl_domain(pages: DataFrame, robots: DataFrame, domain: str, max_pages: in
 
 
 def by_category(mapped: DataFrame, order: str = "ord") -> DataFrame:
-    """(category, urls, n): the URLs of each category in order, as a report lists them."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "url")))
-    return mapped.groupBy("category").agg(F.transform(items, lambda x: x["url"]).alias("urls"), F.count(F.lit(1)).alias("n"))
+    """(category, place, url, n): the URLs of each category in map order, numbered from
+    1, and how many it has; a row each, as a category may hold the whole domain."""
+    rows = Ordered(mapped.select("category", "url", order), "category", order).running(place=F.lit(1)).done()
+    return rows.select("category", "place", "url", F.col("place_total").alias("n"))
+
+
+def category_lists(rows: DataFrame) -> DataFrame:
+    """(category, urls, n) of by_category, one list each, for reports on maps of limited size."""
+    items = F.array_sort(F.collect_list(F.struct("place", "url")))
+    return rows.groupBy("category").agg(F.transform(items, lambda x: x["url"]).alias("urls"), F.count(F.lit(1)).alias("n"))
 
 
 def recommended(mapped: DataFrame, order: str = "ord", most: int = 20) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.scans import Ordered
+
 
 def changes(snapshots: DataFrame, target: str, order: str, fields: list[str]) -> DataFrame:
     """Each snapshot with the names of the fields that differ from the one before."""
-    w = W.partitionBy(target).orderBy(order)
-    prev = F.lag(F.struct(*fields)).over(w)
-    out = snapshots.withColumn("_prev", prev)
+    out = Ordered(snapshots, target, order).previous("_prev", *fields).done()
     diff = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_prev.{f}")), F.lit(f)) for f in fields]))
     return out.withColumn("changed", F.when(F.col("_prev").isNull(), F.array(F.lit("initial_snapshot"))).otherwise(diff)).drop("_prev")
 
@@ -26,8 +26,7 @@ def severity(n_new: Column, n_changed: Column, n_dropped: Column) -> Column:
 
 def history(df: DataFrame, key: str, order: str, value: str, keep: int = 10) -> DataFrame:
     """Each row with the last ``keep`` values of its key, oldest first."""
-    w = W.partitionBy(key).orderBy(order).rowsBetween(-(keep - 1), 0)
-    return df.withColumn("history", F.collect_list(value).over(w))
+    return Ordered(df, key, order).tail("history", value, keep).done()
 
 
 def live_targets(jobs: DataFrame, removed: DataFrame, key: str = "target") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.scans import Ordered, ranked
+
 
 def outcome_counts(events: DataFrame, key: str) -> DataFrame:
     """Counts of each host; a failed fetch that fell back to a browser counts if the
@@ -22,15 +24,14 @@ def host_policy(events: DataFrame, host: str = "host", order: str = "ord") -> Da
 
     The shell rate moves only on shell events, so it is a fold in event order:
     a shell event at attempt n sets r to (r (n - 1) + 1) / n, else r stays.
-    The product form lets partial sums be windows instead of one long array.
+    The product form lets partial sums be running sums instead of one long array.
     """
     good = F.col("outcome").startswith("success") | F.col("outcome").isin("blocked_robots", "blocked_policy")
-    w = W.partitionBy(host).orderBy(order)
-    rows = events.withColumn("n", F.row_number().over(w)).withColumn("left", F.row_number().over(W.partitionBy(host).orderBy(F.desc(order))))
-    rows = rows.withColumns({
-        # log of the factor (n - 1) / n of later shell events scales an earlier one
-        "f": F.when(F.col("shell") & (F.col("n") > 1), F.log((F.col("n") - 1) / F.col("n"))).otherwise(0.0)})
-    rows = rows.withColumn("after", F.coalesce(F.sum("f").over(w.rowsBetween(1, W.unboundedFollowing)), F.lit(0.0)))
+    events = events.select(host, order, "outcome", "shell")
+    # log of the factor (n - 1) / n of later shell events scales an earlier one
+    factor = F.when(F.col("shell") & (F.col("n") > 1), F.log((F.col("n") - 1) / F.col("n"))).otherwise(0.0)
+    rows = Ordered(events, host, order).running(n=F.lit(1)).running(f=factor).done()
+    rows = rows.withColumns({"left": F.col("n_total") - F.col("n") + 1, "after": F.col("f_total") - F.col("f")})
     out = rows.groupBy(host).agg(
         F.count(F.lit(1)).alias("attempts"), F.count_if(good).alias("successes"),
         F.coalesce(F.sum(F.when(F.col("shell"), F.exp("after") / F.col("n"))), F.lit(0.0)).alias("shell_rate"),
@@ -44,12 +45,11 @@ def host_policy(events: DataFrame, host: str = "host", order: str = "ord") -> Da
 
 def ewma(events: DataFrame, key: str, order: str, value: Column, keep: float = 0.9) -> DataFrame:
     """(key, state) of s = keep s + (1 - keep) v from the first value on, as one weighted
-    sum: windows number the values, so no key's values are gathered; nulls are skipped."""
-    rows = events.select(key, F.col(order).alias("_o"), value.alias("_v")).filter("_v is not null")
-    w = W.partitionBy(key)
-    rows = rows.select(key, "_v", F.row_number().over(w.orderBy("_o")).alias("_n"), F.row_number().over(w.orderBy(F.desc("_o"))).alias("_left"))
-    weight = F.pow(F.lit(keep), F.col("_left") - 1) * F.when(F.col("_n") == 1, 1.0).otherwise(1.0 - keep)
-    return rows.groupBy(key).agg(F.sum(F.col("_v") * weight).alias("state"))
+    sum: a scan numbers the values, so no key's values are gathered; nulls are skipped."""
+    rows = events.select(key, F.col(order).alias("_o"), value.alias("_value")).filter("_value is not null")
+    rows = Ordered(rows, key, "_o").running(_n=F.lit(1)).done()
+    weight = F.pow(F.lit(keep), F.col("_n_total") - F.col("_n")) * F.when(F.col("_n") == 1, 1.0).otherwise(1.0 - keep)
+    return rows.groupBy(key).agg(F.sum(F.col("_value") * weight).alias("state"))
 
 
 def proxy_health(events: DataFrame, key: str = "proxy", order: str = "ord", least: float = 0.3) -> DataFrame:
@@ -59,12 +59,10 @@ def proxy_health(events: DataFrame, key: str = "proxy", order: str = "ord", leas
     The latency starts at 0 and moves only on a success; the health is the share of
     successes once there are more than ten outcomes, 1 before; recovered counts the
     outcomes that turned an unhealthy proxy healthy."""
-    w = W.partitionBy(key).orderBy(order)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    rows = events.select(key, F.col(order), "success", "latency_ms", F.row_number().over(w).alias("_n"), F.count_if(F.col("success")).over(upto).alias("_ok"))
-    rows = rows.withColumn("_good", (F.col("_n") <= 10) | (F.col("_ok") / F.col("_n") >= least))
-    back = w.rowsBetween(1, W.unboundedFollowing)
-    rows = rows.withColumns({"_left": F.count_if(F.col("success")).over(back), "_was": F.coalesce(F.lag("_good").over(w), F.lit(True))})
+    scan = Ordered(events.select(key, order, "success", "latency_ms"), key, order)
+    scan.running(_n=F.lit(1), _ok=F.coalesce(F.col("success"), F.lit(False)).cast("long"))
+    scan.rows = scan.rows.withColumn("_good", (F.col("_n") <= 10) | (F.col("_ok") / F.col("_n") >= least))
+    rows = scan.previous("_row", "_good").done().withColumns({"_left": F.col("_ok_total") - F.col("_ok"), "_was": F.coalesce("_row._good", F.lit(True))})
     n = F.count(F.lit(1))
     ok = F.count_if(F.col("success"))
     return rows.groupBy(key).agg(
@@ -73,6 +71,11 @@ def proxy_health(events: DataFrame, key: str = "proxy", order: str = "ord", leas
         ((n <= 10) | (ok / n >= least)).alias("healthy"), F.count_if(F.col("_good") & ~F.col("_was")).alias("recovered"))
 
 
+def gaps(events: DataFrame, key: str, at: str, order: str) -> DataFrame:
+    """events with ``before``: the time of the event before of its key, null for the first."""
+    return Ordered(events, key, [at, order]).previous("_row", at).done().withColumn("before", F.col(f"_row.{at}")).drop("_row")
+
+
 def proxy_stats(proxies: DataFrame) -> DataFrame:
     """(total, healthy, unhealthy)."""
     return proxies.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("healthy")).alias("healthy"), F.count_if(~F.col("healthy")).alias("unhealthy"))
@@ -81,12 +84,18 @@ def proxy_stats(proxies: DataFrame) -> DataFrame:
 def pick_proxies(requests: DataFrame, proxies: DataFrame, strategy: str = "round-robin", order: str = "ord", seed: int = 0) -> DataFrame:
     """requests (ord: 0, 1, ...) with the proxy that a strategy picks among the healthy
     ones (proxy, ord, successes, healthy): in turn, by a hash of the request (random),
-    or always the least used.  Proxies are a small table, held as one array; no
-    request has a proxy if none is healthy."""
-    pool = proxies.filter("healthy").agg(F.array_sort(F.collect_list(F.struct(F.col("successes") if strategy == "least-used" else F.lit(0).alias("successes"), "ord", "proxy"))).alias("_pool"))
-    n = F.size("_pool")
-    at = {"round-robin": F.pmod(F.col(order), n), "random": F.pmod(F.xxhash64(order, F.lit(seed)), n), "least-used": F.lit(0)}[strategy].cast("int")
-    return requests.crossJoin(F.broadcast(pool)).withColumn("proxy", F.when(n > 0, F.get("_pool", at)["proxy"])).drop("_pool")
+    or always the least used.  Each healthy proxy has its place in the pool's order, and
+    requests are joined to it; no request has a proxy if none is healthy."""
+    pool = proxies.filter("healthy").select("proxy", F.col("successes") if strategy == "least-used" else F.lit(0).alias("successes"), "ord")
+    if strategy == "least-used":
+        best = pool.orderBy("successes", "ord", "proxy").limit(1).select("proxy")
+        return requests.join(best, F.lit(True), "left")
+    n = pool.count()
+    if not n:
+        return requests.withColumn("proxy", F.lit(None).cast(pool.schema["proxy"].dataType))
+    placed = ranked(pool, [F.col("ord"), F.col("proxy")], "_place").select("proxy", (F.col("_place") - 1).alias("_place"))
+    at = {"round-robin": F.pmod(F.col(order), F.lit(n)), "random": F.pmod(F.xxhash64(order, F.lit(seed)), F.lit(n))}[strategy].cast("long")
+    return requests.withColumn("_place", at).join(placed, "_place", "left").drop("_place")
 
 
 def limited_starts(requests: DataFrame, key: str = "host", ts_ms: str = "ms", took_ms: str = "took", order: str = "ord", slots: int = 3, gap_ms: int = 1000) -> DataFrame:

@@ -196,7 +196,7 @@ def _mapped(s, d) -> DataFrame:
 
 @query(f"SELECT ['docs', 'pricing', 'blog', 'product', 'general', 'general'][page_id % 6 + 1] AS category, count(*) AS n, md5(array_to_string(list({_AT} ORDER BY page_id), ' ')) AS urls FROM pages GROUP BY 1")
 def url_category_lists(s, d):
-    return crawl.by_category(_mapped(s, d)).select("category", "n", F.md5(F.array_join("urls", " ")).alias("urls"))
+    return crawl.category_lists(crawl.by_category(_mapped(s, d))).select("category", "n", F.md5(F.array_join("urls", " ")).alias("urls"))
 
 
 @query(f"SELECT {_AT} AS url FROM pages WHERE page_id % 6 < 4 ORDER BY page_id LIMIT 20")
@@ -535,8 +535,8 @@ def stale_reclaim(s, d):
 
 @query("SELECT user_id, count_if(ts - p < INTERVAL 1 SECOND)::BIGINT AS n_close FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY 1")
 def rate_limit_gaps(s, d):
-    e = read(s, d, "events").withColumn("p", F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id")))
-    return e.groupBy("user_id").agg(F.count_if(F.col("ts") - F.col("p") < F.expr("interval 1 second")).alias("n_close"))
+    e = ops.gaps(read(s, d, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id")
+    return e.groupBy("user_id").agg(F.count_if(F.col("ts") - F.col("before") < F.expr("interval 1 second")).alias("n_close"))
 
 
 _RUSH = "SELECT user_id % 40 AS k, event_id AS i, event_id * 10 AS ms, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS n FROM events"

@@ -14,7 +14,7 @@ from corpusloom.functions import documents as D
 from corpusloom.functions import html as H
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
-from corpusloom.operators import corpus, crawl, monitor, ops, registry
+from corpusloom.operators import corpus, crawl, monitor, ops, registry, scans
 from corpusloom.plans.catalog import _CONF, _SCORE, HOST, PAGES, _evidence, query
 from corpusloom.sources.tables import kv_state, kv_stats, latest, read
 
@@ -81,7 +81,8 @@ def crawl_summary(s, d):
 @query(f"WITH {_SHOP} SELECT 'general' AS category, count(*) AS n, md5(array_to_string(list(url ORDER BY depth, r, n, c), ' ')) AS urls FROM u WHERE depth < 3 GROUP BY 1")
 def crawl_domain(s, d):
     pages, robots = shop(s, d)
-    return crawl.crawl_domain(pages.withColumn("url", F.regexp_replace("url", "/$", "")), robots, "shop.example.com/x", None, 2)["by_category"].select(
+    rows = crawl.crawl_domain(pages.withColumn("url", F.regexp_replace("url", "/$", "")), robots, "shop.example.com/x", None, 2)["by_category"]
+    return crawl.category_lists(rows).select(
         "category", "n", F.md5(F.regexp_replace(F.array_join("urls", " "), f"^{SHOP} ", f"{SHOP}/ ")).alias("urls"))
 
 
@@ -232,7 +233,7 @@ def index_hydrate(s, d):
     entities = read(s, d, "events").groupBy(F.col("user_id").alias("task_id")).agg(F.max("event_id").alias("last"))
     index = read(s, d, "customer").select(F.col("c_custkey").alias("task_id"), F.col("c_custkey").alias("pos"))
     out = registry.hydrated(index, entities)
-    return out.select("task_id", "last", F.row_number().over(W.orderBy("pos")).alias("pos"))
+    return scans.ranked(out, [F.col("pos")], "place").select("task_id", "last", F.col("place").alias("pos"))
 
 
 @query("WITH l AS (SELECT user_id, max(ts) AS t, max(ts) FILTER (event_type = 'click') AS c FROM events GROUP BY 1) SELECT user_id AS worker_id, t > TIMESTAMP '2024-01-30' - INTERVAL 1 MINUTE AS alive, c IS NOT NULL AND (c < TIMESTAMP '2024-01-30' - INTERVAL 5 MINUTE OR user_id % 9 = 0) AS reclaimed FROM l")
