@@ -7,6 +7,8 @@ documents (source is the domain, doc_id the order); events are outcome logs
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +17,8 @@ from corpusloom.functions import html as H
 from corpusloom.functions import structured as S
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
-from corpusloom.operators import corpus, crawl, monitor, ops, registry, research
-from corpusloom.sources.tables import latest, read, revalidated, sitemap_entries, unexpired
+from corpusloom.operators import corpus, crawl, index, monitor, ops, registry, research
+from corpusloom.sources.tables import latest, read, revalidated, shared_dir, sitemap_entries, unexpired
 from corpusloom.streaming.windows import sessions, windowed_counts
 
 QUERIES: dict = {}
@@ -697,6 +699,14 @@ def page_search(s, d):
     return research.search(p, TOPIC, 10, key="page_id", exclude=["casino"]).select("page_id", "rank")
 
 
+@query(SQL["page_search"])
+def page_index_search(s, d):
+    p = pages(s, d).select("page_id", "text", U.host(F.col("url")).alias("domain"))
+    at = f"{shared_dir(s)}/index-{uuid.uuid4().hex}"
+    index.build_index(p, at, key="page_id")
+    return index.search(s, at, TOPIC, 10, key="page_id", exclude=["casino"]).select("page_id", "rank")
+
+
 @query(f"WITH RECURSIVE {_GREEDY} SELECT count(*) AS n, count_if(thin)::BIGINT AS n_thin, count(k.doc_id) AS n_kept, (count(*) - count(k.doc_id)) / count(*) AS duplicate_ratio FROM t LEFT JOIN k USING (doc_id)")
 def dedupe_stats(s, d):
     x = read(s, d, "documents")
