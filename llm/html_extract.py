@@ -15,8 +15,10 @@ content too.
 An article or main element weighs in, it does not decide: the choice grows to
 the article that it lies in, or shrinks to the articles inside it that hold half
 of its text; of other articles those with content and half as much text are
-kept.  A choice that has nothing to do with an article stands as it is, with
-all other content and what lies between.
+kept, and of those beside them under one parent all but lists of links, however
+short.  A choice that has nothing to do with an article stands as it is, with
+all other content, what lies between, and the parts with paragraphs beside it under
+one parent below the body.
 
 Defined cases: a null or empty page, or one without text, gives an empty text;
 unclosed tags, a missing body and broken markup are tolerated (a quote that is
@@ -61,6 +63,7 @@ CLOSED_BY = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 PARAGRAPH = frozenset(("p", "li", "pre", "blockquote", "dt", "dd", "td", "th", "tr", "tbody", *HEADINGS))
+PROSE = frozenset(("p", "pre", "blockquote", "table", *HEADINGS))
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 NOISE = re.compile(
     r"^(?:ads?|adverts?|advertisements?|advertising|adsense|sponsored|sponsor|promo(?:tion)?s?|banner|sidebar|side-bar|side|menu|nav|navbar|"
@@ -327,6 +330,21 @@ def _holder(node: Node) -> Node:
     return node
 
 
+def _beside(chosen: Node, nodes: list[Node]) -> set[Node]:
+    """The other children of the choice's parent, below the body, that hold paragraphs
+    and more text than links: short parts of the same text."""
+    around = chosen.parent
+    if around is None or around.parent is None:
+        return set()
+    prose = set()
+    for x in nodes:
+        if x.tag in PROSE and x.chars and 2 * x.link_chars <= x.chars:
+            while x is not None and x is not around and x not in prose:
+                prose.add(x)
+                x = x.parent
+    return {c for c in around.children if isinstance(c, Node) and c in prose and 2 * c.link_chars <= c.chars}
+
+
 def choose(root: Node) -> list:
     """The parts of the main text in order: nodes, and strings between them."""
     nodes = _order(root)
@@ -349,8 +367,14 @@ def choose(root: Node) -> list:
         main = inside if inside is not None and 2 * inside.chars >= chosen.chars else None
     if main is not None:
         content = {x.whole for x in tops} | {chosen.whole, main}
-        return [x for x in articles if x in content and 2 * x.chars >= main.chars]
-    return _spread(tops | {chosen}, nodes)
+        kept = {x for x in articles if x in content and 2 * x.chars >= main.chars}
+        beside = {x.parent for x in kept}
+        return [x for x in articles if x in kept or x.parent in beside and 2 * x.link_chars <= x.chars]
+    if chosen is body:  # menus without names: blocks of links alone
+        for c in body.children:
+            if isinstance(c, Node) and not c.cut and c.tag in BLOCK - PARAGRAPH and c.link_tags >= 3 and 10 * c.link_chars >= 9 * c.chars:
+                c.cut = True
+    return _spread(tops | _beside(chosen, nodes) | {chosen}, nodes)
 
 
 def blocks(parts: list) -> list[str]:
