@@ -4,15 +4,18 @@ Each n-gram's presence is scaled by its log-count ratio between toxic and other
 labelled texts; a logistic regression is fitted on the scaled presences.  It is
 trained on a bounded sample of the labelled rows that are not held out
 (``TRAIN_PER_CLASS`` of each label at most, those below a hash that is computed
-from the label's count).  Each sampled row
-weighs the labelled rows of its label that it stands for, counted over all of
-them, so that the model learns their balance at any size.
+from the label's count, and whole texts of ``TRAIN_BYTES`` bytes in all of each
+label, in the order of another hash).  Each sampled row weighs the labelled rows of
+its label that it stands for: all of them by those in the sample, so that the model
+learns their balance at any size.
 
 Defined cases: a null or empty text has no n-grams and scores the intercept; a
 null doc_id is held out (the CRC of the empty string is 0) and never trains;
-labels of one doc_id that differ count as the larger; repeated rows score alike;
-extra columns are ignored, whatever their names; an empty table gives no rows; without labels of both kinds every score is the rate
-of label 1 (0 without labels); texts of any length are read whole.
+labels of one doc_id that differ count as the larger, and of its texts the larger
+trains; repeated rows score alike, and so do texts that differ in nothing but their
+keys; extra columns are ignored, whatever their names; an empty table gives no rows;
+without labels of both kinds every score is the rate of label 1 (0 without labels);
+texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from llm.kernels import U64, lower_ascii, mix, text_buffer
 
 #: Most training texts of each label.
 TRAIN_PER_CLASS = 2_500
+#: Most bytes of the training texts of each label; the first one counts at any length.
+TRAIN_BYTES = 32 << 20
 GRAMS = (4, 5, 6)
 BITS = 20
 SLICE_BYTES = 1 << 20
@@ -98,21 +103,23 @@ class NBLinear:
         doc, gram = (np.concatenate(c) for c in zip(*found))
         x = ratio[gram]
         norm = np.sqrt(np.maximum(np.bincount(doc, x * x, len(y)), 1.0))
-        w, b = np.zeros(1 << BITS), 0.0
-        m1, m2, mb1, mb2 = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
-        used = np.flatnonzero(ratio)
+        used, at = np.unique(gram, return_inverse=True)  # n-grams of the sample alone take part
+        w, b = np.zeros(len(used)), 0.0
+        m1, m2, mb1, mb2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
         xs = x / norm[doc] * 3.0
         for t in range(1, 81):  # Adam on the full sample, L2 penalty
-            z = np.bincount(doc, w[gram] * xs, len(y)) + b
+            z = np.bincount(doc, w[at] * xs, len(y)) + b
             e = weight * (1 / (1 + np.exp(-z)) - y)
-            g = np.bincount(gram, e[doc] * xs, 1 << BITS)[used] / len(y) + PENALTY * w[used]
+            g = np.bincount(at, e[doc] * xs, len(used)) / len(y) + PENALTY * w
             gb = e.mean()
-            m1[used] = 0.9 * m1[used] + 0.1 * g
-            m2[used] = 0.99 * m2[used] + 0.01 * g * g
+            m1 = 0.9 * m1 + 0.1 * g
+            m2 = 0.99 * m2 + 0.01 * g * g
             mb1, mb2 = 0.9 * mb1 + 0.1 * gb, 0.99 * mb2 + 0.01 * gb * gb
-            w[used] -= 0.05 * (m1[used] / (1 - 0.9**t)) / (np.sqrt(m2[used] / (1 - 0.99**t)) + 1e-8)
+            w -= 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
             b -= 0.05 * (mb1 / (1 - 0.9**t)) / (np.sqrt(mb2 / (1 - 0.99**t)) + 1e-8)
-        model = cls(w * ratio * 3.0, b)
+        weights = np.zeros(size)
+        weights[used] = w * ratio[used] * 3.0
+        model = cls(weights, b)
         model.ratio2 = (ratio * ratio).astype(np.float32)
         return model
 
@@ -130,9 +137,10 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, *, most_bytes: int = TRAIN_BYTES) -> list[tuple]:
     """(doc_id, label, weight, text) of the bounded sample; the labels are counted
-    and sampled before the join, so its broadcast side has at most 2 * per_class rows."""
+    and sampled before the join, so its broadcast side has at most 2 * per_class rows,
+    and sizes decide before texts are collected."""
     lab = (labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
            .groupBy("doc_id").agg(F.max("toxic").alias("y")))
     count = {r.y: r.n for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -143,15 +151,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER
         part = lab.filter(F.col("y") == y)
         if n > per_class:
             part = part.filter(F.xxhash64("doc_id") < F.lit(int(-2**63 + share * (2**64 - 1)))).limit(per_class)
-        part = part.withColumn("weight", F.lit(max(n / per_class, 1.0)))
         picked = part if picked is None else picked.unionByName(part)
-    return (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-            .groupBy("doc_id").agg(F.max("y").alias("y"), F.max("weight").alias("weight"), F.max("text").alias("text")).collect())
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sizes = found.groupBy("doc_id").agg(F.max("y").alias("y"), F.max(F.octet_length("text")).alias("size")).withColumn("h", F.xxhash64("doc_id", F.lit(1))).collect()
+    taken: dict = {}
+    for y in (0, 1):
+        total = 0
+        for r in sorted((r for r in sizes if r.y == y), key=lambda r: (r.h, r.doc_id)):
+            total += r.size or 0
+            if total > most_bytes and y in taken.values():
+                break
+            taken[r.doc_id] = y
+    ids = docs.sparkSession.createDataFrame([(i,) for i in taken], docs.select("doc_id").schema)
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).collect()
+    weight = {y: count.get(y, 0) / max(sum(v == y for v in taken.values()), 1) for y in (0, 1)}
+    return [(r.doc_id, taken[r.doc_id], weight[taken[r.doc_id]], r.text or "") for r in texts]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> NBLinear:
-    rows = sorted(training_rows(docs, labels), key=lambda r: r.doc_id)
-    return NBLinear.fit([r.text or "" for r in rows], np.array([r.y for r in rows], float), np.array([r.weight for r in rows], float))
+    rows = sorted(training_rows(docs, labels))
+    return NBLinear.fit([r[3] for r in rows], np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float))
 
 
 def score_texts(docs: DataFrame, model: NBLinear, key: str = "doc_id", text: str = "text") -> DataFrame:
