@@ -43,6 +43,8 @@ SHARD_BYTES, SHARD_WORDS = 8 << 20, 1 << 21
 #: Words and phrases whose bytes are looked at together.
 CHUNK = 1 << 16
 WORD_BITS, PAIR_BITS = 24, 26
+#: Shares that a lang's phrases are ranked in first.
+SHARES = 16
 BUCKET = 32768  # bits of one of Spark's bitmaps
 
 _SPACE, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
@@ -288,7 +290,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     score = F.expr(f"cast({SCALE} * cast(a as decimal(28,0)) div (cast(l as decimal(28,0)) + cast(r as decimal(28,0))) as long)")
     best = cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("best"))
     best = best.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    # the first ones of each share of a lang's phrases, then those of the lang: no task ranks what every other one found
+    best = best.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    best = best.withColumn("rank", F.row_number().over(W.partitionBy("lang", "share").orderBy(*order))).filter(F.col("rank") <= top).drop("rank", "share")
+    place = F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")
     total = ones.filter("phrase = ''").select("lang", "n")
     return best.withColumn("rank", place).filter(F.col("rank") <= top).join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
