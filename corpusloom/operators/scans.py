@@ -38,9 +38,9 @@ class Ordered:
 
     def _carry(self, chunks: DataFrame, carried: dict[str, Column]) -> None:
         """Join each chunk's carries, made by windows over the chunks of its key, to its rows."""
-        right = chunks.select(F.col(self.key).alias("_key"), F.col("_chunk").alias("_at"), *[c.alias(n) for n, c in carried.items()])
-        same = self.rows[self.key].eqNullSafe(right["_key"]) & (self.rows["_chunk"] == right["_at"])
-        self.rows = self.rows.join(right, same).drop("_key", "_at")
+        right = chunks.select(F.col(self.key).alias("_carry_key"), F.col("_chunk").alias("_carry_chunk"), *[c.alias(n) for n, c in carried.items()])
+        same = self.rows[self.key].eqNullSafe(right["_carry_key"]) & (self.rows["_chunk"] == right["_carry_chunk"])
+        self.rows = self.rows.join(right, same).drop("_carry_key", "_carry_chunk")
 
     def running(self, **values: Column) -> Ordered:
         """Add the sum of each value up to each row, and that of all of the key's rows as ``<name>_total``."""
@@ -68,6 +68,17 @@ class Ordered:
         self.rows = self.rows.withColumn(name, here).drop("_before")
         return self
 
+    def latest(self, name: str, value: Column) -> Ordered:
+        """Add the last value up to each row that is not null."""
+        self.rows = self.rows.withColumn("_value", value)
+        here = F.last("_value", ignorenulls=True).over(self.window.rowsBetween(W.unboundedPreceding, 0))
+        if self.chunks:
+            last = self.rows.groupBy(self.key, "_chunk").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*self.order))).alias("_last"))
+            self._carry(last, {"_before": F.last("_last", ignorenulls=True).over(W.partitionBy(self.key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))})
+            here = F.coalesce(here, F.col("_before"))
+        self.rows = self.rows.withColumn(name, here).drop("_value", "_before")
+        return self
+
     def tail(self, name: str, column: str, keep: int) -> Ordered:
         """Add the values of the last ``keep`` rows up to each row, oldest first, without nulls."""
         here = F.collect_list(F.struct(F.col(column).alias("v"))).over(self.window.rowsBetween(-(keep - 1), 0))
@@ -89,6 +100,21 @@ class Ordered:
         return self.rows.drop("_chunk")
 
 
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, tie: str, name: str = "found", hot: int | None = None) -> DataFrame:
+    """left with ``name``: the struct of the last row of right with the same key and a
+    time not after that of the left row, null if there is none; of equal times the row
+    with the larger ``tie`` counts.  Both have key and at.
+
+    The two tables are put in one order and scanned once, so nothing is gathered per key
+    and a hot key is scanned in chunks.  A null key or time finds nothing."""
+    mine = left.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"),
+                       F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.schema).alias("_right"))
+    other = right.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.lit(None).cast(left.schema).alias("_left"), F.struct(*right.columns).alias("_right"))
+    rows = Ordered(mine.unionByName(other), "_key", ["_at", "_side", "_tie"], hot).latest(name, F.col("_right")).done()
+    return rows.filter("_side = 1").select("_left.*", name)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with the place of each row by ascending values of the order, from 1; it must tell
     all rows apart.

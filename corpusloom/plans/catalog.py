@@ -17,7 +17,7 @@ from corpusloom.functions import html as H
 from corpusloom.functions import structured as S
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
-from corpusloom.operators import corpus, crawl, index, monitor, ops, registry, research
+from corpusloom.operators import corpus, crawl, index, monitor, ops, registry, research, scans
 from corpusloom.sources.tables import latest, read, revalidated, shared_dir, sitemap_entries, unexpired
 from corpusloom.streaming.windows import sessions, windowed_counts
 
@@ -707,6 +707,19 @@ def page_index_search(s, d):
     return index.search(s, at, TOPIC, 10, key="page_id", exclude=["casino"]).select("page_id", "rank")
 
 
+_AS_OF = ("e AS (SELECT event_id, user_id AS k, ts - to_years((26 + event_id % 7)::INT) AS at FROM events), "
+          "o AS (SELECT o_custkey AS k, o_orderdate::TIMESTAMP AS at, max(o_orderkey) AS o FROM orders GROUP BY 1, 2)")
+
+
+@query(f"WITH {_AS_OF} SELECT event_id, o.o AS order_id, strftime(o.at, '%Y-%m-%d') AS ordered FROM e ASOF LEFT JOIN o ON e.k = o.k AND e.at >= o.at")
+def events_as_of_orders(s, d):
+    years = F.make_ym_interval((26 + F.col("event_id") % 7).cast("int"))
+    e = read(s, d, "events").select("event_id", F.col("user_id").alias("k"), (F.col("ts") - years).alias("at"))
+    o = read(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("o"))
+    e = e.withColumn("at", F.col("at").cast("timestamp"))
+    return scans.as_of(e, o, "k", "at", "o").select("event_id", F.col("found.o").alias("order_id"), F.date_format("found.at", "yyyy-MM-dd").alias("ordered"))
+
+
 @query(f"WITH RECURSIVE {_GREEDY} SELECT count(*) AS n, count_if(thin)::BIGINT AS n_thin, count(k.doc_id) AS n_kept, (count(*) - count(k.doc_id)) / count(*) AS duplicate_ratio FROM t LEFT JOIN k USING (doc_id)")
 def dedupe_stats(s, d):
     x = read(s, d, "documents")

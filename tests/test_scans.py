@@ -89,3 +89,15 @@ def test_picking_proxies_of_a_pool(spark):
     assert {r.proxy for r in ops.pick_proxies(requests, pool.filter("not healthy")).collect()} == {None}
     assert {r.proxy for r in ops.pick_proxies(requests, pool.filter("not healthy"), "least-used").collect()} == {None}
     assert len({r.proxy for r in ops.pick_proxies(requests, pool, "random").collect()}) == 3
+
+
+@pytest.mark.parametrize("hot", [0, 9, 10**6])
+def test_as_of_joins(spark, hot):
+    r = random.Random(hot + 5)
+    left = [(r.choice(["h", "h", "h", "a", "z", None]), r.choice([None, *range(60)]), i) for i in range(200)]
+    right = [(r.choice(["h", "h", "a", "b", None]), r.choice([None, *range(60)]), i) for i in range(120)]
+    got = scans.as_of(spark.createDataFrame(left, "k string, at int, n long"), spark.createDataFrame(right, "k string, at int, m long"), "k", "at", "m", hot=hot).collect()
+    assert len(got) == len(left)
+    for x in got:
+        fit = [(at, m) for k, at, m in right if k is not None and k == x.k and at is not None and x.at is not None and at <= x.at]
+        assert (x.found and (x.found.at, x.found.m)) == (max(fit) if fit else None)
