@@ -39,7 +39,7 @@ from llm.kernels import U64, lower_ascii, mix, span_hash, text_buffer
 
 LEAST, DEPTH, SUBSUMED, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Bytes of texts and words of a shard; bits of the bitmaps of words and of pairs.
-SHARD_BYTES, SHARD_WORDS = 8 << 20, 1 << 21
+SHARD_BYTES, SHARD_WORDS = 4 << 20, 1 << 21
 #: Words and phrases whose bytes are looked at together.
 CHUNK = 1 << 16
 WORD_BITS, PAIR_BITS = 24, 26
