@@ -221,6 +221,8 @@ def count_tags(html: Column, names: str) -> Column:
     return F.regexp_count(F.lower(html), F.lit(f"<({names})\\b")).cast("long")
 
 
+# The scores, thresholds, reasons and words of the rules below.
+
 def confidence(html: Column, title_: Column, n_words: Column, n_links: Column) -> Column:
     scripts = count_tags(html, "script")
     low = F.lower(html)
