@@ -148,12 +148,12 @@ def cookie_fits(c: Column, host_: Column, path_: Column, now: Column) -> Column:
     return (c["expires_at"].isNull() | (c["expires_at"] > now)) & ((h == d) | F.endswith(h, F.concat(F.lit("."), d))) & ((way == "/") | below)
 
 
-def in_scope(url: Column, seed_host: str, deny: list[str] = (), allow: list[str] = ()) -> Column:
+def in_scope(url: Column, seed_host: str | Column, deny: list[str] = (), allow: list[str] = ()) -> Column:
     """Host equal to the seed's or below it, not denied, and allowed if a list is given."""
     h = host(url)
 
-    def under(d: str) -> Column:
-        return (h == d) | F.endswith(h, F.lit("." + d))
+    def under(d: str | Column) -> Column:
+        return (h == d) | F.endswith(h, F.concat(F.lit("."), F.lit(d)))
 
     ok = under(seed_host)
     for d in deny:

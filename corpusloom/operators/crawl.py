@@ -113,24 +113,28 @@ def domain_policy(urls: DataFrame, url: str = "url", allow: list[str] = (), deny
     return urls.withColumn("permitted", U.domain_allowed(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), allow, deny))
 
 
+def in_sitemap(entries: DataFrame, seed_host: Column, include: list[str] = (), deny: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """The entries whose URL is in the scope of a host (without ``www.``) and holds no excluded text."""
+    full = U.resolve(F.col("loc"), F.concat(F.lit("https://"), seed_host, F.lit("/")))
+    ok = U.in_scope(full, seed_host, list(deny), list(include))
+    return entries.filter(ok & ~T.contains_any(full, list(exclude)) if exclude else ok)
+
+
 def filter_sitemap(entries: DataFrame, seed_host: str, include: list[str] = (), deny: list[str] = (), exclude: list[str] = (), order: str = "pos") -> DataFrame:
     """(loc, first) of the entries in scope whose URL holds no excluded text, each once, first order of each."""
-    full = U.resolve(F.col("loc"), F.lit(f"https://{seed_host}/"))
-    ok = U.in_scope(full, seed_host.lower().removeprefix("www."), list(deny), list(include))
-    if exclude:
-        ok = ok & ~T.contains_any(full, list(exclude))
-    return entries.filter(ok).groupBy("loc").agg(F.min(order).alias("first"))
+    kept = in_sitemap(entries, F.lit(seed_host.lower().removeprefix("www.")), include, deny, exclude)
+    return kept.groupBy("loc").agg(F.min(order).alias("first"))
 
 
 # ---- maps and crawls -------------------------------------------------------------
 
 @dataclass
 class Walk:
-    """The result of a map or crawl.
+    """The result of maps or crawls.
 
     urls: (url, depth, discovered_from, discovered_by, ord) in the order of ord;
     summary: one row (visited, discovered, excluded, errors, robots_blocked,
-    robots_unavailable, stopped_reason)."""
+    robots_unavailable, stopped_reason).  Those of many seeds have the seed before."""
 
     urls: DataFrame
     summary: DataFrame
@@ -146,104 +150,135 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.filter("dst is not null").select("src", "dst", "pos")
 
 
-def walk(pages: DataFrame, robots: DataFrame, seed: str, limit: int | None, max_depth: int = 3, include: list[str] = (), deny: list[str] = (),
-         exclude_paths: list[str] = (), mode: str = "balanced", sitemap: DataFrame | None = None, extracting: bool = False, edges: DataFrame | None = None) -> Walk:
-    """Map (or with ``extracting`` crawl) a site held as a table of fetched pages
-    (url, html, status) from a seed.
+def gated(seeds: DataFrame, known: Robots, mode: str) -> DataFrame:
+    """(seed, limit, host, allowed, reason) of seeds (seed, limit): each seed once, with the
+    largest of its limits (null, and so any null, is none)."""
+    most = F.when(F.bool_and(F.col("limit").isNotNull()), F.max("limit")).cast("long")
+    at = F.col("seed")
+    rows = seeds.groupBy("seed").agg(most.alias("limit")).withColumns({"host": U.host(at), "origin": U.origin(at), "path": U.path(at)})
+    return cut(robots_decisions(rows, known, mode).drop("origin", "path"))
 
-    Every level of the breadth-first search is one join of the frontier with the
-    links of fetched pages, written before the next; links out of scope or closed
-    by robots rules are not followed but counted.  A URL is found by the first
-    link to it, in the order of discovery, and the limit is filled in that order
-    (None: no limit).  URLs without a page are visited and have no links; a crawl
-    counts them as errors and leaves out pages whose path holds an excluded text.
-    sitemap: entries (loc, pos); if any is in scope they are taken instead.
-    """
-    spark = pages.sparkSession
-    host = spark.range(1).select(F.try_parse_url(F.lit(seed), F.lit("HOST"))).first()[0].lower().removeprefix("www.")
+
+def walks(pages: DataFrame, robots: DataFrame, seeds: DataFrame, mode: str = "balanced", **options) -> Walk:
+    """Maps (or with ``extracting`` crawls) from many seeds (seed, limit), as walk does for
+    one, all in one loop: a level of all seeds is one join, so a thousand seeds take no
+    more rounds than one.
+
+    Every seed has its own visited URLs, scope, limit and counters, and its row of the
+    summary: ``robots_denied`` is why a seed that robots rules close stopped,
+    ``invalid_seed`` why one without a host did (null among them).  A seed given
+    twice is one walk.  sitemap: entries (seed, loc, pos)."""
     known = robots_tables(robots).kept()
+    return _walks(pages, known, gated(seeds, known, mode), mode, **options)
 
-    def judged(df: DataFrame, column: str) -> DataFrame:
-        at = F.col(column)
-        return robots_decisions(df.withColumns({"origin": U.origin(at), "path": U.path(at)}), known, mode).drop("origin")
 
-    first = judged(spark.createDataFrame([(seed,)], "url string"), "url").first()
-    if not first.allowed:
-        raise RobotsDenied(f"{seed}: {first.reason}")
+def _walks(pages: DataFrame, known: Robots, starts: DataFrame, mode: str, max_depth: int = 3, include: list[str] = (), deny: list[str] = (),
+           exclude_paths: list[str] = (), sitemap: DataFrame | None = None, extracting: bool = False, edges: DataFrame | None = None) -> Walk:
+    """The loop of walks.  Rows of a level carry their seed's host and what is left of its
+    limit, so no level is joined with the seeds."""
     fetched = pages.filter(F.coalesce("status", F.lit(0)).between(200, 399)).select(F.col("url")).distinct()
-    closed = T.contains_any(U.path(F.col("url")), list(exclude_paths)) if exclude_paths else F.lit(False)
-    schema = "url string, depth int, discovered_from string, discovered_by string, ord string, state string"
+    closed = T.contains_any(U.path(F.col("url")), list(exclude_paths)) if exclude_paths and extracting else F.lit(False)
+    columns = ["seed", "host", "left", "url", "depth", "discovered_from", "discovered_by", "ord"]
+    counts = (F.col("state") == "ok" if extracting else F.lit(True)).cast("long")
+
+    def judged(df: DataFrame) -> DataFrame:
+        at = F.col("url")
+        return robots_decisions(df.withColumns({"origin": U.origin(at), "path": U.path(at)}), known, mode).drop("origin", "path")
 
     def with_state(df: DataFrame) -> DataFrame:
         """What became of each URL of a level: skipped, ok or error."""
         found = df.join(fetched.withColumn("_here", F.lit(True)), "url", "left")
-        state = F.when(closed if extracting else F.lit(False), "skipped").when(F.col("_here"), "ok").otherwise("error")
-        return found.withColumn("state", state).select("url", "depth", "discovered_from", "discovered_by", "ord", "state")
+        return found.select(*columns, F.when(closed, "skipped").when(F.col("_here"), "ok").otherwise("error").alias("state"))
 
-    def upto(df: DataFrame, left: int | None) -> DataFrame:
-        """The rows of a level up to the one that fills the limit."""
-        if left is None:
+    def upto(df: DataFrame) -> DataFrame:
+        """The rows of each seed up to the one that fills its limit, and what is left then."""
+        if not limited:
             return df
-        counting = df.filter("state = 'ok'") if extracting else df
-        last = counting.orderBy("ord").limit(left).agg(F.max("ord").alias("last"), F.count(F.lit(1)).alias("n")).first()
-        return df if last.n < left else df.filter(F.col("ord") <= last.last)
-
-    def taken(df: DataFrame) -> int:
-        return (df.filter("state = 'ok'") if extracting else df).count()
-
-    counters = [spark.createDataFrame([(0, int(not first.allowed), int(first.reason == "unavailable"))], "excluded long, blocked long, unavailable long")]
+        rows = Ordered(df, "seed", "ord").running(_n=counts).done().filter(F.col("left").isNull() | (F.col("_n") - counts < F.col("left")))
+        return rows.withColumn("left", F.greatest(F.col("left") - F.col("_n_total"), F.col("left") * 0)).drop("_n", "_n_total")
 
     def counted(links: DataFrame) -> None:
         """Count what a level's links are not followed for; a crawl does not count those out of scope."""
         shut = F.col("scope") & ~F.col("allowed")
         excluded = shut if extracting else shut | ~F.col("scope")
-        counters.append(links.agg(F.count_if(excluded).alias("excluded"), F.count_if(shut).alias("blocked"),
-                                  F.count_if(F.col("scope") & (F.col("reason") == "unavailable")).alias("unavailable")))
-
-    listed = None
+        counters.append(links.groupBy("seed").agg(F.count_if(excluded).alias("excluded"), F.count_if(shut).alias("blocked"),
+                                                  F.count_if(F.col("scope") & (F.col("reason") == "unavailable")).alias("unavailable")))
+
+    valid = F.col("host").isNotNull()
+    counters = [starts.filter(valid).select("seed", F.lit(0).cast("long").alias("excluded"), (~F.col("allowed")).cast("long").alias("blocked"), (F.col("reason") == "unavailable").cast("long").alias("unavailable"))]
+    opened = starts.filter(valid & F.col("allowed")).select("seed", "host", F.col("limit").alias("left"))
+    limited = opened.filter("left is not null").limit(1).count() > 0
+    nowhere = F.lit(None).cast("string").alias("discovered_from")
+    rows, listed = opened, None
     if sitemap is not None:
-        listed = filter_sitemap(sitemap, host, include, deny, exclude_paths)
-        listed = listed if listed.limit(1).count() else None
-    if listed is not None:
-        top = listed.orderBy("first").limit(limit) if limit is not None else listed
-        rows = cut(judged(top.select(F.col("loc").alias("url"), F.lpad(F.col("first").cast("string"), 12, "0").alias("ord")), "url"))
-        counted(rows.withColumn("scope", F.lit(True)))
-        n_seen = rows.count()
-        seen = with_state(rows.filter("allowed").select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("discovered_from"), F.lit("sitemap").alias("discovered_by"), "ord"))
-        seen = cut(seen)
-    else:
-        edges = link_edges(pages) if edges is None else edges
+        entries = in_sitemap(sitemap.select("seed", "loc", "pos").join(opened, "seed"), F.col("host"), include, deny, exclude_paths)
+        entries = entries.groupBy("seed", "host", "left", "loc").agg(F.min("pos").alias("first"))
+        if limited:
+            entries = Ordered(entries, "seed", ["first", "loc"]).running(_n=F.lit(1)).done().filter("left is null or _n <= left").drop("_n", "_n_total")
+        listed = cut(judged(entries.withColumnRenamed("loc", "url").withColumn("ord", F.lpad(F.col("first").cast("string"), 12, "0"))))
+        counted(listed.withColumn("scope", F.lit(True)))
+        rows = opened.join(listed.select("seed").distinct(), "seed", "left_anti")
+    front = cut(upto(with_state(rows.select("seed", "host", "left", F.col("seed").alias("url"), F.lit(0).alias("depth"), nowhere, F.lit("bfs").alias("discovered_by"), F.lit("").alias("ord")))))
+    seen = front
+    edges = link_edges(pages) if edges is None else edges
+    if front.limit(1).count():
         edges = cut(edges.join(fetched.withColumnRenamed("url", "src"), "src", "left_semi"))  # parsed once, read at every level
-        seen = cut(with_state(spark.createDataFrame([(seed, 0, None, "bfs", "")], schema.rsplit(",", 1)[0])))
-        front, n_taken = seen, 0 if limit is None else taken(seen)
-        for depth in range(1, max_depth + 1):
-            if limit is not None and n_taken >= limit:
-                break
-            out = edges.join(front.filter("state = 'ok'").select(F.col("url").alias("src"), F.col("ord").alias("_ord")), "src")
-            out = out.join(seen.select(F.col("url").alias("dst")), "dst", "left_anti")
-            out = cut(judged(out.withColumnRenamed("dst", "url").withColumn("scope", U.in_scope(F.col("url"), host, list(deny), list(include))), "url"))
-            counted(out)
-            at = F.concat("_ord", F.lit("/"), F.lpad(F.col("pos").cast("string"), 8, "0"))
-            nxt = out.filter("scope and allowed").groupBy("url").agg(F.min(F.struct(at.alias("ord"), "src")).alias("by"))
-            nxt = with_state(nxt.select("url", F.lit(depth).alias("depth"), F.col("by.src").alias("discovered_from"), F.lit("bfs").alias("discovered_by"), F.col("by.ord").alias("ord")))
-            nxt = cut(nxt)
-            front = upto(nxt, None if limit is None else limit - n_taken)
-            seen = seen.unionByName(front)
-            n_taken += 0 if limit is None else taken(front)
-            if not front.limit(1).count():
-                break
-        n_seen = None
-    total = reduce(DataFrame.unionByName, counters).agg(F.sum("excluded").alias("excluded"), F.sum("blocked").alias("robots_blocked"), F.sum("unavailable").alias("robots_unavailable"))
-    facts = seen.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "ok").alias("ok"), F.count_if(F.col("state") == "skipped").alias("skipped"),
-                     F.count_if(F.col("state") == "error").alias("errors"))
-    found = F.col("ok") if extracting else F.col("n")
-    stopped = F.when(found >= limit, "limit_reached").otherwise("scope_exhausted") if limit is not None else F.lit("scope_exhausted")
-    summary = facts.join(F.broadcast(total)).select(
-        (F.lit(n_seen) if n_seen is not None else F.col("n")).cast("long").alias("visited"), found.alias("discovered"),
-        (F.col("excluded") + F.when(F.lit(extracting), F.col("skipped")).otherwise(0)).alias("excluded"),
-        F.when(F.lit(extracting), F.col("errors")).otherwise(0).cast("long").alias("errors"), "robots_blocked", "robots_unavailable", stopped.alias("stopped_reason"))
-    urls = seen.withColumn("ord", F.concat(F.lpad(F.col("depth").cast("string"), 4, "0"), F.lit(":"), "ord"))
-    return Walk(urls.filter("state = 'ok'") if extracting else urls, summary)
+    for depth in range(1, max_depth + 1):
+        front = front.filter("state = 'ok' and (left is null or left > 0)")
+        if not front.limit(1).count():
+            break
+        out = edges.join(front.select("seed", "host", "left", F.col("url").alias("src"), F.col("ord").alias("_ord")), "src")
+        out = out.withColumnRenamed("dst", "url").join(seen.select("seed", "url"), ["seed", "url"], "left_anti")
+        out = cut(judged(out.withColumn("scope", U.in_scope(F.col("url"), F.col("host"), list(deny), list(include)))))
+        counted(out)
+        at = F.concat("_ord", F.lit("/"), F.lpad(F.col("pos").cast("string"), 8, "0"))
+        nxt = out.filter("scope and allowed").groupBy("seed", "host", "left", "url").agg(F.min(F.struct(at.alias("ord"), "src")).alias("by"))
+        nxt = with_state(nxt.select("seed", "host", "left", "url", F.lit(depth).alias("depth"), F.col("by.src").alias("discovered_from"), F.lit("bfs").alias("discovered_by"), F.col("by.ord").alias("ord")))
+        front = cut(upto(cut(nxt) if limited else nxt))
+        seen = seen.unionByName(front)
+    if listed is not None:
+        seen = seen.unionByName(cut(with_state(listed.filter("allowed").select("seed", "host", "left", "url", F.lit(0).alias("depth"), nowhere, F.lit("sitemap").alias("discovered_by"), "ord"))))
+    urls = seen.withColumn("ord", F.concat(F.lpad(F.col("depth").cast("string"), 4, "0"), F.lit(":"), "ord")).drop("host", "left")
+    return Walk(urls.filter("state = 'ok'") if extracting else urls, _summary(starts, seen, listed, reduce(DataFrame.unionByName, counters), extracting))
+
+
+def _summary(starts: DataFrame, seen: DataFrame, listed: DataFrame | None, counters: DataFrame, extracting: bool) -> DataFrame:
+    """A row per seed of what was seen, listed in site maps and not followed."""
+    total = counters.groupBy("seed").agg(F.sum("excluded").alias("_out"), F.sum("blocked").alias("robots_blocked"), F.sum("unavailable").alias("robots_unavailable"))
+    facts = seen.groupBy("seed").agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col("state") == s).alias(f"_{s}") for s in ("ok", "skipped", "error")])
+    out = starts.join(facts, "seed", "left").join(total, "seed", "left")
+    if listed is not None:
+        out = out.join(listed.groupBy("seed").agg(F.count(F.lit(1)).alias("_listed")), "seed", "left")
+    none = F.lit(0).cast("long")
+    n = {c: F.coalesce(c, none) for c in ("_n", "_ok", "_skipped", "_error", "_out", "robots_blocked", "robots_unavailable")}
+    found = n["_ok"] if extracting else n["_n"]
+    stopped = F.when(F.col("host").isNull(), "invalid_seed").when(~F.col("allowed"), "robots_denied").when(found >= F.col("limit"), "limit_reached").otherwise("scope_exhausted")
+    return out.select("seed", (n["_n"] if listed is None else F.coalesce("_listed", "_n", none)).alias("visited"), found.alias("discovered"), (n["_out"] + (n["_skipped"] if extracting else none)).alias("excluded"),
+                      (n["_error"] if extracting else none).alias("errors"), n["robots_blocked"].alias("robots_blocked"), n["robots_unavailable"].alias("robots_unavailable"), stopped.alias("stopped_reason"))
+
+
+def walk(pages: DataFrame, robots: DataFrame, seed: str, limit: int | None, mode: str = "balanced", sitemap: DataFrame | None = None, **options) -> Walk:
+    """Map (or with ``extracting`` crawl) a site held as a table of fetched pages
+    (url, html, status) from a seed.
+
+    Every level of the breadth-first search is one join of the frontier with the
+    links of fetched pages, written before the next; links out of scope or closed
+    by robots rules are not followed but counted.  A URL is found by the first
+    link to it, in the order of discovery, and the limit is filled in that order
+    (None: no limit).  URLs without a page are visited and have no links; a crawl
+    counts them as errors and leaves out pages whose path holds an excluded text.
+    sitemap: entries (loc, pos); if any is in scope they are taken instead.
+    options: max_depth, include and deny (domains), exclude_paths, extracting, edges.
+    """
+    known = robots_tables(robots).kept()
+    starts = gated(pages.sparkSession.createDataFrame([(seed, limit)], "seed string, limit long"), known, mode)
+    first = starts.first()
+    if first.host is None:
+        raise ValueError(f"no host in {seed}")
+    if not first.allowed:
+        raise RobotsDenied(f"{seed}: {first.reason}")
+    found = _walks(pages, known, starts, mode, sitemap=None if sitemap is None else sitemap.withColumn("seed", F.lit(seed)), **options)
+    return Walk(found.urls.drop("seed"), found.summary.drop("seed"))
 
 
 def map_site(pages: DataFrame, robots: DataFrame, seed: str, limit: int | None, **options) -> Walk:
@@ -258,6 +293,18 @@ def crawl_site(pages: DataFrame, robots: DataFrame, seed: str, limit: int | None
     return documents, found.summary
 
 
+def map_sites(pages: DataFrame, robots: DataFrame, seeds: DataFrame, **options) -> Walk:
+    """URLs that can be reached from each of the seeds (seed, limit), or those of its sitemap."""
+    return walks(pages, robots, seeds, **options)
+
+
+def crawl_sites(pages: DataFrame, robots: DataFrame, seeds: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(documents, summary) of the seeds (seed, limit); a page that several reach is extracted once."""
+    found = walks(pages, robots, seeds, extracting=True, **options)
+    reached = pages.join(found.urls.select("url").distinct(), "url", "left_semi")
+    return found.urls.drop("state").join(D.extract_documents(reached), "url"), found.summary
+
+
 def crawl_domain(pages: DataFrame, robots: DataFrame, domain: str, max_pages: int | None, depth: int = 3, **options) -> dict[str, DataFrame]:
     """A map of a domain: mapped (url, depth, category, ord), by_category (category,
     place, url, n), recommended (the first 20 that are docs, pricing, blog or product)."""
@@ -267,6 +314,18 @@ def crawl_domain(pages: DataFrame, robots: DataFrame, domain: str, max_pages: in
     return {"mapped": mapped, "by_category": by_category(mapped), "recommended": recommended(mapped)}
 
 
+def crawl_domains(pages: DataFrame, robots: DataFrame, domains: DataFrame, depth: int = 3, **options) -> dict[str, DataFrame]:
+    """Maps of many domains (domain, limit), as crawl_domain for each but in one loop; all
+    tables have the host as seed ``https://<host>``, and summary has a row for each."""
+    seeds = domains.select(F.concat(F.lit("https://"), F.substring_index(F.regexp_replace("domain", "^.*?://", ""), "/", 1)).alias("seed"), "limit")
+    found = walks(pages, robots, seeds, max_depth=depth, **options)
+    mapped = found.urls.select("seed", "url", "depth", U.category(F.col("url")).alias("category"), "ord")
+    placed = Ordered(mapped.withColumn("_key", F.struct("seed", "category")), "_key", "ord").running(place=F.lit(1)).done().drop("_key").withColumnRenamed("place_total", "n")
+    good = mapped.filter(F.col("category").isin([c for c, _ in U.CATEGORIES]))
+    first = Ordered(good, "seed", "ord").running(_n=F.lit(1)).done().filter("_n <= 20").drop("_n", "_n_total")
+    return {"mapped": mapped, "by_category": placed.select("seed", "category", "place", "url", "n"), "recommended": first, "summary": found.summary}
+
+
 def by_category(mapped: DataFrame, order: str = "ord") -> DataFrame:
     """(category, place, url, n): the URLs of each category in map order, numbered from
     1, and how many it has; a row each, as a category may hold the whole domain."""

@@ -86,6 +86,36 @@ def crawl_domain(s, d):
         "category", "n", F.md5(F.regexp_replace(F.array_join("urls", " "), f"^{SHOP} ", f"{SHOP}/ ")).alias("urls"))
 
 
+def shop_seeds(s: SparkSession, d: str) -> DataFrame:
+    """Every start, region and nation page of the shop as a seed; regions have limits."""
+    r, n = read(s, d, "region"), read(s, d, "nation")
+    return (s.range(1).select(F.lit(SHOP + "/").alias("seed"), F.lit(None).cast("long").alias("limit"))
+            .unionByName(r.select(F.concat(F.lit(SHOP + "/region/"), "r_regionkey").alias("seed"), (3 + 9 * F.col("r_regionkey")).cast("long").alias("limit")))
+            .unionByName(n.select(F.concat(F.lit(SHOP + "/nation/"), "n_nationkey").alias("seed"), F.lit(None).cast("long").alias("limit"))))
+
+
+_MANY = (f"{_SHOP}, t AS (SELECT '{SHOP}/' AS seed, NULL::BIGINT AS lim, depth AS d, * FROM u WHERE depth < 3 UNION ALL "
+         f"SELECT '{SHOP}/region/' || r, 3 + 9 * r, depth - 1, * FROM u WHERE depth > 0 UNION ALL SELECT '{SHOP}/nation/' || n, NULL, depth - 2, * FROM u WHERE depth > 1 UNION ALL "
+         f"SELECT '{SHOP}/nation/' || n, NULL, 2, '{SHOP}/', 2, '{SHOP}/customer/' || min(c), 0, n, 0, true FROM u WHERE depth = 3 AND here GROUP BY n), "
+         "m AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY d, r, n, c) AS i, count(*) OVER (PARTITION BY seed) AS found, count_if(d < 2) OVER (PARTITION BY seed) AS near FROM t)")
+_SHUT_BY = f"(SELECT n_nationkey AS n, n_regionkey AS r, count(c_custkey) AS shut FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND NOT {_OPEN} GROUP BY 1, 2)"
+
+
+@query(f"WITH {_MANY} SELECT seed, url, d::INT AS depth, CASE WHEN d > 0 THEN discovered_from END AS discovered_from FROM m WHERE lim IS NULL OR i <= lim")
+def map_sites(s, d):
+    pages, robots = shop(s, d)
+    return crawl.map_sites(pages, robots, shop_seeds(s, d), max_depth=2).urls.select("seed", "url", "depth", "discovered_from")
+
+
+@query(f"WITH {_MANY}, z AS (SELECT seed, min(lim) AS lim, count_if(lim IS NULL OR i <= lim) AS discovered, min(near) AS near FROM m GROUP BY 1), b AS {_SHUT_BY} "
+       f"SELECT seed, discovered::BIGINT AS discovered, (CASE WHEN seed = '{SHOP}/' THEN 1 WHEN contains(seed, '/nation/') THEN (SELECT shut FROM b WHERE seed = '{SHOP}/nation/' || n) ELSE (SELECT count_if(n = 7) + "
+       f"CASE WHEN near < lim THEN coalesce(sum(shut) FILTER (n <> 7), 0) ELSE 0 END FROM b WHERE seed = '{SHOP}/region/' || r) END)::BIGINT AS robots_blocked, CASE WHEN discovered >= lim THEN 'limit_reached' ELSE 'scope_exhausted' END AS stopped_reason FROM z "
+       f"UNION ALL SELECT '{SHOP}/nation/7', 0, 1, 'robots_denied'")
+def map_sites_summary(s, d):
+    pages, robots = shop(s, d)
+    return crawl.map_sites(pages, robots, shop_seeds(s, d), max_depth=2).summary.select("seed", "discovered", "robots_blocked", "stopped_reason")
+
+
 _SCOPE = "(h = 'example.com' OR h LIKE '%.example.com') AND NOT (h = 'casino-win.example.com' OR h LIKE '%.casino-win.example.com') AND NOT contains(url, '/de/')"
 
 
