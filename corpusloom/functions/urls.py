@@ -18,6 +18,11 @@ EXPANSION = ["docs", "guide", "reference", "pricing", "plan", "blog", "news", "f
 SITEMAP_PATHS = ["/sitemap.xml", "/sitemap-index.xml", "/sitemap-news.xml", "/sitemap_products.xml", "/sitemap.xml.gz"]
 
 
+def sitemap_candidates(origin_: Column) -> Column:
+    """The URLs at which an origin may have its site map, in the order they are tried."""
+    return F.array(*[F.concat(origin_, F.lit(p)) for p in SITEMAP_PATHS])
+
+
 def host(url: Column) -> Column:
     """Lower-case host without ``www.``; null for what is no URL."""
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), "^www\\.", "")

@@ -6,6 +6,8 @@ start page links to regions, those to nations and those to customers.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +18,9 @@ from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
 from corpusloom.operators import corpus, crawl, monitor, ops, registry, scans
 from corpusloom.plans.catalog import _CONF, _SCORE, HOST, PAGES, _evidence, query
-from corpusloom.sources.tables import kv_state, kv_stats, latest, read
+from corpusloom.sources.sitemaps import read_sitemaps, write_sitemaps
+from corpusloom.sources.stores import Store, last_given, registry_rows
+from corpusloom.sources.tables import discovered, kv_state, kv_stats, latest, read, shared_dir
 
 SHOP = "https://shop.example.com"
 SHOP_ROBOTS = "User-agent: *\nDisallow: /nation/7\nDisallow: /customer/1\nAllow: /customer/12\n"
@@ -376,3 +380,66 @@ def research_topic_stats(s, d):
     got = x.select(url.alias("url"), F.col("source").alias("domain"), F.substring("text", 1, 60).alias("title"), "text", F.lit(0.8).alias("confidence"), F.lit(0.9).alias("quality"), none.alias("author"),
                    F.lit(False).alias("structured"), none.alias("category"))
     return research.research_topic(sources, got, TOPIC)["stats"]
+
+
+# ---- files and saved state ------------------------------------------------------------
+
+def folder(s: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def map_files(s: SparkSession, d: str) -> DataFrame:
+    """Entries of gzipped site maps of 200 pages each, read back from the files."""
+    p = read(s, d, "pages").select((F.col("page_id") / 200).cast("long").alias("map"), F.concat("url", F.lit("?a=1&id="), "page_id").alias("loc"),
+                                   F.when(F.col("page_id") % 3 == 0, "2024-01-01").alias("lastmod"), (F.col("page_id") % 4 / 4).alias("priority"))
+    at = folder(s, "maps")
+    write_sitemaps(p, at)
+    return read_sitemaps(s, at, F.concat(F.lit("https://m"), F.regexp_extract("file", "/map=([0-9]+)/", 1), F.lit(".net/sitemap.xml")))
+
+
+_MAPS = "SELECT page_id // 200 AS m, url || '?a=1&id=' || page_id AS loc, CASE WHEN page_id % 3 = 0 THEN '2024-01-01' END AS lastmod, (page_id % 4) / 4 AS priority FROM pages"
+
+
+@query(f"SELECT 'https://m' || m || '.net/sitemap.xml' AS sitemap, loc, lastmod, priority, false AS is_index FROM ({_MAPS})")
+def sitemap_files(s, d):
+    return map_files(s, d).select("sitemap", "loc", "lastmod", "priority", "is_index")
+
+
+@query(f"SELECT 'https://m' || (m // 3) || '.net' AS origin, loc, 'https://m' || (m // 3) || '.net/sitemap-index.xml' AS found_at FROM ({_MAPS}) WHERE m % 3 < 2")
+def sitemap_discovery(s, d):
+    """An origin's first candidate lists nothing, its second is an index of two maps and one that was not fetched."""
+    entries = map_files(s, d).withColumn("m", F.regexp_extract("sitemap", "m([0-9]+)", 1).cast("long"))
+    origin = F.concat(F.lit("https://m"), F.floor(F.col("m") / 3), F.lit(".net"))
+    own = entries.withColumn("sitemap", F.concat(F.lit("https://files.net/"), "m", F.lit(".xml.gz"))).drop("m")
+    index = entries.filter("m % 3 < 2").select("m").distinct().select(F.concat(origin, F.lit("/sitemap-index.xml")).alias("sitemap"), F.concat(F.lit("https://files.net/"), "m", F.lit(".xml.gz")).alias("loc"))
+    gone = index.select("sitemap", F.lit("https://files.net/gone.xml").alias("loc")).distinct()
+    none = {c: F.lit(None).cast(t) for c, t in (("lastmod", "string"), ("changefreq", "string"), ("priority", "double"))}
+    at = entries.select(origin.alias("origin")).distinct()
+    candidates = at.select("origin", F.posexplode(U.sitemap_candidates(F.col("origin"))).alias("ordinal", "url"))
+    return discovered(candidates, own.select("sitemap", "loc", *none, "is_index").unionByName(index.unionByName(gone).select("*", F.lit(True).alias("is_index")).withColumns(none))).select("origin", "loc", "found_at")
+
+
+@query("SELECT user_id, arg_max(kind, event_id) FILTER (kind IS NOT NULL) AS kind, arg_max(size, event_id) FILTER (size IS NOT NULL) AS size, max(event_id) AS event_id FROM "
+       "(SELECT user_id, event_id, CASE WHEN event_id % 4 > 0 THEN event_type END AS kind, CASE WHEN event_id % 3 = 0 THEN event_id % 100 END AS size FROM events) GROUP BY 1")
+def saved_tasks(s, d):
+    """Partial updates saved in three parts, the last one twice."""
+    e = read(s, d, "events").select("user_id", F.when(F.col("event_id") % 4 > 0, F.col("event_type")).alias("kind"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 100).alias("size"), "event_id")
+    store = Store(s, folder(s, "tasks"), "user_id", e.schema).create(16)
+    cuts = e.agg(F.percentile_approx("event_id", F.array(F.lit(0.3), F.lit(0.7))).alias("p")).first().p
+    part = F.when(F.col("event_id") <= cuts[0], 0).when(F.col("event_id") <= cuts[1], 1).otherwise(2) if cuts else F.lit(0)
+    for i in (0, 1, 2, 2):
+        store.save(e.filter(part == i), last_given("user_id", "event_id", ["kind", "size"]))
+    return store.rows()
+
+
+@query("SELECT user_id AS task_id, arg_max(event_type, event_id) AS status, min(event_id) AS created_at, max(event_id) AS updated_at, count(DISTINCT event_id % 7) AS n_related, arg_min(event_id % 7, event_id) AS first_related FROM events GROUP BY 1")
+def saved_registry(s, d):
+    """The task registry from events saved in two parts."""
+    e = read(s, d, "events").select(F.col("user_id").alias("task_id"), F.lit("research_topic").alias("task_type"), F.lit("t").alias("topic"), F.col("event_type").alias("status"),
+                                    F.array(F.col("event_id") % 7).alias("related"), F.col("event_id").alias("created_at"), F.col("event_id").alias("updated_at"))
+    store = Store(s, folder(s, "registry"), "task_id", e.schema).create(16)
+    half = e.agg(F.percentile_approx("created_at", 0.5)).first()[0]
+    for rows in (e.filter(F.col("created_at") <= F.lit(half)), e.filter(F.col("created_at") > F.lit(half))):
+        store.save(rows, registry_rows)
+    return store.rows().select("task_id", "status", "created_at", "updated_at", F.size("related").cast("long").alias("n_related"), F.get("related", 0).alias("first_related"))

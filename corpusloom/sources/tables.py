@@ -102,12 +102,17 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
 
 
 def discovered_sitemap(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """discovered of fetched documents (url, xml)."""
+    return discovered(candidates, sitemap_entries(docs))
+
+
+def discovered(candidates: DataFrame, entries: DataFrame) -> DataFrame:
     """(origin, loc, lastmod, changefreq, priority, found_at) of each origin's first
-    candidate (origin, ordinal, url) that lists any URL; docs are the fetched (url,
-    xml).  An index gives the entries of the sitemaps it names, one level deep;
-    those that could not be fetched are left out."""
-    entries = sitemap_entries(docs)
-    own = entries.filter(~F.col("is_index")).drop("is_index", "pos")
+    candidate (origin, ordinal, url) that lists any URL; entries are those of the
+    fetched maps (sitemap, loc, lastmod, changefreq, priority, is_index).  An index gives the
+    entries of the sitemaps it names, one level deep; those that could not be
+    fetched are left out."""
+    own = entries.filter(~F.col("is_index")).select("sitemap", "loc", "lastmod", "changefreq", "priority")
     named = entries.filter("is_index").select(F.col("sitemap").alias("index"), F.col("loc").alias("sitemap"))
     below = own.join(named, "sitemap").select(F.col("index").alias("sitemap"), "loc", "lastmod", "changefreq", "priority")
     listed = candidates.withColumnRenamed("url", "sitemap").join(own.unionByName(below), "sitemap")
