@@ -16,8 +16,8 @@ from corpusloom.functions import documents as D
 from corpusloom.functions import html as H
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
-from corpusloom.operators import corpus, crawl, monitor, ops, registry, scans
-from corpusloom.plans.catalog import _CONF, _SCORE, HOST, PAGES, _evidence, query
+from corpusloom.operators import corpus, crawl, fetching, monitor, ops, registry, scans
+from corpusloom.plans.catalog import _CONF, _FIX, _SCORE, HOST, PAGES, _evidence, query
 from corpusloom.sources.sitemaps import read_sitemaps, write_sitemaps
 from corpusloom.sources.stores import Store, last_given, registry_rows
 from corpusloom.sources.tables import discovered, kv_state, kv_stats, latest, read, shared_dir
@@ -443,3 +443,24 @@ def saved_registry(s, d):
     for rows in (e.filter(F.col("created_at") <= F.lit(half)), e.filter(F.col("created_at") > F.lit(half))):
         store.save(rows, registry_rows)
     return store.rows().select("task_id", "status", "created_at", "updated_at", F.size("related").cast("long").alias("n_related"), F.get("related", 0).alias("first_related"))
+
+
+@query(f"WITH {PAGES}, c AS ({_CONF}), r AS (SELECT page_id, CASE WHEN page_id % 7 = 6 THEN CASE WHEN {_SCORE} < 0.45 THEN 'low_confidence' END ELSE CASE page_id % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, (x, _) in enumerate(_FIX)) + " END END AS reason FROM c), "
+       "k AS (SELECT page_id, reason, CASE WHEN page_id % 11 = 0 THEN 'browser' ELSE 'static' END AS initial, page_id % 3 = 0 AS ok, page_id % 3 = 1 AS late, page_id % 13 = 0 AS old FROM r), "
+       "o AS (SELECT *, CASE WHEN old THEN 'success_static' WHEN initial = 'browser' AND ok THEN 'success_browser' WHEN initial = 'browser' AND late THEN 'failed' WHEN reason IS NULL THEN 'success_static' "
+       "WHEN ok THEN 'success_retry' WHEN late THEN 'failed' ELSE 'failed_browser' END AS outcome FROM k), "
+       "v AS (SELECT *, CASE WHEN old OR outcome IN ('success_browser', 'success_retry') THEN 'browser' WHEN outcome <> 'failed' THEN 'static' END AS via FROM o) "
+       "SELECT page_id, a.again, old OR (again AND outcome <> 'failed') AS cache_hit, CASE WHEN old OR (again AND outcome <> 'failed') THEN via ELSE initial END AS initial_strategy, via AS final_strategy, "
+       "CASE WHEN again AND outcome <> 'failed' THEN 'success_static' ELSE outcome END AS outcome, CASE WHEN NOT old AND NOT again AND outcome IN ('success_retry', 'failed_browser') THEN reason END AS retry_reason "
+       "FROM v, (SELECT unnest([false, true]) AS again) a WHERE NOT a.again OR page_id % 2 = 0")
+def fetch_chain(s, d):
+    """Pages of eleven hosts, every second one asked for twice; a third has a browser, a third one that times out."""
+    p, k = read(s, d, "pages").select("page_id", "html"), F.col("page_id")
+    own = F.get(F.array(*[F.lit(h) for _, h in _FIX]), (k % 7).cast("int"))
+    p = p.select("page_id", F.concat(F.lit("https://h"), k % 11, F.lit(".net/"), k).alias("url"), F.coalesce(own, "html").alias("html"), F.lit(200).alias("status"))
+    requests = p.select("url", k.alias("ord")).unionByName(p.filter("page_id % 2 = 0").select("url", (k + 10**12).alias("ord")))
+    rendered = p.filter("page_id % 3 < 2").select("url", F.lit("rendered").alias("html"), "status", F.when(k % 3 == 1, "TIMEOUT").alias("error"))
+    cache = p.filter("page_id % 13 = 0").select("url", "html", "status", F.lit("browser").alias("via"))
+    policies = p.filter("page_id % 11 = 0").select(F.lit("h0.net").alias("host"), F.lit("browser").alias("strategy")).distinct()
+    got = fetching.fetched(requests, p, rendered, cache, policies)
+    return got.select((F.col("ord") % 10**12).alias("page_id"), (F.col("ord") >= 10**12).alias("again"), "cache_hit", "initial_strategy", "final_strategy", "outcome", "retry_reason")
