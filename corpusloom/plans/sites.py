@@ -461,6 +461,6 @@ def fetch_chain(s, d):
     requests = p.select("url", k.alias("ord")).unionByName(p.filter("page_id % 2 = 0").select("url", (k + 10**12).alias("ord")))
     rendered = p.filter("page_id % 3 < 2").select("url", F.lit("rendered").alias("html"), "status", F.when(k % 3 == 1, "TIMEOUT").alias("error"))
     cache = p.filter("page_id % 13 = 0").select("url", "html", "status", F.lit("browser").alias("via"))
-    policies = p.filter("page_id % 11 = 0").select(F.lit("h0.net").alias("host"), F.lit("browser").alias("strategy")).distinct()
+    policies = p.filter("page_id % 11 = 0").select(F.try_parse_url("url", F.lit("HOST")).alias("host"), F.lit("browser").alias("strategy")).distinct()
     got = fetching.fetched(requests, p, rendered, cache, policies)
     return got.select((F.col("ord") % 10**12).alias("page_id"), (F.col("ord") >= 10**12).alias("again"), "cache_hit", "initial_strategy", "final_strategy", "outcome", "retry_reason")
