@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappush, heapreplace
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.operators.scans import Ordered, ranked
 
@@ -101,21 +106,37 @@ def pick_proxies(requests: DataFrame, proxies: DataFrame, strategy: str = "round
 def limited_starts(requests: DataFrame, key: str = "host", ts_ms: str = "ms", took_ms: str = "took", order: str = "ord", slots: int = 3, gap_ms: int = 1000) -> DataFrame:
     """(host, ord, start_ms) of requests in order of arrival: at most ``slots`` at a time
     and ``gap_ms`` between two starts of a host.  A start waits for the request, for the
-    gap, and, if all slots are taken, for the first to be free; a host's requests must
-    fit a task."""
-    item = F.struct(F.col(ts_ms).cast("long").alias("at"), F.col(order).alias("ord"), F.col(took_ms).cast("long").alias("took"))
-    none = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(None).cast("long").alias("last"), none.alias("ends"), F.array().cast("array<struct<ord:bigint,start_ms:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = F.size(acc["ends"]) >= slots
-        at = F.greatest(x["at"], acc["last"] + gap_ms, F.when(full, F.array_min(acc["ends"])))
-        kept = F.when(full, F.slice(F.array_sort(acc["ends"]), 2, slots)).otherwise(acc["ends"])
-        return F.struct(at.alias("last"), F.concat(kept, F.array(at + x["took"])).alias("ends"),
-                        F.concat(acc["out"], F.array(F.struct(x["ord"].cast("long").alias("ord"), at.alias("start_ms")))).alias("out"))
-
-    folded = requests.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step).alias("s"))
-    return folded.select(key, F.inline("s.out"))
+    gap, and, if all slots are taken, for the first to be free.
+
+    Each start depends on the one before it, so a host's requests are read once in order
+    by one task, which keeps the last start and the ends of the taken slots alone."""
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        never = float("inf")  # the end of a request of unknown length
+        last, ends = None, []
+        for batch in batches:
+            out = []
+            for first, at, took in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                if first:
+                    last, ends = None, []
+                full = len(ends) >= slots
+                begin = at
+                if last is not None and (begin is None or last + gap_ms > begin):
+                    begin = last + gap_ms
+                if full and ends[0] != never and (begin is None or ends[0] > begin):
+                    begin = ends[0]
+                end = never if begin is None or took is None else begin + took
+                if full:
+                    heapreplace(ends, end)
+                else:
+                    heappush(ends, end)
+                last = begin
+                out.append(begin)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=[key, "ord", "start_ms"])
+
+    rows = requests.select(key, F.col(order).alias("_ord"), F.col(ts_ms).cast("long").alias("_at"), F.col(took_ms).cast("long").alias("_took"))
+    w = W.partitionBy(key).orderBy("_at", "_ord", "_took")
+    rows = rows.withColumn("_first", F.row_number().over(w) == 1).select(key, F.col("_ord").cast("long"), "_first", "_at", "_took")
+    return rows.mapInArrow(starts, T.StructType([requests.schema[key], T.StructField("ord", T.LongType()), T.StructField("start_ms", T.LongType())]))
 
 
 def ordered_fold(events: DataFrame, key: str, order: str, value: Column, start: Column, step) -> DataFrame:

@@ -1,6 +1,7 @@
 """Scans in chunks of a key against plain loops and windows."""
 
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -101,3 +102,28 @@ def test_as_of_joins(spark, hot):
     for x in got:
         fit = [(at, m) for k, at, m in right if k is not None and k == x.k and at is not None and x.at is not None and at <= x.at]
         assert (x.found and (x.found.at, x.found.m)) == (max(fit) if fit else None)
+
+
+def test_starts_of_a_busy_host_take_linear_time(spark):
+    """100,000 requests of one host and some of others, null ones included, against a plain loop."""
+    r = random.Random(5)
+    requests = [("hot", i, i * r.choice((1, 1000)), r.choice((None, 0, 700, 2500))) for i in range(100_000)]
+    requests += [(k, 200_000 + i, r.choice((None, r.randrange(9000))), r.choice((None, r.randrange(5000)))) for k in (None, "a", "b") for i in range(40)]
+    df = spark.createDataFrame(requests, "host string, ord long, ms long, took long")
+    began = time.time()
+    got = {x.ord: (x.host, x.start_ms) for x in ops.limited_starts(df.repartition(3)).collect()}
+    assert time.time() - began < 60
+    want, by = {}, defaultdict(list)
+    for k, i, at, took in requests:
+        by[k].append((at is not None, at, i, took))
+    for k, rows in by.items():
+        last, ends = None, []
+        for _, at, i, took in sorted(rows, key=lambda x: (x[0], x[1] or 0, x[2])):
+            full = len(ends) == 3
+            known = [e for e in ends if e is not None]
+            last = max([x for x in (at, last + 1000 if last is not None else None, min(known) if full and known else None) if x is not None], default=None)
+            if full:
+                ends.remove(min(known) if known else None)
+            ends.append(None if last is None or took is None else last + took)
+            want[i] = (k, last)
+    assert got == want
