@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import decontaminate, mixing, ngram_join, quality_rules, suffix_dedup
-from llm.common import table, written
+from llm.common import discard, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage(spark, before, sf_dir), f"stage-{name}")
+        if name != STAGES[0][0]:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

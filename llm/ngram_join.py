@@ -6,8 +6,8 @@ Shingles are ordered by their hash; that global order is cut into fragments.
    per shingle and slice of documents, and counts for every document how many of
    its shingles occur elsewhere.  A partner at similarity t must share t of a
    document's shingles, so documents with fewer are done.
-2. The rest is collapsed to distinct sets (nodes).  Two sets within t differ in at
-   most D shingles, so of m > D fragments of the order at least m - D agree whole.
+2. The rest is collapsed to distinct sets (nodes) by fingerprints that step 1 made;
+   tokens are read of one document of each.  Two sets within t differ in at most D shingles, so of m > D fragments of the order at least m - D agree whole.
    Fragment signatures give candidates: a signature's hub, the node with the
    fewest shingles of its own, is paired with each of its other nodes.
 3. The sets of a pair are cut into fragments of the order.  Each fragment counts
@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import BROADCAST_ROWS, by_key, data_parts, map_arrow, partitions, table, written
+from llm.common import BROADCAST_ROWS, by_key, data_parts, discard, map_arrow, partitions, table, written
 from llm.components import components
 from llm.kernels import U64, distinct_sets, lower_ascii, mix, shingles, text_buffer
 
@@ -89,10 +89,22 @@ def _parts(rows: list[tuple]) -> pa.RecordBatch:
                    *(pa.array(x, pa.binary()) for x in c[3:])], ["fragment", "batch", "kind", "a", "b", "c"])
 
 
+def fingerprints(h: np.ndarray, o: np.ndarray) -> list[bytes]:
+    """128-bit fingerprints of the sets that are not empty."""
+    n = np.diff(o)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return []
+    f1 = mix(np.add.reduceat(mix(h), o[some]) + n[some].astype(U64))
+    f2 = mix(np.add.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), o[some]) + U64(1))
+    fp = np.stack([f1, f2], 1).astype(">u8").tobytes()
+    return [fp[i: i + 16] for i in range(0, len(fp), 16)]
+
+
 def shared_counts(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, shared): the size of each document's set, and how many of its
+    """(doc_id, n, shared, fp): the size of each document's set, how many of its
     shingles occur in another document too (never too few; a collision of 32 bits
-    inside a fragment may count one too many)."""
+    inside a fragment may count one too many), and the set's fingerprint (null: none)."""
     spark = docs.sparkSession
     parts = partitions(spark)
     n_frag = data_parts(docs, FRAGMENTS * parts)
@@ -102,6 +114,7 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
         for *_, ids, buf, off in sliced(batches):
             h, o = sets_of(buf, off, k)
             n = np.diff(o)
+            fps = fingerprints(h, o)
             doc = np.repeat(np.arange(len(n)), n)
             order = np.argsort(h, kind="stable")
             h, doc = h[order], doc[order]
@@ -114,7 +127,7 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
             cut = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]])) if len(frag) else np.zeros(0, np.int64)
             key = (part << 32) | seq
             seq += 1
-            rows = [(key % n_frag, key, 1, ids.tobytes(), n.astype(np.int32).tobytes(), base.tobytes())]
+            rows = [(key % n_frag, key, 1, ids.tobytes(), n.astype(np.int32).tobytes(), base.tobytes() + b"".join(fps))]
             low = h.astype(np.uint32)
             once, head = ~multi, multi & ~same
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(h)]):
@@ -145,15 +158,17 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches, 1):  # one slice of documents at a time
             a, b, c = next(r[2:] for r in rows if r[1] == 1)
-            ids, n, shared = np.frombuffer(a, np.int64), np.frombuffer(b, np.int32), np.frombuffer(c, np.int32).astype(np.int64)
+            ids, n = np.frombuffer(a, np.int64), np.frombuffer(b, np.int32)
+            shared, fps = np.frombuffer(c, np.int32, len(ids)).astype(np.int64), iter(range(4 * len(ids), len(c), 16))
+            fp = [c[(at := next(fps)): at + 16] if some else None for some in (n > 0).tolist()]
             for _, kind, x, *_ in rows:
                 if kind == 2:
                     add = np.frombuffer(x, np.int32)
                     shared[: len(add)] += add
-            yield _batch([pa.array(ids, mask=ids == NULL_ID), pa.array(n.astype(np.int64)), pa.array(shared)], ["doc_id", "n", "shared"])
+            yield _batch([pa.array(ids, mask=ids == NULL_ID), pa.array(n.astype(np.int64)), pa.array(shared), pa.array(fp, pa.binary())], ["doc_id", "n", "shared", "fp"])
 
     counted = map_arrow(map_arrow(docs, split, PARTS).repartition(parts, "fragment").sortWithinPartitions("fragment"), count, PARTS)
-    return map_arrow(counted.repartition(parts, "batch").sortWithinPartitions("batch"), total, "doc_id long, n long, shared long")
+    return map_arrow(counted.repartition(parts, "batch").sortWithinPartitions("batch"), total, "doc_id long, n long, shared long, fp binary")
 
 
 def node_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -167,10 +182,7 @@ def node_sets(docs: DataFrame, k: int) -> DataFrame:
             some = np.flatnonzero(n)
             if not len(some):
                 continue
-            f1 = mix(np.add.reduceat(mix(h), o[some]) + n[some].astype(U64))
-            f2 = mix(np.add.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), o[some]) + U64(1))
-            fp = np.stack([f1, f2], 1).astype(">u8").tobytes()
-            yield _batch([pa.array(ids[some]), pa.array([fp[16 * i: 16 * i + 16] for i in range(len(some))], pa.binary()),
+            yield _batch([pa.array(ids[some]), pa.array(fingerprints(h, o), pa.binary()),
                           pa.array(n[some]), batch.column(2).slice(lo, hi - lo).take(pa.array(some)),
                           pa.array([h[o[i]:o[i + 1]].tobytes() for i in some], pa.binary())],
                          ["doc_id", "fp", "n", "lone", "tokens"])
@@ -178,6 +190,17 @@ def node_sets(docs: DataFrame, k: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text", "lone"), run, "doc_id long, fp binary, n long, lone long, tokens binary")
 
 
+def named_sets(rows: DataFrame, names: DataFrame, stats: DataFrame, k: int) -> DataFrame:
+    """(node, fp, n, lone, tokens) of names (node, fp, lone): the tokens of one
+    document of each distinct set alone; the other copies' are neither sent nor kept."""
+    few = names.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ids = names.groupBy(F.col("node").alias("doc_id")).agg(F.min("lone").alias("lone"))
+    found = node_sets(rows.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id"), k).withColumnRenamed("doc_id", "node")
+    if stats.filter("n > 0 and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():  # rows that share a doc_id
+        found = found.dropDuplicates(["node", "fp"]).join(names.select("node", "fp"), ["node", "fp"], "left_semi")
+    return found
+
+
 def size_classes(top: int, num: int, den: int) -> np.ndarray:
     """First sizes of the classes; sets within the threshold are in the same or
     neighbouring classes."""
@@ -233,7 +256,9 @@ def candidates_of(nodes: DataFrame, num: int, den: int) -> DataFrame:
     sigs = written(map_arrow(nodes.select("node", "n", "lone", "tokens"), run, "sig long, node long, lone long"), "signatures")
     hubs = (sigs.groupBy("sig").agg(F.min(F.struct("lone", "node")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"))
             .filter("lo <> hi").select("sig", F.col("hub.node").alias("hub")))
-    return written(sigs.select("sig", "node").join(hubs, "sig"), "candidates")
+    out = written(sigs.select("sig", "node").join(hubs, "sig"), "candidates")
+    discard(sigs)
+    return out
 
 
 def segments(rows: DataFrame, pieces: int = PAIR_FRAGMENTS) -> DataFrame:
@@ -401,13 +426,11 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     """(doc_id, n_shingles, component_id) of every row."""
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     stats = written(shared_counts(rows, k), "shared-counts")
-    able = written(stats.filter((F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num) & F.col("doc_id").isNotNull())
-                   .groupBy("doc_id").agg(F.max(F.col("n") - F.col("shared")).alias("lone")), "able")
-    few = able.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sets = written(node_sets(rows.join(F.broadcast(able) if few else able.hint("merge"), "doc_id"), k), "sets")
+    able = (F.col("n") > 0) & (F.col("shared") * den >= F.col("n") * num) & F.col("doc_id").isNotNull()
+    sets = written(stats.filter(able).select("doc_id", "fp", (F.col("n") - F.col("shared")).alias("lone")), "sets")
     # a set's number is its smallest doc_id, so a component's is its smallest document's
-    nodes = written(sets.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.min("lone").alias("lone"),
-                                           F.first("tokens").alias("tokens")), "nodes")
+    names = written(sets.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("lone").alias("lone")), "names")
+    nodes = written(named_sets(rows, names, stats, k), "nodes")
     candidates = candidates_of(nodes, num, den)
     pairs = candidates.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = written(verified(pairs, nodes, num, den), "star-links")
@@ -416,7 +439,9 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     if left.limit(1).count():
         links_of = components(links.unionByName(written(missing_links(left, nodes, num, den), "more-links")))
     links = links_of
-    node_of = nodes.select("fp", "node").join(links.withColumnRenamed("id", "node"), "node", "left").select(
+    discard(candidates)
+    discard(nodes)
+    node_of = names.select("fp", "node").join(links.withColumnRenamed("id", "node"), "node", "left").select(
         "fp", F.coalesce("component", "node").alias("component_id"))
     found = (sets.select("doc_id", "fp").join(node_of, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
     return stats.join(found, "doc_id", "left").select(

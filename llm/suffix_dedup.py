@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import by_key, data_parts, map_arrow, partitions, table, written
+from llm.common import by_key, data_parts, discard, map_arrow, partitions, table, written
 from llm.kernels import BASE, BASE_INV, U64, byte_table, mix, powers, text_buffer
 
 LENGTH, GRAM = 100, 32
@@ -334,7 +334,9 @@ def shared_anchors(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
     full = np.sort(np.frombuffer(sample, f"S{RIGHT + LEFT}"))
     take = np.unique(full[np.linspace(0, len(full) - 1, n_frag + 1).astype(int)[1:-1]]) if len(full) else full
     at = map_arrow(sorted_by(replies.filter("kind <> 3"), "batch"), total, schema)
-    return written(at, "shared-anchors"), take
+    out = written(at, "shared-anchors")
+    discard(replies)
+    return out, take
 
 
 def suffix_entries(buf: np.ndarray, off: np.ndarray, wanted: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -496,6 +498,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows = keyed(docs, key, text)
     at, splitters = shared_anchors(rows)
     gone = written(removed_windows(rows, at, splitters), "removed-windows")
+    discard(at)
     full = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
                        F.coalesce(docs[key].cast("long"), F.lit(int(NULL_ID))).alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("h"))
     full = full.join(gone, ["id", "h"], "left")
