@@ -66,3 +66,28 @@ def test_a_crowd_of_near_copies(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert corpus.greedy_dedup(docs).collect() == [] and corpus.star_links(docs).collect() == []
+
+
+def test_deduplication_frees_its_disk(spark):
+    """Shuffle files go with the table they made, and of the tables only those that the result reads stay."""
+    import glob
+    import os
+
+    from corpusloom.sources import tables
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f for d in dirs for f in glob.glob(os.path.join(d, "*", "shuffle_*.data"))}
+    made, before = lambda: set(glob.glob(f"{tables.shared_dir(spark).removeprefix('file:')}/*")), shuffles()
+    left_bytes = lambda: sum(os.path.getsize(f) for f in shuffles() - before if os.path.exists(f))
+    old = made()
+    rows = [(i, "s", " ".join(f"w{j}" for j in range(60)) + f" x{i}") for i in range(200)] + [(500 + i, None, " ".join(f"w{j}" for j in range(60))) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    judged = corpus.greedy_dedup(df)
+    end = time.time() + 20
+    while left_bytes() >= 20_000 and time.time() < end:  # files go in the background
+        time.sleep(0.2)
+    assert left_bytes() < 20_000
+    kept = made() - old
+    got = {r.id: r.kept for r in judged.collect()}
+    assert got[0] and not any(got[i] for i in range(1, 200)) and got[500] and not got[501]
+    assert all("stored-" in x for x in kept), kept
