@@ -28,6 +28,13 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), "^www\\.", "")
 
 
+def plain_host(url: Column) -> Column:
+    """What the plain pattern ``^[a-z]+://([^/?#:]*)`` finds, in lower case without ``www.``;
+    empty for what it does not fit.  Letters become lower case one by one, as in SQL."""
+    found = F.regexp_extract(url, "^[a-z]++://([^/?#:]*+)", 1)
+    return F.regexp_replace(F.lower(F.translate(found, "\u0130\u03a3", "i\u03c3")), "^www\\.", "")
+
+
 def path(url: Column) -> Column:
     p = F.try_parse_url(url, F.lit("PATH"))
     return F.when(p == "", "/").otherwise(p)
