@@ -14,11 +14,17 @@ Shingles are ordered by their hash; that global order is cut into fragments.
    the overlap of its two parts by itself, as a row; the rows are summed per pair
    and pairs that reach the threshold are links.
 4. A signature whose other nodes are now connected is done.  What is left are
-   groups with nodes that missed the threshold: small ones are paired and counted
-   as in 3, large ones are cut into tiles, where a row holds the overlaps of one
-   fragment between all nodes of two tiles; the rows are summed per pair of tiles.
+   groups with nodes that missed the threshold.  Two sets within t share m - D
+   signatures, empty fragments apart, so nodes with fewer open ones are done, and of
+   the rest each node's rarest signatures name all that it may link with (the prefix
+   lemma).  Groups of those are paired and counted as in 3, the largest are cut into
+   tiles, where a row holds the overlaps of one fragment between all nodes of two
+   tiles; the rows are summed per pair of tiles.
 5. Components of the links are the result.
 
+Signatures, pairs and tiles run in waves that send about as many bytes as all sets
+have, and a wave's files go before the next: steps 3 and 4 send a set once per pair.
+
 Copies never multiply: they are one node.  A common shingle is one entry per
 slice.  No candidate is dropped.
 
@@ -37,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import BROADCAST_ROWS, by_key, data_parts, discard, map_arrow, partitions, table, written
@@ -51,7 +57,9 @@ FRAGMENTS = 4
 #: Fragments that the sets of candidate pairs are cut into.
 PAIR_FRAGMENTS = 8
 #: Members of a hub that one join key holds; nodes of a group that is paired whole; nodes of a tile.
-MEMBERS, SMALL, TILE = 512, 16, 256
+MEMBERS, SMALL, TILE = 512, 256, 256
+#: Least bytes that a wave of signatures, pairs or tiles sends; bytes that a signature counts as.
+WAVE_BYTES, SIG_BYTES = 256 << 20, 32
 #: Columns of a dense block when overlaps of tiles are counted.
 BLOCK = 2048
 NULL_ID = np.iinfo(np.int64).min
@@ -210,12 +218,15 @@ def size_classes(top: int, num: int, den: int) -> np.ndarray:
     return np.array(out + [out[-1] * den // num + 1])
 
 
-def signatures(n: np.ndarray, h: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set) pairs; h holds the sets' sorted hashes one after the other."""
+def signatures(n: np.ndarray, h: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set, unit) rows; h holds the sets' sorted hashes one after the other.
+
+    unit is 2 * need + scheme of the set's two schemes: sets within the threshold share
+    need signatures of one scheme at least, for the need of either."""
     first = size_classes(int(n.max(initial=1)) * 2, num, den)
     cls = np.searchsorted(first, n, side="right") - 1
     owner = np.repeat(np.arange(len(n)), n)
-    sigs, sets = [], []
+    sigs, sets, units = [], [], []
     for up in (0, 1):
         scheme = cls + up
         most = first[scheme + 1] - 1
@@ -229,19 +240,22 @@ def signatures(n: np.ndarray, h: np.ndarray, num: int, den: int) -> tuple[np.nda
         value = np.add.reduceat(mix(h), at) if len(at) else np.zeros(0, U64)
         tag = (scheme[who].astype(U64) << U64(40)) + part.astype(U64)
         ok = d[who] > 0
+        filled = np.bincount(who, minlength=len(n))
+        unit = 2 * np.maximum(1, filled - d) + up  # at most d fragments differ
         sigs.append(mix(value + mix(tag))[ok])
         sets.append(who[ok])
+        units.append(unit[who[ok]])
         # sets that may agree with a partner in empty fragments only name those too
-        filled = np.bincount(who, minlength=len(n))
         for i in np.flatnonzero((d > 0) & (m - filled >= m - d)):
             empty = np.setdiff1d(np.arange(m[i]), part[who == i])
             sigs.append(mix(mix((U64(scheme[i]) << U64(40)) + empty.astype(U64)) ^ U64(0xABCDEF)))
             sets.append(np.full(len(empty), i))
-    return np.concatenate(sigs), np.concatenate(sets)
+            units.append(np.full(len(empty), unit[i]))
+    return np.concatenate(sigs), np.concatenate(sets), np.concatenate(units)
 
 
-def candidates_of(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, node, hub): the nodes of every shared signature and the one of them
+def candidates_of(nodes: DataFrame, num: int, den: int) -> list[DataFrame]:
+    """(sig, node, unit, hub), a table per wave of signatures: the nodes of every shared signature and the one of them
     with the fewest shingles of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,15 +264,19 @@ def candidates_of(nodes: DataFrame, num: int, den: int) -> DataFrame:
                 part = batch.slice(a, 500)
                 n = np.asarray(part.column(1))
                 h = np.frombuffer(b"".join(part.column(3).to_pylist()), U64)
-                sig, who = signatures(n, h, num, den)
-                yield _batch([pa.array(sig.view(np.int64)), part.column(0).take(pa.array(who)), part.column(2).take(pa.array(who))], ["sig", "node", "lone"])
-
-    sigs = written(map_arrow(nodes.select("node", "n", "lone", "tokens"), run, "sig long, node long, lone long"), "signatures")
-    hubs = (sigs.groupBy("sig").agg(F.min(F.struct("lone", "node")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"))
-            .filter("lo <> hi").select("sig", F.col("hub.node").alias("hub")))
-    out = written(sigs.select("sig", "node").join(hubs, "sig"), "candidates")
+                sig, who, unit = signatures(n, h, num, den)
+                yield _batch([pa.array(sig.view(np.int64)), part.column(0).take(pa.array(who)), part.column(2).take(pa.array(who)), pa.array(unit.astype(np.int32))],
+                             ["sig", "node", "lone", "unit"])
+
+    sigs = written(map_arrow(nodes.select("node", "n", "lone", "tokens"), run, "sig long, node long, lone long, unit int"), "signatures")
+    n_waves, found = waves(nodes, SIG_BYTES * sigs.count()), []
+    for i in range(max(1, n_waves)):
+        some = sigs.filter(F.pmod(F.xxhash64("sig"), F.lit(n_waves)) == i) if n_waves > 1 else sigs
+        hubs = (some.groupBy("sig").agg(F.min(F.struct("lone", "node")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+                .filter("lo <> hi").select("sig", F.col("hub.node").alias("hub")))
+        found.append(written(some.select("sig", "node", "unit").join(hubs, "sig"), "candidates"))
     discard(sigs)
-    return out
+    return found
 
 
 def segments(rows: DataFrame, pieces: int = PAIR_FRAGMENTS) -> DataFrame:
@@ -284,34 +302,87 @@ def segments(rows: DataFrame, pieces: int = PAIR_FRAGMENTS) -> DataFrame:
     return map_arrow(rows, run, f"{schema}, fragment int, part array<long>")
 
 
+def waves(nodes: DataFrame, sent: int | None) -> int:
+    """How many waves send so many bytes, each about as many as all sets have."""
+    return -(-(sent or 0) // max(WAVE_BYTES, nodes.agg(F.sum(8 * F.col("n"))).first()[0] or 0))
+
+
+def together(spark: SparkSession, tables: list[DataFrame], schema: str = "a long, b long") -> DataFrame:
+    """The rows of all waves."""
+    return spark.read.schema(schema).parquet(*[x._llm_path for x in tables]) if tables else spark.createDataFrame([], schema)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold.
 
-    Each fragment of the order counts the overlap of its parts of both sets as one
-    row; the rows are summed per pair.  A hot a is dealt to a key per MEMBERS pairs."""
+    Pairs whose sizes rule it out go first.  Each fragment of the order counts the
+    overlap of its parts of both sets as one row; the rows are summed per pair.  A hot a
+    is dealt to a key per MEMBERS pairs."""
+    sizes = nodes.groupBy("node").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    for x in "ab":
+        pairs = pairs.join(sizes.toDF(x, f"lo_{x}", f"hi_{x}"), x)
+    pairs = written(pairs.filter(f"{den} * hi_a >= {num} * lo_b and {den} * hi_b >= {num} * lo_a").select("a", "b", F.col("hi_b").alias("n")), "sized-pairs")
     sized = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
-    dealt = written(pairs.join(sized, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "dealt-pairs")
-    small = dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    all_ = written(pairs.join(sized, "a").select("a", "b", "n", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "dealt-pairs")
+    discard(pairs)
+    keys = ["a", "salt", "fragment"]
+    n, found = waves(nodes, all_.agg(F.sum(16 * F.col("n"))).first()[0]), []
 
-    def near(df: DataFrame) -> DataFrame:
+    def near(df: DataFrame, small: bool) -> DataFrame:
         return F.broadcast(df) if small else df.hint("merge")
 
-    left = nodes.join(near(dealt.select("a", "salt").distinct()), F.col("node") == F.col("a")).select("a", "salt", F.col("n").alias("na"), "tokens")
-    right = nodes.join(near(dealt), F.col("node") == F.col("b")).select("a", "salt", "b", F.col("n").alias("nb"), "tokens")
-    keys = ["a", "salt", "fragment"]
-    both = segments(right).hint("merge").join(segments(left).withColumnRenamed("part", "other"), keys)
-    counts = both.select("a", "b", "na", "nb", F.size(F.array_intersect("part", "other")).cast("long").alias("overlap"))
-    total = counts.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("overlap").alias("x"))
-    return total.filter(den * F.col("x") >= num * (F.col("na") + F.col("nb") - F.col("x"))).select("a", "b")
+    for i in range(n):
+        dealt = all_.filter(F.pmod(F.xxhash64("a", "salt"), F.lit(n)) == i).drop("n")
+        small = dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        left = nodes.join(near(dealt.select("a", "salt").distinct(), small), F.col("node") == F.col("a")).select("a", "salt", F.col("n").alias("na"), "tokens")
+        right = nodes.join(near(dealt, small), F.col("node") == F.col("b")).select("a", "salt", "b", F.col("n").alias("nb"), "tokens")
+        both = segments(right).hint("merge").join(segments(left).withColumnRenamed("part", "other"), keys)
+        counts = both.select("a", "b", "na", "nb", F.size(F.array_intersect("part", "other")).cast("long").alias("overlap"))
+        total = counts.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("overlap").alias("x"))
+        found.append(written(total.filter(den * F.col("x") >= num * (F.col("na") + F.col("nb") - F.col("x"))).select("a", "b"), "linked-pairs"))
+    discard(all_)
+    return together(nodes.sparkSession, found)
 
 
 def open_groups(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, label) of the signatures of which nodes beside the hub are not
+    """(sig, node, unit, label) of the signatures of which nodes beside the hub are not
     yet connected: the hub was compared with all, they were not with each other."""
     seen = candidates.filter("node <> hub").join(labels.withColumnRenamed("id", "node"), "node", "left")
-    seen = written(seen.select("sig", "node", F.coalesce("component", "node").alias("label")), "labelled")
-    mixed = seen.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    return written(seen.join(mixed, "sig"), "open")
+    seen = written(seen.select("sig", "node", "unit", F.coalesce("component", "node").alias("label")), "labelled")
+    out = written(unconnected(seen), "open")
+    discard(seen)
+    return out
+
+
+def unconnected(rows: DataFrame) -> DataFrame:
+    """The rows of signatures with nodes of more than one label."""
+    mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
+    return rows.join(mixed, "sig")
+
+
+def narrowed(open_: DataFrame) -> DataFrame:
+    """(sig, node, label) of open groups in which every two nodes that may still link
+    meet: nodes with fewer open signatures than a link needs are left out, until that
+    changes little, then all but the count - need + 1 signatures of each node that
+    have the fewest nodes."""
+    unit, need = ["node", "unit"], F.floor(F.col("unit") / 2)
+    now, n = open_, open_.count()
+    while n:
+        full = now.groupBy(*unit).agg(F.count(F.lit(1)).alias("had")).filter(F.col("had") >= need)
+        nxt = written(unconnected(now.join(full.select(*unit), unit)), "open")
+        if now is not open_:
+            discard(now)
+        now, n, before = nxt, nxt.count(), n
+        if n > 0.9 * before:
+            break
+    sizes = now.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    had = now.groupBy(*unit).agg(F.count(F.lit(1)).alias("had"))
+    rank = F.row_number().over(Window.partitionBy(*unit).orderBy("size", "sig"))
+    first = now.join(sizes, "sig").join(had, unit).withColumn("rank", rank).filter(F.col("rank") <= F.col("had") - need + 1)
+    out = written(unconnected(first.select("sig", "node", "label").distinct()), "narrowed")
+    if now is not open_:
+        discard(now)
+    return out
 
 
 def tile_overlaps(left: np.ndarray, right: np.ndarray, tok: np.ndarray, n_left: int, n_right: int) -> np.ndarray:
@@ -364,9 +435,12 @@ def links_in_tiles(members: DataFrame, nodes: DataFrame, num: int, den: int) ->
     tiles, of the second the sum of such rows: no pair is a row."""
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     placed = members.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    placed = written(placed.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "node", "family", "t", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j")), "tiles")
-    rows = nodes.join(placed, "node").select("node", "family", "t", "i", "j", "n", "tokens")
+    placed = written(placed, "tiles")
+    rows = nodes.join(placed, "node").withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "node", "family", "t", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "n", "tokens")
+    # tokens, and the overlaps of half a tile in all fragments
+    sent = placed.join(nodes.select("node", "n"), "node").agg(F.sum(F.col("tiles") * (8 * F.col("n") + 4 * PAIR_FRAGMENTS * TILE))).first()[0]
+    n_waves, found = waves(nodes, sent), []
 
     def count(tab: pa.Table) -> pa.Table:
         tab = tab.combine_chunks()
@@ -399,26 +473,34 @@ def links_in_tiles(members: DataFrame, nodes: DataFrame, num: int, den: int) ->
         found = spanning(link, left, right)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    counts = segments(rows).groupBy("family", "i", "j", "fragment").applyInArrow(
-        count, "family long, i int, j int, left binary, right binary, nl binary, nr binary, at binary, x binary")
-    return counts.groupBy("family", "i", "j").applyInArrow(total, "a long, b long")
+    for k in range(n_waves):
+        some = rows.filter(F.pmod(F.xxhash64("family", "i", "j"), F.lit(n_waves)) == k)
+        counts = segments(some).groupBy("family", "i", "j", "fragment").applyInArrow(
+            count, "family long, i int, j int, left binary, right binary, nl binary, nr binary, at binary, x binary")
+        found.append(written(counts.groupBy("family", "i", "j").applyInArrow(total, "a long, b long"), "linked-tiles"))
+    discard(placed)
+    return together(nodes.sparkSession, found)
 
 
 def missing_links(open_: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between nodes of (sig, node, label) groups that connect what the
-    threshold connects: small groups by pairs, large ones by tiles."""
-    first = F.min("node").alias("a")
-    edges = open_.join(open_.groupBy("sig").agg(first), "sig").select("a", F.col("node").alias("b"))
-    families = components(edges)
-    sized = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    placed = written(families.join(sized, "component").select(F.col("id").alias("node"), F.col("component").alias("family"), "size"), "families")
-    small = open_.join(placed.filter(F.col("size") <= SMALL).select("node"), "node")
+    """Links between nodes of (sig, node, unit, label) groups that connect what the
+    threshold connects: groups by pairs, families of large groups by tiles."""
+    groups = narrowed(open_)
+    sizes = written(groups.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("a")), "sizes")
+    small = groups.join(sizes.filter(F.col("size") <= SMALL).select("sig"), "sig")
     x, y = small.select("sig", F.col("node").alias("a"), F.col("label").alias("la")), small.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
     pairs = written(x.join(y, "sig").filter("a < b and la <> lb").select("a", "b").distinct(), "pairs")
     links = verified(pairs, nodes, num, den)
-    large = placed.filter(F.col("size") > SMALL)
+    discard(pairs)
+    large = sizes.filter(F.col("size") > SMALL).select("sig", "a")
     if large.limit(1).count():
-        links = links.unionByName(links_in_tiles(large, nodes, num, den))
+        families = components(groups.join(large, "sig").select("a", F.col("node").alias("b")))
+        sized = families.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        placed = written(families.join(sized, "component").select(F.col("id").alias("node"), F.col("component").alias("family"), "size"), "families")
+        links = links.unionByName(links_in_tiles(placed, nodes, num, den))
+        discard(placed)
+    discard(groups)
+    discard(sizes)
     return links
 
 
@@ -431,16 +513,17 @@ def linked_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     # a set's number is its smallest doc_id, so a component's is its smallest document's
     names = written(sets.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("lone").alias("lone")), "names")
     nodes = written(named_sets(rows, names, stats, k), "nodes")
-    candidates = candidates_of(nodes, num, den)
+    found = candidates_of(nodes, num, den)
+    candidates = together(docs.sparkSession, found, "sig long, node long, unit int, hub long")
     pairs = candidates.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verified(pairs, nodes, num, den), "star-links")
+    links = verified(pairs, nodes, num, den)
     links_of = components(links)
     left = open_groups(candidates, links_of)
     if left.limit(1).count():
-        links_of = components(links.unionByName(written(missing_links(left, nodes, num, den), "more-links")))
+        links_of = components(links.unionByName(missing_links(left, nodes, num, den)))
     links = links_of
-    discard(candidates)
-    discard(nodes)
+    for x in [*found, nodes]:
+        discard(x)
     node_of = names.select("fp", "node").join(links.withColumnRenamed("id", "node"), "node", "left").select(
         "fp", F.coalesce("component", "node").alias("component_id"))
     found = (sets.select("doc_id", "fp").join(node_of, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id")))
