@@ -91,3 +91,16 @@ def test_deduplication_frees_its_disk(spark):
     got = {r.id: r.kept for r in judged.collect()}
     assert got[0] and not any(got[i] for i in range(1, 200)) and got[500] and not got[501]
     assert all("stored-" in x for x in kept), kept
+
+
+def test_candidates_are_compared_in_waves(spark, monkeypatch):
+    """Tokens are sent for about as many candidates at once as there are documents."""
+    monkeypatch.setattr(corpus, "WAVE_PAIRS", 1)
+    sent, real = [], corpus.verified
+    monkeypatch.setattr(corpus, "verified", lambda pairs, *a: sent.append(pairs.count()) or real(pairs, *a))
+    r, rows = random.Random(7), []
+    for f in range(3):
+        rows += family(r, 20, 30, 3, 100 * f)
+    got = {x.id: x.kept for x in corpus.greedy_dedup(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert got == one_by_one(spark, rows)
+    assert len(sent) > 1 and max(sent) < sum(sent) and max(sent) <= 3 * len(rows)
